@@ -1,6 +1,6 @@
 """Budget parsing and discounted prices.
 
-``price_bounds(text)`` returns ``struct<lo double, hi double>``; an open upper
+``with_price_bounds(df, text_col)`` adds ``struct<lo double, hi double>``; an open upper
 bound is ``+Infinity``. Rules are tried in order on the text after
 lower-casing, removing every ``sgd`` and stripping whitespace:
 
@@ -15,7 +15,7 @@ lower-casing, removing every ``sgd`` and stripping whitespace:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.text import py_float, py_max0, py_strip
@@ -45,39 +45,49 @@ def _around(x: Column) -> Column:
     return _bounds(py_max0(x - AMOUNT_SPREAD), x + AMOUNT_SPREAD)
 
 
-def price_bounds(text: Column) -> Column:
-    """Budget text -> ``struct<lo, hi>`` (never NULL)."""
-    s = py_strip(F.replace(F.lower(text), F.lit("sgd"), F.lit("")))
-    open_range = _bounds(0.0, INF)
+def with_price_bounds(df: DataFrame, text_col: str, out: str = "budget") -> DataFrame:
+    """Add ``out = struct<lo, hi>`` (never NULL) parsed from ``text_col``.
 
-    approx_hit = F.coalesce(
-        F.nullif(F.regexp_extract(s, APPROX_PATTERN, 1), F.lit("")),
-        F.nullif(F.regexp_extract(s, APPROX_PATTERN, 2), F.lit("")),
+    The rules run as staged projections: the cleaned text and each candidate
+    number are computed once per row, and Catalyst keeps them as separate
+    projections (it does not re-inline a non-trivial expression that is used
+    several times), which keeps the generated code small.
+    """
+    text = F.col(text_col)
+    t = df.withColumn("_pb_s", py_strip(F.replace(F.lower(text), F.lit("sgd"), F.lit(""))))
+    s = F.col("_pb_s")
+    t = t.withColumn(
+        "_pb_approx_txt",
+        F.coalesce(
+            F.nullif(F.regexp_extract(s, APPROX_PATTERN, 1), F.lit("")),
+            F.nullif(F.regexp_extract(s, APPROX_PATTERN, 2), F.lit("")),
+        ),
+    ).withColumn("_pb_parts", F.split(F.replace(s, F.lit("$"), F.lit("")), "-"))
+    parts = F.col("_pb_parts")
+    t = t.select(
+        "*",
+        py_float(F.col("_pb_approx_txt")).alias("_pb_approx"),
+        py_float(F.replace(s, F.lit("under $"), F.lit(""))).alias("_pb_under"),
+        py_float(F.get(parts, 0)).alias("_pb_first"),
+        ((F.size(parts) > 1) & (py_strip(F.get(parts, 1)) != "")).alias("_pb_has_second"),
+        py_float(F.get(parts, 1)).alias("_pb_second"),
+        py_float(s).alias("_pb_plain"),
     )
-    approx = py_float(approx_hit)
-
-    under = py_float(F.replace(s, F.lit("under $"), F.lit("")))
-
-    parts = F.split(F.replace(s, F.lit("$"), F.lit("")), "-")
-    first = py_float(F.get(parts, 0))
-    second_text = F.get(parts, 1)
-    has_second = (F.size(parts) > 1) & (py_strip(second_text) != "")
-    second = py_float(second_text)
+    approx, under = F.col("_pb_approx"), F.col("_pb_under")
+    first, second, plain = F.col("_pb_first"), F.col("_pb_second"), F.col("_pb_plain")
+    open_range = _bounds(0.0, INF)
     dollar = (
         F.when(first.isNull(), open_range)
-        .when(~has_second, _bounds(first, INF))
+        .when(~F.col("_pb_has_second"), _bounds(first, INF))
         .when(second.isNull(), open_range)
         .otherwise(_bounds(first, second))
     )
-
-    plain = py_float(s)
-
     chain = F.when(text.isNull() | (text == ""), open_range).when(
         (s.contains("around") | s.contains("about")) & approx.isNotNull(), _around(approx)
     )
     for word, (lo, hi) in BUDGET_WORDS.items():
         chain = chain.when(s == word, _bounds(lo, hi))
-    return (
+    chain = (
         chain.when(
             s.contains("under $"),
             F.when(under.isNotNull(), _bounds(0.0, under)).otherwise(open_range),
@@ -86,6 +96,7 @@ def price_bounds(text: Column) -> Column:
         .when(plain.isNotNull(), _around(plain))
         .otherwise(open_range)
     )
+    return t.withColumn(out, chain).drop(*[c for c in t.columns if c.startswith("_pb_")])
 
 
 def _py_float_any(v: Column) -> Column:

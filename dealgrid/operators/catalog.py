@@ -32,25 +32,30 @@ SUMMARY_ITEMS = 3
 
 
 def flatten_items(merchants: DataFrame) -> DataFrame:
-    """Nested ``items`` array -> flat item rows with their array position."""
-    return merchants.select(
-        "merchant_id", F.posexplode("items").alias("pos", "item")
-    ).select(
+    """Nested ``items`` array -> flat item rows with their array position.
+
+    ``price`` / ``discount_percent`` follow the matching rules (JSON numbers
+    only); ``price_shown`` / ``discount_shown`` the offer-summary rules
+    (numeric text accepted), when the source distinguishes them."""
+    exploded = merchants.select("merchant_id", F.posexplode("items").alias("pos", "item"))
+    fields = exploded.schema["item"].dataType.fieldNames()
+    shown = [
+        F.col(f"item.{f}").alias(f) for f in ("price_shown", "discount_shown") if f in fields
+    ]
+    return exploded.select(
         "merchant_id",
         "pos",
         F.col("item.name").alias("name"),
         F.col("item.price").alias("price"),
         F.col("item.discount_percent").alias("discount_percent"),
+        *shown,
     )
 
 
 def item_prices(items: DataFrame) -> DataFrame:
     return items.select(
         "merchant_id",
-        "pos",
         "name",
-        "price",
-        "discount_percent",
         discounted_price(F.col("price"), F.col("discount_percent")).alias("dp"),
     )
 
@@ -59,6 +64,10 @@ def build_catalog(merchants: DataFrame, items: DataFrame) -> DataFrame:
     """``merchants``: merchant_id, pos, name, category, primary_category,
     rating, lat, lon, district. ``items``: flat items."""
     priced = item_prices(items)
+    shown_price = F.col("price_shown") if "price_shown" in items.columns else F.col("price")
+    shown_disc = (
+        F.col("discount_shown") if "discount_shown" in items.columns else F.col("discount_percent")
+    )
     good = F.when(F.col("dp").isNotNull() & ~F.isnan("dp"), F.col("dp"))
     summary = priced.groupBy("merchant_id").agg(
         F.count(F.lit(1)).alias("n_items"),
@@ -68,7 +77,7 @@ def build_catalog(merchants: DataFrame, items: DataFrame) -> DataFrame:
         F.collect_set(F.lower(F.coalesce("name", F.lit("")))).alias("names"),
     )
     first_items = (
-        priced.withColumn(
+        items.withColumn(
             "rn",
             F.row_number().over(Window.partitionBy("merchant_id").orderBy("pos")),
         )
@@ -76,7 +85,14 @@ def build_catalog(merchants: DataFrame, items: DataFrame) -> DataFrame:
         .groupBy("merchant_id")
         .agg(
             F.array_sort(
-                F.collect_list(F.struct("pos", "name", "price", "discount_percent"))
+                F.collect_list(
+                    F.struct(
+                        "pos",
+                        "name",
+                        shown_price.alias("price"),
+                        shown_disc.alias("discount_percent"),
+                    )
+                )
             ).alias("top_items")
         )
     )

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.functions.pricing import price_bounds
+from dealgrid.functions.pricing import with_price_bounds
 from dealgrid.functions.text import lower_or_empty
 
 OK = "ok"
@@ -45,10 +45,10 @@ def _split_or_null(c: Column) -> Column:
 
 def fixture_intents(fx_intents: DataFrame) -> DataFrame:
     """``fx_intents`` (flat, `|`-joined lists) -> typed intent columns."""
-    return fx_intents.select(
+    return with_price_bounds(fx_intents, "price_range").select(
         "intent_id",
         F.col("category"),
-        price_bounds(F.col("price_range")).alias("budget"),
+        "budget",
         F.col("proximity_km"),
         F.col("min_rating"),
         _split_or_null(F.col("exact_items")).alias("exact_items"),

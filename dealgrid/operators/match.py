@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from dealgrid.functions.geo import haversine_km
 from dealgrid.functions.text import contains_any, py_max0
+from dealgrid.operators.textjoin import EVERY_TEXT, GRAM, grams
 from dealgrid.plans.sizing import bounded_broadcast, materialize
 
 TOP_K = 10
@@ -68,19 +69,7 @@ PREFERENCE_HIT_POINTS = 1
 PROXIMITY_BONUS = 5.0
 # ---------------------------------------------------------------------------
 
-_ALL = "\u0001all"
 _MOTHER = "\u0001mother"
-_GRAM = 3
-
-
-def _grams(text: Column) -> Column:
-    """Distinct substrings of ``text`` of length 1..3."""
-    n = F.greatest(F.length(text), F.lit(1))
-    per_start = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.array(*[F.substring(text, i, g) for g in range(1, _GRAM + 1)]),
-    )
-    return F.filter(F.flatten(per_start), lambda s: F.length(s) > 0)
 
 
 def category_pairs(catalog: DataFrame) -> DataFrame:
@@ -93,9 +82,9 @@ def _pair_tokens(pairs: DataFrame) -> DataFrame:
     )
     tokens = F.array_distinct(
         F.concat(
-            _grams(F.col("pc")),
-            _grams(F.col("mc")),
-            F.array(F.lit(_ALL)),
+            grams(F.col("pc")),
+            grams(F.col("mc")),
+            F.array(F.lit(EVERY_TEXT)),
             F.when(mother, F.array(F.lit(_MOTHER))).otherwise(F.array().cast("array<string>")),
         )
     )
@@ -106,7 +95,7 @@ def _key_tokens(keys: DataFrame) -> DataFrame:
     cat = F.col("ask.cat")
     low = F.lower(cat)
     everything = (cat == "general") | (low == "")
-    first = F.when(everything, F.lit(_ALL)).otherwise(F.substring(low, 1, _GRAM))
+    first = F.when(everything, F.lit(EVERY_TEXT)).otherwise(F.substring(low, 1, GRAM))
     mother = (cat == "gifts") & (F.col("ask.recip") == "mother")
     tokens = F.when(mother, F.array(first, F.lit(_MOTHER))).otherwise(F.array(first))
     return keys.select("ask", F.explode(tokens).alias("token"))
@@ -241,21 +230,17 @@ def candidate_rows(kq: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def top_merchants(
+def rank_keys(
     asks: DataFrame,
     catalog: DataFrame,
     k: int = TOP_K,
     score_digits: int | None = None,
-) -> DataFrame:
-    """Best ``k`` merchants per request.
-
-    ``asks``: ``request_id, ask`` (match key; NULL ask = no offers).
-    ``catalog``: ``operators.catalog.build_catalog`` output.
-    ``score_digits``: rank on the score rounded to this many digits (for
-    comparisons with another engine whose math differs in the last bits);
-    None ranks on the exact score. Ties go to the lower merchant position.
+) -> tuple[DataFrame, DataFrame]:
+    """Rank once per distinct match key.
 
-    Returns ``request_id, rank, merchant_id, pos, dist_km, score``.
+    Returns ``(asks, ranked)``: the materialised ``request_id, ask`` rows and
+    ``ask, rank, merchant_id, pos, dist_km, score`` (at most ``k`` rows per
+    key, broadcast-hinted only when its measured size allows).
     """
     asks = materialize(asks.filter(F.col("ask").isNotNull()).select("request_id", "ask"))
     keys = bounded_broadcast(asks.select("ask").distinct())
@@ -269,7 +254,26 @@ def top_merchants(
         .filter(F.col("rank") <= k)
         .select("ask", "rank", "merchant_id", "pos", "dist_km", "score")
     )
-    ranked = bounded_broadcast(ranked)
+    return asks, bounded_broadcast(ranked)
+
+
+def top_merchants(
+    asks: DataFrame,
+    catalog: DataFrame,
+    k: int = TOP_K,
+    score_digits: int | None = None,
+) -> DataFrame:
+    """Best ``k`` merchants per request.
+
+    ``asks``: ``request_id, ask`` (match key; NULL ask = no offers).
+    ``catalog``: ``operators.catalog.build_catalog`` output.
+    ``score_digits``: rank on the score rounded to this many digits (for
+    comparisons with another engine whose math differs in the last bits);
+    None ranks on the exact score. Ties go to the lower merchant position.
+
+    Returns ``request_id, rank, merchant_id, pos, dist_km, score``.
+    """
+    asks, ranked = rank_keys(asks, catalog, k, score_digits)
     return asks.join(ranked, "ask").select(
         "request_id", "rank", "merchant_id", "pos", "dist_km", "score"
     )

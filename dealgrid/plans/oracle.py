@@ -91,8 +91,9 @@ def _kw(col: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
 
-def match_sql(requests_cte: str, k: int = 10) -> str:
-    """Top-k oracle. ``requests_cte`` defines ``rq(request_id, customer_id,
+def match_ctes(requests_cte: str, extra_views: tuple[str, ...] = ()) -> str:
+    """``WITH`` list ending in ``ranked(request_id, merchant_id, pos, dist,
+    score, rn)``. ``requests_cte`` defines ``rq(request_id, customer_id,
     intent_id)``."""
     from dealgrid.operators.match import (
         COUPLE_KEYWORDS, FAMILY_KEYWORDS, MOTHER_KEYWORDS, SPORT_KEYWORDS,
@@ -128,7 +129,7 @@ def match_sql(requests_cte: str, k: int = 10) -> str:
                     WHERE contains(mc, u.p) OR contains(pc, u.p)) THEN 1 ELSE 0 END)"""
     return (
         oracle_prelude("fx_gazetteer", "fx_merchants", "fx_items", "fx_customers",
-                       "fx_intents", "fx_requests")
+                       "fx_intents", "fx_requests", *extra_views)
         + f""",
 {requests_cte},
 {price_bounds_ctes('fx_intents', 'intent_id', 'price_range')},
@@ -170,11 +171,16 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY request_id
                                ORDER BY round(score, 6) DESC, pos) AS rn
   FROM kept WHERE score > 0)
+"""
+    )
+
+
+def match_sql(requests_cte: str, k: int = 10) -> str:
+    return match_ctes(requests_cte) + f"""
 SELECT CAST(request_id AS BIGINT) AS request_id, CAST(rn AS BIGINT) AS rank,
   CAST(merchant_id AS BIGINT) AS merchant_id, round(dist, 6) AS dist_km,
   round(score, 6) AS score
 FROM ranked WHERE rn <= {k}"""
-    )
 
 
 ALL_REQUESTS = "rq AS (SELECT request_id, customer_id, intent_id FROM fx_requests)"
@@ -184,8 +190,278 @@ FOOD_NEARBY_REQUESTS = (
 )
 
 
+
+
+def _with(*views: str) -> str:
+    return oracle_prelude(*views)
+
+
+_R1 = (
+    "(coalesce(i.is_generic, false) OR coalesce(i.is_ambiguous, false) "
+    "OR coalesce(i.confidence = 'low', false))"
+)
+
+
+def price_range_sql() -> str:
+    return (
+        _with("fx_intents", "fx_requests")
+        + ","
+        + price_bounds_ctes("fx_intents", "intent_id", "price_range")
+        + """
+SELECT CAST(r.request_id AS BIGINT) AS request_id, b.lo AS price_lo,
+  CASE WHEN b.hi <> 'inf'::DOUBLE THEN b.hi END AS price_hi,
+  (b.hi <> 'inf'::DOUBLE) AS has_upper
+FROM fx_requests r JOIN bounds b ON b.bkey = r.intent_id"""
+    )
+
+
+def exact_items_sql() -> str:
+    return _with("fx_items", "fx_intents", "fx_requests") + """,
+mi AS (SELECT DISTINCT merchant_id FROM fx_items),
+per_intent AS (
+  SELECT i.intent_id, (SELECT count(*) FROM mi WHERE NOT EXISTS (
+      SELECT 1 FROM unnest(string_split(i.exact_items, '|')) AS u(t)
+      WHERE NOT EXISTS (SELECT 1 FROM fx_items it WHERE it.merchant_id = mi.merchant_id
+                        AND contains(lower(coalesce(it.name, '')), lower(u.t))))) AS n
+  FROM fx_intents i WHERE i.exact_items IS NOT NULL)
+SELECT CAST(r.request_id AS BIGINT) AS request_id, CAST(p.n AS BIGINT) AS n_merchants
+FROM fx_requests r JOIN per_intent p ON p.intent_id = r.intent_id"""
+
+
+def preferences_sql() -> str:
+    return _with("fx_merchants", "fx_intents", "fx_requests") + f""",
+mm AS (SELECT lower(coalesce(category, '')) AS mc,
+              lower(coalesce(primary_category, '')) AS pc FROM fx_merchants),
+per_intent AS (
+  SELECT i.intent_id, (SELECT count(*) FROM mm WHERE EXISTS (
+      SELECT 1 FROM unnest(string_split(i.preferences, '|')) AS u(p)
+      WHERE contains(mm.mc, u.p) OR contains(mm.pc, u.p))) AS n
+  FROM fx_intents i
+  WHERE {_R1} AND i.preferences IS NOT NULL AND i.exact_items IS NULL)
+SELECT CAST(r.request_id AS BIGINT) AS request_id, CAST(p.n AS BIGINT) AS n_boosted
+FROM fx_requests r JOIN per_intent p ON p.intent_id = r.intent_id"""
+
+
+def outcomes_sql() -> str:
+    from dealgrid.operators.render import (
+        MSG_CUSTOMER_NOT_FOUND, MSG_NO_MATCH, MSG_NO_TEXT, MSG_QUARANTINED,
+    )
+
+    return match_ctes(ALL_REQUESTS) + f""",
+offers AS (SELECT request_id, count(*) AS n, arg_min(merchant_id, rn) AS top
+           FROM ranked WHERE rn <= 10 GROUP BY request_id),
+st AS (
+  SELECT r.request_id, o.n, o.top,
+    CASE WHEN c.consumer_id IS NULL THEN 'customer_not_found'
+         WHEN i.category IS NULL THEN 'invalid_category' ELSE 'ok' END AS base_status
+  FROM fx_requests r
+  LEFT JOIN fx_customers c ON r.customer_id = c.consumer_id
+  JOIN fx_intents i ON i.intent_id = r.intent_id
+  LEFT JOIN offers o ON o.request_id = r.request_id)
+SELECT CAST(request_id AS BIGINT) AS request_id,
+  CASE WHEN base_status <> 'ok' THEN base_status
+       WHEN coalesce(n, 0) = 0 THEN 'no_match' ELSE 'matched' END AS status,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_offers,
+  CAST(top AS BIGINT) AS top_merchant_id,
+  CASE WHEN base_status = 'customer_not_found' THEN '{MSG_CUSTOMER_NOT_FOUND}'
+       WHEN base_status <> 'ok' THEN '{MSG_QUARANTINED} (' || base_status || ').'
+       WHEN coalesce(n, 0) = 0 THEN '{MSG_NO_MATCH}'
+       ELSE '{MSG_NO_TEXT}' END AS offer_text
+FROM st"""
+
+
+def unknown_customers_sql() -> str:
+    return _with("fx_customers", "fx_requests") + """
+SELECT CAST(r.request_id AS BIGINT) AS request_id, CAST(r.customer_id AS BIGINT) AS customer_id
+FROM fx_requests r
+WHERE NOT EXISTS (SELECT 1 FROM fx_customers c WHERE c.consumer_id = r.customer_id)"""
+
+
+_COUNTS = """
+dec AS (SELECT CASE WHEN json_valid(recommended_merchants)
+                    THEN CAST(recommended_merchants AS JSON) END AS j FROM fx_log),
+el AS (SELECT unnest(
+         CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]')
+              WHEN j IS NULL OR json_type(j) IN ('NULL', 'OBJECT') THEN CAST([] AS JSON[])
+              ELSE [j] END) AS e FROM dec),
+keyed AS (
+  SELECT CASE json_type(e) WHEN 'VARCHAR' THEN 'text'
+           WHEN 'BIGINT' THEN 'number' WHEN 'UBIGINT' THEN 'number'
+           WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'number' END AS key_kind,
+    CASE json_type(e) WHEN 'VARCHAR' THEN json_extract_string(e, '$')
+           WHEN 'BOOLEAN' THEN CASE WHEN CAST(e AS BOOLEAN) THEN '1' ELSE '0' END
+           WHEN 'DOUBLE' THEN CASE WHEN CAST(e AS DOUBLE) = floor(CAST(e AS DOUBLE))
+                                   THEN CAST(CAST(CAST(e AS DOUBLE) AS BIGINT) AS VARCHAR)
+                                   ELSE CAST(CAST(e AS DOUBLE) AS VARCHAR) END
+           ELSE CAST(CAST(e AS BIGINT) AS VARCHAR) END AS merchant_key
+  FROM el),
+cnt AS (SELECT merchant_key, key_kind, count(*) AS exposure FROM keyed
+        WHERE key_kind IS NOT NULL GROUP BY merchant_key, key_kind)"""
+
+
+def exposure_counts_sql() -> str:
+    return _with("fx_log") + "," + _COUNTS + "\nSELECT merchant_key, key_kind, exposure FROM cnt"
+
+
+def leaderboard_sql() -> str:
+    return _with("fx_log", "fx_merchants") + "," + _COUNTS + """,
+mm AS (SELECT 'number' AS key_kind, CAST(merchant_id AS VARCHAR) AS merchant_key,
+              name, primary_category, rating, district FROM fx_merchants)
+SELECT c.merchant_key, c.key_kind,
+  CASE WHEN m.key_kind IS NULL THEN 'Unknown' ELSE m.name END AS name,
+  CASE WHEN m.key_kind IS NULL THEN 'N/A' ELSE m.primary_category END AS primary_category,
+  CAST(m.rating AS DOUBLE) AS rating,
+  CASE WHEN m.key_kind IS NULL THEN 'N/A' ELSE m.district END AS district,
+  CAST(c.exposure AS BIGINT) AS exposure
+FROM cnt c LEFT JOIN mm m ON m.key_kind = c.key_kind AND m.merchant_key = c.merchant_key"""
+
+
+def distinct_preferences_sql() -> str:
+    return _with("fx_intents", "fx_requests") + f"""
+SELECT DISTINCT CAST(r.request_id AS BIGINT) AS request_id, u.p AS preference
+FROM fx_requests r JOIN fx_intents i ON i.intent_id = r.intent_id,
+     unnest(string_split(i.preferences, '|')) AS u(p)
+WHERE {_R1}"""
+
+
+_DECODED = r"""
+t AS (SELECT request_id, step,
+        regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') AS txt FROM fx_responses),
+d AS (SELECT request_id, step,
+        CASE WHEN txt = '' THEN 'empty' WHEN json_valid(txt) THEN 'strict'
+             WHEN json_valid(regexp_extract(txt, '(?s)\{.*\}', 0)) THEN 'span'
+             ELSE 'none' END AS how,
+        CASE WHEN txt = '' THEN NULL WHEN json_valid(txt) THEN txt
+             WHEN json_valid(regexp_extract(txt, '(?s)\{.*\}', 0))
+             THEN regexp_extract(txt, '(?s)\{.*\}', 0) END AS jtxt
+      FROM t)"""
+
+
+def _jtext(j: str, field: str) -> str:
+    return (
+        f"CASE WHEN json_type(CAST({j} AS JSON), '$.{field}') = 'VARCHAR' "
+        f"THEN json_extract_string(CAST({j} AS JSON), '$.{field}') END"
+    )
+
+
+def _truthy(j: str) -> str:
+    x = f"CAST({j} AS JSON)"
+    return f"""(CASE WHEN {j} IS NULL THEN false
+  WHEN json_type({x}) = 'NULL' THEN false
+  WHEN json_type({x}) = 'BOOLEAN' THEN CAST({x} AS BOOLEAN)
+  WHEN json_type({x}) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST({x} AS DOUBLE) <> 0
+  WHEN json_type({x}) = 'VARCHAR' THEN json_extract_string({x}, '$') <> ''
+  WHEN json_type({x}) = 'ARRAY' THEN json_array_length({x}) > 0
+  WHEN json_type({x}) = 'OBJECT' THEN len(json_keys({x})) > 0
+  ELSE false END)"""
+
+
+def intent_decode_sql() -> str:
+    return _with("fx_responses") + "," + _DECODED + f"""
+SELECT CAST(request_id AS BIGINT) AS request_id, CAST(step AS BIGINT) AS step, how,
+  {_jtext('jtxt', 'category')} AS category, {_jtext('jtxt', 'confidence')} AS confidence
+FROM d"""
+
+
+def intent_resolve_sql() -> str:
+    return _with("fx_responses") + "," + _DECODED + f""",
+w AS (SELECT request_id,
+        max(CASE WHEN step = 1 THEN jtxt END) AS j1,
+        max(CASE WHEN step = 2 THEN jtxt END) AS j2
+      FROM d GROUP BY request_id),
+f AS (SELECT request_id, {_truthy('j1')} AS ok1, {_truthy('j2')} AS ok2, j1, j2 FROM w)
+SELECT CAST(request_id AS BIGINT) AS request_id,
+  CASE WHEN ok2 THEN 'refined' WHEN ok1 THEN 'initial' ELSE 'default' END AS source,
+  CASE WHEN ok2 THEN {_jtext('j2', 'category')} WHEN ok1 THEN {_jtext('j1', 'category')}
+       ELSE 'general' END AS category,
+  CASE WHEN ok2 THEN {_jtext('j2', 'confidence')} WHEN ok1 THEN {_jtext('j1', 'confidence')}
+       ELSE 'low' END AS confidence
+FROM f"""
+
+
+def customer_directory_sql() -> str:
+    return _with("fx_customers") + """
+SELECT CAST(consumer_id AS BIGINT) AS customer_id,
+  CAST(consumer_id AS VARCHAR) || ': ' || coalesce(name, 'None') || ' ('
+  || coalesce(CAST(age AS VARCHAR), 'None') || ' ' || coalesce(sex, 'None') || ', '
+  || coalesce(district, '') || ', $' || printf('%.0f', coalesce(balance, 0e0)) || ')' AS label
+FROM fx_customers"""
+
+
+def recent_transactions_sql() -> str:
+    return _with("fx_customers", "fx_transactions") + """,
+t AS (SELECT consumer_id, count(*) AS n,
+        '[' || string_agg('(' || CAST(merchant_id AS VARCHAR) || ', '''
+                          || category || ''', ' || CAST(amount AS VARCHAR) || ')', ', '
+                          ORDER BY pos) || ']' AS txt
+      FROM fx_transactions GROUP BY consumer_id)
+SELECT CAST(c.consumer_id AS BIGINT) AS customer_id,
+  CAST(coalesce(t.n, 0) AS BIGINT) AS n_transactions,
+  coalesce(t.txt, '[]') AS transactions_text
+FROM fx_customers c LEFT JOIN t ON t.consumer_id = c.consumer_id"""
+
+
+def offer_items_sql() -> str:
+    return match_ctes(ALL_REQUESTS) + """,
+top3 AS (SELECT merchant_id, pos, name, price, discount_percent,
+           row_number() OVER (PARTITION BY merchant_id ORDER BY pos) AS ipos
+         FROM fx_items)
+SELECT CAST(k.request_id AS BIGINT) AS request_id, CAST(k.rn AS BIGINT) AS rank,
+  CAST(t.pos AS BIGINT) AS item_pos, t.name AS item_name, round(t.price, 6) AS price,
+  round(coalesce(t.discount_percent, 0e0), 6) AS discount_percent,
+  round(t.price * (1 - coalesce(t.discount_percent, 0e0) / 100), 6) AS discounted_price
+FROM ranked k JOIN top3 t ON t.merchant_id = k.merchant_id
+WHERE k.rn <= 10 AND t.ipos <= 3 AND t.price IS NOT NULL"""
+
+
+def _log_sql(with_ids: bool) -> str:
+    from dealgrid.plans.queries import BATCH_LOG_TIME
+
+    hist_ids = "recommended_merchants" if with_ids else "'[]'"
+    return match_ctes(ALL_REQUESTS, ("fx_log",)) + f""",
+picks AS (SELECT request_id,
+            '[' || string_agg(CAST(merchant_id AS VARCHAR), ', ' ORDER BY rn) || ']' AS ids
+          FROM ranked WHERE rn <= 10 GROUP BY request_id),
+batch AS (SELECT '{BATCH_LOG_TIME}' AS log_time, r.customer_id,
+            coalesce(p.ids, '[]') AS recommended_merchants
+          FROM fx_requests r LEFT JOIN picks p ON p.request_id = r.request_id),
+hist AS (SELECT CASE WHEN microsecond(ts) % 1000000 = 0
+                     THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+                     ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS log_time,
+            customer_id, {hist_ids} AS recommended_merchants FROM fx_log)
+SELECT log_time, CAST(customer_id AS BIGINT) AS customer_id, recommended_merchants FROM hist
+UNION ALL
+SELECT log_time, CAST(customer_id AS BIGINT) AS customer_id, recommended_merchants FROM batch"""
+
+
+def ingest_sql() -> str:
+    return _with("fx_merchants", "fx_items") + """
+SELECT CAST(m.merchant_id AS BIGINT) AS merchant_id, m.name, m.rating, m.lat, m.lon,
+  CAST(coalesce(n.n, 0) AS BIGINT) AS n_items
+FROM fx_merchants m
+LEFT JOIN (SELECT merchant_id, count(*) AS n FROM fx_items GROUP BY merchant_id) n
+  ON n.merchant_id = m.merchant_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "match_food_nearby": match_sql(FOOD_NEARBY_REQUESTS),
         "match_all_intents": match_sql(ALL_REQUESTS),
+        "price_range_parse": price_range_sql(),
+        "match_exact_items": exact_items_sql(),
+        "match_preferences": preferences_sql(),
+        "request_outcomes": outcomes_sql(),
+        "unknown_customers": unknown_customers_sql(),
+        "exposure_counts": exposure_counts_sql(),
+        "exposure_leaderboard": leaderboard_sql(),
+        "distinct_preferences": distinct_preferences_sql(),
+        "intent_decode": intent_decode_sql(),
+        "intent_resolve": intent_resolve_sql(),
+        "customer_directory": customer_directory_sql(),
+        "recent_transactions": recent_transactions_sql(),
+        "offer_items": offer_items_sql(),
+        "log_union": _log_sql(True),
+        "log_backfill": _log_sql(False),
+        "jsonl_ingest_dedupe": ingest_sql(),
+        "exposure_stream": exposure_counts_sql(),
     }

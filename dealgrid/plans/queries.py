@@ -12,11 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.operators.catalog import build_catalog
-from dealgrid.operators.intent import fixture_intents
-from dealgrid.operators.match import top_merchants
+import uuid
+
+from dealgrid.functions.pricing import with_price_bounds
+from dealgrid.operators import decode, exposure, render
+from dealgrid.operators.catalog import build_catalog, flatten_items
+from dealgrid.operators.intent import OK, fixture_intents, r1_flag
+from dealgrid.operators.match import rank_keys, top_merchants
 from dealgrid.operators.requests import request_asks
-from dealgrid.sources import fixtures
+from dealgrid.operators.textjoin import contains_pairs
+from dealgrid.plans.sizing import checkpoint_dir, materialize
+from dealgrid.sources import convlog, fixtures, jsonl
+from dealgrid.streaming.exposure_stream import run_exposure_stream
 
 # Digits kept for floating outputs and for ranking in oracle-checked queries
 # (Spark and DuckDB math differ by ~1e-14 in the last bits).
@@ -74,7 +81,418 @@ def match_food_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _offers_out(offers)
 
 
+
+def price_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget bounds of every request's price text (F3); an open upper bound
+    is reported as ``has_upper = false`` with a NULL ``price_hi``."""
+    fixtures.register(spark, sf_dir)
+    b = F.col("budget")
+    inf = float("inf")
+    r = spark.table("fx_requests").join(
+        F.broadcast(spark.table("fx_intents").select("intent_id", "price_range")), "intent_id"
+    )
+    return (
+        with_price_bounds(r, "price_range")
+        .select(
+            F.col("request_id").cast("bigint").alias("request_id"),
+            b["lo"].alias("price_lo"),
+            F.when(b["hi"] != inf, b["hi"]).alias("price_hi"),
+            (b["hi"] != inf).alias("has_upper"),
+        )
+    )
+
+
+def _lower_terms(c):
+    return F.array_sort(F.array_distinct(F.transform(c, F.lower)))
+
+
+def match_exact_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per request that names items: how many merchants carry every named
+    item (case-insensitive substring of an item name), via the J5 term x
+    item-name containment join."""
+    fixtures.register(spark, sf_dir)
+    reqs = fixture_requests(spark).filter(F.size("exact_items") > 0).select(
+        "request_id", _lower_terms(F.col("exact_items")).alias("terms")
+    )
+    sets = reqs.select("terms").distinct()
+    set_terms = sets.select("terms", F.explode("terms").alias("term"))
+    names = spark.table("fx_items").select(
+        "merchant_id", F.lower(F.coalesce("name", F.lit(""))).alias("iname")
+    ).distinct()
+    hits = contains_pairs(set_terms, "term", names, "iname")
+    merchant_terms = names.join(hits, "iname").select("merchant_id", "term").distinct()
+    full = (
+        set_terms.join(merchant_terms, "term")
+        .groupBy("terms", "merchant_id")
+        .agg(F.count(F.lit(1)).alias("n_terms"))
+        .filter(F.col("n_terms") == F.size("terms"))
+        .groupBy("terms")
+        .agg(F.count(F.lit(1)).alias("n_merchants"))
+    )
+    return reqs.join(full, "terms", "left").select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        F.coalesce("n_merchants", F.lit(0)).cast("bigint").alias("n_merchants"),
+    )
+
+
+def match_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per request with the preference boost active (generic, ambiguous or
+    low confidence; preferences given; no exact items): how many merchants
+    have a preference inside their category or primary category (C12)."""
+    fixtures.register(spark, sf_dir)
+    r = fixture_requests(spark)
+    boost = (
+        r1_flag(F.col("is_generic"), F.col("is_ambiguous"), F.col("confidence"))
+        & (F.size("preferences") > 0)
+        & ~F.coalesce(F.size("exact_items") > 0, F.lit(False))
+    )
+    reqs = r.filter(boost).select(
+        "request_id", F.array_sort(F.array_distinct("preferences")).alias("prefs")
+    )
+    set_terms = reqs.select("prefs").distinct().select("prefs", F.explode("prefs").alias("pref"))
+    catalog = spark.table("fx_merchants").select(
+        F.lower(F.coalesce("category", F.lit(""))).alias("mc"),
+        F.lower(F.coalesce("primary_category", F.lit(""))).alias("pc"),
+    )
+    pair_counts = catalog.groupBy("mc", "pc").agg(F.count(F.lit(1)).alias("n"))
+    texts = pair_counts.select(F.col("mc").alias("text")).union(
+        pair_counts.select(F.col("pc").alias("text"))
+    )
+    hits = contains_pairs(set_terms, "pref", texts, "text")
+    set_texts = set_terms.join(hits, "pref").select("prefs", "text").distinct()
+    per_pair = pair_counts.join(set_texts, pair_counts["mc"] == set_texts["text"]).select(
+        "prefs", "mc", "pc", "n"
+    ).union(
+        pair_counts.join(set_texts, pair_counts["pc"] == set_texts["text"]).select(
+            "prefs", "mc", "pc", "n"
+        )
+    ).distinct()
+    per_set = per_pair.groupBy("prefs").agg(F.sum("n").alias("n_boosted"))
+    return reqs.join(per_set, "prefs", "left").select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        F.coalesce("n_boosted", F.lit(0)).cast("bigint").alias("n_boosted"),
+    )
+
+
+def _outcomes(spark: SparkSession):
+    asks = materialize(request_asks(fixture_requests(spark), spark.table("fx_customers")))
+    usable, ranked = rank_keys(asks, _catalog(spark), score_digits=DIGITS)
+    return asks, ranked
+
+
+def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per request: outcome status, number of offers, best merchant and the
+    outcome message (J1, O4). Model prose is not part of the fixtures, so a
+    matched request gets the no-text fallback message."""
+    fixtures.register(spark, sf_dir)
+    asks, ranked = _outcomes(spark)
+    per_key = ranked.groupBy("ask").agg(
+        F.count(F.lit(1)).alias("n_offers"),
+        F.min_by("merchant_id", "rank").alias("top_merchant_id"),
+    )
+    j = asks.join(per_key, "ask", "left")
+    n = F.coalesce("n_offers", F.lit(0))
+    status = (
+        F.when(F.col("status") != OK, F.col("status"))
+        .when(n == 0, F.lit("no_match"))
+        .otherwise(F.lit("matched"))
+    )
+    return j.select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        status.alias("status"),
+        n.cast("bigint").alias("n_offers"),
+        F.col("top_merchant_id").cast("bigint").alias("top_merchant_id"),
+        render.offer_text(F.col("status"), n, F.lit(None).cast("string")).alias("offer_text"),
+    )
+
+
+def unknown_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose customer id is not in the customer table (anti-join)."""
+    fixtures.register(spark, sf_dir)
+    cust = spark.table("fx_customers").select(F.col("consumer_id").alias("customer_id"))
+    return spark.table("fx_requests").join(cust, "customer_id", "left_anti").select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        F.col("customer_id").cast("bigint").alias("customer_id"),
+    )
+
+
+def exposure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each merchant id was recommended, over the whole log (A1)."""
+    fixtures.register(spark, sf_dir)
+    return exposure.exposure_counts(spark.table("fx_log"))
+
+
+def exposure_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure counts with merchant details, unknown ids labelled."""
+    fixtures.register(spark, sf_dir)
+    counts = exposure.exposure_counts(spark.table("fx_log"))
+    return exposure.leaderboard(counts, spark.table("fx_merchants"))
+
+
+def distinct_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduced preferences as a set, only for generic / ambiguous /
+    low-confidence requests (A2, O3)."""
+    fixtures.register(spark, sf_dir)
+    r = fixture_requests(spark).filter(
+        r1_flag(F.col("is_generic"), F.col("is_ambiguous"), F.col("confidence"))
+    )
+    return r.select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        F.explode(F.array_distinct("preferences")).alias("preference"),
+    )
+
+
+def _text_field(v, name: str):
+    f = F.variant_get(v, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(f) == "STRING", F.try_variant_get(f, "$", "string"))
+
+
+def intent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model response decoded (F12): how it decoded and the category
+    and confidence it carries."""
+    fixtures.register(spark, sf_dir)
+    d = decode.decode_object(F.col("content"))
+    return spark.table("fx_responses").select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        F.col("step").cast("bigint").alias("step"),
+        d["how"].alias("how"),
+        _text_field(d["value"], "category").alias("category"),
+        _text_field(d["value"], "confidence").alias("confidence"),
+    )
+
+
+def intent_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per request the intent in force after extraction, default and
+    refinement (O1, O2)."""
+    fixtures.register(spark, sf_dir)
+    res = decode.resolve_intents(spark.table("fx_responses"))
+    return res.select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        "source",
+        _text_field(F.col("intent"), "category").alias("category"),
+        _text_field(F.col("intent"), "confidence").alias("confidence"),
+    )
+
+
+def customer_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer picker labels."""
+    fixtures.register(spark, sf_dir)
+    c = spark.table("fx_customers")
+    return c.select(
+        F.col("consumer_id").cast("bigint").alias("customer_id"),
+        render.customer_label(
+            F.col("consumer_id"), F.col("name"), F.col("age"), F.col("sex"),
+            F.col("district"), F.col("balance"),
+        ).alias("label"),
+    )
+
+
+def _transactions(spark: SparkSession) -> DataFrame:
+    return spark.table("fx_transactions").groupBy("consumer_id").agg(
+        F.array_sort(
+            F.collect_list(F.struct("pos", "merchant_id", "category", "amount"))
+        ).alias("transactions")
+    )
+
+
+def recent_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per customer the recent transactions as tuple text, in order."""
+    fixtures.register(spark, sf_dir)
+    c = spark.table("fx_customers").select("consumer_id").join(
+        _transactions(spark), "consumer_id", "left"
+    )
+    return c.select(
+        F.col("consumer_id").cast("bigint").alias("customer_id"),
+        F.coalesce(F.size("transactions"), F.lit(0)).cast("bigint").alias("n_transactions"),
+        render.transactions_text(F.col("transactions")).alias("transactions_text"),
+    )
+
+
+def offer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item lines of every offered merchant (P4): first 3 items by
+    position, items without a price skipped. Rendered once per (match key,
+    merchant), then fanned out to the requests sharing the key."""
+    fixtures.register(spark, sf_dir)
+    asks, ranked = _outcomes(spark)
+    cat = _catalog(spark).select("merchant_id", "top_items")
+    lines = ranked.join(cat, "merchant_id").select(
+        "ask", "rank", F.explode(render.item_lines(F.col("top_items"))).alias("it")
+    )
+    return asks.join(lines, "ask").select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        F.col("rank").cast("bigint").alias("rank"),
+        F.col("it.pos").cast("bigint").alias("item_pos"),
+        F.col("it.name").alias("item_name"),
+        F.round("it.price", DIGITS).alias("price"),
+        F.round("it.discount_percent", DIGITS).alias("discount_percent"),
+        F.round("it.discounted", DIGITS).alias("discounted_price"),
+    )
+
+
+# Log time given to the rows a batch appends, so that the union queries are
+# reproducible; the library default is the current time.
+BATCH_LOG_TIME = "2024-06-01T00:00:00"
+
+
+def _batch_log_rows(spark: SparkSession) -> DataFrame:
+    asks, ranked = _outcomes(spark)
+    per_key = ranked.groupBy("ask").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "merchant_id"))).alias("picks")
+    )
+    j = asks.join(per_key, "ask", "left")
+    ids = F.coalesce(
+        F.transform(F.col("picks"), lambda p: p["merchant_id"]), F.array().cast("array<bigint>")
+    )
+    return j.select(
+        F.lit(BATCH_LOG_TIME).alias("timestamp"),
+        F.col("customer_id").cast("string").alias("customer_id"),
+        render.ids_json(ids).alias("recommended_merchants"),
+    )
+
+
+def _history_rows(spark: SparkSession, with_ids: bool = True) -> DataFrame:
+    cols = [
+        render.log_time(F.col("ts")).alias("timestamp"),
+        F.col("customer_id").cast("string").alias("customer_id"),
+    ]
+    if with_ids:
+        cols.append(F.col("recommended_merchants"))
+    return spark.table("fx_log").select(*cols)
+
+
+def _log_out(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.col("timestamp").alias("log_time"),
+        F.col("customer_id").cast("bigint").alias("customer_id"),
+        "recommended_merchants",
+    )
+
+
+def log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History plus the rows this batch of requests appends."""
+    fixtures.register(spark, sf_dir)
+    return _log_out(convlog.union_logs(_history_rows(spark), _batch_log_rows(spark)))
+
+
+def log_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An old log without the id column, backfilled with '[]', plus the
+    batch rows (S9, U1)."""
+    fixtures.register(spark, sf_dir)
+    old = _history_rows(spark, with_ids=False)
+    return _log_out(convlog.union_logs(old, _batch_log_rows(spark)))
+
+
+def _request_text():
+    """Fixture requests carry no typed text; a short text is derived from the
+    intent so the prompts have something to quote."""
+    return F.concat_ws(
+        " ",
+        F.coalesce("category", F.lit("anything")),
+        F.coalesce("price_range", F.lit("")),
+        F.when(F.col("proximity_km").isNotNull(),
+               F.concat(F.lit("within "), F.col("proximity_km").cast("string"), F.lit(" km"))),
+    )
+
+
+def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch-inference input: one prompt row per request and step (P2, P6,
+    P7, P8): extraction, refinement, and preferences for generic requests."""
+    fixtures.register(spark, sf_dir)
+    intents = spark.table("fx_intents")
+    r = spark.table("fx_requests").join(F.broadcast(intents), "intent_id")
+    cust = spark.table("fx_customers").join(_transactions(spark), "consumer_id", "left")
+    j = r.join(cust.withColumnRenamed("consumer_id", "customer_id"), "customer_id")
+    text = _request_text()
+    intent_json = F.to_json(F.struct(*[F.col(c) for c in intents.columns if c != "intent_id"]))
+    profile = render.profile_text()
+    r1 = r1_flag(F.col("is_generic"), F.col("is_ambiguous"), F.col("confidence"))
+    steps = F.array(
+        F.struct(F.lit(1).alias("step"), render.extract_prompt(text).alias("text")),
+        F.struct(F.lit(2).alias("step"), render.refine_prompt(text, intent_json, profile).alias("text")),
+        F.struct(F.lit(3).alias("step"),
+                 F.when(r1, render.preference_prompt(F.col("category"), profile)).alias("text")),
+    )
+    return j.select("request_id", F.explode(steps).alias("p")).filter(
+        F.col("p.text").isNotNull()
+    ).select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        F.col("p.step").cast("bigint").alias("step"),
+        F.col("p.text").alias("text"),
+    )
+
+
+def _merchant_json_lines(spark: SparkSession) -> DataFrame:
+    items = spark.table("fx_items").groupBy("merchant_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "name", "price", "discount_percent"))).alias("its")
+    )
+    m = spark.table("fx_merchants").join(items, "merchant_id", "left")
+    record = F.struct(
+        "merchant_id", "name", "category", "primary_category", "rating", "lat", "lon",
+        F.struct(F.col("district")).alias("address"),
+        F.transform(
+            F.coalesce("its", F.array()),
+            lambda it: F.struct(it["name"].alias("name"), it["price"].alias("price"),
+                                it["discount_percent"].alias("discount_percent")),
+        ).alias("items"),
+    )
+    return m.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def jsonl_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchants written as JSON lines (a stale copy of every record, junk
+    lines, then the current copy), read back with the keyed last-wins loader
+    and typed with the absent/null defaults (S1-S6)."""
+    fixtures.register(spark, sf_dir)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/dealgrid-jsonl-{uuid.uuid4().hex}"
+    current = _merchant_json_lines(spark)
+    stale = spark.table("fx_merchants").select(
+        F.to_json(F.struct("merchant_id", F.lit("stale").alias("name"))).alias("value")
+    )
+    junk = spark.table("fx_merchants").select(
+        F.when(F.col("merchant_id") % 3 == 0, F.lit("{broken"))
+        .when(F.col("merchant_id") % 3 == 1, F.lit(""))
+        .otherwise(F.lit('{"name": "no key"}')).alias("value")
+    )
+    stale.union(junk).write.text(f"{base}/a")
+    current.write.text(f"{base}/b")
+    m = jsonl.merchants(spark, [f"{base}/a", f"{base}/b"])
+    n_items = flatten_items(m).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("n_items"))
+    return m.join(n_items, "merchant_id", "left").select(
+        F.col("merchant_id").cast("bigint").alias("merchant_id"),
+        "name",
+        F.col("rating").alias("rating"),
+        F.col("lat").alias("lat"),
+        F.col("lon").alias("lon"),
+        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+    )
+
+
+def exposure_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure counts maintained by a streaming job over the log, fed in
+    several appends (extension of A1)."""
+    fixtures.register(spark, sf_dir)
+    return run_exposure_stream(spark, spark.table("fx_log"))
+
+
 QUERIES = {
     "match_food_nearby": match_food_nearby,
     "match_all_intents": match_all_intents,
+    "price_range_parse": price_range_parse,
+    "match_exact_items": match_exact_items,
+    "match_preferences": match_preferences,
+    "request_outcomes": request_outcomes,
+    "unknown_customers": unknown_customers,
+    "exposure_counts": exposure_counts,
+    "exposure_leaderboard": exposure_leaderboard,
+    "distinct_preferences": distinct_preferences,
+    "intent_decode": intent_decode,
+    "intent_resolve": intent_resolve,
+    "customer_directory": customer_directory,
+    "recent_transactions": recent_transactions,
+    "offer_items": offer_items,
+    "log_union": log_union,
+    "log_backfill": log_backfill,
+    "prompt_table": prompt_table,
+    "jsonl_ingest_dedupe": jsonl_ingest_dedupe,
+    "exposure_stream": exposure_stream,
 }
