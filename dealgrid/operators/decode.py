@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealgrid.functions.jsonx import parse_json_strict
 from dealgrid.functions.pricing import price_bounds_object, with_price_bounds
 from dealgrid.functions.text import py_float, py_strip
 from dealgrid.operators.intent import OK
@@ -66,8 +67,8 @@ def decode_object(content: Column) -> Column:
     """``struct<value variant, how string>``; ``how`` is ``empty``,
     ``strict``, ``span`` or ``none``."""
     text = py_strip(F.coalesce(content, F.lit("")))
-    strict = F.try_parse_json(text)
-    span = F.try_parse_json(F.regexp_extract(text, _SPAN, 0))
+    strict = parse_json_strict(text)
+    span = parse_json_strict(F.regexp_extract(text, _SPAN, 0))
     how = (
         F.when(text == "", F.lit("empty"))
         .when(strict.isNotNull(), F.lit("strict"))
@@ -81,7 +82,7 @@ def decode_object(content: Column) -> Column:
 def decode_list(content: Column) -> Column:
     """Preference list: strict parse only; a non-list gives an empty list;
     only text members are kept (stated difference for other members)."""
-    v = F.try_parse_json(py_strip(F.coalesce(content, F.lit(""))))
+    v = parse_json_strict(py_strip(F.coalesce(content, F.lit(""))))
     arr = F.try_variant_get(v, "$", "array<variant>")
     texts = F.transform(
         F.filter(arr, lambda e: _kind(e) == "STRING"),

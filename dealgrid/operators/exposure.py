@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dealgrid.functions.jsonx import parse_json_strict
+
 NUMBER = "number"
 TEXT = "text"
 # --- Fixed values (labels the leaderboard shows for unknown merchants) -----
@@ -47,7 +49,7 @@ def _element_key(e: Column) -> Column:
 
 def decoded_ids(log: DataFrame, column: str = "recommended_merchants") -> DataFrame:
     """One row per logged id occurrence: ``merchant_key, key_kind``."""
-    v = F.try_parse_json(F.col(column))
+    v = parse_json_strict(F.col(column))
     kind = F.schema_of_variant(v)
     elems = (
         F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))

@@ -1,7 +1,7 @@
 """JSON-lines ingest with keyed, last-wins semantics (SURVEY S1-S6, S12, F1,
 F5, §2.1).
 
-* Each line is parsed on its own (``spark.read.text`` + ``try_parse_json``):
+* Each line is parsed on its own (``spark.read.text`` + strict JSON parsing):
   blank and unparsable lines are skipped, a field of an odd type never drops
   its line (unlike ``read.json`` in DROPMALFORMED mode). Lines that are not
   JSON objects are skipped too.
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dealgrid.functions.jsonx import parse_json_strict
 from dealgrid.functions.geo import DEFAULT_MERCHANT_LAT, DEFAULT_MERCHANT_LON
 from dealgrid.functions.text import py_float
 
@@ -103,7 +104,7 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         return spark.createDataFrame([], schema)
     lines = spark.read.text(existing)
     parsed = lines.select(
-        F.try_parse_json(F.col("value")).alias("v"),
+        parse_json_strict(F.col("value")).alias("v"),
         F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
