@@ -109,22 +109,33 @@ def steps_wide(responses: DataFrame) -> DataFrame:
 
 def resolve_intents(responses: DataFrame) -> DataFrame:
     """``request_id, intent (variant), source`` with source ``refined``,
-    ``initial`` or ``default``."""
-    w = steps_wide(responses)
-    first = decode_object(F.col("c1"))
-    second = decode_object(F.col("c2"))
-    first_ok = json_truthy(first["value"])
+    ``initial`` or ``default``.
+
+    Staged projections: each response is decoded once, then tested; Catalyst
+    keeps the decoded values as their own projection instead of re-inlining
+    the parse into every branch of the truthiness test.
+    """
+    decoded = steps_wide(responses).select(
+        "request_id",
+        decode_object(F.col("c1"))["value"].alias("v1"),
+        decode_object(F.col("c2"))["value"].alias("v2"),
+        decode_list(F.col("c3")).alias("deduced_preferences"),
+    )
+    flagged = decoded.select(
+        "*",
+        json_truthy(F.col("v1")).alias("ok1"),
+        (F.col("v2").isNotNull() & json_truthy(F.col("v2"))).alias("ok2"),
+    )
     default = F.parse_json(F.lit(DEFAULT_INTENT_JSON))
-    initial = F.when(first_ok, first["value"]).otherwise(default)
-    refined_ok = second["value"].isNotNull() & json_truthy(second["value"])
-    return w.select(
+    initial = F.when(F.col("ok1"), F.col("v1")).otherwise(default)
+    return flagged.select(
         "request_id",
-        F.when(refined_ok, second["value"]).otherwise(initial).alias("intent"),
-        F.when(refined_ok, F.lit("refined"))
-        .when(first_ok, F.lit("initial"))
+        F.when(F.col("ok2"), F.col("v2")).otherwise(initial).alias("intent"),
+        F.when(F.col("ok2"), F.lit("refined"))
+        .when(F.col("ok1"), F.lit("initial"))
         .otherwise(F.lit("default"))
         .alias("source"),
-        decode_list(F.col("c3")).alias("deduced_preferences"),
+        "deduced_preferences",
     )
 
 

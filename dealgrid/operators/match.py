@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from dealgrid.functions.geo import haversine_km
 from dealgrid.functions.text import contains_any, py_max0
 from dealgrid.operators.textjoin import EVERY_TEXT, GRAM, grams
-from dealgrid.plans.sizing import bounded_broadcast, materialize
+from dealgrid.plans.sizing import (
+    EXPANSION, bounded_broadcast, broadcast_if_bounded, materialize,
+)
 
 TOP_K = 10
 
@@ -240,11 +242,12 @@ def rank_keys(
 
     Returns ``(asks, ranked)``: the materialised ``request_id, ask`` rows and
     ``ask, rank, merchant_id, pos, dist_km, score`` (at most ``k`` rows per
-    key, broadcast-hinted only when its measured size allows).
+    key, broadcast-hinted only when ``k`` times the measured key dictionary
+    fits).
     """
-    asks = materialize(asks.filter(F.col("ask").isNotNull()).select("request_id", "ask"))
-    keys = bounded_broadcast(asks.select("ask").distinct())
-    kq = bounded_broadcast(scored_pairs(keys, category_pairs(catalog)))
+    asks = materialize(asks.filter(F.col("ask").isNotNull()).select("request_id", "ask"), "asks")
+    keys, keys_bytes = bounded_broadcast(asks.select("ask").distinct(), "keys")
+    kq, _ = bounded_broadcast(scored_pairs(keys, category_pairs(catalog)), "key_pairs")
 
     cand = candidate_rows(kq, catalog)
     order_score = F.col("score") if score_digits is None else F.round("score", score_digits)
@@ -254,7 +257,8 @@ def rank_keys(
         .filter(F.col("rank") <= k)
         .select("ask", "rank", "merchant_id", "pos", "dist_km", "score")
     )
-    return asks, bounded_broadcast(ranked)
+    # at most k rows per key, each a key plus a few numbers: a proven bound
+    return asks, broadcast_if_bounded(ranked, k * (keys_bytes + 64 * EXPANSION))
 
 
 def top_merchants(

@@ -175,7 +175,9 @@ def match_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession):
-    asks = materialize(request_asks(fixture_requests(spark), spark.table("fx_customers")))
+    asks = materialize(
+        request_asks(fixture_requests(spark), spark.table("fx_customers")), "request_asks"
+    )
     usable, ranked = rank_keys(asks, _catalog(spark), score_digits=DIGITS)
     return asks, ranked
 

@@ -3,21 +3,24 @@
 * ``checkpoint_dir(spark)`` reads ``spark.checkpoint.dir`` from the session
   (the cluster names a shared folder there). Only a local-mode session with
   no setting gets a fresh scratch folder, as in tests.
-* ``materialize(df)`` writes a reused intermediate with ``checkpoint()``:
-  lineage is cut and the data survives the loss of executors.
-* ``bounded_broadcast(df)`` materialises a dictionary, counts it exactly and
-  hints ``broadcast`` only when ``rows * estimated row width`` is under the
-  limit; otherwise the plain DataFrame goes back and the join is a shuffle
-  join (AQE may still convert it and splits skewed partitions).
+* ``materialize(df)`` writes a reused intermediate as a Parquet table in that
+  shared folder and reads it back: one job, lineage cut, and the data
+  survives the loss of executors (``checkpoint()`` would compute the plan
+  twice: once for the action, once for the checkpoint write).
+* ``bounded_broadcast(df)`` materialises a dictionary, measures the written
+  bytes on the file system (no extra job) and hints ``broadcast`` only when
+  ``bytes * expansion`` is under the limit; otherwise the plain DataFrame goes
+  back and the join is a shuffle join (AQE may still convert it at run time
+  and splits skewed partitions).
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BROADCAST_LIMIT_CONF = "dealgrid.broadcast.maxBytes"
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
@@ -42,37 +45,46 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# Parquet is compressed; in memory a broadcast table is several times larger.
+EXPANSION = 5
+
 
+def _table_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/dealgrid-tables/{name}-{uuid.uuid4().hex}"
 
-def _width(dt: T.DataType) -> int:
-    if isinstance(dt, T.StructType):
-        return sum(_width(f.dataType) for f in dt.fields) + 8
-    if isinstance(dt, T.ArrayType):
-        return 8 + 8 * _width(dt.elementType)
-    if isinstance(dt, T.MapType):
-        return 8 + 8 * (_width(dt.keyType) + _width(dt.valueType))
-    if isinstance(dt, (T.StringType, T.BinaryType, T.VariantType)):
-        return 48
-    return 8
 
+def _materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = _table_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
 
-def estimated_bytes(df: DataFrame, rows: int) -> int:
-    return rows * (_width(df.schema) + 16)
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder."""
+    return _materialize(df, name)[0]
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    return int(fs.getContentSummary(jpath).getLength())
 
 
 def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_LIMIT_CONF, str(DEFAULT_BROADCAST_LIMIT)))
 
 
-def bounded_broadcast(df: DataFrame, already_materialized: bool = False) -> DataFrame:
-    """Materialise ``df`` and broadcast it only when its measured size fits."""
+def bounded_broadcast(df: DataFrame, name: str = "dictionary") -> tuple[DataFrame, int]:
+    """Materialise ``df`` and broadcast it only when its measured size fits.
+    Returns the DataFrame and its estimated in-memory bytes."""
     spark = df.sparkSession
-    m = df if already_materialized else materialize(df)
-    rows = m.count()
-    if estimated_bytes(m, rows) <= broadcast_limit(spark):
-        return F.broadcast(m)
-    return m
+    m, path = _materialize(df, name)
+    size = stored_bytes(spark, path) * EXPANSION
+    return (F.broadcast(m) if size <= broadcast_limit(spark) else m), size
+
+
+def broadcast_if_bounded(df: DataFrame, bound_bytes: int) -> DataFrame:
+    """Broadcast ``df`` without materialising it when an upper bound of its
+    size, derived from measured inputs, fits under the limit."""
+    return F.broadcast(df) if bound_bytes <= broadcast_limit(df.sparkSession) else df

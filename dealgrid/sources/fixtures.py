@@ -149,18 +149,45 @@ FROM (SELECT r.request_id, s.step,
  CROSS JOIN (VALUES (1), (2)) AS s(step)) t""",
 }
 
+# Spark-side text where it differs from the shared one: the two response steps
+# come from an explode of a two-element array instead of a join with a
+# two-row table (same rows, no cartesian product in the Spark plan).
+SPARK_VIEWS: dict[str, str] = {
+    "fx_responses": """
+SELECT request_id, step,
+ CASE (request_id + step) % 6
+  WHEN 0 THEN j WHEN 1 THEN 'Sure: ' || j || ' done' WHEN 2 THEN 'no object'
+  WHEN 3 THEN '' WHEN 4 THEN '{}' ELSE NULL END AS content
+FROM (SELECT r.request_id, s.step,
+ '{"category": "' || coalesce(i.category, '') || '", "confidence": "'
+  || CASE WHEN s.step = 1 THEN 'medium' ELSE 'high' END || '"}' AS j
+ FROM fx_requests r JOIN fx_intents i ON r.intent_id = i.intent_id
+ LATERAL VIEW explode(array(1, 2)) s AS step) t""",
+}
+
 # Which fx views each view reads (to emit only the needed CTEs).
 _DEPS: dict[str, tuple[str, ...]] = {
     "fx_responses": ("fx_requests", "fx_intents"),
 }
 
 
+# Driver tables the fx views read.
+USED_TABLES = ("customer", "supplier", "nation", "part", "orders", "lineitem", "events")
+_registered: dict[int, str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver tables of ``sf_dir`` and every ``fx_*`` view."""
-    for name in DRIVER_TABLES:
+    """Register the driver tables of ``sf_dir`` the fixtures read and every
+    ``fx_*`` view (once per session and folder)."""
+    session = id(spark._jsparkSession)  # noqa: SLF001
+    if _registered.get(session) == sf_dir and spark.catalog.tableExists("fx_responses"):
+        return
+    for name in USED_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, body in VIEWS.items():
+        body = SPARK_VIEWS.get(name, body)
         spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {body}")
+    _registered[session] = sf_dir
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,6 +13,9 @@ from dealgrid.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(cores="*", shuffle_partitions=8)
+    # a stage whose generated code does not compile must fail the test, not
+    # silently fall back to interpreted evaluation
+    s.conf.set("spark.sql.codegen.fallback", "false")
     yield s
 
 
