@@ -10,7 +10,7 @@ nothing after it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _END = "~dealgrid:end-of-value~"
@@ -23,3 +23,17 @@ def parse_json_strict(text: Column) -> Column:
         wrapped, "$[2]", "variant"
     ).isNull()
     return F.when(ok, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
+def with_json_strict(df: DataFrame, text: Column | str, out: str) -> DataFrame:
+    """Add ``out`` = ``parse_json_strict(text)`` as staged projections: the
+    wrapper is parsed once per row and the checks read the parsed column
+    (a single expression would repeat the parse inside every branch)."""
+    t = F.col(text) if isinstance(text, str) else text
+    tmp = f"_{out}_wrapped"
+    w = df.withColumn(tmp, F.try_parse_json(F.concat(F.lit("["), t, F.lit(f',"{_END}"]'))))
+    wrapped = F.col(tmp)
+    ok = (F.try_variant_get(wrapped, "$[1]", "string") == _END) & F.try_variant_get(
+        wrapped, "$[2]", "variant"
+    ).isNull()
+    return w.withColumn(out, F.when(ok, F.try_variant_get(wrapped, "$[0]", "variant"))).drop(tmp)

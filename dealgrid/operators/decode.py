@@ -5,8 +5,8 @@ Model text arrives as a table ``responses(request_id, step, content)``:
 step 1 = first intent extraction, step 2 = refinement, step 3 = preference
 list. Decoding is built-in JSON functions over VARIANT:
 
-* ``decode_object(content)``: strip; empty -> nothing; strict parse; else the
-  widest ``{...}`` span (across lines) parsed; else nothing.
+* ``with_decoded(df, content, out)``: strip; empty -> nothing; strict parse;
+  else the widest ``{...}`` span (across lines) parsed; else nothing.
 * ``resolve_intents``: initial = step 1 if it decoded to a truthy value, else
   the default intent; refined = step 2 if it decoded (strictly or from the
   span), else the initial one; final = refined when truthy, else initial.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.functions.jsonx import parse_json_strict
+from dealgrid.functions.jsonx import with_json_strict
 from dealgrid.functions.pricing import price_bounds_object, with_price_bounds
 from dealgrid.functions.text import py_float, py_strip
 from dealgrid.operators.intent import OK
@@ -63,32 +63,44 @@ def json_truthy(v: Column) -> Column:
     )
 
 
-def decode_object(content: Column) -> Column:
-    """``struct<value variant, how string>``; ``how`` is ``empty``,
-    ``strict``, ``span`` or ``none``."""
-    text = py_strip(F.coalesce(content, F.lit("")))
-    strict = parse_json_strict(text)
-    span = parse_json_strict(F.regexp_extract(text, _SPAN, 0))
+def with_decoded(df: DataFrame, content: str, out: str) -> DataFrame:
+    """Add ``out`` (VARIANT or NULL) and ``out_how`` (``empty``, ``strict``,
+    ``span`` or ``none``) decoded from the text column ``content``: strip;
+    empty -> nothing; strict parse; else the widest ``{...}`` span parsed.
+    Staged projections, each parse runs once per row."""
+    text_c, span_c = f"_{out}_text", f"_{out}_span_text"
+    t = df.withColumn(text_c, py_strip(F.coalesce(F.col(content), F.lit(""))))
+    t = t.withColumn(span_c, F.regexp_extract(F.col(text_c), _SPAN, 0))
+    t = with_json_strict(t, text_c, f"_{out}_strict")
+    t = with_json_strict(t, span_c, f"_{out}_span")
+    text, strict, span = F.col(text_c), F.col(f"_{out}_strict"), F.col(f"_{out}_span")
     how = (
         F.when(text == "", F.lit("empty"))
         .when(strict.isNotNull(), F.lit("strict"))
         .when(span.isNotNull(), F.lit("span"))
         .otherwise(F.lit("none"))
     )
-    value = F.when(text != "", F.coalesce(strict, span))
-    return F.struct(value.alias("value"), how.alias("how"))
+    return t.select(
+        *df.columns,
+        F.when(text != "", F.coalesce(strict, span)).alias(out),
+        how.alias(f"{out}_how"),
+    )
 
 
-def decode_list(content: Column) -> Column:
-    """Preference list: strict parse only; a non-list gives an empty list;
-    only text members are kept (stated difference for other members)."""
-    v = parse_json_strict(py_strip(F.coalesce(content, F.lit(""))))
-    arr = F.try_variant_get(v, "$", "array<variant>")
+def with_decoded_list(df: DataFrame, content: str, out: str) -> DataFrame:
+    """Add ``out``: preference list decoded strictly (no span fallback); a
+    non-list gives an empty list; only text members are kept (stated
+    difference for other members)."""
+    t = with_json_strict(
+        df, py_strip(F.coalesce(F.col(content), F.lit(""))), f"_{out}_v"
+    )
+    arr = F.try_variant_get(F.col(f"_{out}_v"), "$", "array<variant>")
     texts = F.transform(
         F.filter(arr, lambda e: _kind(e) == "STRING"),
         lambda e: F.try_variant_get(e, "$", "string"),
     )
-    return F.coalesce(F.array_distinct(texts), F.array().cast("array<string>"))
+    value = F.coalesce(F.array_distinct(texts), F.array().cast("array<string>"))
+    return t.select(*df.columns, value.alias(out))
 
 
 def steps_wide(responses: DataFrame) -> DataFrame:
@@ -108,21 +120,17 @@ def steps_wide(responses: DataFrame) -> DataFrame:
 
 
 def resolve_intents(responses: DataFrame) -> DataFrame:
-    """``request_id, intent (variant), source`` with source ``refined``,
-    ``initial`` or ``default``.
-
-    Staged projections: each response is decoded once, then tested; Catalyst
-    keeps the decoded values as their own projection instead of re-inlining
-    the parse into every branch of the truthiness test.
-    """
-    decoded = steps_wide(responses).select(
+    """``request_id, intent (variant), source, deduced_preferences`` with
+    source ``refined``, ``initial`` or ``default``."""
+    w = steps_wide(responses)
+    w = with_decoded(w, "c1", "v1")
+    w = with_decoded(w, "c2", "v2")
+    w = with_decoded_list(w, "c3", "deduced_preferences")
+    flagged = w.select(
         "request_id",
-        decode_object(F.col("c1"))["value"].alias("v1"),
-        decode_object(F.col("c2"))["value"].alias("v2"),
-        decode_list(F.col("c3")).alias("deduced_preferences"),
-    )
-    flagged = decoded.select(
-        "*",
+        "v1",
+        "v2",
+        "deduced_preferences",
         json_truthy(F.col("v1")).alias("ok1"),
         (F.col("v2").isNotNull() & json_truthy(F.col("v2"))).alias("ok2"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealgrid.functions.jsonx import parse_json_strict
+from dealgrid.functions.jsonx import with_json_strict
 
 NUMBER = "number"
 TEXT = "text"
@@ -48,16 +48,21 @@ def _element_key(e: Column) -> Column:
 
 
 def decoded_ids(log: DataFrame, column: str = "recommended_merchants") -> DataFrame:
-    """One row per logged id occurrence: ``merchant_key, key_kind``."""
-    v = parse_json_strict(F.col(column))
-    kind = F.schema_of_variant(v)
+    """One row per logged id occurrence: ``merchant_key, key_kind``.
+
+    Staged: parse once, then type-test the parsed value, then explode and key
+    each element; every step reads the previous step's column."""
+    parsed = with_json_strict(log.select(column), column, "_v")
+    v = F.col("_v")
+    typed = parsed.select("_v", F.schema_of_variant(v).alias("_kind"))
+    kind = F.col("_kind")
     elems = (
         F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
         .when(v.isNull() | F.is_variant_null(v) | kind.startswith("OBJECT"), F.array())
         .otherwise(F.array(v))
     )
     return (
-        log.select(F.explode(elems).alias("e"))
+        typed.select(F.explode(elems).alias("e"))
         .select(_element_key(F.col("e")).alias("id"))
         .filter(F.col("id").isNotNull())
         .select(F.col("id.key").alias("merchant_key"), F.col("id.kind").alias("key_kind"))

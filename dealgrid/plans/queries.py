@@ -253,13 +253,13 @@ def intent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every model response decoded (F12): how it decoded and the category
     and confidence it carries."""
     fixtures.register(spark, sf_dir)
-    d = decode.decode_object(F.col("content"))
-    return spark.table("fx_responses").select(
+    d = decode.with_decoded(spark.table("fx_responses"), "content", "v")
+    return d.select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("step").cast("bigint").alias("step"),
-        d["how"].alias("how"),
-        _text_field(d["value"], "category").alias("category"),
-        _text_field(d["value"], "confidence").alias("confidence"),
+        F.col("v_how").alias("how"),
+        _text_field(F.col("v"), "category").alias("category"),
+        _text_field(F.col("v"), "confidence").alias("confidence"),
     )
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealgrid.functions.jsonx import parse_json_strict
+from dealgrid.functions.jsonx import with_json_strict
 from dealgrid.functions.geo import DEFAULT_MERCHANT_LAT, DEFAULT_MERCHANT_LON
 from dealgrid.functions.text import py_float
 
@@ -102,9 +102,9 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     if not existing:
         warnings.warn(f"data file(s) {paths} not found; using an empty table", stacklevel=2)
         return spark.createDataFrame([], schema)
-    lines = spark.read.text(existing)
+    lines = with_json_strict(spark.read.text(existing), "value", "v")
     parsed = lines.select(
-        parse_json_strict(F.col("value")).alias("v"),
+        "v",
         F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),

@@ -12,8 +12,8 @@ from dealgrid.operators import decode
 def test_decode_object(spark):
     rows = ["", "   ", '  {"a": 1}  ', 'Sure: {"a": 1} ok', "x {bad} y",
             '{"a":1} and {"b":2}', "line\n{\n\"a\": 2\n}\nend", None, "[1]"]
-    df = spark.createDataFrame([(r,) for r in rows], "c string")
-    got = [r.d.how for r in df.select(decode.decode_object(F.col("c")).alias("d")).collect()]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string")
+    got = [r.d_how for r in decode.with_decoded(df, "c", "d").orderBy("i").collect()]
     assert got == ["empty", "empty", "strict", "span", "none", "none", "span", "empty", "strict"]
 
 
@@ -50,8 +50,8 @@ def test_resolve(spark, c1, c2, expected):
 
 def test_decode_list(spark):
     rows = ['["japanese", "quiet", "japanese"]', '{"a": 1}', "bad", '["x", 1, ["y"]]', None]
-    df = spark.createDataFrame([(r,) for r in rows], "c string")
-    got = [sorted(r[0]) for r in df.select(decode.decode_list(F.col("c"))).collect()]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string")
+    got = [sorted(r.p) for r in decode.with_decoded_list(df, "c", "p").orderBy("i").collect()]
     assert got == [["japanese", "quiet"], [], [], ["x"], []]
 
 
