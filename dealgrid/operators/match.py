@@ -17,8 +17,10 @@ through the distinct ``(mc, pc)`` pair:
    rules are then evaluated per (key, pair) row. This gives ``kq`` with the
    integer part of the score (C1-C12).
 4. ``kq`` joins the catalog on ``(mc, pc)`` (broadcast only after its size is
-   measured). Distance, rating, budget and exact-item filters and the
-   proximity bonus run per candidate row inside one codegen stage.
+   measured). Exact items (L6) come from the J5 containment join: the
+   ``(term set, merchant)`` rows that carry every term, joined on both.
+   Distance, rating and budget filters and the proximity bonus run per
+   candidate row inside one codegen stage.
 5. Top-k per key with ``row_number``: Catalyst plants a partial
    ``WindowGroupLimit`` before the shuffle, so a key that matches every
    merchant ships at most k rows per map task.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from dealgrid.functions.geo import haversine_km
 from dealgrid.functions.text import contains_any, py_max0
-from dealgrid.operators.textjoin import EVERY_TEXT, GRAM, grams
+from dealgrid.operators.textjoin import EVERY_TEXT, GRAM, grams, sets_fully_contained
 from dealgrid.plans.sizing import (
     EXPANSION, bounded_broadcast, broadcast_if_bounded, materialize,
 )
@@ -198,8 +200,21 @@ def items_ok(terms: Column, names: Column) -> Column:
     )
 
 
-def candidate_rows(kq: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Join the scored dictionary to the catalog, filter and score."""
+def item_matches(keys: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``terms, merchant_id``: merchants carrying every requested term, for
+    the distinct term sets of the keys (J5 containment join)."""
+    term_sets = keys.select(F.col("ask.terms").alias("terms")).filter(
+        F.col("terms").isNotNull()
+    ).distinct()
+    names = catalog.select("merchant_id", F.explode("names").alias("iname"))
+    return sets_fully_contained(term_sets, "terms", names, "merchant_id", "iname")
+
+
+def candidate_rows(kq: DataFrame, catalog: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Join the scored dictionary to the catalog, filter and score.
+
+    ``items`` (``terms, merchant_id``) settles the exact-item rule (L6) by an
+    equi-join; without it the rule is evaluated per row."""
     merchants = catalog.filter(F.col("pmax").isNotNull()).select(
         "merchant_id", "pos", "mc", "pc", "rating", "lat", "lon",
         "pmin", "pmax", "prices", "names",
@@ -218,13 +233,26 @@ def candidate_rows(kq: DataFrame, catalog: DataFrame) -> DataFrame:
         0.0
     )
     joined = merchants.join(kq, ["mc", "pc"])
+    if items is None:
+        has_items = items_ok(ask["terms"], F.col("names"))
+    else:
+        joined = joined.join(
+            items.select(
+                F.col("terms").alias("_terms"),
+                F.col("merchant_id").alias("_mid"),
+                F.lit(True).alias("_all_items"),
+            ),
+            (ask["terms"] == F.col("_terms")) & (F.col("merchant_id") == F.col("_mid")),
+            "left",
+        )
+        has_items = ask["terms"].isNull() | F.col("_all_items").isNotNull()
     return (
         joined.withColumn("dist_km", dist)
         .filter(
             near
             & rated
             & budget_ok(ask["lo"], ask["hi"], F.col("pmin"), F.col("pmax"), F.col("prices"))
-            & items_ok(ask["terms"], F.col("names"))
+            & has_items
         )
         .withColumn("score", F.col("base") + bonus)
         .filter(F.col("score") > 0)
@@ -248,8 +276,9 @@ def rank_keys(
     asks = materialize(asks.filter(F.col("ask").isNotNull()).select("request_id", "ask"), "asks")
     keys, keys_bytes = bounded_broadcast(asks.select("ask").distinct(), "keys")
     kq, _ = bounded_broadcast(scored_pairs(keys, category_pairs(catalog)), "key_pairs")
+    items, _ = bounded_broadcast(item_matches(keys, catalog), "item_matches")
 
-    cand = candidate_rows(kq, catalog)
+    cand = candidate_rows(kq, catalog, items)
     order_score = F.col("score") if score_digits is None else F.round("score", score_digits)
     w = Window.partitionBy("ask").orderBy(order_score.desc(), F.col("pos").asc())
     ranked = (

@@ -53,3 +53,26 @@ def contains_pairs(terms: DataFrame, term_col: str, texts: DataFrame, text_col:
         .select(F.col("_term").alias(term_col), F.col("_text").alias(text_col))
         .distinct()
     )
+
+
+def sets_fully_contained(
+    term_sets: DataFrame, set_col: str, texts: DataFrame, owner_col: str, text_col: str
+) -> DataFrame:
+    """``(set_col, owner_col)`` for every term set and owner where each term
+    of the set is contained in some text of the owner (J5, F10).
+
+    ``term_sets`` holds distinct arrays of distinct terms; ``texts`` holds
+    ``(owner, text)`` rows. Terms and texts meet in ``contains_pairs``; the
+    per-(set, owner) term count is a partial aggregation.
+    """
+    set_terms = term_sets.select(set_col, F.explode(set_col).alias("_t")).distinct()
+    owner_texts = texts.select(owner_col, text_col).distinct()
+    hits = contains_pairs(set_terms, "_t", owner_texts, text_col)
+    owner_terms = owner_texts.join(hits, text_col).select(owner_col, "_t").distinct()
+    return (
+        set_terms.join(owner_terms, "_t")
+        .groupBy(set_col, owner_col)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") == F.size(F.array_distinct(set_col)))
+        .select(set_col, owner_col)
+    )

@@ -20,7 +20,7 @@ from dealgrid.operators.catalog import build_catalog, flatten_items
 from dealgrid.operators.intent import OK, fixture_intents, r1_flag
 from dealgrid.operators.match import rank_keys, top_merchants
 from dealgrid.operators.requests import request_asks
-from dealgrid.operators.textjoin import contains_pairs
+from dealgrid.operators.textjoin import contains_pairs, sets_fully_contained
 from dealgrid.plans.sizing import checkpoint_dir, materialize
 from dealgrid.sources import convlog, fixtures, jsonl
 from dealgrid.streaming.exposure_stream import run_exposure_stream
@@ -114,18 +114,11 @@ def match_exact_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     reqs = fixture_requests(spark).filter(F.size("exact_items") > 0).select(
         "request_id", _lower_terms(F.col("exact_items")).alias("terms")
     )
-    sets = reqs.select("terms").distinct()
-    set_terms = sets.select("terms", F.explode("terms").alias("term"))
     names = spark.table("fx_items").select(
         "merchant_id", F.lower(F.coalesce("name", F.lit(""))).alias("iname")
-    ).distinct()
-    hits = contains_pairs(set_terms, "term", names, "iname")
-    merchant_terms = names.join(hits, "iname").select("merchant_id", "term").distinct()
+    )
     full = (
-        set_terms.join(merchant_terms, "term")
-        .groupBy("terms", "merchant_id")
-        .agg(F.count(F.lit(1)).alias("n_terms"))
-        .filter(F.col("n_terms") == F.size("terms"))
+        sets_fully_contained(reqs.select("terms").distinct(), "terms", names, "merchant_id", "iname")
         .groupBy("terms")
         .agg(F.count(F.lit(1)).alias("n_merchants"))
     )
@@ -155,18 +148,12 @@ def match_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.coalesce("primary_category", F.lit(""))).alias("pc"),
     )
     pair_counts = catalog.groupBy("mc", "pc").agg(F.count(F.lit(1)).alias("n"))
-    texts = pair_counts.select(F.col("mc").alias("text")).union(
-        pair_counts.select(F.col("pc").alias("text"))
+    pair_texts = pair_counts.select(
+        "mc", "pc", "n", F.explode(F.array_distinct(F.array("mc", "pc"))).alias("text")
     )
-    hits = contains_pairs(set_terms, "pref", texts, "text")
+    hits = contains_pairs(set_terms, "pref", pair_texts, "text")
     set_texts = set_terms.join(hits, "pref").select("prefs", "text").distinct()
-    per_pair = pair_counts.join(set_texts, pair_counts["mc"] == set_texts["text"]).select(
-        "prefs", "mc", "pc", "n"
-    ).union(
-        pair_counts.join(set_texts, pair_counts["pc"] == set_texts["text"]).select(
-            "prefs", "mc", "pc", "n"
-        )
-    ).distinct()
+    per_pair = pair_texts.join(set_texts, "text").select("prefs", "mc", "pc", "n").distinct()
     per_set = per_pair.groupBy("prefs").agg(F.sum("n").alias("n_boosted"))
     return reqs.join(per_set, "prefs", "left").select(
         F.col("request_id").cast("bigint").alias("request_id"),
