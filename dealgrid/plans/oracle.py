@@ -91,10 +91,16 @@ def _kw(col: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
 
-def match_ctes(requests_cte: str, extra_views: tuple[str, ...] = ()) -> str:
+def match_ctes(
+    requests_cte: str,
+    extra_views: tuple[str, ...] = (),
+    intents: str = "fx_intents",
+    intents_ctes: str = "",
+) -> str:
     """``WITH`` list ending in ``ranked(request_id, merchant_id, pos, dist,
     score, rn)``. ``requests_cte`` defines ``rq(request_id, customer_id,
-    intent_id)``."""
+    intent_id)``; ``intents`` names the relation with the flat intent columns
+    of ``fx_intents`` (``intents_ctes`` defines it when it is not a view)."""
     from dealgrid.operators.match import (
         COUPLE_KEYWORDS, FAMILY_KEYWORDS, MOTHER_KEYWORDS, SPORT_KEYWORDS,
     )
@@ -131,8 +137,8 @@ def match_ctes(requests_cte: str, extra_views: tuple[str, ...] = ()) -> str:
         oracle_prelude("fx_gazetteer", "fx_merchants", "fx_items", "fx_customers",
                        "fx_intents", "fx_requests", *extra_views)
         + f""",
-{requests_cte},
-{price_bounds_ctes('fx_intents', 'intent_id', 'price_range')},
+{intents_ctes}{requests_cte},
+{price_bounds_ctes(intents, 'intent_id', 'price_range')},
 {_ITEMS_DP},
 {_MERCHANTS},
 req AS (
@@ -141,7 +147,7 @@ req AS (
   FROM rq r
   JOIN fx_customers c ON r.customer_id = c.consumer_id
   LEFT JOIN fx_gazetteer g ON g.district = lower(c.district)
-  JOIN fx_intents i ON i.intent_id = r.intent_id
+  JOIN {intents} i ON i.intent_id = r.intent_id
   JOIN bounds b ON b.bkey = i.intent_id
   WHERE i.category IS NOT NULL),
 pairs AS (
@@ -363,13 +369,16 @@ SELECT CAST(request_id AS BIGINT) AS request_id, CAST(step AS BIGINT) AS step, h
 FROM d"""
 
 
-def intent_resolve_sql() -> str:
-    return _with("fx_responses") + "," + _DECODED + f""",
+_RESOLVED = f""",
 w AS (SELECT request_id,
         max(CASE WHEN step = 1 THEN jtxt END) AS j1,
         max(CASE WHEN step = 2 THEN jtxt END) AS j2
       FROM d GROUP BY request_id),
-f AS (SELECT request_id, {_truthy('j1')} AS ok1, {_truthy('j2')} AS ok2, j1, j2 FROM w)
+f AS (SELECT request_id, {_truthy('j1')} AS ok1, {_truthy('j2')} AS ok2, j1, j2 FROM w)"""
+
+
+def intent_resolve_sql() -> str:
+    return _with("fx_responses") + "," + _DECODED + _RESOLVED + f"""
 SELECT CAST(request_id AS BIGINT) AS request_id,
   CASE WHEN ok2 THEN 'refined' WHEN ok1 THEN 'initial' ELSE 'default' END AS source,
   CASE WHEN ok2 THEN {_jtext('j2', 'category')} WHEN ok1 THEN {_jtext('j1', 'category')}
@@ -379,6 +388,68 @@ SELECT CAST(request_id AS BIGINT) AS request_id,
 FROM f"""
 
 
+def _jfield_text(j: str, path: str) -> str:
+    x = f"CAST({j} AS JSON)"
+    return (
+        f"CASE WHEN json_type({x}, '{path}') IS NULL OR json_type({x}, '{path}') = 'NULL' "
+        f"THEN '' WHEN json_type({x}, '{path}') = 'VARCHAR' "
+        f"THEN json_extract_string({x}, '{path}') END"
+    )
+
+
+def _jfield_number(j: str, path: str) -> str:
+    x = f"CAST({j} AS JSON)"
+    return (
+        f"CASE WHEN json_type({x}, '{path}') IN ('BIGINT', 'UBIGINT', 'DOUBLE') "
+        f"THEN CAST(json_extract({x}, '{path}') AS DOUBLE) END"
+    )
+
+
+def _jfield_truthy(j: str, path: str) -> str:
+    return _truthy(f"json_extract(CAST({j} AS JSON), '{path}')")
+
+
+def responses_match_sql() -> str:
+    """Decoded responses -> flat intents (the columns of fx_intents) -> the
+    brute-force match. Fields the responses never carry stay NULL."""
+    default = (
+        '{"category": "general", "is_generic": true, "confidence": "low", "specifics": {}}'
+    )
+    intents_ctes = _DECODED.strip() + _RESOLVED + f""",
+res AS (SELECT request_id,
+          CASE WHEN ok2 THEN j2 WHEN ok1 THEN j1 ELSE '{default}' END AS j FROM f),
+ri AS (SELECT request_id AS intent_id,
+  CASE WHEN json_type(CAST(j AS JSON)) <> 'OBJECT' THEN NULL
+       WHEN json_type(CAST(j AS JSON), '$.category') IS NULL THEN 'general'
+       WHEN json_type(CAST(j AS JSON), '$.category') = 'VARCHAR'
+       THEN json_extract_string(CAST(j AS JSON), '$.category') END AS category,
+  CASE WHEN json_type(CAST(j AS JSON), '$.price_range') = 'VARCHAR'
+       THEN json_extract_string(CAST(j AS JSON), '$.price_range') END AS price_range,
+  {_jfield_number('j', '$.proximity_km')} AS proximity_km,
+  CASE WHEN {_jfield_truthy('j', '$.min_rating')} THEN {_jfield_number('j', '$.min_rating')} END AS min_rating,
+  CAST(NULL AS VARCHAR) AS exact_items,
+  {_jfield_text('j', '$.specifics.cuisine')} AS cuisine,
+  {_jfield_text('j', '$.specifics.atmosphere')} AS atmosphere,
+  {_jfield_text('j', '$.specifics.participants')} AS participants,
+  {_jfield_truthy('j', '$.specifics.solo')} AS solo,
+  {_jfield_text('j', '$.specifics.type')} AS activity_type,
+  {_jfield_text('j', '$.specifics.recipient')} AS recipient,
+  {_jfield_truthy('j', '$.is_generic')} AS is_generic,
+  {_jfield_truthy('j', '$.is_ambiguous')} AS is_ambiguous,
+  CASE WHEN json_type(CAST(j AS JSON), '$.confidence') IS NULL THEN 'medium'
+       WHEN json_type(CAST(j AS JSON), '$.confidence') = 'VARCHAR'
+       THEN json_extract_string(CAST(j AS JSON), '$.confidence') END AS confidence,
+  CAST(NULL AS VARCHAR) AS preferences
+FROM res),
+"""
+    rq = "rq AS (SELECT request_id, customer_id, request_id AS intent_id FROM fx_requests)"
+    return match_ctes(rq, ("fx_responses",), "ri", intents_ctes) + """
+SELECT CAST(request_id AS BIGINT) AS request_id, CAST(rn AS BIGINT) AS rank,
+  CAST(merchant_id AS BIGINT) AS merchant_id, round(dist, 6) AS dist_km,
+  round(score, 6) AS score
+FROM ranked WHERE rn <= 10"""
+
+
 def customer_directory_sql() -> str:
     return _with("fx_customers") + """
 SELECT CAST(consumer_id AS BIGINT) AS customer_id,
@@ -464,4 +535,5 @@ def oracle_sql() -> dict[str, str]:
         "log_backfill": _log_sql(False),
         "jsonl_ingest_dedupe": ingest_sql(),
         "exposure_stream": exposure_counts_sql(),
+        "match_from_responses": responses_match_sql(),
     }

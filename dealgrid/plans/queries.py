@@ -195,6 +195,22 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def match_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole request path from model text: responses decoded, refined or
+    defaulted (F12, O1, O2), typed with quarantine (§7.4), preferences from
+    step 3 when present (F13, O3), then matched and ranked (J1-J3, W1)."""
+    fixtures.register(spark, sf_dir)
+    resolved = decode.resolve_intents(spark.table("fx_responses"))
+    typed = decode.typed_intents(
+        resolved, "intent", "deduced_preferences", keep=("request_id",)
+    )
+    requests = spark.table("fx_requests").select("request_id", "customer_id").join(
+        typed, "request_id"
+    )
+    asks = request_asks(requests, spark.table("fx_customers"))
+    return _offers_out(top_merchants(asks, _catalog(spark), score_digits=DIGITS))
+
+
 def unknown_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests whose customer id is not in the customer table (anti-join)."""
     fixtures.register(spark, sf_dir)
@@ -484,4 +500,5 @@ QUERIES = {
     "prompt_table": prompt_table,
     "jsonl_ingest_dedupe": jsonl_ingest_dedupe,
     "exposure_stream": exposure_stream,
+    "match_from_responses": match_from_responses,
 }
