@@ -15,6 +15,8 @@ partition.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,8 +71,15 @@ def decoded_ids(log: DataFrame, column: str = "recommended_merchants") -> DataFr
     )
 
 
+COUNTS_SCHEMA = "merchant_key string, key_kind string, exposure bigint"
+
+
 def exposure_counts(log: DataFrame, column: str = "recommended_merchants") -> DataFrame:
-    """``merchant_key, key_kind, exposure`` (BIGINT)."""
+    """``merchant_key, key_kind, exposure`` (BIGINT). A log without the id
+    column gives no report (an empty table and a warning), as in A3."""
+    if column not in log.columns:
+        warnings.warn(f"the log has no '{column}' column; no exposure report", stacklevel=2)
+        return log.sparkSession.createDataFrame([], COUNTS_SCHEMA)
     return (
         decoded_ids(log, column)
         .groupBy("merchant_key", "key_kind")

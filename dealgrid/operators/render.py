@@ -172,8 +172,27 @@ def offer_prompt(profile: Column, intent_json: Column, summary: Column) -> Colum
 
 
 def ids_json(ids: Column) -> Column:
-    """``json.dumps(list_of_ints)`` layout: ``[1, 2]``."""
-    return F.concat(F.lit("["), F.array_join(F.transform(ids, lambda x: x.cast("string")), ", "), F.lit("]"))
+    """``json.dumps(list_of_ints)`` layout ``[1, 2]``; NULL ids are left out
+    (L10)."""
+    kept = F.filter(ids, lambda x: x.isNotNull())
+    return F.concat(
+        F.lit("["), F.array_join(F.transform(kept, lambda x: x.cast("string")), ", "), F.lit("]")
+    )
+
+
+def listing_label(rank: Column, name: Column, merchant_id: Column) -> Column:
+    """Matched-merchant listing line (P5): ``Merchant {rank}: {name} (ID: {id})``."""
+    return F.concat(
+        F.lit("Merchant "), rank.cast("string"), F.lit(": "), py_text(name),
+        F.lit(" (ID: "), py_text(merchant_id), F.lit(")"),
+    )
+
+
+def merchant_block(name: Column, primary: Column, rating: Column, dist: Column,
+                   items: Column) -> Column:
+    """One merchant of the offer summary (P4): header line, then item lines."""
+    lines = F.transform(item_lines(items), item_line_text)
+    return F.concat_ws("\n", merchant_header(name, primary, rating, dist), F.array_join(lines, "\n"))
 
 
 def offer_text(status: Column, n_offers: Column, response: Column) -> Column:

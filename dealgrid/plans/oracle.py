@@ -485,6 +485,17 @@ FROM ranked k JOIN top3 t ON t.merchant_id = k.merchant_id
 WHERE k.rn <= 10 AND t.ipos <= 3 AND t.price IS NOT NULL"""
 
 
+def offer_listing_sql() -> str:
+    return match_ctes(ALL_REQUESTS) + """
+SELECT CAST(k.request_id AS BIGINT) AS request_id, CAST(k.rn AS BIGINT) AS rank,
+  CAST(k.merchant_id AS BIGINT) AS merchant_id,
+  'Merchant ' || CAST(k.rn AS VARCHAR) || ': ' || coalesce(f.name, 'None')
+    || ' (ID: ' || CAST(k.merchant_id AS VARCHAR) || ')' AS label,
+  round_even(k.dist, 1) AS distance_km
+FROM ranked k JOIN fx_merchants f ON f.merchant_id = k.merchant_id
+WHERE k.rn <= 10"""
+
+
 def _log_sql(with_ids: bool) -> str:
     from dealgrid.plans.queries import BATCH_LOG_TIME
 
@@ -531,6 +542,7 @@ def oracle_sql() -> dict[str, str]:
         "customer_directory": customer_directory_sql(),
         "recent_transactions": recent_transactions_sql(),
         "offer_items": offer_items_sql(),
+        "offer_listing": offer_listing_sql(),
         "log_union": _log_sql(True),
         "log_backfill": _log_sql(False),
         "jsonl_ingest_dedupe": ingest_sql(),

@@ -334,6 +334,48 @@ def offer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def offer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched-merchant listing per request (P5, W2): rank, label, id and the
+    distance to one decimal when known."""
+    fixtures.register(spark, sf_dir)
+    asks, ranked = _outcomes(spark)
+    names = _catalog(spark).select("merchant_id", "name")
+    lines = ranked.join(names, "merchant_id").select(
+        "ask",
+        "rank",
+        "merchant_id",
+        render.listing_label(F.col("rank"), F.col("name"), F.col("merchant_id")).alias("label"),
+        F.bround("dist_km", 1).alias("distance_km"),
+    )
+    return asks.join(lines, "ask").select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        F.col("rank").cast("bigint").alias("rank"),
+        F.col("merchant_id").cast("bigint").alias("merchant_id"),
+        "label",
+        "distance_km",
+    )
+
+
+def _offer_summaries(spark: SparkSession, ranked: DataFrame) -> DataFrame:
+    """``ask, summary``: the merchant blocks of a key in rank order (P4),
+    rendered once per key (at most k blocks each)."""
+    cat = _catalog(spark).select("merchant_id", "name", "primary_category", "rating", "top_items")
+    blocks = ranked.join(cat, "merchant_id").select(
+        "ask",
+        "rank",
+        render.merchant_block(
+            F.col("name"), F.col("primary_category"), F.col("rating"), F.col("dist_km"),
+            F.col("top_items"),
+        ).alias("block"),
+    )
+    return blocks.groupBy("ask").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"]),
+            "\n",
+        ).alias("summary")
+    )
+
+
 # Log time given to the rows a batch appends, so that the union queries are
 # reproducible; the library default is the current time.
 BATCH_LOG_TIME = "2024-06-01T00:00:00"
@@ -400,8 +442,9 @@ def _request_text():
 
 
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch-inference input: one prompt row per request and step (P2, P6,
-    P7, P8): extraction, refinement, and preferences for generic requests."""
+    """Batch-inference input: one prompt row per request and step (P2, P6-P9):
+    extraction, refinement, preferences for generic requests, and the offer
+    prompt with the merchant summary for requests that matched."""
     fixtures.register(spark, sf_dir)
     intents = spark.table("fx_intents")
     r = spark.table("fx_requests").join(F.broadcast(intents), "intent_id")
@@ -417,9 +460,19 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(3).alias("step"),
                  F.when(r1, render.preference_prompt(F.col("category"), profile)).alias("text")),
     )
-    return j.select("request_id", F.explode(steps).alias("p")).filter(
+    first_three = j.select("request_id", F.explode(steps).alias("p")).filter(
         F.col("p.text").isNotNull()
-    ).select(
+    )
+    asks, ranked = _outcomes(spark)
+    summaries = asks.join(_offer_summaries(spark, ranked), "ask").select("request_id", "summary")
+    offer = j.join(summaries, "request_id").select(
+        "request_id",
+        F.struct(
+            F.lit(4).alias("step"),
+            render.offer_prompt(profile, intent_json, F.col("summary")).alias("text"),
+        ).alias("p"),
+    )
+    return first_three.unionByName(offer).select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("p.step").cast("bigint").alias("step"),
         F.col("p.text").alias("text"),
@@ -495,6 +548,7 @@ QUERIES = {
     "customer_directory": customer_directory,
     "recent_transactions": recent_transactions,
     "offer_items": offer_items,
+    "offer_listing": offer_listing,
     "log_union": log_union,
     "log_backfill": log_backfill,
     "prompt_table": prompt_table,

@@ -203,3 +203,19 @@ def customers(spark: SparkSession, path: str | list[str]) -> DataFrame:
             ),
         ).alias("transactions"),
     )
+
+
+def load_dimensions(
+    spark: SparkSession, merchants_path: str | list[str], customers_path: str | list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Merchant catalog and customers, loaded once and kept for the session
+    (S12). Persisted memory-and-disk: a lost block is recomputed from the
+    files, so losing an executor costs time, not the job."""
+    from pyspark import StorageLevel
+
+    from dealgrid.operators.catalog import build_catalog, flatten_items
+
+    m = merchants(spark, merchants_path)
+    catalog = build_catalog(m, flatten_items(m)).persist(StorageLevel.MEMORY_AND_DISK)
+    cust = customers(spark, customers_path).persist(StorageLevel.MEMORY_AND_DISK)
+    return catalog, cust

@@ -54,5 +54,5 @@ def test_entry_smoke(spark):
 def test_prompt_table_rows(spark):
     df = entry.queries()["prompt_table"](spark, SF)
     steps = {r.step for r in df.select("step").distinct().collect()}
-    assert steps == {1, 2, 3}
+    assert steps == {1, 2, 3, 4}
     assert df.filter("text IS NULL OR text = ''").count() == 0
