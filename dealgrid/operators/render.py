@@ -10,7 +10,7 @@ difference). Prompt wording is this project's own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dealgrid.functions.text import fmt_fixed, iso_now
@@ -65,7 +65,7 @@ def transactions_text(txns: Column, with_amount: bool = True) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
-def profile_text(c: DataFrame | None = None) -> Column:
+def profile_text() -> Column:
     """Customer profile block for prompts (own layout), from the columns
     ``name, age, sex, occupation, balance, district, transactions``."""
     return F.concat_ws(

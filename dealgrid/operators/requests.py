@@ -15,9 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealgrid.functions.geo import district_point
 from dealgrid.operators.intent import OK, ask_key
+from dealgrid.sources.jsonl import canonical_key
 
 CUSTOMER_NOT_FOUND = "customer_not_found"
 
@@ -32,12 +34,19 @@ def request_asks(
 
     Returns ``request_id, customer_id, status, ask``.
     """
+    key_type = customers.schema[customer_key].dataType
+    if isinstance(key_type, T.StringType):
+        # customers keyed by canonical text (JSON-lines ingest): bring the
+        # request ids to the same form
+        req_key = canonical_key(F.col("customer_id"))
+    else:
+        req_key = F.col("customer_id")
     cust = customers.select(
-        F.col(customer_key).alias("customer_id"),
+        F.col(customer_key).alias("_cust_key"),
         F.col("district").alias("_district"),
         F.lit(True).alias("_known"),
     )
-    joined = requests.join(cust, "customer_id", "left")
+    joined = requests.join(cust, req_key == F.col("_cust_key"), "left")
     status = (
         F.when(F.col("_known").isNull(), F.lit(CUSTOMER_NOT_FOUND))
         .when(F.col("intent_status") != OK, F.col("intent_status"))

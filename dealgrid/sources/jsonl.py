@@ -85,6 +85,15 @@ def normalised_key(raw: Column) -> Column:
     )
 
 
+def canonical_key(c: Column) -> Column:
+    """Canonical text key of a plain (non-VARIANT) id column, with the same
+    ``int()`` rule as ``normalised_key``: integer text and integral numbers
+    become the integer's text, other text stays as it is."""
+    s = c.cast("string")
+    as_int = F.when(s.rlike(_INT_TEXT), F.regexp_replace(s, r"[\s_]", "").try_cast("bigint"))
+    return F.coalesce(as_int.cast("string"), s)
+
+
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``v variant, ord struct`` per parsable JSON-object line, in input order."""
     paths = [path] if isinstance(path, str) else list(path)
@@ -141,9 +150,6 @@ def _with_default(v: Column, default: float) -> Column:
     return F.when(v.isNull(), F.lit(default)).otherwise(py_float_variant(v))
 
 
-_ITEM = T.ArrayType(T.VariantType())
-
-
 def merchants(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Typed merchants (keyed, deduplicated) from JSON lines."""
     recs = keyed_last_wins(read_records(spark, path), "merchant_id")

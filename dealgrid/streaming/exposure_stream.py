@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.operators.exposure import exposure_counts
+from dealgrid.operators.exposure import exposure_counts, leaderboard
 from dealgrid.plans.sizing import checkpoint_dir
 
 
@@ -27,14 +27,24 @@ def start_exposure_stream(
     out_path: str,
     checkpoint: str,
     available_now: bool = True,
+    merchants: DataFrame | None = None,
+    board_path: str | None = None,
+    files_per_batch: int | None = None,
 ):
-    """Start the stream; returns the ``StreamingQuery``."""
+    """Start the stream; returns the ``StreamingQuery``. With ``merchants``
+    and ``board_path`` each batch also publishes the leaderboard (J4, W3): the
+    batch's counts joined to the static merchant table."""
     schema = spark.read.parquet(log_path).schema
-    stream = spark.readStream.schema(schema).parquet(log_path)
-    counts = exposure_counts(stream)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    counts = exposure_counts(reader.parquet(log_path))
 
     def publish(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)
+        if merchants is not None and board_path is not None:
+            written = batch.sparkSession.read.parquet(out_path)
+            leaderboard(written, merchants).write.mode("overwrite").parquet(board_path)
 
     writer = (
         counts.writeStream.outputMode("complete")
@@ -45,14 +55,27 @@ def start_exposure_stream(
     return writer.start()
 
 
-def run_exposure_stream(spark: SparkSession, log: DataFrame, batches: int = 4) -> DataFrame:
+def run_exposure_stream(
+    spark: SparkSession,
+    log: DataFrame,
+    batches: int = 4,
+    merchants: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
     """Feed ``log`` into a fresh log folder in ``batches`` appends, run the
-    stream over it until caught up, and return the published counts."""
+    stream over it until caught up (one file per micro-batch, so the running
+    state is exercised), and return the published counts and leaderboard."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/dealgrid-stream-{uuid.uuid4().hex}"
     log_path, out_path, ckpt = f"{base}/log", f"{base}/counts", f"{base}/_checkpoint"
+    board_path = f"{base}/leaderboard" if merchants is not None else None
     parts = log.select("recommended_merchants", (F.abs(F.hash("*")) % batches).alias("_b"))
     for b in range(batches):
-        parts.filter(F.col("_b") == b).drop("_b").write.mode("append").parquet(log_path)
-    query = start_exposure_stream(spark, log_path, out_path, ckpt)
+        parts.filter(F.col("_b") == b).drop("_b").coalesce(1).write.mode("append").parquet(
+            log_path
+        )
+    query = start_exposure_stream(
+        spark, log_path, out_path, ckpt,
+        merchants=merchants, board_path=board_path, files_per_batch=1,
+    )
     query.awaitTermination()
-    return spark.read.parquet(out_path)
+    board = spark.read.parquet(board_path) if board_path else None
+    return spark.read.parquet(out_path), board

@@ -37,3 +37,26 @@ def test_leaderboard_labels_unknown_and_text_ids(spark):
         ("1", "text", "Unknown", 1),
     ]
     assert rows[1].rating is None and rows[2].primary_category == "N/A"
+
+
+def test_missing_column_gives_no_report(spark):
+    log = spark.createDataFrame([("t",)], "timestamp string")
+    with pytest.warns(UserWarning):
+        assert exposure_counts(log).count() == 0
+
+
+def test_stream_publishes_counts_and_leaderboard(spark):
+    from dealgrid.streaming.exposure_stream import run_exposure_stream
+
+    log = spark.createDataFrame(
+        [("[1, 2]",), ("[2]",), ("bad",), ('["2"]',), ("[2, 3]",)], "recommended_merchants string"
+    )
+    merchants = spark.createDataFrame(
+        [(2, "Two", "Gifts", 4.0, "Bugis")],
+        "merchant_id long, name string, primary_category string, rating double, district string",
+    )
+    counts, board = run_exposure_stream(spark, log, batches=3, merchants=merchants)
+    got = {(r.key_kind, r.merchant_key): r.exposure for r in counts.collect()}
+    assert got == {("number", "1"): 1, ("number", "2"): 3, ("number", "3"): 1, ("text", "2"): 1}
+    top = board.orderBy("exposure", ascending=False).first()
+    assert (top.merchant_key, top.name, top.exposure) == ("2", "Two", 3)

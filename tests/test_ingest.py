@@ -75,3 +75,31 @@ def test_customers_file(spark):
     assert [r.consumer_id for r in c] == ["1", "2"]
     assert c[1].postal_code == "088511"           # leading zero kept
     assert [t.merchant_id for t in c[0].transactions] == [105, 113]
+
+
+def test_load_dimensions_and_request_ids(spark, scratch):
+    from dealgrid.operators.intent import OK
+    from dealgrid.operators.requests import request_asks
+
+    m_path = _write(scratch, "m.jsonl", LINES)
+    here = os.path.dirname(os.path.abspath(__file__))
+    catalog, customers = jsonl.load_dimensions(spark, m_path, os.path.join(here, "data", "customers.jsonl"))
+    assert catalog.count() == 4 and customers.count() == 2
+    req = spark.createDataFrame(
+        [(1, "1"), (2, " 2 "), (3, "x"), (4, "1_0")], "request_id long, customer_id string"
+    ).select(
+        "*",
+        F.lit("food").alias("category"),
+        F.struct(F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi")).alias("budget"),
+        F.lit(None).cast("double").alias("proximity_km"),
+        F.lit(None).cast("double").alias("min_rating"),
+        F.lit(None).cast("array<string>").alias("exact_items"),
+        F.lit(None).cast("struct<recipient:string,cuisine:string,atmosphere:string,"
+                         "participants:string,solo:boolean,type:string>").alias("specifics"),
+        F.lit(False).alias("is_generic"), F.lit(False).alias("is_ambiguous"),
+        F.lit("high").alias("confidence"),
+        F.lit(None).cast("array<string>").alias("preferences"),
+        F.lit(OK).alias("intent_status"),
+    )
+    st = {r.request_id: r.status for r in request_asks(req, customers).collect()}
+    assert st == {1: "ok", 2: "ok", 3: "customer_not_found", 4: "customer_not_found"}
