@@ -210,15 +210,19 @@ def item_matches(keys: DataFrame, catalog: DataFrame) -> DataFrame:
     return sets_fully_contained(term_sets, "terms", names, "merchant_id", "iname")
 
 
-def candidate_rows(kq: DataFrame, catalog: DataFrame, items: DataFrame | None = None) -> DataFrame:
+# Marker for "no key asks for exact items": the rule is then trivially true.
+NO_ITEMS = "no-items"
+
+
+def candidate_rows(
+    kq: DataFrame, catalog: DataFrame, items: DataFrame | str | None = None
+) -> DataFrame:
     """Join the scored dictionary to the catalog, filter and score.
 
     ``items`` (``terms, merchant_id``) settles the exact-item rule (L6) by an
-    equi-join; without it the rule is evaluated per row."""
-    merchants = catalog.filter(F.col("pmax").isNotNull()).select(
-        "merchant_id", "pos", "mc", "pc", "rating", "lat", "lon",
-        "pmin", "pmax", "prices", "names",
-    )
+    equi-join; ``NO_ITEMS`` says no key asks for items; ``None`` evaluates
+    the rule per row."""
+    merchants = catalog.filter(F.col("pmax").isNotNull()).select(*MATCH_COLUMNS)
     ask = F.col("ask")
     dist = F.when(
         ask["prox"].isNotNull(),
@@ -235,6 +239,8 @@ def candidate_rows(kq: DataFrame, catalog: DataFrame, items: DataFrame | None =
     joined = merchants.join(kq, ["mc", "pc"])
     if items is None:
         has_items = items_ok(ask["terms"], F.col("names"))
+    elif isinstance(items, str):
+        has_items = ask["terms"].isNull()
     else:
         joined = joined.join(
             items.select(
@@ -260,11 +266,17 @@ def candidate_rows(kq: DataFrame, catalog: DataFrame, items: DataFrame | None =
     )
 
 
+MATCH_COLUMNS = (
+    "merchant_id", "pos", "mc", "pc", "rating", "lat", "lon", "pmin", "pmax", "prices", "names",
+)
+
+
 def rank_keys(
     asks: DataFrame,
     catalog: DataFrame,
     k: int = TOP_K,
     score_digits: int | None = None,
+    catalog_materialized: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Rank once per distinct match key.
 
@@ -275,10 +287,18 @@ def rank_keys(
     """
     asks = materialize(asks.filter(F.col("ask").isNotNull()).select("request_id", "ask"), "asks")
     keys, keys_bytes = bounded_broadcast(asks.select("ask").distinct(), "keys")
+    # Exact items are asked by some key: the J5 join and the candidate join
+    # both read the per-merchant item aggregation, so compute it once. The
+    # test reads the small key dictionary only.
+    wants_items = keys.filter(F.col("ask.terms").isNotNull()).limit(1).count() > 0
+    if wants_items and not catalog_materialized:
+        catalog = materialize(catalog.select(*MATCH_COLUMNS), "catalog")
     kq, _ = bounded_broadcast(scored_pairs(keys, category_pairs(catalog)), "key_pairs")
-    items, _ = bounded_broadcast(item_matches(keys, catalog), "item_matches")
+    items = None
+    if wants_items:
+        items, _ = bounded_broadcast(item_matches(keys, catalog), "item_matches")
 
-    cand = candidate_rows(kq, catalog, items)
+    cand = candidate_rows(kq, catalog, items if items is not None else NO_ITEMS)
     order_score = F.col("score") if score_digits is None else F.round("score", score_digits)
     w = Window.partitionBy("ask").orderBy(order_score.desc(), F.col("pos").asc())
     ranked = (
@@ -295,6 +315,7 @@ def top_merchants(
     catalog: DataFrame,
     k: int = TOP_K,
     score_digits: int | None = None,
+    catalog_materialized: bool = False,
 ) -> DataFrame:
     """Best ``k`` merchants per request.
 
@@ -306,7 +327,7 @@ def top_merchants(
 
     Returns ``request_id, rank, merchant_id, pos, dist_km, score``.
     """
-    asks, ranked = rank_keys(asks, catalog, k, score_digits)
+    asks, ranked = rank_keys(asks, catalog, k, score_digits, catalog_materialized)
     return asks.join(ranked, "ask").select(
         "request_id", "rank", "merchant_id", "pos", "dist_km", "score"
     )
