@@ -57,9 +57,17 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 def fmt_fixed(x: Column, digits: int) -> Column:
-    """Display text with ``digits`` decimals (Python's half-even on exact
-    binary ties is a stated difference)."""
-    return F.format_string(f"%.{digits}f", x)
+    """``f"{x:.{digits}f}"``: ``format_number`` rounds half-even on the exact
+    binary value, as Python does (``format_string`` would round the shortest
+    decimal half-up: 7.425 -> "7.43" instead of "7.42"); its grouping commas
+    are removed and NaN / infinities are spelled as in Python."""
+    text = F.regexp_replace(F.format_number(x, digits), ",", "")
+    return (
+        F.when(F.isnan(x), F.lit("nan"))
+        .when(x == float("inf"), F.lit("inf"))
+        .when(x == float("-inf"), F.lit("-inf"))
+        .otherwise(text)
+    )
 
 
 def iso_now() -> Column:

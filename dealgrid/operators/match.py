@@ -277,6 +277,7 @@ def rank_keys(
     k: int = TOP_K,
     score_digits: int | None = None,
     catalog_materialized: bool = False,
+    asks_materialized: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Rank once per distinct match key.
 
@@ -285,7 +286,10 @@ def rank_keys(
     key, broadcast-hinted only when ``k`` times the measured key dictionary
     fits).
     """
-    asks = materialize(asks.filter(F.col("ask").isNotNull()).select("request_id", "ask"), "asks")
+    asks = asks.filter(F.col("ask").isNotNull()).select("request_id", "ask")
+    if not asks_materialized:
+        # read twice: distinct keys, then the fan-out join
+        asks = materialize(asks, "asks")
     keys, keys_bytes = bounded_broadcast(asks.select("ask").distinct(), "keys")
     # Exact items are asked by some key: the J5 join and the candidate join
     # both read the per-merchant item aggregation, so compute it once. The

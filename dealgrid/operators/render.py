@@ -1,11 +1,9 @@
 """Text projections: labels, profiles, offer summaries, prompts, log rows,
 outcome messages (SURVEY P1-P10, O4, F14, F15).
 
-Numbers stay numeric columns next to their display text. Display rounding:
-``.0f`` uses half-even (``bround``), equal to Python's formatting for every
-double whose shortest decimal form is not a tie in the last kept digit;
-``.1f`` / ``.2f`` use ``format_string`` (half-up on decimal ties, a stated
-difference). Prompt wording is this project's own.
+Numbers stay numeric columns next to their display text. Display rounding
+(``text.fmt_fixed``) rounds half-even on the exact binary value, like
+Python's ``.0f`` / ``.1f`` / ``.2f``. Prompt wording is this project's own.
 """
 
 from __future__ import annotations
@@ -24,10 +22,8 @@ MSG_QUARANTINED = "The request could not be interpreted"
 
 
 def fmt_whole(x: Column) -> Column:
-    """``f"{x:.0f}"``: half-even, and ``-0`` for small negatives."""
-    r = F.bround(x, 0)
-    text = r.cast("bigint").cast("string")
-    return F.when((r == 0) & (x < 0), F.lit("-0")).otherwise(text)
+    """``f"{x:.0f}"`` (half-even, ``-0`` for small negatives)."""
+    return fmt_fixed(x, 0)
 
 
 def py_text(c: Column) -> Column:
@@ -65,9 +61,10 @@ def transactions_text(txns: Column, with_amount: bool = True) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
-def profile_text() -> Column:
+def profile_text(with_amounts: bool = True) -> Column:
     """Customer profile block for prompts (own layout), from the columns
-    ``name, age, sex, occupation, balance, district, transactions``."""
+    ``name, age, sex, occupation, balance, district, transactions``; the
+    offer prompt lists transactions without amounts."""
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Name: "), py_text(F.col("name"))),
@@ -75,7 +72,10 @@ def profile_text() -> Column:
         F.concat(F.lit("Occupation: "), py_text(F.col("occupation"))),
         F.concat(F.lit("Balance: $"), fmt_fixed(F.coalesce(F.col("balance"), F.lit(0.0)), 2)),
         F.concat(F.lit("Location: "), py_text(F.col("district"))),
-        F.concat(F.lit("Recent transactions: "), transactions_text(F.col("transactions"))),
+        F.concat(
+            F.lit("Recent transactions: "),
+            transactions_text(F.col("transactions"), with_amount=with_amounts),
+        ),
     )
 
 
@@ -122,52 +122,65 @@ def merchant_header(name: Column, primary: Column, rating: Column, dist: Column)
     )
 
 
+# --- Prompt wording (own) ----------------------------------------------------
+EXTRACT_HEAD = (
+    "Turn the shopper's request into one JSON object with the keys "
+    "category (travel, food, activities, gifts or general), subcategory, "
+    "exact_items, price_range, proximity_km, min_rating, specifics "
+    "(destination, mode, duration, participants, recipient, cuisine, "
+    "atmosphere, delivery, legal, bundle, solo, type), is_generic, "
+    "is_ambiguous and confidence. Use null or false when unsure. "
+    "Reply with the JSON object only.\nRequest: "
+)
+REFINE_PARTS = (
+    "Request: ",
+    "\nFirst reading of the request:\n",
+    "\nShopper profile:\n",
+    "\nGiven the request, the first reading and the profile, reply with an "
+    "improved JSON object with the same keys. List exact_items only when the "
+    "shopper named concrete items. Reply with the JSON object only.",
+)
+PREFERENCE_PARTS = (
+    "Shopper profile:\n",
+    "\nReply with a JSON list of short preference words for a ",
+    " request, for example [\"japanese\", \"quiet\"]. JSON list only.",
+)
+OFFER_PARTS = (
+    "You suggest offers from local merchants.\nShopper profile:\n",
+    "\nRequest reading:\n",
+    "\nMerchants to choose from:\n",
+    "\nRecommend two or three of these merchants only, with reasons; state "
+    "original price, discount and discounted price for each item you name.",
+)
+# ---------------------------------------------------------------------------
+
+
 def extract_prompt(request_text: Column) -> Column:
-    return F.concat(
-        F.lit(
-            "Turn the shopper's request into one JSON object with the keys "
-            "category (travel, food, activities, gifts or general), subcategory, "
-            "exact_items, price_range, proximity_km, min_rating, specifics "
-            "(destination, mode, duration, participants, recipient, cuisine, "
-            "atmosphere, delivery, legal, bundle, solo, type), is_generic, "
-            "is_ambiguous and confidence. Use null or false when unsure. "
-            "Reply with the JSON object only.\nRequest: "
-        ),
-        F.coalesce(request_text, F.lit("")),
-    )
+    return F.concat(F.lit(EXTRACT_HEAD), F.coalesce(request_text, F.lit("")))
 
 
 def refine_prompt(request_text: Column, intent_json: Column, profile: Column) -> Column:
+    a, b, c, d = REFINE_PARTS
     return F.concat(
-        F.lit("Request: "), F.coalesce(request_text, F.lit("")),
-        F.lit("\nFirst reading of the request:\n"), F.coalesce(intent_json, F.lit("{}")),
-        F.lit("\nShopper profile:\n"), profile,
-        F.lit(
-            "\nGiven the request, the first reading and the profile, reply with an "
-            "improved JSON object with the same keys. List exact_items only when the "
-            "shopper named concrete items. Reply with the JSON object only."
-        ),
+        F.lit(a), F.coalesce(request_text, F.lit("")),
+        F.lit(b), F.coalesce(intent_json, F.lit("{}")),
+        F.lit(c), profile, F.lit(d),
     )
 
 
 def preference_prompt(category: Column, profile: Column) -> Column:
+    a, b, c = PREFERENCE_PARTS
     return F.concat(
-        F.lit("Shopper profile:\n"), profile,
-        F.lit("\nReply with a JSON list of short preference words for a "),
-        F.coalesce(category, F.lit("general")),
-        F.lit(" request, for example [\"japanese\", \"quiet\"]. JSON list only."),
+        F.lit(a), profile, F.lit(b), F.coalesce(category, F.lit("general")), F.lit(c)
     )
 
 
 def offer_prompt(profile: Column, intent_json: Column, summary: Column) -> Column:
+    a, b, c, d = OFFER_PARTS
     return F.concat(
-        F.lit("You suggest offers from local merchants.\nShopper profile:\n"), profile,
-        F.lit("\nRequest reading:\n"), F.coalesce(intent_json, F.lit("{}")),
-        F.lit("\nMerchants to choose from:\n"), F.coalesce(summary, F.lit("")),
-        F.lit(
-            "\nRecommend two or three of these merchants only, with reasons; state "
-            "original price, discount and discounted price for each item you name."
-        ),
+        F.lit(a), profile,
+        F.lit(b), F.coalesce(intent_json, F.lit("{}")),
+        F.lit(c), F.coalesce(summary, F.lit("")), F.lit(d),
     )
 
 

@@ -548,4 +548,107 @@ def oracle_sql() -> dict[str, str]:
         "jsonl_ingest_dedupe": ingest_sql(),
         "exposure_stream": exposure_counts_sql(),
         "match_from_responses": responses_match_sql(),
+        "prompt_table": prompt_table_sql(),
     }
+
+
+def _lit(text: str) -> str:
+    """A Python string as a DuckDB text expression (newlines via chr(10))."""
+    parts = ["'" + p.replace("'", "''") + "'" for p in text.split("\n")]
+    return "(" + " || chr(10) || ".join(parts) + ")"
+
+
+_INTENT_JSON_FIELDS = (
+    ("category", "text"), ("price_range", "text"), ("proximity_km", "number"),
+    ("min_rating", "number"), ("exact_items", "text"), ("cuisine", "text"),
+    ("atmosphere", "text"), ("participants", "text"), ("solo", "bool"),
+    ("activity_type", "text"), ("recipient", "text"), ("is_generic", "bool"),
+    ("is_ambiguous", "bool"), ("confidence", "text"), ("preferences", "text"),
+)
+
+
+def _intent_json() -> str:
+    """Compact JSON of the intent row with NULL fields left out, as Spark's
+    ``to_json`` writes it."""
+    parts = []
+    for name, kind in _INTENT_JSON_FIELDS:
+        value = {
+            "text": f"to_json({name})",
+            "number": f"CAST({name} AS VARCHAR)",
+            "bool": f"CASE WHEN {name} THEN 'true' ELSE 'false' END",
+        }[kind]
+        parts.append(f"CASE WHEN {name} IS NOT NULL THEN '\"{name}\":' || {value} END")
+    return "('{' || concat_ws(',', " + ", ".join(parts) + ") || '}')"
+
+
+def _profile(tx: str) -> str:
+    return (
+        "'Name: ' || coalesce(name, 'None') || chr(10) || 'Age: ' || "
+        "coalesce(CAST(age AS VARCHAR), 'None') || ', Sex: ' || coalesce(sex, 'None') || chr(10) "
+        "|| 'Occupation: ' || coalesce(occupation, 'None') || chr(10) || 'Balance: $' || "
+        "printf('%.2f', coalesce(balance, 0e0)) || chr(10) || 'Location: ' || "
+        f"coalesce(district, 'None') || chr(10) || 'Recent transactions: ' || {tx}"
+    )
+
+
+def prompt_table_sql() -> str:
+    from dealgrid.operators.render import (
+        EXTRACT_HEAD, OFFER_PARTS, PREFERENCE_PARTS, REFINE_PARTS,
+    )
+
+    ra, rb, rc, rd = (_lit(x) for x in REFINE_PARTS)
+    pa, pb, pc = (_lit(x) for x in PREFERENCE_PARTS)
+    oa, ob, oc, od = (_lit(x) for x in OFFER_PARTS)
+    r1 = _R1.replace("i.", "")
+    return match_ctes(ALL_REQUESTS, ("fx_transactions",)) + f""",
+tx AS (SELECT consumer_id,
+         '[' || string_agg('(' || CAST(merchant_id AS VARCHAR) || ', ''' || category || ''', '
+                           || CAST(amount AS VARCHAR) || ')', ', ' ORDER BY pos) || ']' AS t_amt,
+         '[' || string_agg('(' || CAST(merchant_id AS VARCHAR) || ', ''' || category || ''')',
+                           ', ' ORDER BY pos) || ']' AS t_noamt
+       FROM fx_transactions GROUP BY consumer_id),
+base AS (SELECT r.request_id, i.*, c.name, c.age, c.sex, c.occupation, c.balance, c.district,
+           coalesce(tx.t_amt, '[]') AS t_amt, coalesce(tx.t_noamt, '[]') AS t_noamt
+         FROM fx_requests r JOIN fx_intents i ON i.intent_id = r.intent_id
+         JOIN fx_customers c ON c.consumer_id = r.customer_id
+         LEFT JOIN tx ON tx.consumer_id = c.consumer_id),
+txt AS (SELECT request_id, category, {r1} AS r1,
+          concat_ws(' ', coalesce(category, 'anything'), coalesce(price_range, ''),
+                    CASE WHEN proximity_km IS NOT NULL
+                         THEN 'within ' || CAST(proximity_km AS VARCHAR) || ' km' END) AS rtext,
+          {_intent_json()} AS ijson,
+          {_profile('t_amt')} AS prof,
+          {_profile('t_noamt')} AS prof_noamt
+        FROM base),
+top3 AS (SELECT merchant_id, pos, name, price, discount_percent,
+           row_number() OVER (PARTITION BY merchant_id ORDER BY pos) AS ipos
+         FROM fx_items),
+lines AS (SELECT merchant_id,
+            string_agg('  - ' || coalesce(name, 'None') || ': was $' || printf('%.2f', price)
+                       || ', now $'
+                       || printf('%.2f', price * (1 - coalesce(discount_percent, 0e0) / 100))
+                       || ' (' || printf('%.0f', coalesce(discount_percent, 0e0)) || '% off)',
+                       chr(10) ORDER BY pos) AS l
+          FROM top3 WHERE ipos <= 3 AND price IS NOT NULL GROUP BY merchant_id),
+blocks AS (SELECT k.request_id, k.rn,
+             '- ' || coalesce(f.name, 'None') || ' [' || coalesce(f.primary_category, 'None')
+             || ', rating ' || coalesce(CAST(f.rating AS VARCHAR), 'None')
+             || CASE WHEN k.dist IS NOT NULL THEN ', ' || printf('%.1f', k.dist) || ' km' ELSE '' END
+             || ']' || chr(10) || coalesce(ln.l, '') AS block
+           FROM ranked k JOIN fx_merchants f ON f.merchant_id = k.merchant_id
+           LEFT JOIN lines ln ON ln.merchant_id = k.merchant_id
+           WHERE k.rn <= 10),
+summ AS (SELECT request_id, string_agg(block, chr(10) ORDER BY rn) AS summary
+         FROM blocks GROUP BY request_id)
+SELECT CAST(request_id AS BIGINT) AS request_id, CAST(1 AS BIGINT) AS step,
+  {_lit(EXTRACT_HEAD)} || rtext AS text FROM txt
+UNION ALL
+SELECT CAST(request_id AS BIGINT), CAST(2 AS BIGINT),
+  {ra} || rtext || {rb} || ijson || {rc} || prof || {rd} FROM txt
+UNION ALL
+SELECT CAST(request_id AS BIGINT), CAST(3 AS BIGINT),
+  {pa} || prof || {pb} || coalesce(category, 'general') || {pc} FROM txt WHERE r1
+UNION ALL
+SELECT CAST(t.request_id AS BIGINT), CAST(4 AS BIGINT),
+  {oa} || t.prof_noamt || {ob} || t.ijson || {oc} || s.summary || {od}
+FROM txt t JOIN summ s ON s.request_id = t.request_id"""

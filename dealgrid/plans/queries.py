@@ -165,7 +165,7 @@ def _outcomes(spark: SparkSession):
     asks = materialize(
         request_asks(fixture_requests(spark), spark.table("fx_customers")), "request_asks"
     )
-    usable, ranked = rank_keys(asks, _catalog(spark), score_digits=DIGITS)
+    _, ranked = rank_keys(asks, _catalog(spark), score_digits=DIGITS, asks_materialized=True)
     return asks, ranked
 
 
@@ -469,7 +469,9 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id",
         F.struct(
             F.lit(4).alias("step"),
-            render.offer_prompt(profile, intent_json, F.col("summary")).alias("text"),
+            render.offer_prompt(
+                render.profile_text(with_amounts=False), intent_json, F.col("summary")
+            ).alias("text"),
         ).alias("p"),
     )
     return first_three.unionByName(offer).select(

@@ -103,3 +103,13 @@ def test_discounted_price(spark):
     df = spark.createDataFrame(rows, "p double, d double")
     got = [r[0] for r in df.select(discounted_price(F.col("p"), F.col("d"))).collect()]
     assert got == [90.0, 100.0, 100.0, 100.0, None, None]
+
+
+def test_display_rounding_matches_python(spark):
+    from dealgrid.functions.text import fmt_fixed
+
+    vals = [7.425, 2.675, 0.125, 2.5, 3.5, -0.4, -1.005, 1234567.891, 0.005, 7.5 * 0.99, 1.15]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for d in (0, 1, 2):
+        got = [r[0] for r in df.select(fmt_fixed(F.col("x"), d)).collect()]
+        assert got == [f"{v:.{d}f}" for v in vals]
