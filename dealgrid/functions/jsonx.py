@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealgrid.functions.text import py_float
+
 _END = "~dealgrid:end-of-value~"
 
 
@@ -37,3 +39,57 @@ def with_json_strict(df: DataFrame, text: Column | str, out: str) -> DataFrame:
         wrapped, "$[2]", "variant"
     ).isNull()
     return w.withColumn(out, F.when(ok, F.try_variant_get(wrapped, "$[0]", "variant"))).drop(tmp)
+
+
+# --- VARIANT helpers shared by the decoders ---------------------------------
+
+_NUMBER_KINDS = ("BIGINT", "DOUBLE", "FLOAT")
+
+
+def kind(v: Column) -> Column:
+    """Type name of a VARIANT value (``BIGINT``, ``STRING``, ``OBJECT<...>``...)."""
+    return F.schema_of_variant(v)
+
+
+def is_number_kind(k: Column) -> Column:
+    return k.isin(*_NUMBER_KINDS) | k.startswith("DECIMAL")
+
+
+def field(v: Column, path: str) -> Column:
+    """VARIANT field: SQL NULL when absent, VARIANT null when JSON null."""
+    return F.variant_get(v, f"$.{path}", "variant")
+
+
+def text_value(v: Column) -> Column:
+    """The string of a JSON string value, else NULL."""
+    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def py_float_variant(v: Column) -> Column:
+    """Python ``float(value)`` of a VARIANT: numbers, booleans and numeric
+    text convert; null, lists, objects and other text give NULL."""
+    k = kind(v)
+    return (
+        F.when(is_number_kind(k) | (k == "BOOLEAN"), F.try_variant_get(v, "$", "double"))
+        .when(k == "STRING", py_float(F.try_variant_get(v, "$", "string")))
+    )
+
+
+def strict_number(v: Column) -> Column:
+    """A JSON number (booleans count as 1/0); anything else is NULL."""
+    k = kind(v)
+    return F.when(is_number_kind(k) | (k == "BOOLEAN"), F.try_variant_get(v, "$", "double"))
+
+
+def json_truthy(v: Column) -> Column:
+    """Python truthiness of a decoded JSON value (SQL NULL -> false)."""
+    k = kind(v)
+    return (
+        F.when(v.isNull() | F.is_variant_null(v), F.lit(False))
+        .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .when(is_number_kind(k), F.try_variant_get(v, "$", "double") != 0)
+        .when(k == "STRING", F.try_variant_get(v, "$", "string") != "")
+        .when(k.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
+        .when(k.startswith("OBJECT"), k != "OBJECT<>")
+        .otherwise(F.lit(False))
+    )

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealgrid.functions.jsonx import py_float_variant
 from dealgrid.functions.text import py_float, py_max0, py_strip
 
 INF = float("inf")
@@ -99,18 +100,6 @@ def with_price_bounds(df: DataFrame, text_col: str, out: str = "budget") -> Data
     return t.withColumn(out, chain).drop(*[c for c in t.columns if c.startswith("_pb_")])
 
 
-def _py_float_any(v: Column) -> Column:
-    """Python ``float(v)`` for a VARIANT value: numbers and booleans convert,
-    strings go through ``py_float``, anything else (null, list, object) fails."""
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-        .when(kind == "STRING", py_float(F.try_variant_get(v, "$", "string")))
-        .when(
-            kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
-            F.try_variant_get(v, "$", "double"),
-        )
-    )
 
 
 def price_bounds_object(obj: Column) -> Column:
@@ -121,8 +110,8 @@ def price_bounds_object(obj: Column) -> Column:
     """
     min_v = F.variant_get(obj, "$.min", "variant")
     max_v = F.variant_get(obj, "$.max", "variant")
-    lo = F.when(min_v.isNull(), F.lit(0.0)).otherwise(_py_float_any(min_v))
-    hi = F.when(max_v.isNull(), F.lit(INF)).otherwise(_py_float_any(max_v))
+    lo = F.when(min_v.isNull(), F.lit(0.0)).otherwise(py_float_variant(min_v))
+    hi = F.when(max_v.isNull(), F.lit(INF)).otherwise(py_float_variant(max_v))
     return F.when(lo.isNull() | hi.isNull(), _bounds(0.0, INF)).otherwise(_bounds(lo, hi))
 
 

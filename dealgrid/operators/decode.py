@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.functions.jsonx import with_json_strict
+from dealgrid.functions import jsonx as jx
+from dealgrid.functions.jsonx import json_truthy, with_json_strict
 from dealgrid.functions.pricing import price_bounds_object, with_price_bounds
 from dealgrid.functions.text import py_float, py_strip
 from dealgrid.operators.intent import OK
@@ -38,30 +39,12 @@ DEFAULT_INTENT_JSON = (
 )
 # ---------------------------------------------------------------------------
 
-_NUMERIC_KINDS = ("BIGINT", "DOUBLE", "FLOAT")
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
 
 
-def _is_number(k: Column) -> Column:
-    return k.isin(*_NUMERIC_KINDS) | k.startswith("DECIMAL")
 
 
-def json_truthy(v: Column) -> Column:
-    """Python truthiness of a decoded JSON value (SQL NULL -> false)."""
-    k = _kind(v)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), F.lit(False))
-        .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(_is_number(k), F.try_variant_get(v, "$", "double") != 0)
-        .when(k == "STRING", F.try_variant_get(v, "$", "string") != "")
-        .when(k.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-        .when(k.startswith("OBJECT"), k != "OBJECT<>")
-        .otherwise(F.lit(False))
-    )
-
 
 def with_decoded(df: DataFrame, content: str, out: str) -> DataFrame:
     """Add ``out`` (VARIANT or NULL) and ``out_how`` (``empty``, ``strict``,
@@ -96,7 +79,7 @@ def with_decoded_list(df: DataFrame, content: str, out: str) -> DataFrame:
     )
     arr = F.try_variant_get(F.col(f"_{out}_v"), "$", "array<variant>")
     texts = F.transform(
-        F.filter(arr, lambda e: _kind(e) == "STRING"),
+        F.filter(arr, lambda e: jx.kind(e) == "STRING"),
         lambda e: F.try_variant_get(e, "$", "string"),
     )
     value = F.coalesce(F.array_distinct(texts), F.array().cast("array<string>"))
@@ -147,14 +130,11 @@ def resolve_intents(responses: DataFrame) -> DataFrame:
     )
 
 
-def _field(v: Column, name: str) -> Column:
-    """VARIANT field: SQL NULL when absent, VARIANT null when JSON null."""
-    return F.variant_get(v, f"$.{name}", "variant")
 
 
 def _text_or_empty(v: Column) -> Column:
     """``(value or '')`` for a text field: NULL when not text (crash case)."""
-    k = _kind(v)
+    k = jx.kind(v)
     return (
         F.when(v.isNull() | F.is_variant_null(v), F.lit(""))
         .when(k == "STRING", F.try_variant_get(v, "$", "string"))
@@ -167,9 +147,9 @@ def typed_intents(
 ) -> DataFrame:
     """Typed-intent columns (see ``operators.intent``) from the VARIANT column
     ``intent_col``; ``keep`` columns are carried through."""
-    pr = _field(F.col(intent_col), "price_range")
+    pr = jx.field(F.col(intent_col), "price_range")
     staged = with_price_bounds(
-        df.withColumn("_ti_text", F.when(_kind(pr) == "STRING", F.try_variant_get(pr, "$", "string"))),
+        df.withColumn("_ti_text", F.when(jx.kind(pr) == "STRING", F.try_variant_get(pr, "$", "string"))),
         "_ti_text",
         "_ti_text_budget",
     )
@@ -180,48 +160,48 @@ def typed_intents(
 
 
 def _typed_columns(v: Column, text_budget: Column, preferences: Column | None) -> list[Column]:
-    is_obj = _kind(v).startswith("OBJECT")
-    cat_v = _field(v, "category")
+    is_obj = jx.kind(v).startswith("OBJECT")
+    cat_v = jx.field(v, "category")
     category = F.when(cat_v.isNull(), F.lit("general")).otherwise(
-        F.when(_kind(cat_v) == "STRING", F.try_variant_get(cat_v, "$", "string"))
+        F.when(jx.kind(cat_v) == "STRING", F.try_variant_get(cat_v, "$", "string"))
     )
-    pr = _field(v, "price_range")
-    pk = _kind(pr)
+    pr = jx.field(v, "price_range")
+    pk = jx.kind(pr)
     open_range = F.struct(F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"))
     budget = (
         F.when(pk == "STRING", text_budget)
         .when(pk.startswith("OBJECT"), price_bounds_object(pr))
         .when(~json_truthy(pr), open_range)
     )
-    prox_v = _field(v, "proximity_km")
+    prox_v = jx.field(v, "proximity_km")
     prox = F.when(
-        _is_number(_kind(prox_v)) | (_kind(prox_v) == "BOOLEAN"),
+        jx.is_number_kind(jx.kind(prox_v)) | (jx.kind(prox_v) == "BOOLEAN"),
         F.try_variant_get(prox_v, "$", "double"),
     )
-    mr_v = _field(v, "min_rating")
-    mr_k = _kind(mr_v)
+    mr_v = jx.field(v, "min_rating")
+    mr_k = jx.kind(mr_v)
     min_rating = F.when(
         json_truthy(mr_v),
-        F.when(_is_number(mr_k) | (mr_k == "BOOLEAN"), F.try_variant_get(mr_v, "$", "double"))
+        F.when(jx.is_number_kind(mr_k) | (mr_k == "BOOLEAN"), F.try_variant_get(mr_v, "$", "double"))
         .when(mr_k == "STRING", py_float(F.try_variant_get(mr_v, "$", "string"))),
     )
-    ei_v = _field(v, "exact_items")
+    ei_v = jx.field(v, "exact_items")
     ei_arr = F.try_variant_get(ei_v, "$", "array<variant>")
-    ei_texts = F.transform(ei_arr, lambda e: F.when(_kind(e) == "STRING", F.try_variant_get(e, "$", "string")))
+    ei_texts = F.transform(ei_arr, lambda e: F.when(jx.kind(e) == "STRING", F.try_variant_get(e, "$", "string")))
     ei_ok = (~json_truthy(ei_v)) | (
         ei_arr.isNotNull() & F.forall(ei_texts, lambda t: t.isNotNull())
     )
     exact_items = F.when(json_truthy(ei_v) & ei_arr.isNotNull(), ei_texts)
-    sp = _field(v, "specifics")
+    sp = jx.field(v, "specifics")
     # Absent specifics act as {}; a JSON null or a non-object is unusable.
-    sp_bad_shape = sp.isNotNull() & (F.is_variant_null(sp) | ~_kind(sp).startswith("OBJECT"))
+    sp_bad_shape = sp.isNotNull() & (F.is_variant_null(sp) | ~jx.kind(sp).startswith("OBJECT"))
     spec_fields = {
-        name: _text_or_empty(_field(sp, name))
+        name: _text_or_empty(jx.field(sp, name))
         for name in ("recipient", "cuisine", "atmosphere", "participants", "type")
     }
     specifics = F.struct(
         *[c.alias(n) for n, c in spec_fields.items() if n != "type"],
-        json_truthy(_field(sp, "solo")).alias("solo"),
+        json_truthy(jx.field(sp, "solo")).alias("solo"),
         spec_fields["type"].alias("type"),
     )
     needs_specifics = category.isin("food", "activities", "gifts")
@@ -244,12 +224,12 @@ def _typed_columns(v: Column, text_budget: Column, preferences: Column | None) -
         min_rating.alias("min_rating"),
         exact_items.alias("exact_items"),
         specifics.alias("specifics"),
-        json_truthy(_field(v, "is_generic")).alias("is_generic"),
-        json_truthy(_field(v, "is_ambiguous")).alias("is_ambiguous"),
+        json_truthy(jx.field(v, "is_generic")).alias("is_generic"),
+        json_truthy(jx.field(v, "is_ambiguous")).alias("is_ambiguous"),
         F.coalesce(
-            F.when(_kind(_field(v, "confidence")) == "STRING",
-                   F.try_variant_get(_field(v, "confidence"), "$", "string")),
-            F.when(_field(v, "confidence").isNull(), F.lit("medium")),
+            F.when(jx.kind(jx.field(v, "confidence")) == "STRING",
+                   F.try_variant_get(jx.field(v, "confidence"), "$", "string")),
+            F.when(jx.field(v, "confidence").isNull(), F.lit("medium")),
         ).alias("confidence"),
         prefs.alias("preferences"),
         status.alias("intent_status"),

@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealgrid.functions.jsonx import with_json_strict
+from dealgrid.functions import jsonx as jx
+from dealgrid.functions.jsonx import py_float_variant, strict_number, with_json_strict
 from dealgrid.functions.geo import DEFAULT_MERCHANT_LAT, DEFAULT_MERCHANT_LON
-from dealgrid.functions.text import py_float
 
 NUMBER, TEXT = "number", "text"
 _INT_TEXT = r"^\s*[+-]?\d+(_\d+)*\s*$"
@@ -37,47 +37,31 @@ DEFAULT_RATING = 0.0
 # ---------------------------------------------------------------------------
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
 
 
-def _is_number(k: Column) -> Column:
-    return k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
 
 
-def py_float_variant(v: Column) -> Column:
-    """Python ``float(value)`` of a VARIANT: numbers, booleans and numeric
-    text convert; null, lists, objects and other text give NULL."""
-    k = _kind(v)
-    return (
-        F.when(_is_number(k) | (k == "BOOLEAN"), F.try_variant_get(v, "$", "double"))
-        .when(k == "STRING", py_float(F.try_variant_get(v, "$", "string")))
-    )
 
 
-def strict_number(v: Column) -> Column:
-    """A JSON number (booleans count as 1/0); anything else is NULL."""
-    k = _kind(v)
-    return F.when(_is_number(k) | (k == "BOOLEAN"), F.try_variant_get(v, "$", "double"))
 
 
 def normalised_key(raw: Column) -> Column:
     """``struct<key_kind, key>`` like Python ``int(key)`` with fallback to the
     raw value; NULL when the key is missing or null."""
-    k = _kind(raw)
+    k = jx.kind(raw)
     d = F.try_variant_get(raw, "$", "double")
     s = F.try_variant_get(raw, "$", "string")
     finite = ~F.isnan(d) & (F.abs(d) < 9.2e18)
     number = (
         F.when(k == "BIGINT", F.try_variant_get(raw, "$", "bigint").cast("string"))
         .when(k == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("int").cast("string"))
-        .when(_is_number(k) & finite, d.cast("bigint").cast("string"))
+        .when(jx.is_number_kind(k) & finite, d.cast("bigint").cast("string"))
         .when(
             (k == "STRING") & s.rlike(_INT_TEXT),
             F.regexp_replace(s, r"[\s_]", "").try_cast("bigint").cast("string"),
         )
     )
-    text = F.when(k == "STRING", s).when(_is_number(k), F.to_json(raw))
+    text = F.when(k == "STRING", s).when(jx.is_number_kind(k), F.to_json(raw))
     return (
         F.when(raw.isNull() | F.is_variant_null(raw), F.lit(None))
         .when(number.isNotNull(), F.struct(F.lit(NUMBER).alias("key_kind"), number.alias("key")))
@@ -120,7 +104,7 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.monotonically_increasing_id().alias("row"),
         ).alias("ord"),
     )
-    return parsed.filter(F.col("v").isNotNull() & _kind(F.col("v")).startswith("OBJECT"))
+    return parsed.filter(F.col("v").isNotNull() & jx.kind(F.col("v")).startswith("OBJECT"))
 
 
 def keyed_last_wins(records: DataFrame, key_field: str) -> DataFrame:
@@ -137,12 +121,8 @@ def keyed_last_wins(records: DataFrame, key_field: str) -> DataFrame:
     )
 
 
-def _field(v: Column, path: str) -> Column:
-    return F.variant_get(v, f"$.{path}", "variant")
 
 
-def _text(v: Column) -> Column:
-    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def _with_default(v: Column, default: float) -> Column:
@@ -154,28 +134,28 @@ def merchants(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Typed merchants (keyed, deduplicated) from JSON lines."""
     recs = keyed_last_wins(read_records(spark, path), "merchant_id")
     v = F.col("v")
-    items = F.try_variant_get(_field(v, "items"), "$", "array<variant>")
+    items = F.try_variant_get(jx.field(v, "items"), "$", "array<variant>")
     typed_items = F.transform(
         items,
         lambda it: F.struct(
-            _text(_field(it, "name")).alias("name"),
-            strict_number(_field(it, "price")).alias("price"),
-            strict_number(_field(it, "discount_percent")).alias("discount_percent"),
-            py_float_variant(_field(it, "price")).alias("price_shown"),
-            py_float_variant(_field(it, "discount_percent")).alias("discount_shown"),
+            jx.text_value(jx.field(it, "name")).alias("name"),
+            strict_number(jx.field(it, "price")).alias("price"),
+            strict_number(jx.field(it, "discount_percent")).alias("discount_percent"),
+            py_float_variant(jx.field(it, "price")).alias("price_shown"),
+            py_float_variant(jx.field(it, "discount_percent")).alias("discount_shown"),
         ),
     )
     return recs.select(
         F.col("key").alias("merchant_id"),
         "key_kind",
         "pos",
-        _text(_field(v, "name")).alias("name"),
-        _text(_field(v, "category")).alias("category"),
-        _text(_field(v, "primary_category")).alias("primary_category"),
-        _with_default(_field(v, "rating"), DEFAULT_RATING).alias("rating"),
-        _with_default(_field(v, "lat"), DEFAULT_MERCHANT_LAT).alias("lat"),
-        _with_default(_field(v, "lon"), DEFAULT_MERCHANT_LON).alias("lon"),
-        _text(_field(v, "address.district")).alias("district"),
+        jx.text_value(jx.field(v, "name")).alias("name"),
+        jx.text_value(jx.field(v, "category")).alias("category"),
+        jx.text_value(jx.field(v, "primary_category")).alias("primary_category"),
+        _with_default(jx.field(v, "rating"), DEFAULT_RATING).alias("rating"),
+        _with_default(jx.field(v, "lat"), DEFAULT_MERCHANT_LAT).alias("lat"),
+        _with_default(jx.field(v, "lon"), DEFAULT_MERCHANT_LON).alias("lon"),
+        jx.text_value(jx.field(v, "address.district")).alias("district"),
         typed_items.alias("items"),
     )
 
@@ -184,28 +164,28 @@ def customers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Typed customers (keyed, deduplicated) from JSON lines."""
     recs = keyed_last_wins(read_records(spark, path), "consumer_id")
     v = F.col("v")
-    txns = F.try_variant_get(_field(v, "recent_transactions"), "$", "array<variant>")
+    txns = F.try_variant_get(jx.field(v, "recent_transactions"), "$", "array<variant>")
     return recs.select(
         F.col("key").alias("consumer_id"),
         "key_kind",
         "pos",
-        _text(_field(v, "name")).alias("name"),
-        _text(_field(v, "occupation")).alias("occupation"),
-        F.try_variant_get(_field(v, "age"), "$", "bigint").alias("age"),
-        _text(_field(v, "sex")).alias("sex"),
-        py_float_variant(_field(v, "balance")).alias("balance"),
-        _text(_field(v, "address.street")).alias("street"),
-        _text(_field(v, "address.postal_code")).alias("postal_code"),
-        _text(_field(v, "address.district")).alias("district"),
-        F.try_variant_get(_field(v, "membership_duration_days"), "$", "bigint").alias(
+        jx.text_value(jx.field(v, "name")).alias("name"),
+        jx.text_value(jx.field(v, "occupation")).alias("occupation"),
+        F.try_variant_get(jx.field(v, "age"), "$", "bigint").alias("age"),
+        jx.text_value(jx.field(v, "sex")).alias("sex"),
+        py_float_variant(jx.field(v, "balance")).alias("balance"),
+        jx.text_value(jx.field(v, "address.street")).alias("street"),
+        jx.text_value(jx.field(v, "address.postal_code")).alias("postal_code"),
+        jx.text_value(jx.field(v, "address.district")).alias("district"),
+        F.try_variant_get(jx.field(v, "membership_duration_days"), "$", "bigint").alias(
             "membership_duration_days"
         ),
         F.transform(
             txns,
             lambda t: F.struct(
-                F.try_variant_get(_field(t, "merchant_id"), "$", "bigint").alias("merchant_id"),
-                py_float_variant(_field(t, "amount")).alias("amount"),
-                _text(_field(t, "category")).alias("category"),
+                F.try_variant_get(jx.field(t, "merchant_id"), "$", "bigint").alias("merchant_id"),
+                py_float_variant(jx.field(t, "amount")).alias("amount"),
+                jx.text_value(jx.field(t, "category")).alias("category"),
             ),
         ).alias("transactions"),
     )
