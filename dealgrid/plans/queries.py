@@ -32,18 +32,18 @@ DIGITS = 6
 FOOD_NEARBY_INTENT = 0
 
 
-def _catalog(spark: SparkSession) -> DataFrame:
-    return build_catalog(spark.table("fx_merchants"), spark.table("fx_items"))
+def _catalog(fx: dict[str, DataFrame]) -> DataFrame:
+    return build_catalog(fx["fx_merchants"], fx["fx_items"])
 
 
-def _intents(spark: SparkSession) -> DataFrame:
+def _intents(fx: dict[str, DataFrame]) -> DataFrame:
     # A fixed 27-row literal table: its size bound is proven, broadcast is safe.
-    return F.broadcast(fixture_intents(spark.table("fx_intents")))
+    return F.broadcast(fixture_intents(fx["fx_intents"]))
 
 
-def fixture_requests(spark: SparkSession) -> DataFrame:
+def fixture_requests(fx: dict[str, DataFrame]) -> DataFrame:
     """Every request with its typed intent."""
-    return spark.table("fx_requests").join(_intents(spark), "intent_id")
+    return fx["fx_requests"].join(_intents(fx), "intent_id")
 
 
 def _offers_out(offers: DataFrame) -> DataFrame:
@@ -58,26 +58,26 @@ def _offers_out(offers: DataFrame) -> DataFrame:
 
 def match_all_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-10 merchants for every request, every rule of the scorer."""
-    fixtures.register(spark, sf_dir)
-    asks = request_asks(fixture_requests(spark), spark.table("fx_customers"))
-    offers = top_merchants(asks, _catalog(spark), score_digits=DIGITS)
+    fx = fixtures.relations(spark, sf_dir)
+    asks = request_asks(fixture_requests(fx), fx["fx_customers"])
+    offers = top_merchants(asks, _catalog(fx), score_digits=DIGITS)
     return _offers_out(offers)
 
 
 def match_food_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: for every customer, the best 10 food merchants within 30 km."""
-    fixtures.register(spark, sf_dir)
+    fx = fixtures.relations(spark, sf_dir)
     requests = (
-        spark.table("fx_customers")
+        fx["fx_customers"]
         .select(
             F.col("consumer_id").alias("request_id"),
             F.col("consumer_id").alias("customer_id"),
             F.lit(FOOD_NEARBY_INTENT).alias("intent_id"),
         )
-        .join(_intents(spark), "intent_id")
+        .join(_intents(fx), "intent_id")
     )
-    asks = request_asks(requests, spark.table("fx_customers"))
-    offers = top_merchants(asks, _catalog(spark), score_digits=DIGITS)
+    asks = request_asks(requests, fx["fx_customers"])
+    offers = top_merchants(asks, _catalog(fx), score_digits=DIGITS)
     return _offers_out(offers)
 
 
@@ -85,11 +85,11 @@ def match_food_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budget bounds of every request's price text (F3); an open upper bound
     is reported as ``has_upper = false`` with a NULL ``price_hi``."""
-    fixtures.register(spark, sf_dir)
+    fx = fixtures.relations(spark, sf_dir)
     b = F.col("budget")
     inf = float("inf")
-    r = spark.table("fx_requests").join(
-        F.broadcast(spark.table("fx_intents").select("intent_id", "price_range")), "intent_id"
+    r = fx["fx_requests"].join(
+        F.broadcast(fx["fx_intents"].select("intent_id", "price_range")), "intent_id"
     )
     return (
         with_price_bounds(r, "price_range")
@@ -110,11 +110,11 @@ def match_exact_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request that names items: how many merchants carry every named
     item (case-insensitive substring of an item name), via the J5 term x
     item-name containment join."""
-    fixtures.register(spark, sf_dir)
-    reqs = fixture_requests(spark).filter(F.size("exact_items") > 0).select(
+    fx = fixtures.relations(spark, sf_dir)
+    reqs = fixture_requests(fx).filter(F.size("exact_items") > 0).select(
         "request_id", _lower_terms(F.col("exact_items")).alias("terms")
     )
-    names = spark.table("fx_items").select(
+    names = fx["fx_items"].select(
         "merchant_id", F.lower(F.coalesce("name", F.lit(""))).alias("iname")
     )
     full = (
@@ -132,8 +132,8 @@ def match_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request with the preference boost active (generic, ambiguous or
     low confidence; preferences given; no exact items): how many merchants
     have a preference inside their category or primary category (C12)."""
-    fixtures.register(spark, sf_dir)
-    r = fixture_requests(spark)
+    fx = fixtures.relations(spark, sf_dir)
+    r = fixture_requests(fx)
     boost = (
         r1_flag(F.col("is_generic"), F.col("is_ambiguous"), F.col("confidence"))
         & (F.size("preferences") > 0)
@@ -143,7 +143,7 @@ def match_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id", F.array_sort(F.array_distinct("preferences")).alias("prefs")
     )
     set_terms = reqs.select("prefs").distinct().select("prefs", F.explode("prefs").alias("pref"))
-    catalog = spark.table("fx_merchants").select(
+    catalog = fx["fx_merchants"].select(
         F.lower(F.coalesce("category", F.lit(""))).alias("mc"),
         F.lower(F.coalesce("primary_category", F.lit(""))).alias("pc"),
     )
@@ -161,11 +161,11 @@ def match_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _outcomes(spark: SparkSession):
+def _outcomes(fx: dict[str, DataFrame]):
     asks = materialize(
-        request_asks(fixture_requests(spark), spark.table("fx_customers")), "request_asks"
+        request_asks(fixture_requests(fx), fx["fx_customers"]), "request_asks"
     )
-    _, ranked = rank_keys(asks, _catalog(spark), score_digits=DIGITS, asks_materialized=True)
+    _, ranked = rank_keys(asks, _catalog(fx), score_digits=DIGITS, asks_materialized=True)
     return asks, ranked
 
 
@@ -173,8 +173,8 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request: outcome status, number of offers, best merchant and the
     outcome message (J1, O4). Model prose is not part of the fixtures, so a
     matched request gets the no-text fallback message."""
-    fixtures.register(spark, sf_dir)
-    asks, ranked = _outcomes(spark)
+    fx = fixtures.relations(spark, sf_dir)
+    asks, ranked = _outcomes(fx)
     per_key = ranked.groupBy("ask").agg(
         F.count(F.lit(1)).alias("n_offers"),
         F.min_by("merchant_id", "rank").alias("top_merchant_id"),
@@ -199,23 +199,23 @@ def match_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole request path from model text: responses decoded, refined or
     defaulted (F12, O1, O2), typed with quarantine (§7.4), preferences from
     step 3 when present (F13, O3), then matched and ranked (J1-J3, W1)."""
-    fixtures.register(spark, sf_dir)
-    resolved = decode.resolve_intents(spark.table("fx_responses"))
+    fx = fixtures.relations(spark, sf_dir)
+    resolved = decode.resolve_intents(fx["fx_responses"])
     typed = decode.typed_intents(
         resolved, "intent", "deduced_preferences", keep=("request_id",)
     )
-    requests = spark.table("fx_requests").select("request_id", "customer_id").join(
+    requests = fx["fx_requests"].select("request_id", "customer_id").join(
         typed, "request_id"
     )
-    asks = request_asks(requests, spark.table("fx_customers"))
-    return _offers_out(top_merchants(asks, _catalog(spark), score_digits=DIGITS))
+    asks = request_asks(requests, fx["fx_customers"])
+    return _offers_out(top_merchants(asks, _catalog(fx), score_digits=DIGITS))
 
 
 def unknown_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests whose customer id is not in the customer table (anti-join)."""
-    fixtures.register(spark, sf_dir)
-    cust = spark.table("fx_customers").select(F.col("consumer_id").alias("customer_id"))
-    return spark.table("fx_requests").join(cust, "customer_id", "left_anti").select(
+    fx = fixtures.relations(spark, sf_dir)
+    cust = fx["fx_customers"].select(F.col("consumer_id").alias("customer_id"))
+    return fx["fx_requests"].join(cust, "customer_id", "left_anti").select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("customer_id").cast("bigint").alias("customer_id"),
     )
@@ -223,22 +223,22 @@ def unknown_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exposure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each merchant id was recommended, over the whole log (A1)."""
-    fixtures.register(spark, sf_dir)
-    return exposure.exposure_counts(spark.table("fx_log"))
+    fx = fixtures.relations(spark, sf_dir)
+    return exposure.exposure_counts(fx["fx_log"])
 
 
 def exposure_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposure counts with merchant details, unknown ids labelled."""
-    fixtures.register(spark, sf_dir)
-    counts = exposure.exposure_counts(spark.table("fx_log"))
-    return exposure.leaderboard(counts, spark.table("fx_merchants"))
+    fx = fixtures.relations(spark, sf_dir)
+    counts = exposure.exposure_counts(fx["fx_log"])
+    return exposure.leaderboard(counts, fx["fx_merchants"])
 
 
 def distinct_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduced preferences as a set, only for generic / ambiguous /
     low-confidence requests (A2, O3)."""
-    fixtures.register(spark, sf_dir)
-    r = fixture_requests(spark).filter(
+    fx = fixtures.relations(spark, sf_dir)
+    r = fixture_requests(fx).filter(
         r1_flag(F.col("is_generic"), F.col("is_ambiguous"), F.col("confidence"))
     )
     return r.select(
@@ -255,8 +255,8 @@ def _text_field(v, name: str):
 def intent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every model response decoded (F12): how it decoded and the category
     and confidence it carries."""
-    fixtures.register(spark, sf_dir)
-    d = decode.with_decoded(spark.table("fx_responses"), "content", "v")
+    fx = fixtures.relations(spark, sf_dir)
+    d = decode.with_decoded(fx["fx_responses"], "content", "v")
     return d.select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("step").cast("bigint").alias("step"),
@@ -269,8 +269,8 @@ def intent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intent_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request the intent in force after extraction, default and
     refinement (O1, O2)."""
-    fixtures.register(spark, sf_dir)
-    res = decode.resolve_intents(spark.table("fx_responses"))
+    fx = fixtures.relations(spark, sf_dir)
+    res = decode.resolve_intents(fx["fx_responses"])
     return res.select(
         F.col("request_id").cast("bigint").alias("request_id"),
         "source",
@@ -281,8 +281,8 @@ def intent_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer picker labels."""
-    fixtures.register(spark, sf_dir)
-    c = spark.table("fx_customers")
+    fx = fixtures.relations(spark, sf_dir)
+    c = fx["fx_customers"]
     return c.select(
         F.col("consumer_id").cast("bigint").alias("customer_id"),
         render.customer_label(
@@ -292,8 +292,8 @@ def customer_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _transactions(spark: SparkSession) -> DataFrame:
-    return spark.table("fx_transactions").groupBy("consumer_id").agg(
+def _transactions(fx: dict[str, DataFrame]) -> DataFrame:
+    return fx["fx_transactions"].groupBy("consumer_id").agg(
         F.array_sort(
             F.collect_list(F.struct("pos", "merchant_id", "category", "amount"))
         ).alias("transactions")
@@ -302,9 +302,9 @@ def _transactions(spark: SparkSession) -> DataFrame:
 
 def recent_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer the recent transactions as tuple text, in order."""
-    fixtures.register(spark, sf_dir)
-    c = spark.table("fx_customers").select("consumer_id").join(
-        _transactions(spark), "consumer_id", "left"
+    fx = fixtures.relations(spark, sf_dir)
+    c = fx["fx_customers"].select("consumer_id").join(
+        _transactions(fx), "consumer_id", "left"
     )
     return c.select(
         F.col("consumer_id").cast("bigint").alias("customer_id"),
@@ -317,9 +317,9 @@ def offer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The item lines of every offered merchant (P4): first 3 items by
     position, items without a price skipped. Rendered once per (match key,
     merchant), then fanned out to the requests sharing the key."""
-    fixtures.register(spark, sf_dir)
-    asks, ranked = _outcomes(spark)
-    cat = _catalog(spark).select("merchant_id", "top_items")
+    fx = fixtures.relations(spark, sf_dir)
+    asks, ranked = _outcomes(fx)
+    cat = _catalog(fx).select("merchant_id", "top_items")
     lines = ranked.join(cat, "merchant_id").select(
         "ask", "rank", F.explode(render.item_lines(F.col("top_items"))).alias("it")
     )
@@ -337,9 +337,9 @@ def offer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched-merchant listing per request (P5, W2): rank, label, id and the
     distance to one decimal when known."""
-    fixtures.register(spark, sf_dir)
-    asks, ranked = _outcomes(spark)
-    names = _catalog(spark).select("merchant_id", "name")
+    fx = fixtures.relations(spark, sf_dir)
+    asks, ranked = _outcomes(fx)
+    names = _catalog(fx).select("merchant_id", "name")
     lines = ranked.join(names, "merchant_id").select(
         "ask",
         "rank",
@@ -356,10 +356,10 @@ def offer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _offer_summaries(spark: SparkSession, ranked: DataFrame) -> DataFrame:
+def _offer_summaries(fx: dict[str, DataFrame], ranked: DataFrame) -> DataFrame:
     """``ask, summary``: the merchant blocks of a key in rank order (P4),
     rendered once per key (at most k blocks each)."""
-    cat = _catalog(spark).select("merchant_id", "name", "primary_category", "rating", "top_items")
+    cat = _catalog(fx).select("merchant_id", "name", "primary_category", "rating", "top_items")
     blocks = ranked.join(cat, "merchant_id").select(
         "ask",
         "rank",
@@ -381,8 +381,8 @@ def _offer_summaries(spark: SparkSession, ranked: DataFrame) -> DataFrame:
 BATCH_LOG_TIME = "2024-06-01T00:00:00"
 
 
-def _batch_log_rows(spark: SparkSession) -> DataFrame:
-    asks, ranked = _outcomes(spark)
+def _batch_log_rows(fx: dict[str, DataFrame]) -> DataFrame:
+    asks, ranked = _outcomes(fx)
     per_key = ranked.groupBy("ask").agg(
         F.array_sort(F.collect_list(F.struct("rank", "merchant_id"))).alias("picks")
     )
@@ -397,14 +397,14 @@ def _batch_log_rows(spark: SparkSession) -> DataFrame:
     )
 
 
-def _history_rows(spark: SparkSession, with_ids: bool = True) -> DataFrame:
+def _history_rows(fx: dict[str, DataFrame], with_ids: bool = True) -> DataFrame:
     cols = [
         render.log_time(F.col("ts")).alias("timestamp"),
         F.col("customer_id").cast("string").alias("customer_id"),
     ]
     if with_ids:
         cols.append(F.col("recommended_merchants"))
-    return spark.table("fx_log").select(*cols)
+    return fx["fx_log"].select(*cols)
 
 
 def _log_out(df: DataFrame) -> DataFrame:
@@ -417,16 +417,16 @@ def _log_out(df: DataFrame) -> DataFrame:
 
 def log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History plus the rows this batch of requests appends."""
-    fixtures.register(spark, sf_dir)
-    return _log_out(convlog.union_logs(_history_rows(spark), _batch_log_rows(spark)))
+    fx = fixtures.relations(spark, sf_dir)
+    return _log_out(convlog.union_logs(_history_rows(fx), _batch_log_rows(fx)))
 
 
 def log_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An old log without the id column, backfilled with '[]', plus the
     batch rows (S9, U1)."""
-    fixtures.register(spark, sf_dir)
-    old = _history_rows(spark, with_ids=False)
-    return _log_out(convlog.union_logs(old, _batch_log_rows(spark)))
+    fx = fixtures.relations(spark, sf_dir)
+    old = _history_rows(fx, with_ids=False)
+    return _log_out(convlog.union_logs(old, _batch_log_rows(fx)))
 
 
 def _request_text():
@@ -445,10 +445,10 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch-inference input: one prompt row per request and step (P2, P6-P9):
     extraction, refinement, preferences for generic requests, and the offer
     prompt with the merchant summary for requests that matched."""
-    fixtures.register(spark, sf_dir)
-    intents = spark.table("fx_intents")
-    r = spark.table("fx_requests").join(F.broadcast(intents), "intent_id")
-    cust = spark.table("fx_customers").join(_transactions(spark), "consumer_id", "left")
+    fx = fixtures.relations(spark, sf_dir)
+    intents = fx["fx_intents"]
+    r = fx["fx_requests"].join(F.broadcast(intents), "intent_id")
+    cust = fx["fx_customers"].join(_transactions(fx), "consumer_id", "left")
     j = r.join(cust.withColumnRenamed("consumer_id", "customer_id"), "customer_id")
     text = _request_text()
     intent_json = F.to_json(F.struct(*[F.col(c) for c in intents.columns if c != "intent_id"]))
@@ -463,8 +463,8 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_three = j.select("request_id", F.explode(steps).alias("p")).filter(
         F.col("p.text").isNotNull()
     )
-    asks, ranked = _outcomes(spark)
-    summaries = asks.join(_offer_summaries(spark, ranked), "ask").select("request_id", "summary")
+    asks, ranked = _outcomes(fx)
+    summaries = asks.join(_offer_summaries(fx, ranked), "ask").select("request_id", "summary")
     offer = j.join(summaries, "request_id").select(
         "request_id",
         F.struct(
@@ -481,11 +481,11 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _merchant_json_lines(spark: SparkSession) -> DataFrame:
-    items = spark.table("fx_items").groupBy("merchant_id").agg(
+def _merchant_json_lines(fx: dict[str, DataFrame]) -> DataFrame:
+    items = fx["fx_items"].groupBy("merchant_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "name", "price", "discount_percent"))).alias("its")
     )
-    m = spark.table("fx_merchants").join(items, "merchant_id", "left")
+    m = fx["fx_merchants"].join(items, "merchant_id", "left")
     record = F.struct(
         "merchant_id", "name", "category", "primary_category", "rating", "lat", "lon",
         F.struct(F.col("district")).alias("address"),
@@ -502,13 +502,13 @@ def jsonl_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merchants written as JSON lines (a stale copy of every record, junk
     lines, then the current copy), read back with the keyed last-wins loader
     and typed with the absent/null defaults (S1-S6)."""
-    fixtures.register(spark, sf_dir)
+    fx = fixtures.relations(spark, sf_dir)
     base = f"{checkpoint_dir(spark).rstrip('/')}/dealgrid-jsonl-{uuid.uuid4().hex}"
-    current = _merchant_json_lines(spark)
-    stale = spark.table("fx_merchants").select(
+    current = _merchant_json_lines(fx)
+    stale = fx["fx_merchants"].select(
         F.to_json(F.struct("merchant_id", F.lit("stale").alias("name"))).alias("value")
     )
-    junk = spark.table("fx_merchants").select(
+    junk = fx["fx_merchants"].select(
         F.when(F.col("merchant_id") % 3 == 0, F.lit("{broken"))
         .when(F.col("merchant_id") % 3 == 1, F.lit(""))
         .otherwise(F.lit('{"name": "no key"}')).alias("value")
@@ -530,8 +530,8 @@ def jsonl_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exposure_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposure counts maintained by a streaming job over the log, fed in
     several appends (extension of A1)."""
-    fixtures.register(spark, sf_dir)
-    counts, _ = run_exposure_stream(spark, spark.table("fx_log"))
+    fx = fixtures.relations(spark, sf_dir)
+    counts, _ = run_exposure_stream(spark, fx["fx_log"])
     return counts
 
 

@@ -5,8 +5,8 @@ customers, intents, requests, a conversation log and model responses. Each
 relation below is one SQL body that runs unchanged in Spark SQL and in DuckDB,
 so the Spark queries and the DuckDB oracle start from identical inputs:
 
-* ``register(spark, sf_dir)`` creates Spark temp views over the parquet files
-  and the ``fx_*`` views on top of them;
+* ``relations(spark, sf_dir)`` returns the parquet tables and the ``fx_*``
+  relations on top of them as DataFrames (no session-wide views);
 * ``oracle_prelude(names)`` returns the same bodies as a DuckDB ``WITH`` list.
 
 The flat ``fx_items`` view is nested into per-merchant catalog columns by
@@ -15,6 +15,8 @@ The flat ``fx_items`` view is nested into per-merchant catalog columns by
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from dealgrid.functions.geo import GAZETTEER
@@ -173,26 +175,45 @@ _DEPS: dict[str, tuple[str, ...]] = {
 
 # Driver tables the fx views read.
 USED_TABLES = ("customer", "supplier", "nation", "part", "orders", "lineitem", "events")
-_registered: dict[int, str] = {}
+_relations: dict[tuple[int, str], dict[str, DataFrame]] = {}
+
+
+def relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The driver tables of ``sf_dir`` the fixtures read and every ``fx_*``
+    relation, as DataFrames (built once per session and folder).
+
+    Each SQL body runs through ``spark.sql`` with the relations it reads passed
+    as DataFrame arguments, so nothing is registered in the session catalog:
+    a caller's own views are untouched and several folders can be used side
+    by side.
+    """
+    key = (id(spark._jsparkSession), sf_dir)  # noqa: SLF001
+    if key in _relations:
+        return _relations[key]
+    rel: dict[str, DataFrame] = {
+        name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in USED_TABLES
+    }
+    for name, body in VIEWS.items():
+        text = SPARK_VIEWS.get(name, body).replace("{", "{{").replace("}", "}}")
+        args = {}
+        for ref in rel:
+            pattern = rf"(?<![\w.]){ref}(?![\w])"
+            if re.search(pattern, text):
+                text = re.sub(pattern, "{" + ref + "}", text)
+                args[ref] = rel[ref]
+        rel[name] = spark.sql(text, **args)
+    _relations[key] = rel
+    return rel
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver tables of ``sf_dir`` the fixtures read and every
-    ``fx_*`` view (once per session and folder)."""
-    session = id(spark._jsparkSession)  # noqa: SLF001
-    if _registered.get(session) == sf_dir and spark.catalog.tableExists("fx_responses"):
-        return
-    for name in USED_TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    for name, body in VIEWS.items():
-        body = SPARK_VIEWS.get(name, body)
-        spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {body}")
-    _registered[session] = sf_dir
+    """Register the relations as temp views (for interactive use)."""
+    for name, df in relations(spark, sf_dir).items():
+        df.createOrReplaceTempView(name)
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.table(name)
+    return relations(spark, sf_dir)[name]
 
 
 def oracle_prelude(*names: str) -> str:

@@ -179,9 +179,9 @@ def brute_force(asks, catalog, k=10, digits=6):
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_factored_equals_cross_join(spark, sf):
-    fixtures.register(spark, f"/root/testdata/{sf}")
-    asks = materialize(request_asks(queries.fixture_requests(spark), spark.table("fx_customers")))
-    catalog = queries._catalog(spark)
+    fx = fixtures.relations(spark, f"/root/testdata/{sf}")
+    asks = materialize(request_asks(queries.fixture_requests(fx), fx["fx_customers"]))
+    catalog = queries._catalog(fx)
     fast = top_merchants(asks, catalog, score_digits=6).select(
         "request_id", "rank", "merchant_id", F.round("dist_km", 6).alias("dist_km"),
         F.round("score", 6).alias("score"))
