@@ -103,3 +103,24 @@ def test_load_dimensions_and_request_ids(spark, scratch):
     )
     st = {r.request_id: r.status for r in request_asks(req, customers).collect()}
     assert st == {1: "ok", 2: "ok", 3: "customer_not_found", 4: "customer_not_found"}
+
+
+def test_last_wins_across_many_splits(spark, scratch):
+    """One file read in many splits: order comes from (file, block, row id),
+    so the last line still wins and the first position is kept."""
+    lines = []
+    for rep in range(3):
+        for key in range(400):
+            lines.append('{"merchant_id": %d, "name": "v%d", "pad": "%s"}' % (key, rep, "x" * 40))
+    path = _write(scratch, "many.jsonl", lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        recs = jsonl.read_records(spark, path)
+        assert recs.rdd.getNumPartitions() > 10
+        m = jsonl.merchants(spark, path)
+        rows = m.orderBy("pos").select("merchant_id", "name").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.merchant_id for r in rows] == [str(k) for k in range(400)]
+    assert {r.name for r in rows} == {"v2"}
