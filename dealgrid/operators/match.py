@@ -24,14 +24,18 @@ through the distinct ``(mc, pc)`` pair:
 5. Top-k per key with ``row_number``: Catalyst plants a partial
    ``WindowGroupLimit`` before the shuffle, so a key that matches every
    merchant ships at most k rows per map task.
-6. Requests join the ranked keys back (size-checked broadcast; otherwise a
-   shuffle join whose skewed partitions AQE splits).
+6. Requests join the ranked keys back (``Ranking.fan_out``): a broadcast
+   when keys x k fits the limit; otherwise keys with more than
+   ``dealgrid.hotKeyRows`` requests are split off and joined to a broadcast
+   of their rows, the rest by a shuffle join.
 
 No cross join and no per-group pair enumeration is used.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ from dealgrid.functions.geo import haversine_km
 from dealgrid.functions.text import contains_any, py_max0
 from dealgrid.operators.textjoin import EVERY_TEXT, GRAM, grams, sets_fully_contained
 from dealgrid.plans.sizing import (
-    EXPANSION, bounded_broadcast, broadcast_if_bounded, materialize,
+    EXPANSION, bounded_broadcast, broadcast_limit, materialize,
 )
 
 TOP_K = 10
@@ -270,6 +274,61 @@ MATCH_COLUMNS = (
     "merchant_id", "pos", "mc", "pc", "rating", "lat", "lon", "pmin", "pmax", "prices", "names",
 )
 
+HOT_KEY_CONF = "dealgrid.hotKeyRows"
+DEFAULT_HOT_KEY_ROWS = 1_000_000
+
+
+@dataclass
+class Ranking:
+    """Result of ``rank_keys``.
+
+    ``asks``: materialised ``request_id, ask``; ``ranked``: ``ask, rank,
+    merchant_id, pos, dist_km, score`` (at most ``k`` rows per key);
+    ``keys``: materialised ``ask, n_requests``; ``keys_bytes``: its measured
+    in-memory estimate.
+    """
+
+    asks: DataFrame
+    ranked: DataFrame
+    keys: DataFrame
+    keys_bytes: int
+    _hot: DataFrame | None = None
+
+    def hot_keys(self) -> DataFrame:
+        """Keys asked by more than ``dealgrid.hotKeyRows`` requests: at most
+        (number of requests / threshold) of them, so they can be broadcast."""
+        if self._hot is None:
+            spark = self.keys.sparkSession
+            limit = int(spark.conf.get(HOT_KEY_CONF, str(DEFAULT_HOT_KEY_ROWS)))
+            self._hot = materialize(
+                self.keys.filter(F.col("n_requests") > limit).select("ask"), "hot_keys"
+            )
+        return self._hot
+
+    def fan_out(
+        self, left: DataFrame, per_key: DataFrame, rows_per_key: int, how: str = "inner"
+    ) -> DataFrame:
+        """Join request rows ``left`` to a per-key table holding at most
+        ``rows_per_key`` rows per key.
+
+        When that bound times the measured key dictionary fits the broadcast
+        limit, ``per_key`` is broadcast and requests never move. Otherwise hot
+        keys are split off: their requests join a broadcast of their (few)
+        per-key rows, and the remaining keys, none above the hot threshold,
+        go through a shuffle join. A key holding a third of all requests
+        therefore never lands in one task. (AQE's skew split cannot help here:
+        the ranked side is already partitioned by the top-k window.)
+        """
+        spark = left.sparkSession
+        bound = rows_per_key * (self.keys_bytes + 64 * EXPANSION)
+        if bound <= broadcast_limit(spark):
+            return left.join(F.broadcast(per_key), "ask", how)
+        hot = F.broadcast(self.hot_keys())
+        hot_rows = per_key.join(hot, "ask", "left_semi")
+        hot_part = left.join(hot, "ask", "left_semi").join(F.broadcast(hot_rows), "ask", how)
+        cold_part = left.join(hot, "ask", "left_anti").join(per_key, "ask", how)
+        return hot_part.unionByName(cold_part)
+
 
 def rank_keys(
     asks: DataFrame,
@@ -278,19 +337,17 @@ def rank_keys(
     score_digits: int | None = None,
     catalog_materialized: bool = False,
     asks_materialized: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Rank once per distinct match key.
-
-    Returns ``(asks, ranked)``: the materialised ``request_id, ask`` rows and
-    ``ask, rank, merchant_id, pos, dist_km, score`` (at most ``k`` rows per
-    key, broadcast-hinted only when ``k`` times the measured key dictionary
-    fits).
-    """
+) -> Ranking:
+    """Rank once per distinct match key (see the module notes)."""
     asks = asks.filter(F.col("ask").isNotNull()).select("request_id", "ask")
     if not asks_materialized:
-        # read twice: distinct keys, then the fan-out join
+        # read twice: key dictionary, then the fan-out join
         asks = materialize(asks, "asks")
-    keys, keys_bytes = bounded_broadcast(asks.select("ask").distinct(), "keys")
+    # distinct keys with their request counts (a partial aggregation: a hot
+    # key costs one row per map task)
+    keys, keys_bytes = bounded_broadcast(
+        asks.groupBy("ask").agg(F.count(F.lit(1)).alias("n_requests")), "keys"
+    )
     # Exact items are asked by some key: the J5 join and the candidate join
     # both read the per-merchant item aggregation, so compute it once. The
     # test reads the small key dictionary only.
@@ -310,8 +367,7 @@ def rank_keys(
         .filter(F.col("rank") <= k)
         .select("ask", "rank", "merchant_id", "pos", "dist_km", "score")
     )
-    # at most k rows per key, each a key plus a few numbers: a proven bound
-    return asks, broadcast_if_bounded(ranked, k * (keys_bytes + 64 * EXPANSION))
+    return Ranking(asks, ranked, keys, keys_bytes)
 
 
 def top_merchants(
@@ -331,7 +387,7 @@ def top_merchants(
 
     Returns ``request_id, rank, merchant_id, pos, dist_km, score``.
     """
-    asks, ranked = rank_keys(asks, catalog, k, score_digits, catalog_materialized)
-    return asks.join(ranked, "ask").select(
+    r = rank_keys(asks, catalog, k, score_digits, catalog_materialized)
+    return r.fan_out(r.asks, r.ranked, k).select(
         "request_id", "rank", "merchant_id", "pos", "dist_km", "score"
     )

@@ -16,9 +16,9 @@ import uuid
 
 from dealgrid.functions.pricing import with_price_bounds
 from dealgrid.operators import decode, exposure, render
-from dealgrid.operators.catalog import build_catalog, flatten_items
+from dealgrid.operators.catalog import SUMMARY_ITEMS, build_catalog, flatten_items
 from dealgrid.operators.intent import OK, fixture_intents, r1_flag
-from dealgrid.operators.match import rank_keys, top_merchants
+from dealgrid.operators.match import TOP_K, rank_keys, top_merchants
 from dealgrid.operators.requests import request_asks
 from dealgrid.operators.textjoin import contains_pairs, sets_fully_contained
 from dealgrid.plans.sizing import checkpoint_dir, materialize
@@ -165,8 +165,8 @@ def _outcomes(fx: dict[str, DataFrame]):
     asks = materialize(
         request_asks(fixture_requests(fx), fx["fx_customers"]), "request_asks"
     )
-    _, ranked = rank_keys(asks, _catalog(fx), score_digits=DIGITS, asks_materialized=True)
-    return asks, ranked
+    ranking = rank_keys(asks, _catalog(fx), score_digits=DIGITS, asks_materialized=True)
+    return asks, ranking
 
 
 def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,12 +174,12 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome message (J1, O4). Model prose is not part of the fixtures, so a
     matched request gets the no-text fallback message."""
     fx = fixtures.relations(spark, sf_dir)
-    asks, ranked = _outcomes(fx)
-    per_key = ranked.groupBy("ask").agg(
+    asks, ranking = _outcomes(fx)
+    per_key = ranking.ranked.groupBy("ask").agg(
         F.count(F.lit(1)).alias("n_offers"),
         F.min_by("merchant_id", "rank").alias("top_merchant_id"),
     )
-    j = asks.join(per_key, "ask", "left")
+    j = ranking.fan_out(asks, per_key, 1, "left")
     n = F.coalesce("n_offers", F.lit(0))
     status = (
         F.when(F.col("status") != OK, F.col("status"))
@@ -318,12 +318,12 @@ def offer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     position, items without a price skipped. Rendered once per (match key,
     merchant), then fanned out to the requests sharing the key."""
     fx = fixtures.relations(spark, sf_dir)
-    asks, ranked = _outcomes(fx)
+    asks, ranking = _outcomes(fx)
     cat = _catalog(fx).select("merchant_id", "top_items")
-    lines = ranked.join(cat, "merchant_id").select(
+    lines = ranking.ranked.join(cat, "merchant_id").select(
         "ask", "rank", F.explode(render.item_lines(F.col("top_items"))).alias("it")
     )
-    return asks.join(lines, "ask").select(
+    return ranking.fan_out(asks, lines, TOP_K * SUMMARY_ITEMS).select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("rank").cast("bigint").alias("rank"),
         F.col("it.pos").cast("bigint").alias("item_pos"),
@@ -338,16 +338,16 @@ def offer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched-merchant listing per request (P5, W2): rank, label, id and the
     distance to one decimal when known."""
     fx = fixtures.relations(spark, sf_dir)
-    asks, ranked = _outcomes(fx)
+    asks, ranking = _outcomes(fx)
     names = _catalog(fx).select("merchant_id", "name")
-    lines = ranked.join(names, "merchant_id").select(
+    lines = ranking.ranked.join(names, "merchant_id").select(
         "ask",
         "rank",
         "merchant_id",
         render.listing_label(F.col("rank"), F.col("name"), F.col("merchant_id")).alias("label"),
         F.bround("dist_km", 1).alias("distance_km"),
     )
-    return asks.join(lines, "ask").select(
+    return ranking.fan_out(asks, lines, TOP_K).select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("rank").cast("bigint").alias("rank"),
         F.col("merchant_id").cast("bigint").alias("merchant_id"),
@@ -382,11 +382,11 @@ BATCH_LOG_TIME = "2024-06-01T00:00:00"
 
 
 def _batch_log_rows(fx: dict[str, DataFrame]) -> DataFrame:
-    asks, ranked = _outcomes(fx)
-    per_key = ranked.groupBy("ask").agg(
+    asks, ranking = _outcomes(fx)
+    per_key = ranking.ranked.groupBy("ask").agg(
         F.array_sort(F.collect_list(F.struct("rank", "merchant_id"))).alias("picks")
     )
-    j = asks.join(per_key, "ask", "left")
+    j = ranking.fan_out(asks, per_key, 1, "left")
     ids = F.coalesce(
         F.transform(F.col("picks"), lambda p: p["merchant_id"]), F.array().cast("array<bigint>")
     )
@@ -463,8 +463,10 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_three = j.select("request_id", F.explode(steps).alias("p")).filter(
         F.col("p.text").isNotNull()
     )
-    asks, ranked = _outcomes(fx)
-    summaries = asks.join(_offer_summaries(fx, ranked), "ask").select("request_id", "summary")
+    asks, ranking = _outcomes(fx)
+    summaries = ranking.fan_out(asks, _offer_summaries(fx, ranking.ranked), 1).select(
+        "request_id", "summary"
+    )
     offer = j.join(summaries, "request_id").select(
         "request_id",
         F.struct(

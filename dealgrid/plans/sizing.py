@@ -82,9 +82,3 @@ def bounded_broadcast(df: DataFrame, name: str = "dictionary") -> tuple[DataFram
     m, path = _materialize(df, name)
     size = stored_bytes(spark, path) * EXPANSION
     return (F.broadcast(m) if size <= broadcast_limit(spark) else m), size
-
-
-def broadcast_if_bounded(df: DataFrame, bound_bytes: int) -> DataFrame:
-    """Broadcast ``df`` without materialising it when an upper bound of its
-    size, derived from measured inputs, fits under the limit."""
-    return F.broadcast(df) if bound_bytes <= broadcast_limit(df.sparkSession) else df

@@ -1,6 +1,6 @@
 """The plan a large cluster runs: no dictionary fits the broadcast limit, so
-every join the library would broadcast is a shuffle join. Results must not
-change."""
+every join the library would broadcast is a shuffle join, and keys asked by
+many requests are split off the fan-out join. Results must not change."""
 
 from __future__ import annotations
 
@@ -10,11 +10,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from dealgrid.operators.match import HOT_KEY_CONF
 from dealgrid.plans.sizing import BROADCAST_LIMIT_CONF
 from dealgrid.sources.fixtures import DRIVER_TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ("match_all_intents", "match_food_nearby", "offer_items", "request_outcomes")
+QUERIES = (
+    "match_all_intents", "match_food_nearby", "offer_items", "offer_listing",
+    "request_outcomes", "log_union", "prompt_table",
+)
 
 
 def _norm(rows):
@@ -27,10 +31,13 @@ def _norm(rows):
 
 @pytest.fixture()
 def no_broadcast(spark):
-    keys = (BROADCAST_LIMIT_CONF, "spark.sql.autoBroadcastJoinThreshold",
+    keys = (BROADCAST_LIMIT_CONF, HOT_KEY_CONF, "spark.sql.autoBroadcastJoinThreshold",
             "spark.sql.adaptive.autoBroadcastJoinThreshold")
     old = {k: spark.conf.get(k, None) for k in keys}
     spark.conf.set(BROADCAST_LIMIT_CONF, "0")
+    # a key asked by more than 3 requests counts as hot: both halves of the
+    # hot-key split run
+    spark.conf.set(HOT_KEY_CONF, "3")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     yield spark
@@ -55,3 +62,5 @@ def test_shuffle_joins_give_the_same_answer(no_broadcast, name):
     want = _norm(con.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
     assert got == want
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    if name != "log_union":
+        assert "Union" in plan  # hot and cold halves of the fan-out
