@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from dealgrid.functions.geo import haversine_km
 from dealgrid.functions.text import contains_any, py_max0
 from dealgrid.operators.textjoin import EVERY_TEXT, GRAM, grams, sets_fully_contained
+from dealgrid.plans.skew import HOT_KEY_CONF, hot_key_rows  # noqa: F401
 from dealgrid.plans.sizing import (
     EXPANSION, bounded_broadcast, broadcast_limit, materialize,
 )
@@ -274,10 +275,6 @@ MATCH_COLUMNS = (
     "merchant_id", "pos", "mc", "pc", "rating", "lat", "lon", "pmin", "pmax", "prices", "names",
 )
 
-HOT_KEY_CONF = "dealgrid.hotKeyRows"
-DEFAULT_HOT_KEY_ROWS = 1_000_000
-
-
 @dataclass
 class Ranking:
     """Result of ``rank_keys``.
@@ -298,8 +295,7 @@ class Ranking:
         """Keys asked by more than ``dealgrid.hotKeyRows`` requests: at most
         (number of requests / threshold) of them, so they can be broadcast."""
         if self._hot is None:
-            spark = self.keys.sparkSession
-            limit = int(spark.conf.get(HOT_KEY_CONF, str(DEFAULT_HOT_KEY_ROWS)))
+            limit = hot_key_rows(self.keys)
             self._hot = materialize(
                 self.keys.filter(F.col("n_requests") > limit).select("ask"), "hot_keys"
             )

@@ -6,9 +6,10 @@ a point (J2, a literal-map lookup, no join) and builds the match key. A
 request whose customer is unknown or whose intent is quarantined keeps its
 row with ``status`` set and a NULL ``ask``: it gets no offers.
 
-The customer join is a shuffle join on the id; a customer holding a large
-share of requests makes one skewed partition on the request side, which AQE's
-skew-join rule splits (left outer join, skewed left side).
+When the customer table is too large for the planner to broadcast, the join
+isolates hot customers (``plans.skew.split_hot_join``): a customer holding a
+large share of requests is joined through a broadcast of its own row, the
+rest through a shuffle join.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from dealgrid.functions.geo import district_point
 from dealgrid.operators.intent import OK, ask_key
+from dealgrid.plans.skew import planner_broadcasts, split_hot_join
 from dealgrid.sources.jsonl import canonical_key
 
 CUSTOMER_NOT_FOUND = "customer_not_found"
@@ -46,7 +48,13 @@ def request_asks(
         F.col("district").alias("_district"),
         F.lit(True).alias("_known"),
     )
-    joined = requests.join(cust, req_key == F.col("_cust_key"), "left")
+    keyed = requests.withColumn("_req_key", req_key)
+    if planner_broadcasts(cust):
+        joined = keyed.join(cust, F.col("_req_key") == F.col("_cust_key"), "left")
+    else:
+        # customers too large to broadcast: a customer holding many requests
+        # must not put them all in one task
+        joined = split_hot_join(keyed, cust, "_req_key", "_cust_key", "left")
     status = (
         F.when(F.col("_known").isNull(), F.lit(CUSTOMER_NOT_FOUND))
         .when(F.col("intent_status") != OK, F.col("intent_status"))

@@ -64,3 +64,32 @@ def test_shuffle_joins_give_the_same_answer(no_broadcast, name):
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
     if name != "log_union":
         assert "Union" in plan  # hot and cold halves of the fan-out
+
+
+def test_hot_customer_split_equals_plain_join(spark):
+    """90% of the requests belong to one customer: with the customer table
+    not broadcastable, the hot customer is split off; rows are unchanged."""
+    from pyspark.sql import functions as F
+
+    from dealgrid.operators.requests import request_asks
+    from dealgrid.plans import queries
+    from dealgrid.sources import fixtures
+
+    fx = fixtures.relations(spark, "/root/testdata/sf0.01")
+    req = queries.fixture_requests(fx).withColumn(
+        "customer_id",
+        F.when(F.col("request_id") % 10 != 0, F.lit(1)).otherwise(F.col("customer_id")),
+    )
+    plain = sorted(tuple(r) for r in request_asks(req, fx["fx_customers"]).collect())
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", HOT_KEY_CONF)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(HOT_KEY_CONF, "100")
+    try:
+        out = request_asks(req, fx["fx_customers"])
+        split = sorted(tuple(r) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "Union" in plan
+    assert split == plain and len(plain) == 1500
