@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from dealgrid.functions.geo import haversine_km
 from dealgrid.functions.text import contains_any, py_max0
 from dealgrid.operators.textjoin import EVERY_TEXT, GRAM, grams, sets_fully_contained
-from dealgrid.plans.skew import HOT_KEY_CONF, hot_key_rows  # noqa: F401
+from dealgrid.plans.skew import hot_key_rows
 from dealgrid.plans.sizing import (
     EXPANSION, bounded_broadcast, broadcast_limit, materialize,
 )

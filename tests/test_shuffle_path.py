@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from dealgrid.operators.match import HOT_KEY_CONF
+from dealgrid.plans.skew import HOT_KEY_CONF
 from dealgrid.plans.sizing import BROADCAST_LIMIT_CONF
 from dealgrid.sources.fixtures import DRIVER_TABLES
 
