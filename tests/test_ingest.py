@@ -124,3 +124,10 @@ def test_last_wins_across_many_splits(spark, scratch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [r.merchant_id for r in rows] == [str(k) for k in range(400)]
     assert {r.name for r in rows} == {"v2"}
+
+
+def test_non_object_lines_are_skipped(spark, scratch):
+    lines = ['5', '[1, 2]', '"text"', 'null', '{"merchant_id": 9, "name": "ok"} trailing',
+             '{"merchant_id": 8, "name": "kept"}']
+    m = jsonl.merchants(spark, _write(scratch, "odd.jsonl", lines))
+    assert [(r.merchant_id, r.name) for r in m.collect()] == [("8", "kept")]
