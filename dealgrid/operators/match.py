@@ -17,7 +17,8 @@ through the distinct ``(mc, pc)`` pair:
    rules are then evaluated per (key, pair) row. This gives ``kq`` with the
    integer part of the score (C1-C12).
 4. ``kq`` joins the catalog on ``(mc, pc)`` (broadcast only after its size is
-   measured). Exact items (L6) come from the J5 containment join: the
+   measured; when it is too large, category pairs holding many merchants are
+   salted so that one pair never lands in one task). Exact items (L6) come from the J5 containment join: the
    ``(term set, merchant)`` rows that carry every term, joined on both.
    Distance, rating and budget filters and the proximity bonus run per
    candidate row inside one codegen stage.
@@ -219,14 +220,60 @@ def item_matches(keys: DataFrame, catalog: DataFrame) -> DataFrame:
 NO_ITEMS = "no-items"
 
 
+def _salted_pair_join(merchants: DataFrame, kq: DataFrame, hot_pairs: DataFrame) -> DataFrame:
+    """``merchants`` joined to ``kq`` on the category pair, hot pairs salted.
+
+    ``hot_pairs`` (``mc, pc, _salts``) lists the pairs with more merchants
+    than the hot-key threshold (so at most merchants / threshold rows) and
+    the number of salts each needs. A hot pair's merchants spread over its
+    salts by a hash of the merchant id, and its dictionary rows are repeated
+    once per salt, so no task gets more than about threshold merchants of one
+    pair; the extra rows are bounded by merchants / threshold + pairs.
+    """
+    hp = F.broadcast(hot_pairs)
+    m = merchants.join(hp, ["mc", "pc"], "left").select(
+        *merchants.columns,
+        F.when(
+            F.col("_salts").isNotNull(), F.pmod(F.xxhash64("merchant_id"), F.col("_salts"))
+        )
+        .otherwise(F.lit(0))
+        .cast("long")
+        .alias("_salt"),
+    )
+    q = kq.join(hp, ["mc", "pc"], "left").select(
+        *kq.columns,
+        F.explode(
+            F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))
+            .otherwise(F.array(F.lit(0).cast("long")))
+        ).alias("_salt"),
+    )
+    return m.join(q, ["mc", "pc", "_salt"]).drop("_salt")
+
+
+def hot_category_pairs(catalog: DataFrame, threshold: int) -> DataFrame:
+    """``mc, pc, _salts`` for pairs with more than ``threshold`` merchants
+    that can match (a partial aggregation over the catalog)."""
+    return (
+        catalog.filter(F.col("pmax").isNotNull())
+        .groupBy("mc", "pc")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > threshold)
+        .select("mc", "pc", F.ceil(F.col("_n") / threshold).cast("long").alias("_salts"))
+    )
+
+
 def candidate_rows(
-    kq: DataFrame, catalog: DataFrame, items: DataFrame | str | None = None
+    kq: DataFrame,
+    catalog: DataFrame,
+    items: DataFrame | str | None = None,
+    hot_pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Join the scored dictionary to the catalog, filter and score.
 
     ``items`` (``terms, merchant_id``) settles the exact-item rule (L6) by an
     equi-join; ``NO_ITEMS`` says no key asks for items; ``None`` evaluates
-    the rule per row."""
+    the rule per row. ``hot_pairs`` (when the dictionary is not broadcast)
+    salts category pairs that hold many merchants."""
     merchants = catalog.filter(F.col("pmax").isNotNull()).select(*MATCH_COLUMNS)
     ask = F.col("ask")
     dist = F.when(
@@ -241,7 +288,10 @@ def candidate_rows(
     bonus = F.when(dist.isNotNull(), py_max0(F.lit(PROXIMITY_BONUS) / (dist + 1))).otherwise(
         0.0
     )
-    joined = merchants.join(kq, ["mc", "pc"])
+    if hot_pairs is None:
+        joined = merchants.join(kq, ["mc", "pc"])
+    else:
+        joined = _salted_pair_join(merchants, kq, hot_pairs)
     if items is None:
         has_items = items_ok(ask["terms"], F.col("names"))
     elif isinstance(items, str):
@@ -350,12 +400,19 @@ def rank_keys(
     wants_items = keys.filter(F.col("ask.terms").isNotNull()).limit(1).count() > 0
     if wants_items and not catalog_materialized:
         catalog = materialize(catalog.select(*MATCH_COLUMNS), "catalog")
-    kq, _ = bounded_broadcast(scored_pairs(keys, category_pairs(catalog)), "key_pairs")
+    kq, kq_bytes = bounded_broadcast(scored_pairs(keys, category_pairs(catalog)), "key_pairs")
     items = None
     if wants_items:
         items, _ = bounded_broadcast(item_matches(keys, catalog), "item_matches")
-
-    cand = candidate_rows(kq, catalog, items if items is not None else NO_ITEMS)
+    hot_pairs = None
+    if kq_bytes > broadcast_limit(keys.sparkSession):
+        # the dictionary is shuffle-joined: salt category pairs holding many
+        # merchants so that one pair never sits in one task
+        hot_pairs = materialize(hot_category_pairs(catalog, hot_key_rows(keys)), "hot_pairs")
+
+    cand = candidate_rows(
+        kq, catalog, items if items is not None else NO_ITEMS, hot_pairs=hot_pairs
+    )
     order_score = F.col("score") if score_digits is None else F.round("score", score_digits)
     w = Window.partitionBy("ask").orderBy(order_score.desc(), F.col("pos").asc())
     ranked = (
