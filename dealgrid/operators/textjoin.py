@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealgrid.plans.skew import planner_broadcasts, split_hot_join
+
 GRAM = 3
 EVERY_TEXT = "\u0001all"
 
@@ -68,7 +70,14 @@ def sets_fully_contained(
     set_terms = term_sets.select(set_col, F.explode(set_col).alias("_t")).distinct()
     owner_texts = texts.select(owner_col, text_col).distinct()
     hits = contains_pairs(set_terms, "_t", owner_texts, text_col)
-    owner_terms = owner_texts.join(hits, text_col).select(owner_col, "_t").distinct()
+    if planner_broadcasts(hits):
+        owner_terms = owner_texts.join(hits, text_col)
+    else:
+        # a text shared by many owners (one item name across many merchants)
+        # must not sit in one task: hot texts join a broadcast of their hits
+        hits_keyed = hits.select("_t", F.col(text_col).alias("_hit_text"))
+        owner_terms = split_hot_join(owner_texts, hits_keyed, text_col, "_hit_text")
+    owner_terms = owner_terms.select(owner_col, "_t").distinct()
     return (
         set_terms.join(owner_terms, "_t")
         .groupBy(set_col, owner_col)

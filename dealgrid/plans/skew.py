@@ -39,8 +39,11 @@ def planner_broadcasts(df: DataFrame) -> bool:
 def split_hot_join(
     big: DataFrame, other: DataFrame, big_key: str, other_key: str, how: str = "inner"
 ) -> DataFrame:
-    """``big`` joined to ``other`` on ``big[big_key] == other[other_key]``
-    (``other`` unique on its key), hot keys of ``big`` isolated."""
+    """``big`` joined to ``other`` on ``big[big_key] == other[other_key]``,
+    hot keys of ``big`` isolated. The broadcast part holds ``other``'s rows
+    for the hot keys: at most (hot keys x rows per key of ``other``), which
+    callers keep small (customers are unique per id; a text has one hit per
+    requested term)."""
     threshold = hot_key_rows(big)
     hot = materialize(
         big.groupBy(big_key)

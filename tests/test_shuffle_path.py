@@ -17,7 +17,7 @@ from dealgrid.sources.fixtures import DRIVER_TABLES
 SF = "/root/testdata/sf0.001"
 QUERIES = (
     "match_all_intents", "match_food_nearby", "offer_items", "offer_listing",
-    "request_outcomes", "log_union", "prompt_table",
+    "request_outcomes", "log_union", "prompt_table", "match_exact_items",
 )
 
 
@@ -62,7 +62,7 @@ def test_shuffle_joins_give_the_same_answer(no_broadcast, name):
     want = _norm(con.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
     assert got == want
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
-    if name != "log_union":
+    if name not in ("log_union", "match_exact_items"):
         assert "Union" in plan  # hot and cold halves of the fan-out
 
 
