@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.plans.skew import planner_broadcasts, split_hot_join
+from dealgrid.plans.sizing import bounded_broadcast, broadcast_limit
+from dealgrid.plans.skew import split_hot_join
 
 GRAM = 3
 EVERY_TEXT = "\u0001all"
@@ -69,8 +70,9 @@ def sets_fully_contained(
     """
     set_terms = term_sets.select(set_col, F.explode(set_col).alias("_t")).distinct()
     owner_texts = texts.select(owner_col, text_col).distinct()
-    hits = contains_pairs(set_terms, "_t", owner_texts, text_col)
-    if planner_broadcasts(hits):
+    # the hits are a dictionary (term x text): written once and measured
+    hits, hits_bytes = bounded_broadcast(contains_pairs(set_terms, "_t", owner_texts, text_col), "text_hits")
+    if hits_bytes <= broadcast_limit(hits.sparkSession):
         owner_terms = owner_texts.join(hits, text_col)
     else:
         # a text shared by many owners (one item name across many merchants)
