@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
 from dealgrid.functions.pricing import with_price_bounds
 from dealgrid.operators import decode, exposure, render
 from dealgrid.operators.catalog import SUMMARY_ITEMS, build_catalog, flatten_items
@@ -21,7 +19,7 @@ from dealgrid.operators.intent import OK, fixture_intents, r1_flag
 from dealgrid.operators.match import TOP_K, rank_keys, top_merchants
 from dealgrid.operators.requests import request_asks
 from dealgrid.operators.textjoin import contains_pairs, sets_fully_contained
-from dealgrid.plans.sizing import checkpoint_dir, materialize
+from dealgrid.plans.sizing import materialize, work_dir
 from dealgrid.sources import convlog, fixtures, jsonl
 from dealgrid.streaming.exposure_stream import run_exposure_stream
 
@@ -505,7 +503,7 @@ def jsonl_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, then the current copy), read back with the keyed last-wins loader
     and typed with the absent/null defaults (S1-S6)."""
     fx = fixtures.relations(spark, sf_dir)
-    base = f"{checkpoint_dir(spark).rstrip('/')}/dealgrid-jsonl-{uuid.uuid4().hex}"
+    base = work_dir(spark, "jsonl")
     current = _merchant_json_lines(fx)
     stale = fx["fx_merchants"].select(
         F.to_json(F.struct("merchant_id", F.lit("stale").alias("name"))).alias("value")

@@ -49,8 +49,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 EXPANSION = 5
 
 
+def work_dir(spark: SparkSession, kind: str) -> str:
+    """A fresh folder for this application's intermediate data:
+    ``<spark.checkpoint.dir>/dealgrid/<application id>/<kind>/<uuid>``."""
+    app = spark.sparkContext.applicationId
+    return f"{checkpoint_dir(spark).rstrip('/')}/dealgrid/{app}/{kind}/{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> bool:
+    """Delete everything this application wrote under the checkpoint folder
+    (materialised tables, scratch JSON lines, stream state). Call it once the
+    results are written: DataFrames built before still read those tables."""
+    app = spark.sparkContext.applicationId
+    path = f"{checkpoint_dir(spark).rstrip('/')}/dealgrid/{app}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    return bool(fs.exists(jpath) and fs.delete(jpath, True))
+
+
 def _table_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/dealgrid-tables/{name}-{uuid.uuid4().hex}"
+    return work_dir(spark, f"tables/{name}")
 
 
 def _materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:

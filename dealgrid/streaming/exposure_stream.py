@@ -12,13 +12,11 @@ stopped and files are counted once.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealgrid.operators.exposure import exposure_counts, leaderboard
-from dealgrid.plans.sizing import checkpoint_dir
+from dealgrid.plans.sizing import work_dir
 
 
 def start_exposure_stream(
@@ -64,7 +62,7 @@ def run_exposure_stream(
     """Feed ``log`` into a fresh log folder in ``batches`` appends, run the
     stream over it until caught up (one file per micro-batch, so the running
     state is exercised), and return the published counts and leaderboard."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/dealgrid-stream-{uuid.uuid4().hex}"
+    base = work_dir(spark, "stream")
     log_path, out_path, ckpt = f"{base}/log", f"{base}/counts", f"{base}/_checkpoint"
     board_path = f"{base}/leaderboard" if merchants is not None else None
     parts = log.select("recommended_merchants", (F.abs(F.hash("*")) % batches).alias("_b"))

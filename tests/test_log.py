@@ -36,3 +36,13 @@ def test_csv_round_trip_keeps_quotes_and_newlines(spark, scratch):
     back = convlog.read_csv(spark, path).first()
     assert back.user_request == text and back.intent == '{"a": "b"}'
     assert back.recommended_merchants == '["1", 2]'
+
+
+def test_cleanup_removes_this_applications_tables(spark):
+    from dealgrid.plans.sizing import cleanup, materialize, work_dir
+
+    t = materialize(spark.range(3), "probe")
+    assert t.count() == 3
+    root = work_dir(spark, "x").split("/dealgrid/")[0]
+    assert cleanup(spark) is True
+    assert not os.path.exists(f"{root.replace('file:', '')}/dealgrid/{spark.sparkContext.applicationId}")
