@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 # Python's ``str.strip()`` removes any whitespace; Spark's ``trim`` only spaces.
 _EDGE_WS = r"^\s+|\s+$"
-# Text Python's ``float()`` accepts (ASCII digits; underscores and non-ASCII
-# digits are a stated difference).
-_DECIMAL = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$"
+# Text Python's ``float()`` accepts: ASCII digits, underscores only between
+# digits (non-ASCII digits are a stated difference).
+_DIGITS = r"\d(?:_?\d)*"
+_DECIMAL = (
+    rf"(?i)^\s*[+-]?({_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?\s*$"
+)
 _SPECIAL = r"(?i)^\s*([+-]?)(inf|infinity|nan)\s*$"
 
 
@@ -29,7 +32,7 @@ def py_float(text: Column) -> Column:
     sign = F.regexp_extract(text, _SPECIAL, 1)
     inf = F.when(sign == "-", F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
     return (
-        F.when(text.rlike(_DECIMAL), py_strip(text).try_cast("double"))
+        F.when(text.rlike(_DECIMAL), F.replace(py_strip(text), F.lit("_"), F.lit("")).try_cast("double"))
         .when(special == "nan", F.lit(float("nan")))
         .when(special != "", inf)
     )

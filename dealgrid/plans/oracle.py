@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from dealgrid.sources.fixtures import oracle_prelude
 
-_DEC = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$"
+_DIGITS = r"\d(?:_?\d)*"
+_DEC = rf"(?i)^\s*[+-]?({_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?\s*$"
 
 
 def _strip(x: str) -> str:
@@ -21,7 +22,7 @@ def _strip(x: str) -> str:
 def _pyfloat(x: str) -> str:
     """Python float() of a text expression in DuckDB; NULL where it raises."""
     return (
-        f"(CASE WHEN regexp_matches({x}, '{_DEC}') THEN TRY_CAST({_strip(x)} AS DOUBLE)"
+        f"(CASE WHEN regexp_matches({x}, '{_DEC}') THEN TRY_CAST(replace({_strip(x)}, '_', '') AS DOUBLE)"
         f" WHEN regexp_matches({x}, '(?i)^\\s*[+-]?nan\\s*$') THEN 'nan'::DOUBLE"
         f" WHEN regexp_matches({x}, '(?i)^\\s*-(inf|infinity)\\s*$') THEN '-inf'::DOUBLE"
         f" WHEN regexp_matches({x}, '(?i)^\\s*[+]?(inf|infinity)\\s*$') THEN 'inf'::DOUBLE END)"

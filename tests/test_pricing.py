@@ -77,12 +77,14 @@ def test_nan_text_matches_nothing(spark):
 
 
 def test_py_float(spark):
-    vals = [" 12 ", "1e3", "5.", ".5", "+3", "-inf", "NaN", "1_000", "abc", "", None, "12.5.1"]
+    vals = [" 12 ", "1e3", "5.", ".5", "+3", "-inf", "NaN", "1_000", "1_0.2_5e1_0", "abc", "",
+            None, "12.5.1", "1__0", "_1", "1_", "1._5"]
     df = spark.createDataFrame([(v,) for v in vals], "t string")
     got = [r[0] for r in df.select(py_float(F.col("t"))).collect()]
     assert got[:5] == [12.0, 1000.0, 5.0, 0.5, 3.0]
     assert got[5] == -INF and math.isnan(got[6])
-    assert got[7:] == [None, None, None, None, None]
+    assert got[7:9] == [1000.0, float("1_0.2_5e1_0")]
+    assert got[9:] == [None] * 8
 
 
 def test_price_object(spark):
