@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.jsonx import py_float_variant
-from dealgrid.functions.text import py_float, py_max0, py_strip
+from dealgrid.functions.text import PY_WS, py_float, py_max0, py_strip
 
 INF = float("inf")
 
@@ -33,6 +33,9 @@ BUDGET_WORDS: dict[str, tuple[float, float]] = {
 AMOUNT_SPREAD = 10.0
 # Pattern that finds the amount after "around" / "about".
 APPROX_PATTERN = r"around\s*(\d+(?:\.\d+)?)|about\s*(\d+(?:\.\d+)?)"
+# (``\s`` above means Python's Unicode whitespace; the Spark pattern below
+# spells that class out.)
+_APPROX_SPARK = APPROX_PATTERN.replace(r"\s", PY_WS)
 # --------------------------------------------------------------------------
 
 
@@ -60,8 +63,8 @@ def with_price_bounds(df: DataFrame, text_col: str, out: str = "budget") -> Data
     t = t.withColumn(
         "_pb_approx_txt",
         F.coalesce(
-            F.nullif(F.regexp_extract(s, APPROX_PATTERN, 1), F.lit("")),
-            F.nullif(F.regexp_extract(s, APPROX_PATTERN, 2), F.lit("")),
+            F.nullif(F.regexp_extract(s, _APPROX_SPARK, 1), F.lit("")),
+            F.nullif(F.regexp_extract(s, _APPROX_SPARK, 2), F.lit("")),
         ),
     ).withColumn("_pb_parts", F.split(F.replace(s, F.lit("$"), F.lit("")), "-"))
     parts = F.col("_pb_parts")

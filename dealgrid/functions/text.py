@@ -11,15 +11,26 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's ``str.strip()`` removes any whitespace; Spark's ``trim`` only spaces.
-_EDGE_WS = r"^\s+|\s+$"
+# Whitespace as Python sees it (``str.isspace``, used by ``strip``, ``float``,
+# ``int`` and ``re``'s ``\s``); Java's ``\s`` and Spark's ``trim`` know only
+# ASCII. The class is valid in Java regexes and in RE2.
+PY_WS = (
+    r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+# ``float()`` and ``int()`` strip the same set except U+001C..U+001F.
+PY_NUM_WS = (
+    r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+_EDGE_WS = rf"^{PY_WS}+|{PY_WS}+$"
 # Text Python's ``float()`` accepts: ASCII digits, underscores only between
 # digits (non-ASCII digits are a stated difference).
 _DIGITS = r"\d(?:_?\d)*"
 _DECIMAL = (
-    rf"(?i)^\s*[+-]?({_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?\s*$"
+    rf"(?i)^{PY_NUM_WS}*[+-]?({_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?{PY_NUM_WS}*$"
 )
-_SPECIAL = r"(?i)^\s*([+-]?)(inf|infinity|nan)\s*$"
+_SPECIAL = rf"(?i)^{PY_NUM_WS}*([+-]?)(inf|infinity|nan){PY_NUM_WS}*$"
 
 
 def py_strip(c: Column) -> Column:

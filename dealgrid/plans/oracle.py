@@ -9,23 +9,24 @@ brute force the factored Spark plan must agree with.
 
 from __future__ import annotations
 
+from dealgrid.functions.text import PY_NUM_WS, PY_WS
 from dealgrid.sources.fixtures import oracle_prelude
 
 _DIGITS = r"\d(?:_?\d)*"
-_DEC = rf"(?i)^\s*[+-]?({_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?\s*$"
+_DEC = rf"(?i)^{PY_NUM_WS}*[+-]?({_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?{PY_NUM_WS}*$"
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{PY_WS}+|{PY_WS}+$', '', 'g')"
 
 
 def _pyfloat(x: str) -> str:
     """Python float() of a text expression in DuckDB; NULL where it raises."""
     return (
         f"(CASE WHEN regexp_matches({x}, '{_DEC}') THEN TRY_CAST(replace({_strip(x)}, '_', '') AS DOUBLE)"
-        f" WHEN regexp_matches({x}, '(?i)^\\s*[+-]?nan\\s*$') THEN 'nan'::DOUBLE"
-        f" WHEN regexp_matches({x}, '(?i)^\\s*-(inf|infinity)\\s*$') THEN '-inf'::DOUBLE"
-        f" WHEN regexp_matches({x}, '(?i)^\\s*[+]?(inf|infinity)\\s*$') THEN 'inf'::DOUBLE END)"
+        f" WHEN regexp_matches({x}, '(?i)^{PY_NUM_WS}*[+-]?nan{PY_NUM_WS}*$') THEN 'nan'::DOUBLE"
+        f" WHEN regexp_matches({x}, '(?i)^{PY_NUM_WS}*-(inf|infinity){PY_NUM_WS}*$') THEN '-inf'::DOUBLE"
+        f" WHEN regexp_matches({x}, '(?i)^{PY_NUM_WS}*[+]?(inf|infinity){PY_NUM_WS}*$') THEN 'inf'::DOUBLE END)"
     )
 
 
@@ -33,7 +34,7 @@ def _max0(x: str) -> str:
     return f"(CASE WHEN NOT isnan({x}) AND {x} > 0 THEN {x} ELSE 0e0 END)"
 
 
-_APPROX = r"around\s*(\d+(?:\.\d+)?)|about\s*(\d+(?:\.\d+)?)"
+_APPROX = r"around\s*(\d+(?:\.\d+)?)|about\s*(\d+(?:\.\d+)?)".replace(r"\s", PY_WS)
 
 
 def price_bounds_ctes(source: str, key: str, text: str) -> str:
@@ -333,7 +334,7 @@ WHERE {_R1}"""
 
 _DECODED = r"""
 t AS (SELECT request_id, step,
-        regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') AS txt FROM fx_responses),
+        regexp_replace(coalesce(content, ''), '^""" + PY_WS + "+|" + PY_WS + r"""+$', '', 'g') AS txt FROM fx_responses),
 d AS (SELECT request_id, step,
         CASE WHEN txt = '' THEN 'empty' WHEN json_valid(txt) THEN 'strict'
              WHEN json_valid(regexp_extract(txt, '(?s)\{.*\}', 0)) THEN 'span'

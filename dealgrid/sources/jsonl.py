@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 from dealgrid.functions import jsonx as jx
 from dealgrid.functions.jsonx import py_float_variant, strict_number, with_json_strict
 from dealgrid.functions.geo import DEFAULT_MERCHANT_LAT, DEFAULT_MERCHANT_LON
+from dealgrid.functions.text import PY_NUM_WS
 
 NUMBER, TEXT = "number", "text"
-_INT_TEXT = r"^\s*[+-]?\d+(_\d+)*\s*$"
+_INT_TEXT = rf"^{PY_NUM_WS}*[+-]?\d+(_\d+)*{PY_NUM_WS}*$"
+_NOT_DIGITS = rf"{PY_NUM_WS}|_"
 
 # --- Fixed values (defaults for absent merchant fields) --------------------
 DEFAULT_RATING = 0.0
@@ -58,7 +60,7 @@ def normalised_key(raw: Column) -> Column:
         .when(jx.is_number_kind(k) & finite, d.cast("bigint").cast("string"))
         .when(
             (k == "STRING") & s.rlike(_INT_TEXT),
-            F.regexp_replace(s, r"[\s_]", "").try_cast("bigint").cast("string"),
+            F.regexp_replace(s, _NOT_DIGITS, "").try_cast("bigint").cast("string"),
         )
     )
     text = F.when(k == "STRING", s).when(jx.is_number_kind(k), F.to_json(raw))
@@ -74,7 +76,7 @@ def canonical_key(c: Column) -> Column:
     ``int()`` rule as ``normalised_key``: integer text and integral numbers
     become the integer's text, other text stays as it is."""
     s = c.cast("string")
-    as_int = F.when(s.rlike(_INT_TEXT), F.regexp_replace(s, r"[\s_]", "").try_cast("bigint"))
+    as_int = F.when(s.rlike(_INT_TEXT), F.regexp_replace(s, _NOT_DIGITS, "").try_cast("bigint"))
     return F.coalesce(as_int.cast("string"), s)
 
 

@@ -115,3 +115,17 @@ def test_display_rounding_matches_python(spark):
     for d in (0, 1, 2):
         got = [r[0] for r in df.select(fmt_fixed(F.col("x"), d)).collect()]
         assert got == [f"{v:.{d}f}" for v in vals]
+
+
+def test_unicode_whitespace_like_python(spark):
+    from dealgrid.sources.jsonl import canonical_key
+
+    vals = [" 50　", " cheap ", "around 40", "\x1c7\x1f"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, t string")
+    floats = [r[0] for r in df.orderBy("i").select(py_float(F.col("t"))).collect()]
+    assert floats[0] == float(vals[0]) == 50.0
+    assert floats[3] is None  # float() does not strip U+001C..U+001F (strip() does)
+    bounds = {r.i: (r.lo, r.hi) for r in with_price_bounds(df, "t").select("i", "budget.lo", "budget.hi").collect()}
+    assert bounds[1] == (0.0, 20.0) and bounds[2] == (30.0, 50.0)
+    keys = [r[0] for r in df.orderBy("i").select(canonical_key(F.col("t"))).collect()]
+    assert keys[0] == str(int(vals[0])) == "50"
