@@ -15,9 +15,9 @@ list. Decoding is built-in JSON functions over VARIANT:
   ``operators.intent`` with a quarantine ``intent_status`` for values the
   source application would crash on.
 
-Duplicate keys inside one JSON object make Spark's parser give up (Python
-keeps the last one): such a response counts as undecodable (stated
-difference).
+Duplicate keys inside one JSON object keep the last value, as in Python,
+when ``spark.sql.variant.allowDuplicateKeys`` is on (``dealgrid.session``
+sets it); otherwise such a response counts as undecodable.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Cluster jobs get their session from the platform; this helper only fills in
 settings that are unset: AQE with partition coalescing and skew-join
-splitting, UTC session time, Arrow for pandas conversions, no web UI.
+splitting, UTC session time, Arrow for pandas conversions, no web UI, and
+last-wins duplicate JSON keys.
 ``spark.checkpoint.dir`` is read from the session and only set (to a fresh
 scratch folder) for a local session that has none.
 """
@@ -22,6 +23,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a JSON object with a repeated key keeps the last value, as Python does
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -88,3 +88,11 @@ def test_typed_fields(spark):
     assert r.proximity_km is None and r.min_rating == 4.0
     assert r.exact_items == ["Cake"] and r.is_generic is True and r.specifics.solo is True
     assert r.confidence == "medium"
+
+
+def test_duplicate_keys_keep_the_last_value(spark):
+    df = spark.createDataFrame([(1, 1, '{"category": "food", "category": "gifts"}'),
+                                (1, 2, "")], "request_id long, step int, content string")
+    r = decode.resolve_intents(df).select(
+        "source", F.variant_get("intent", "$.category", "string").alias("cat")).first()
+    assert (r.source, r.cat) == ("initial", "gifts")
