@@ -6,7 +6,8 @@ factors exactly because a merchant's score depends on a request only through
 the *match key* (``intent.ask_key``) and on the merchant's category text only
 through the distinct ``(mc, pc)`` pair:
 
-1. ``keys``  = distinct match keys of the requests (a dictionary).
+1. ``keys``  = distinct match keys of the requests with their request
+   counts (a dictionary).
 2. ``pairs`` = distinct ``(mc, pc)`` of the catalog (a dictionary).
 3. Category candidates ``keys x pairs`` come from an **equi-join on text
    grams**: a pair emits every substring of length <= 3 of ``mc`` and ``pc``
@@ -18,8 +19,9 @@ through the distinct ``(mc, pc)`` pair:
    integer part of the score (C1-C12).
 4. ``kq`` joins the catalog on ``(mc, pc)`` (broadcast only after its size is
    measured; when it is too large, category pairs holding many merchants are
-   salted so that one pair never lands in one task). Exact items (L6) come from the J5 containment join: the
-   ``(term set, merchant)`` rows that carry every term, joined on both.
+   salted so that one pair never lands in one task). Exact items (L6) come
+   from the J5 containment join: the ``(term set, merchant)`` rows that carry
+   every term, joined on both.
    Distance, rating and budget filters and the proximity bonus run per
    candidate row inside one codegen stage.
 5. Top-k per key with ``row_number``: Catalyst plants a partial
@@ -114,7 +116,7 @@ def _key_tokens(keys: DataFrame) -> DataFrame:
 def base_points(ask: Column, mc: Column, pc: Column) -> Column:
     """Integer part of the score of (key, category pair), or NULL when the
     category rules reject the pair (L5). Rows are added in the order of the
-    scoring table so doubles sum exactly as the reference does."""
+    scoring table so doubles sum exactly as the source application does."""
     cat = ask["cat"]
     term = F.lower(cat)
     general = cat == "general"
