@@ -185,8 +185,9 @@ def offer_prompt(profile: Column, intent_json: Column, summary: Column) -> Colum
 
 
 def ids_json(ids: Column) -> Column:
-    """``json.dumps(list_of_ints)`` layout ``[1, 2]``; NULL ids are left out
-    (L10)."""
+    """``json.dumps(list)`` layout ``[1, "m-7"]`` from an array of numeric ids
+    or of ids already written as JSON text (``id_json`` of the JSON-lines
+    loader); NULL ids are left out (L10)."""
     kept = F.filter(ids, lambda x: x.isNotNull())
     return F.concat(
         F.lit("["), F.array_join(F.transform(kept, lambda x: x.cast("string")), ", "), F.lit("]")

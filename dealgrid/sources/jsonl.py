@@ -150,6 +150,8 @@ def merchants(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return recs.select(
         F.col("key").alias("merchant_id"),
         "key_kind",
+        # the id as written in the record, for logs (JSON text: 101, "m-7")
+        F.to_json(jx.field(v, "merchant_id")).alias("id_json"),
         "pos",
         jx.text_value(jx.field(v, "name")).alias("name"),
         jx.text_value(jx.field(v, "category")).alias("category"),
