@@ -372,6 +372,8 @@ class Ranking:
         if bound <= broadcast_limit(spark):
             return left.join(F.broadcast(per_key), "ask", how)
         hot = F.broadcast(self.hot_keys())
+        # read twice below (hot rows, cold join): compute it once
+        per_key = materialize(per_key, "per_key")
         hot_rows = per_key.join(hot, "ask", "left_semi")
         hot_part = left.join(hot, "ask", "left_semi").join(F.broadcast(hot_rows), "ask", how)
         cold_part = left.join(hot, "ask", "left_anti").join(per_key, "ask", how)

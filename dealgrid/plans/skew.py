@@ -45,6 +45,8 @@ def split_hot_join(
     callers keep small (customers are unique per id; a text has one hit per
     requested term)."""
     threshold = hot_key_rows(big)
+    # read three times below (counts, hot part, cold part): compute it once
+    big = materialize(big, "split_input")
     hot = materialize(
         big.groupBy(big_key)
         .agg(F.count(F.lit(1)).alias("_n"))
