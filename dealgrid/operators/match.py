@@ -371,6 +371,9 @@ class Ranking:
         bound = rows_per_key * (self.keys_bytes + 64 * EXPANSION)
         if bound <= broadcast_limit(spark):
             return left.join(F.broadcast(per_key), "ask", how)
+        if self.hot_keys().limit(1).count() == 0:
+            # no key above the threshold: a plain shuffle join is skew-free
+            return left.join(per_key, "ask", how)
         hot = F.broadcast(self.hot_keys())
         # read twice below (hot rows, cold join): compute it once
         per_key = materialize(per_key, "per_key")

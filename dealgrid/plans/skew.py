@@ -45,8 +45,7 @@ def split_hot_join(
     callers keep small (customers are unique per id; a text has one hit per
     requested term)."""
     threshold = hot_key_rows(big)
-    # read three times below (counts, hot part, cold part): compute it once
-    big = materialize(big, "split_input")
+    # counting reads only the key column of ``big``
     hot = materialize(
         big.groupBy(big_key)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -54,12 +53,17 @@ def split_hot_join(
         .select(F.col(big_key).alias("_hot_key")),
         "hot_keys",
     )
+    cond = F.col(big_key) == F.col(other_key)
+    if hot.limit(1).count() == 0:
+        # no key above the threshold: the plain join has no hot partition
+        return big.join(other, cond, how)
+    # read three times below (counts, hot part, cold part): compute it once
+    big = materialize(big, "split_input")
     hot_b = F.broadcast(hot)
     on_hot = F.col(big_key) == F.col("_hot_key")
     big_hot = big.join(hot_b, on_hot, "left_semi")
     big_cold = big.join(hot_b, on_hot, "left_anti")
     other_hot = other.join(hot_b, F.col(other_key) == F.col("_hot_key"), "left_semi")
-    cond = F.col(big_key) == F.col(other_key)
     hot_part = big_hot.join(F.broadcast(other_hot), cond, how)
     cold_part = big_cold.join(other, cond, how)
     return hot_part.unionByName(cold_part)
