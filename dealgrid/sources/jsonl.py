@@ -85,7 +85,13 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
     conf = spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    existing = [p for p in paths if jvm_path(p).getFileSystem(conf).exists(jvm_path(p))]
+
+    def found(p: str) -> bool:
+        # globStatus understands both plain paths and patterns like dir/*.jsonl
+        matches = jvm_path(p).getFileSystem(conf).globStatus(jvm_path(p))
+        return matches is not None and len(matches) > 0
+
+    existing = [p for p in paths if found(p)]
     schema = T.StructType([
         T.StructField("v", T.VariantType()),
         T.StructField("ord", T.StructType([

@@ -131,3 +131,10 @@ def test_non_object_lines_are_skipped(spark, scratch):
              '{"merchant_id": 8, "name": "kept"}']
     m = jsonl.merchants(spark, _write(scratch, "odd.jsonl", lines))
     assert [(r.merchant_id, r.name) for r in m.collect()] == [("8", "kept")]
+
+
+def test_glob_paths(spark, scratch):
+    _write(scratch, "part-a.jsonl", ['{"merchant_id": 1, "name": "a"}'])
+    _write(scratch, "part-b.jsonl", ['{"merchant_id": 2, "name": "b"}'])
+    m = jsonl.merchants(spark, os.path.join(scratch, "part-*.jsonl"))
+    assert sorted(r.merchant_id for r in m.collect()) == ["1", "2"]
