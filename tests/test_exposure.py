@@ -60,3 +60,24 @@ def test_stream_publishes_counts_and_leaderboard(spark):
     assert got == {("number", "1"): 1, ("number", "2"): 3, ("number", "3"): 1, ("text", "2"): 1}
     top = board.orderBy("exposure", ascending=False).first()
     assert (top.merchant_key, top.name, top.exposure) == ("2", "Two", 3)
+
+
+def test_stream_restart_counts_each_file_once(spark):
+    """Stop after the first files, append more, start again from the same
+    checkpoint: counts cover old and new files, each exactly once."""
+    from dealgrid.plans.sizing import work_dir
+    from dealgrid.streaming.exposure_stream import start_exposure_stream
+
+    base = work_dir(spark, "stream-restart")
+    log_path, out_path, ckpt = f"{base}/log", f"{base}/counts", f"{base}/ckpt"
+    first = spark.createDataFrame([("[1, 2]",), ("[2]",)], "recommended_merchants string")
+    first.coalesce(1).write.mode("append").parquet(log_path)
+    start_exposure_stream(spark, log_path, out_path, ckpt).awaitTermination()
+    got = {r.merchant_key: r.exposure for r in spark.read.parquet(out_path).collect()}
+    assert got == {"1": 1, "2": 2}
+
+    more = spark.createDataFrame([("[2, 3]",)], "recommended_merchants string")
+    more.coalesce(1).write.mode("append").parquet(log_path)
+    start_exposure_stream(spark, log_path, out_path, ckpt).awaitTermination()
+    got = {r.merchant_key: r.exposure for r in spark.read.parquet(out_path).collect()}
+    assert got == {"1": 1, "2": 3, "3": 1}
