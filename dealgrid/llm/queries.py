@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealgrid.llm import bpe
+from dealgrid.llm import bpe, knn, langid, license_scan, line_dedup, minhash, mixing
 from dealgrid.llm.common import table
 
 #: Rank file of the installed public tokenizers; a parameter of ``bpe``.
@@ -22,6 +22,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_exact_top_k": knn.op3_exact_top_k,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op5_language_id": langid.op5_language_id,
+    "op6_mixing": mixing.op6_mixing,
+    "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: op1, op5, op6, op7, op9 and op10 learn or merge step by step, which SQL cannot
+#: express; their tests compare them with brute force, a library or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.SQL,
+    "op3_exact_top_k": knn.SQL,
+    "op4_license_scan": license_scan.SQL,
+    "op8_minhash_near_dedup": minhash.SQL,
+}
