@@ -19,8 +19,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_LIMIT_CONF = "dealgrid.broadcast.maxBytes"
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
@@ -100,3 +101,38 @@ def bounded_broadcast(df: DataFrame, name: str = "dictionary") -> tuple[DataFram
     m, path = _materialize(df, name)
     size = stored_bytes(spark, path) * EXPANSION
     return (F.broadcast(m) if size <= broadcast_limit(spark) else m), size
+
+
+def _value_bytes(name: str, kind: T.DataType) -> Column:
+    """Upper estimate of a value's bytes in a hashed relation."""
+    col = F.col(name)
+    if isinstance(kind, T.StringType | T.BinaryType):
+        size = F.octet_length(col) + 24
+    elif isinstance(kind, T.ArrayType) and isinstance(
+        kind.elementType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType
+    ):
+        size = F.size(col) * 8 + 32
+    elif isinstance(kind, T.ArrayType | T.StructType | T.MapType):
+        size = F.octet_length(F.to_json(F.struct(col))) * 4 + 64
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(8)).cast("long")
+
+
+ROW_OVERHEAD = 64
+
+
+def relation_bytes(df: DataFrame) -> int:
+    """Bytes that ``df``, whole rows with their payload, takes as a broadcast
+    relation: one aggregation over its values."""
+    row = F.lit(ROW_OVERHEAD).cast("long")
+    for f in df.schema:
+        row = row + _value_bytes(f"`{f.name}`", f.dataType)
+    return int(df.agg(F.sum(row).alias("n")).first()["n"] or 0)
+
+
+def measured_broadcast(df: DataFrame, name: str = "relation") -> DataFrame:
+    """``df`` written once, and hinted for broadcast only if its measured rows fit
+    the limit; else as it is, for a shuffle join."""
+    m = materialize(df, name)
+    return F.broadcast(m) if relation_bytes(m) <= broadcast_limit(df.sparkSession) else m
