@@ -56,11 +56,15 @@ def list_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return values.to_numpy(zero_copy_only=False), offsets
 
 
+def decoded(raw: pa.Array) -> Iterator[str]:
+    """Texts of a binary array (text cast to binary, so that bytes which are no
+    UTF-8 become the replacement character instead of an error)."""
+    for value in raw.to_pylist():
+        yield "" if value is None else value.decode("utf-8", errors="replace")
+
+
 def texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
-    """Texts of a binary column (text cast to binary, so that bytes which are
-    no UTF-8 become the replacement character instead of an error)."""
-    for raw in batch.column(name).to_pylist():
-        yield "" if raw is None else raw.decode("utf-8", errors="replace")
+    return decoded(batch.column(name))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

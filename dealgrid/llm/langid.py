@@ -23,15 +23,15 @@ only if the caller's filter says so; repeated rows repeat; only id, text and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import id_remainder, mix, table, texts
+from dealgrid.llm.common import decoded, id_remainder, mix, table, texts
 
 ORDERS = (1, 3)
 BUCKETS = 1 << 16
@@ -159,36 +159,40 @@ def mixture(model: Model, grams: np.ndarray) -> list[tuple[str, float]]:
     return sorted(rows, key=lambda r: (-r[1], r[0]))
 
 
-def identify(
-    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``id_col``, ``lang_pred``, ``score`` and ``languages`` (array of
-    language and share) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.probability))
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
+def language(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to ``lang_pred``, ``score`` and ``languages``
+    (array of language and share)."""
+    shared = spark.sparkContext.broadcast((model.languages, model.probability))
     of_share = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letter = letters()
         known = Model(*shared.value)
-        for batch in batches:
-            found = [mixture(known, ngrams(t, letter)) for t in texts(batch, "_text")]
-            yield pa.RecordBatch.from_arrays(
+        for raw in batches:
+            found = [mixture(known, ngrams(t, letter)) for t in decoded(raw)]
+            yield pa.StructArray.from_arrays(
                 [
-                    batch.column(0),
                     pa.array([f[0][0] if f else UNKNOWN for f in found], pa.string()),
                     pa.array([min(1.0, f[0][1]) if f else 0.0 for f in found], pa.float64()),
                     pa.array([[{"lang": a, "share": s} for a, s in f] for f in found], of_share),
                 ],
-                [id_col, "lang_pred", "score", "languages"],
+                ["lang_pred", "score", "languages"],
             )
 
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(
-        run,
-        f"`{id_col}` {kind}, lang_pred string, score double, "
-        "languages array<struct<lang:string,share:double>>",
+    udf = F.arrow_udf(
+        predict,
+        "lang_pred string, score double, languages array<struct<lang:string,share:double>>",
+        F.ArrowUDFType.SCALAR_ITER,
     )
+    return lambda text: udf(text.cast("binary"))
+
+
+def identify(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``id_col``, ``lang_pred``, ``score`` and ``languages`` of every row."""
+    found = language(docs.sparkSession, model)(F.col(text_col))
+    return docs.select(F.col(id_col), found.alias("_language")).select(id_col, "_language.*")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -16,8 +16,8 @@ document with at least ``min_words`` words together.
    the repeated runs, without making a row for each pair of places.
 4. A window that has an equal one earlier, by (doc_id, text hash, line), goes.
 
-Documents are shuffled once, with the spans to delete; all else is hashes and
-positions. Frequent lines are counted with map-side partial results and joined
+Documents are joined with the lines to delete (a broadcast if those were measured to
+be small, a shuffle join otherwise); all else is hashes and positions. Frequent lines are counted with map-side partial results and joined
 salted. Tables used twice are written to the shared checkpoint folder.
 
 Defined cases: null text stays null, empty text stays empty; blank lines inside
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from dealgrid.llm.common import table, texts
 from dealgrid.llm.graph import salted_join
-from dealgrid.plans.sizing import materialize
+from dealgrid.plans.sizing import materialize, measured_broadcast
 
 MIN_WORDS = 50
 NULL_ID = -(1 << 63)
@@ -212,13 +212,10 @@ def deduplicate(
             "_body": F.xxhash64(text_col),
         }
     )
-    joined = keyed.join(
-        gone.select(
-            F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("gone").alias("_flags")
-        ),
-        ["_doc", "_body"],
-        "left",
+    flags = gone.select(
+        F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("gone").alias("_flags")
     )
+    joined = keyed.join(measured_broadcast(flags, "flags"), ["_doc", "_body"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.filter(lines, lambda _, i: ~F.coalesce(F.get("_flags", i), F.lit(False)))
     deleted = F.size(F.filter(F.coalesce("_flags", F.array().cast("array<boolean>")), lambda x: x))

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealgrid.llm import bpe, knn, langid, license_scan, line_dedup, minhash, mixing
+from dealgrid.llm import (
+    bpe,
+    knn,
+    langid,
+    license_scan,
+    line_dedup,
+    lm,
+    minhash,
+    mixing,
+    outliers,
+    quality,
+)
 from dealgrid.llm.common import table
 
 #: Rank file of the installed public tokenizers; a parameter of ``bpe``.
@@ -27,7 +38,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_language_id": langid.op5_language_id,
     "op6_mixing": mixing.op6_mixing,
+    "op7_lm_score": lm.op7_lm_score,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
+    "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_quality_rules": outliers.op10_quality_rules,
 }
 
 #: op1, op5, op6, op7, op9 and op10 learn or merge step by step, which SQL cannot
