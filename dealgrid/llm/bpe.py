@@ -23,6 +23,7 @@ read, so other columns cannot clash; an id outside the vocabulary raises
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,11 +37,12 @@ INFINITE = 1 << 62
 POSITION = (1 << 32) - 1
 #: Bounds of a worker's memo (entries, and characters of one remembered part),
 #: and characters of text taken at once.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 MEMO_CHARS = 64
-AT_ONCE_CHARS = 1_000_000
-#: Matches of up to so many bytes are merged many at once.
+AT_ONCE_CHARS = 500_000
+#: Matches of up to so many bytes are merged many at once, so many at a time.
 SHORT_BYTES = 64
+SHORT_ROWS = 8_192
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -104,14 +106,16 @@ class ShortMerger:
     tree of ``merge``, held in one array, one merge of every row a step."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        pairs = {}
+        keys, merged = array("q"), array("q")
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+                    keys.append(left << 32 | right)
+                    merged.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.array(keys, np.int64)[order]
+        self.ranks = np.array(merged, np.int64)[order]
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
     def _pair(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -204,7 +208,9 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[str]], list
             else:
                 by_size.setdefault((len(piece) - 1).bit_length(), []).append(piece)
         for same in by_size.values():
-            out.update(zip(same, short.merge(same), strict=True))
+            for i in range(0, len(same), SHORT_ROWS):
+                some = same[i : i + SHORT_ROWS]
+                out.update(zip(some, short.merge(some), strict=True))
         return out
 
     def encode_some(some: list[str]) -> list[bytes]:
