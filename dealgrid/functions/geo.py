@@ -76,3 +76,25 @@ def district_point(district: Column) -> Column:
         F.lit(DEFAULT_POINT[0]).alias("lat"), F.lit(DEFAULT_POINT[1]).alias("lon")
     )
     return F.coalesce(hit, default)
+
+
+# The points requests can stand at: the gazetteer, then the default point.
+POINTS: tuple[tuple[float, float], ...] = (*GAZETTEER.values(), DEFAULT_POINT)
+
+
+def _points_array() -> Column:
+    return F.array(
+        *[F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon")) for lat, lon in POINTS]
+    )
+
+
+def point_index(lat: Column, lon: Column) -> Column:
+    """Position of a point in ``POINTS``; -1 when it is none of them, NULL
+    without a point."""
+    at = F.array_position(_points_array(), F.struct(lat.alias("lat"), lon.alias("lon")))
+    return F.when(lat.isNotNull(), (at - 1).cast("int"))
+
+
+def distances_km(lat: Column, lon: Column) -> Column:
+    """Distances from a place to every one of ``POINTS``, as array<double>."""
+    return F.transform(_points_array(), lambda p: haversine_km(p["lat"], p["lon"], lat, lon))

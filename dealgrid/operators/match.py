@@ -3,36 +3,36 @@ C1-C13, R1, W1, W2, §4.2).
 
 Physical design. A direct request x merchant join is a cartesian product. It
 factors exactly because a merchant's score depends on a request only through
-the *match key* (``intent.ask_key``) and on the merchant's category text only
-through the distinct ``(mc, pc)`` pair:
-
-1. ``keys``  = distinct match keys of the requests with their request
-   counts (a dictionary).
-2. ``pairs`` = distinct ``(mc, pc)`` of the catalog (a dictionary).
-3. Category candidates ``keys x pairs`` come from an **equi-join on text
+the *match key* (``intent.ask_key``), its integer part only through the key's
+category fields, and on the merchant's category text only through the distinct
+``(mc, pc)`` pair:
+
+1. ``keys``: distinct match keys of the requests, each with a compact id
+   (``ask_id``, a digest of the key) that all later steps shuffle and rank on,
+   the id of its category fields (``cat_id``) and its gazetteer point.
+2. ``cats``: distinct category fields; ``pairs``: distinct ``(mc, pc)`` of the
+   catalog. Budgets, radii and points do not multiply them.
+3. Category candidates ``cats x pairs`` come from an **equi-join on text
    grams**: a pair emits every substring of length <= 3 of ``mc`` and ``pc``
-   plus the tokens ``ALL`` and (if a gift keyword is present) ``MOTHER``; a key
-   emits the first <= 3 characters of its lower-cased category, or ``ALL``
-   for ``general`` / empty category, plus ``MOTHER`` for gifts for a mother.
-   Containment implies the gram matches, so the join is a superset; the exact
-   rules are then evaluated per (key, pair) row. This gives ``kq`` with the
-   integer part of the score (C1-C12).
-4. ``kq`` joins the catalog on ``(mc, pc)`` (broadcast only after its size is
-   measured; when it is too large, category pairs holding many merchants are
-   salted so that one pair never lands in one task). Exact items (L6) come
-   from the J5 containment join: the ``(term set, merchant)`` rows that carry
-   every term, joined on both.
-   Distance, rating and budget filters and the proximity bonus run per
-   candidate row inside one codegen stage.
+   plus the tokens ``ALL`` and (if a gift keyword is present) ``MOTHER``; the
+   category fields emit the first <= 3 characters of the lower-cased category,
+   or ``ALL`` for ``general`` / empty category, plus ``MOTHER`` for gifts for a
+   mother. Containment implies the gram matches, so the join is a superset; the
+   exact rules are then evaluated per (cat, pair) row (C1-C12).
+4. The catalog joins that on ``(mc, pc)``, then the keys on ``cat_id``. Distances
+   from a merchant to the 22 gazetteer points are computed once per merchant;
+   rating and budget filters and the proximity bonus run per candidate row.
+   Exact items (L6) come from the J5 containment join; only keys that name items
+   meet it.
 5. Top-k per key with ``row_number``: Catalyst plants a partial
    ``WindowGroupLimit`` before the shuffle, so a key that matches every
    merchant ships at most k rows per map task.
-6. Requests join the ranked keys back (``Ranking.fan_out``): a broadcast
-   when keys x k fits the limit; otherwise keys with more than
-   ``dealgrid.hotKeyRows`` requests are split off and joined to a broadcast
-   of their rows, the rest by a shuffle join.
+6. Requests join the ranked keys back on ``ask_id`` (``Ranking.fan_out``).
 
-No cross join and no per-group pair enumeration is used.
+Every join with a dictionary is a ``spread_join``: broadcast if its measured
+rows fit the limit, salted otherwise, so neither a token, a category pair, a
+category nor a key held by a third of the rows lands in one task. No cross join
+and no per-group pair enumeration is used.
 """
 
 from __future__ import annotations
@@ -42,13 +42,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealgrid.functions.geo import haversine_km
+from dealgrid.functions.geo import distances_km, haversine_km, point_index
 from dealgrid.functions.text import contains_any, py_max0
 from dealgrid.operators.textjoin import EVERY_TEXT, GRAM, grams, sets_fully_contained
-from dealgrid.plans.skew import hot_key_rows
-from dealgrid.plans.sizing import (
-    EXPANSION, bounded_broadcast, broadcast_limit, materialize,
-)
+from dealgrid.plans.sizing import materialize
+from dealgrid.plans.skew import spread_join
 
 TOP_K = 10
 
@@ -103,14 +101,14 @@ def _pair_tokens(pairs: DataFrame) -> DataFrame:
     return pairs.select("mc", "pc", F.explode(tokens).alias("token"))
 
 
-def _key_tokens(keys: DataFrame) -> DataFrame:
-    cat = F.col("ask.cat")
+def _cat_tokens(cats: DataFrame) -> DataFrame:
+    cat = F.col("fields.cat")
     low = F.lower(cat)
     everything = (cat == "general") | (low == "")
     first = F.when(everything, F.lit(EVERY_TEXT)).otherwise(F.substring(low, 1, GRAM))
-    mother = (cat == "gifts") & (F.col("ask.recip") == "mother")
+    mother = (cat == "gifts") & (F.col("fields.recip") == "mother")
     tokens = F.when(mother, F.array(first, F.lit(_MOTHER))).otherwise(F.array(first))
-    return keys.select("ask", F.explode(tokens).alias("token"))
+    return cats.select("cat_id", "fields", F.explode(tokens).alias("token"))
 
 
 def base_points(ask: Column, mc: Column, pc: Column) -> Column:
@@ -177,19 +175,30 @@ def base_points(ask: Column, mc: Column, pc: Column) -> Column:
     return F.when(matched, total.cast("double"))
 
 
-def scored_pairs(keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(ask, mc, pc, base) for every category-compatible (key, pair)."""
-    cand = (
-        _key_tokens(keys)
-        .join(_pair_tokens(pairs), "token")
-        .select("ask", "mc", "pc")
-        .distinct()
-    )
+def scored_pairs(cats: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cat_id, mc, pc, base) for every category-compatible (fields, pair).
+    ``cats``: ``cat_id, fields`` (see ``category_fields``)."""
+    cand = spread_join(
+        _pair_tokens(pairs), _cat_tokens(cats), ["token"], ["mc", "pc"], name="cat_tokens"
+    ).select("cat_id", "fields", "mc", "pc").distinct()
     return cand.select(
-        "ask", "mc", "pc", base_points(F.col("ask"), F.col("mc"), F.col("pc")).alias("base")
+        "cat_id", "mc", "pc", base_points(F.col("fields"), F.col("mc"), F.col("pc")).alias("base")
     ).filter(F.col("base").isNotNull())
 
 
+def category_fields(ask: Column) -> Column:
+    """The fields of a match key that ``base_points`` reads; of the item terms
+    only whether there are any."""
+    names = ("cat", "cuisine", "atmos", "partic", "solo", "atype", "recip", "prefs")
+    some_terms = F.when(ask["terms"].isNotNull(), F.array(F.lit("")))
+    return F.struct(*[ask[n].alias(n) for n in names], some_terms.alias("terms"))
+
+
+def compact_id(value: Column) -> Column:
+    """Digest of a struct: equal ids mean equal structs."""
+    return F.md5(F.to_json(value))
+
+
 def budget_ok(lo: Column, hi: Column, pmin: Column, pmax: Column, prices: Column) -> Column:
     """Some valid discounted price lies in [lo, hi] (L3 + L4). The min/max
     summaries settle most rows without touching the price list."""
@@ -208,179 +217,76 @@ def items_ok(terms: Column, names: Column) -> Column:
     )
 
 
-def item_matches(keys: DataFrame, catalog: DataFrame) -> DataFrame:
+def item_matches(keys: DataFrame, names: DataFrame) -> DataFrame:
     """``terms, merchant_id``: merchants carrying every requested term, for
-    the distinct term sets of the keys (J5 containment join)."""
+    the distinct term sets of the keys (J5 containment join). ``names``:
+    ``merchant_id, iname`` (lower-cased item names)."""
     term_sets = keys.select(F.col("ask.terms").alias("terms")).filter(
         F.col("terms").isNotNull()
     ).distinct()
-    names = catalog.select("merchant_id", F.explode("names").alias("iname"))
     return sets_fully_contained(term_sets, "terms", names, "merchant_id", "iname")
 
 
-# Marker for "no key asks for exact items": the rule is then trivially true.
-NO_ITEMS = "no-items"
-
-
-def _salted_pair_join(merchants: DataFrame, kq: DataFrame, hot_pairs: DataFrame) -> DataFrame:
-    """``merchants`` joined to ``kq`` on the category pair, hot pairs salted.
-
-    ``hot_pairs`` (``mc, pc, _salts``) lists the pairs with more merchants
-    than the hot-key threshold (so at most merchants / threshold rows) and
-    the number of salts each needs. A hot pair's merchants spread over its
-    salts by a hash of the merchant id, and its dictionary rows are repeated
-    once per salt, so no task gets more than about threshold merchants of one
-    pair; the extra rows are bounded by merchants / threshold + pairs.
-    """
-    hp = F.broadcast(hot_pairs)
-    m = merchants.join(hp, ["mc", "pc"], "left").select(
-        *merchants.columns,
-        F.when(
-            F.col("_salts").isNotNull(), F.pmod(F.xxhash64("merchant_id"), F.col("_salts"))
-        )
-        .otherwise(F.lit(0))
-        .cast("long")
-        .alias("_salt"),
-    )
-    q = kq.join(hp, ["mc", "pc"], "left").select(
-        *kq.columns,
-        F.explode(
-            F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))
-            .otherwise(F.array(F.lit(0).cast("long")))
-        ).alias("_salt"),
-    )
-    return m.join(q, ["mc", "pc", "_salt"]).drop("_salt")
-
-
-def hot_category_pairs(catalog: DataFrame, threshold: int) -> DataFrame:
-    """``mc, pc, _salts`` for pairs with more than ``threshold`` merchants
-    that can match (a partial aggregation over the catalog)."""
-    return (
-        catalog.filter(F.col("pmax").isNotNull())
-        .groupBy("mc", "pc")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > threshold)
-        .select("mc", "pc", F.ceil(F.col("_n") / threshold).cast("long").alias("_salts"))
-    )
-
-
-def candidate_rows(
-    kq: DataFrame,
-    catalog: DataFrame,
-    items: DataFrame | str | None = None,
-    hot_pairs: DataFrame | None = None,
-) -> DataFrame:
-    """Join the scored dictionary to the catalog, filter and score.
-
-    ``items`` (``terms, merchant_id``) settles the exact-item rule (L6) by an
-    equi-join; ``NO_ITEMS`` says no key asks for items; ``None`` evaluates
-    the rule per row. ``hot_pairs`` (when the dictionary is not broadcast)
-    salts category pairs that hold many merchants."""
-    merchants = catalog.filter(F.col("pmax").isNotNull()).select(*MATCH_COLUMNS)
+def candidate_rows(merchants: DataFrame, scored: DataFrame, keys: DataFrame) -> DataFrame:
+    """Merchants x keys that pass category, distance, rating and budget, with
+    their score. ``merchants``: ``MATCH_COLUMNS`` and ``dists``."""
+    by_cat = spread_join(merchants, scored, ["mc", "pc"], ["merchant_id"], name="scored_pairs")
+    joined = spread_join(by_cat, keys.drop("n_requests"), ["cat_id"], ["merchant_id"], name="match_keys")
     ask = F.col("ask")
+    # a point outside the gazetteer has no precomputed distance
+    own = haversine_km(ask["plat"], ask["plon"], F.col("lat"), F.col("lon"))
     dist = F.when(
         ask["prox"].isNotNull(),
-        haversine_km(ask["plat"], ask["plon"], F.col("lat"), F.col("lon")),
+        F.when(F.col("point") >= 0, F.get("dists", F.col("point"))).otherwise(own),
     )
     rating = F.col("rating")
-    near = ask["prox"].isNull() | dist.isNull() | F.isnan(dist) | (dist <= ask["prox"])
+    near = ask["prox"].isNull() | F.col("dist_km").isNull() | F.isnan("dist_km") | (
+        F.col("dist_km") <= ask["prox"]
+    )
     rated = (
         ask["minr"].isNull() | rating.isNull() | F.isnan(rating) | (rating >= ask["minr"])
     )
-    bonus = F.when(dist.isNotNull(), py_max0(F.lit(PROXIMITY_BONUS) / (dist + 1))).otherwise(
-        0.0
-    )
-    if hot_pairs is None:
-        joined = merchants.join(kq, ["mc", "pc"])
-    else:
-        joined = _salted_pair_join(merchants, kq, hot_pairs)
-    if items is None:
-        has_items = items_ok(ask["terms"], F.col("names"))
-    elif isinstance(items, str):
-        has_items = ask["terms"].isNull()
-    else:
-        joined = joined.join(
-            items.select(
-                F.col("terms").alias("_terms"),
-                F.col("merchant_id").alias("_mid"),
-                F.lit(True).alias("_all_items"),
-            ),
-            (ask["terms"] == F.col("_terms")) & (F.col("merchant_id") == F.col("_mid")),
-            "left",
-        )
-        has_items = ask["terms"].isNull() | F.col("_all_items").isNotNull()
+    bonus = F.when(
+        F.col("dist_km").isNotNull(), py_max0(F.lit(PROXIMITY_BONUS) / (F.col("dist_km") + 1))
+    ).otherwise(0.0)
     return (
         joined.withColumn("dist_km", dist)
         .filter(
             near
             & rated
             & budget_ok(ask["lo"], ask["hi"], F.col("pmin"), F.col("pmax"), F.col("prices"))
-            & has_items
         )
         .withColumn("score", F.col("base") + bonus)
         .filter(F.col("score") > 0)
-        .select("ask", "merchant_id", "pos", "dist_km", "score")
+        .select("ask_id", ask["terms"].alias("terms"), "merchant_id", "pos", "dist_km", "score")
     )
 
 
 MATCH_COLUMNS = (
-    "merchant_id", "pos", "mc", "pc", "rating", "lat", "lon", "pmin", "pmax", "prices", "names",
+    "merchant_id", "pos", "mc", "pc", "rating", "lat", "lon", "pmin", "pmax", "prices",
 )
 
+
+def with_ask_id(asks: DataFrame) -> DataFrame:
+    """``asks`` with the compact id of its match key (NULL without one)."""
+    return asks.withColumn(
+        "ask_id", F.when(F.col("ask").isNotNull(), compact_id(F.col("ask")))
+    ).drop("ask")
+
+
 @dataclass
 class Ranking:
-    """Result of ``rank_keys``.
-
-    ``asks``: materialised ``request_id, ask``; ``ranked``: ``ask, rank,
-    merchant_id, pos, dist_km, score`` (at most ``k`` rows per key);
-    ``keys``: materialised ``ask, n_requests``; ``keys_bytes``: its measured
-    in-memory estimate.
-    """
+    """Result of ``rank_keys``: ``ranked`` holds ``ask_id, rank, merchant_id, pos,
+    dist_km, score`` (at most ``k`` rows per key), ``keys`` the materialised key
+    dictionary."""
 
-    asks: DataFrame
     ranked: DataFrame
     keys: DataFrame
-    keys_bytes: int
-    _hot: DataFrame | None = None
-
-    def hot_keys(self) -> DataFrame:
-        """Keys asked by more than ``dealgrid.hotKeyRows`` requests: at most
-        (number of requests / threshold) of them, so they can be broadcast."""
-        if self._hot is None:
-            limit = hot_key_rows(self.keys)
-            self._hot = materialize(
-                self.keys.filter(F.col("n_requests") > limit).select("ask"), "hot_keys"
-            )
-        return self._hot
-
-    def fan_out(
-        self, left: DataFrame, per_key: DataFrame, rows_per_key: int, how: str = "inner"
-    ) -> DataFrame:
-        """Join request rows ``left`` to a per-key table holding at most
-        ``rows_per_key`` rows per key.
-
-        When that bound times the measured key dictionary fits the broadcast
-        limit, ``per_key`` is broadcast and requests never move. Otherwise hot
-        keys are split off: their requests join a broadcast of their (few)
-        per-key rows, and the remaining keys, none above the hot threshold,
-        go through a shuffle join. A key holding a third of all requests
-        therefore never lands in one task. (AQE's skew split cannot help here:
-        the ranked side is already partitioned by the top-k window.)
-        """
-        spark = left.sparkSession
-        bound = rows_per_key * (self.keys_bytes + 64 * EXPANSION)
-        if bound <= broadcast_limit(spark):
-            return left.join(F.broadcast(per_key), "ask", how)
-        if self.hot_keys().limit(1).count() == 0:
-            # no key above the threshold: a plain shuffle join is skew-free
-            return left.join(per_key, "ask", how)
-        hot = F.broadcast(self.hot_keys())
-        # read twice below (hot rows, cold join): compute it once
-        per_key = materialize(per_key, "per_key")
-        hot_rows = per_key.join(hot, "ask", "left_semi")
-        hot_part = left.join(hot, "ask", "left_semi").join(F.broadcast(hot_rows), "ask", how)
-        cold_part = left.join(hot, "ask", "left_anti").join(per_key, "ask", how)
-        return hot_part.unionByName(cold_part)
+
+    def fan_out(self, left: DataFrame, per_key: DataFrame, how: str = "inner") -> DataFrame:
+        """Join request rows ``left`` (``request_id, ask_id, ...``) to a per-key
+        table. Requests without a key take no part in the join."""
+        return spread_join(left, per_key, ["ask_id"], ["request_id"], how, "per_key")
 
 
 def rank_keys(
@@ -388,46 +294,53 @@ def rank_keys(
     catalog: DataFrame,
     k: int = TOP_K,
     score_digits: int | None = None,
-    catalog_materialized: bool = False,
-    asks_materialized: bool = False,
+    items: DataFrame | None = None,
 ) -> Ranking:
-    """Rank once per distinct match key (see the module notes)."""
-    asks = asks.filter(F.col("ask").isNotNull()).select("request_id", "ask")
-    if not asks_materialized:
-        # read twice: key dictionary, then the fan-out join
-        asks = materialize(asks, "asks")
-    # distinct keys with their request counts (a partial aggregation: a hot
-    # key costs one row per map task)
-    keys, keys_bytes = bounded_broadcast(
-        asks.groupBy("ask").agg(F.count(F.lit(1)).alias("n_requests")), "keys"
+    """Rank once per distinct match key (see the module notes). ``items``: the
+    flat item relation (``merchant_id, name``); without it item names are taken
+    from the catalog's ``names``."""
+    keys = asks.filter(F.col("ask").isNotNull()).groupBy("ask").agg(
+        F.count(F.lit(1)).alias("n_requests")
     )
-    # Exact items are asked by some key: the J5 join and the candidate join
-    # both read the per-merchant item aggregation, so compute it once. The
-    # test reads the small key dictionary only.
-    wants_items = keys.filter(F.col("ask.terms").isNotNull()).limit(1).count() > 0
-    if wants_items and not catalog_materialized:
-        catalog = materialize(catalog.select(*MATCH_COLUMNS), "catalog")
-    kq, kq_bytes = bounded_broadcast(scored_pairs(keys, category_pairs(catalog)), "key_pairs")
-    items = None
-    if wants_items:
-        items, _ = bounded_broadcast(item_matches(keys, catalog), "item_matches")
-    hot_pairs = None
-    if kq_bytes > broadcast_limit(keys.sparkSession):
-        # the dictionary is shuffle-joined: salt category pairs holding many
-        # merchants so that one pair never sits in one task
-        hot_pairs = materialize(hot_category_pairs(catalog, hot_key_rows(keys)), "hot_pairs")
-
-    cand = candidate_rows(
-        kq, catalog, items if items is not None else NO_ITEMS, hot_pairs=hot_pairs
+    keys = materialize(
+        keys.select(
+            compact_id(F.col("ask")).alias("ask_id"),
+            "ask",
+            "n_requests",
+            compact_id(category_fields(F.col("ask"))).alias("cat_id"),
+            point_index(F.col("ask.plat"), F.col("ask.plon")).alias("point"),
+        ),
+        "keys",
     )
+    merchants = catalog.filter(F.col("pmax").isNotNull()).select(
+        *MATCH_COLUMNS, distances_km(F.col("lat"), F.col("lon")).alias("dists")
+    )
+    cats = keys.select("cat_id", category_fields(F.col("ask")).alias("fields")).distinct()
+    scored = materialize(scored_pairs(cats, category_pairs(merchants)), "scored")
+    with_terms = keys.filter(F.col("ask.terms").isNotNull())
+    if with_terms.isEmpty():
+        cand = candidate_rows(merchants, scored, keys)
+    else:
+        # only keys that name items meet the (terms, merchant) pairs of J5
+        merchants = materialize(merchants, "merchants")
+        names = (
+            catalog.select("merchant_id", F.explode("names").alias("iname"))
+            if items is None
+            else items.select("merchant_id", F.lower(F.coalesce("name", F.lit(""))).alias("iname"))
+        )
+        named = candidate_rows(merchants, scored, with_terms).join(
+            item_matches(with_terms, names), ["terms", "merchant_id"]
+        )
+        plain = candidate_rows(merchants, scored, keys.filter(F.col("ask.terms").isNull()))
+        cand = plain.unionByName(named)
     order_score = F.col("score") if score_digits is None else F.round("score", score_digits)
-    w = Window.partitionBy("ask").orderBy(order_score.desc(), F.col("pos").asc())
+    w = Window.partitionBy("ask_id").orderBy(order_score.desc(), F.col("pos").asc())
     ranked = (
         cand.withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= k)
-        .select("ask", "rank", "merchant_id", "pos", "dist_km", "score")
+        .select("ask_id", "rank", "merchant_id", "pos", "dist_km", "score")
     )
-    return Ranking(asks, ranked, keys, keys_bytes)
+    return Ranking(ranked, keys)
 
 
 def top_merchants(
@@ -435,7 +348,7 @@ def top_merchants(
     catalog: DataFrame,
     k: int = TOP_K,
     score_digits: int | None = None,
-    catalog_materialized: bool = False,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """Best ``k`` merchants per request.
 
@@ -447,7 +360,8 @@ def top_merchants(
 
     Returns ``request_id, rank, merchant_id, pos, dist_km, score``.
     """
-    r = rank_keys(asks, catalog, k, score_digits, catalog_materialized)
-    return r.fan_out(r.asks, r.ranked, k).select(
+    asks = asks.filter(F.col("ask").isNotNull()).select("request_id", "ask")
+    r = rank_keys(asks, catalog, k, score_digits, items)
+    return r.fan_out(with_ask_id(asks), r.ranked).select(
         "request_id", "rank", "merchant_id", "pos", "dist_km", "score"
     )

@@ -54,7 +54,7 @@ def request_asks(
     else:
         # customers too large to broadcast: a customer holding many requests
         # must not put them all in one task
-        joined = split_hot_join(keyed, cust, "_req_key", "_cust_key", "left")
+        joined = split_hot_join(keyed, cust, "_req_key", "_cust_key", ["request_id"], "left")
     status = (
         F.when(F.col("_known").isNull(), F.lit(CUSTOMER_NOT_FOUND))
         .when(F.col("intent_status") != OK, F.col("intent_status"))

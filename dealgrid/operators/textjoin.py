@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.plans.sizing import bounded_broadcast, broadcast_limit
-from dealgrid.plans.skew import split_hot_join
+from dealgrid.plans.skew import spread_join
 
 GRAM = 3
 EVERY_TEXT = "\u0001all"
@@ -50,8 +49,9 @@ def contains_pairs(terms: DataFrame, term_col: str, texts: DataFrame, text_col:
     )
     left = t.select("_term", term_token(F.col("_term")).alias("_tok"))
     right = x.select("_text", F.explode(text_tokens(F.col("_text"))).alias("_tok"))
+    # one gram (or the empty term's token) may be in every text
     return (
-        left.join(right, "_tok")
+        spread_join(right, left, ["_tok"], ["_text"], name="term_tokens")
         .filter(F.col("_text").contains(F.col("_term")))
         .select(F.col("_term").alias(term_col), F.col("_text").alias(text_col))
         .distinct()
@@ -70,18 +70,13 @@ def sets_fully_contained(
     """
     set_terms = term_sets.select(set_col, F.explode(set_col).alias("_t")).distinct()
     owner_texts = texts.select(owner_col, text_col).distinct()
-    # the hits are a dictionary (term x text): written once and measured
-    hits, hits_bytes = bounded_broadcast(contains_pairs(set_terms, "_t", owner_texts, text_col), "text_hits")
-    if hits_bytes <= broadcast_limit(hits.sparkSession):
-        owner_terms = owner_texts.join(hits, text_col)
-    else:
-        # a text shared by many owners (one item name across many merchants)
-        # must not sit in one task: hot texts join a broadcast of their hits
-        hits_keyed = hits.select("_t", F.col(text_col).alias("_hit_text"))
-        owner_terms = split_hot_join(owner_texts, hits_keyed, text_col, "_hit_text")
+    hits = contains_pairs(set_terms, "_t", owner_texts, text_col)
+    # a text may belong to very many owners (one item name across merchants), and a
+    # term may hit very many of them
+    owner_terms = spread_join(owner_texts, hits, [text_col], [owner_col], name="text_hits")
     owner_terms = owner_terms.select(owner_col, "_t").distinct()
     return (
-        set_terms.join(owner_terms, "_t")
+        spread_join(owner_terms, set_terms, ["_t"], [owner_col], name="set_terms")
         .groupBy(set_col, owner_col)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") == F.size(F.array_distinct(set_col)))

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from dealgrid.functions.pricing import with_price_bounds
 from dealgrid.operators import decode, exposure, render
-from dealgrid.operators.catalog import SUMMARY_ITEMS, build_catalog, flatten_items
+from dealgrid.operators.catalog import build_catalog, flatten_items
 from dealgrid.operators.intent import OK, fixture_intents, r1_flag
-from dealgrid.operators.match import TOP_K, rank_keys, top_merchants
+from dealgrid.operators.match import rank_keys, top_merchants, with_ask_id
 from dealgrid.operators.requests import request_asks
 from dealgrid.operators.textjoin import contains_pairs, sets_fully_contained
 from dealgrid.plans.sizing import materialize, work_dir
+from dealgrid.plans.skew import split_hot_join, spread_join
 from dealgrid.sources import convlog, fixtures, jsonl
 from dealgrid.streaming.exposure_stream import run_exposure_stream
 
@@ -58,7 +59,7 @@ def match_all_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-10 merchants for every request, every rule of the scorer."""
     fx = fixtures.relations(spark, sf_dir)
     asks = request_asks(fixture_requests(fx), fx["fx_customers"])
-    offers = top_merchants(asks, _catalog(fx), score_digits=DIGITS)
+    offers = top_merchants(asks, _catalog(fx), score_digits=DIGITS, items=fx["fx_items"])
     return _offers_out(offers)
 
 
@@ -75,7 +76,7 @@ def match_food_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(_intents(fx), "intent_id")
     )
     asks = request_asks(requests, fx["fx_customers"])
-    offers = top_merchants(asks, _catalog(fx), score_digits=DIGITS)
+    offers = top_merchants(asks, _catalog(fx), score_digits=DIGITS, items=fx["fx_items"])
     return _offers_out(offers)
 
 
@@ -86,12 +87,11 @@ def price_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = fixtures.relations(spark, sf_dir)
     b = F.col("budget")
     inf = float("inf")
-    r = fx["fx_requests"].join(
-        F.broadcast(fx["fx_intents"].select("intent_id", "price_range")), "intent_id"
-    )
+    # each distinct text is parsed once
+    parsed = with_price_bounds(fx["fx_intents"].select("intent_id", "price_range"), "price_range")
+    r = fx["fx_requests"].join(F.broadcast(parsed), "intent_id")
     return (
-        with_price_bounds(r, "price_range")
-        .select(
+        r.select(
             F.col("request_id").cast("bigint").alias("request_id"),
             b["lo"].alias("price_lo"),
             F.when(b["hi"] != inf, b["hi"]).alias("price_hi"),
@@ -120,7 +120,7 @@ def match_exact_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("terms")
         .agg(F.count(F.lit(1)).alias("n_merchants"))
     )
-    return reqs.join(full, "terms", "left").select(
+    return spread_join(reqs, full, ["terms"], ["request_id"], "left").select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.coalesce("n_merchants", F.lit(0)).cast("bigint").alias("n_merchants"),
     )
@@ -153,18 +153,17 @@ def match_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     set_texts = set_terms.join(hits, "pref").select("prefs", "text").distinct()
     per_pair = pair_texts.join(set_texts, "text").select("prefs", "mc", "pc", "n").distinct()
     per_set = per_pair.groupBy("prefs").agg(F.sum("n").alias("n_boosted"))
-    return reqs.join(per_set, "prefs", "left").select(
+    return spread_join(reqs, per_set, ["prefs"], ["request_id"], "left").select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.coalesce("n_boosted", F.lit(0)).cast("bigint").alias("n_boosted"),
     )
 
 
-def _outcomes(fx: dict[str, DataFrame]):
-    asks = materialize(
-        request_asks(fixture_requests(fx), fx["fx_customers"]), "request_asks"
-    )
-    ranking = rank_keys(asks, _catalog(fx), score_digits=DIGITS, asks_materialized=True)
-    return asks, ranking
+def _outcomes(fx: dict[str, DataFrame], catalog: DataFrame | None = None):
+    """Requests (``request_id, customer_id, status, ask_id``) and the ranking."""
+    asks = request_asks(fixture_requests(fx), fx["fx_customers"])
+    ranking = rank_keys(asks, catalog or _catalog(fx), score_digits=DIGITS, items=fx["fx_items"])
+    return with_ask_id(asks), ranking
 
 
 def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,11 +172,11 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched request gets the no-text fallback message."""
     fx = fixtures.relations(spark, sf_dir)
     asks, ranking = _outcomes(fx)
-    per_key = ranking.ranked.groupBy("ask").agg(
+    per_key = ranking.ranked.groupBy("ask_id").agg(
         F.count(F.lit(1)).alias("n_offers"),
         F.min_by("merchant_id", "rank").alias("top_merchant_id"),
     )
-    j = ranking.fan_out(asks, per_key, 1, "left")
+    j = ranking.fan_out(asks, per_key, "left")
     n = F.coalesce("n_offers", F.lit(0))
     status = (
         F.when(F.col("status") != OK, F.col("status"))
@@ -206,14 +205,17 @@ def match_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         typed, "request_id"
     )
     asks = request_asks(requests, fx["fx_customers"])
-    return _offers_out(top_merchants(asks, _catalog(fx), score_digits=DIGITS))
+    return _offers_out(top_merchants(asks, _catalog(fx), score_digits=DIGITS, items=fx["fx_items"]))
 
 
 def unknown_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests whose customer id is not in the customer table (anti-join)."""
     fx = fixtures.relations(spark, sf_dir)
     cust = fx["fx_customers"].select(F.col("consumer_id").alias("customer_id"))
-    return fx["fx_requests"].join(cust, "customer_id", "left_anti").select(
+    requests = fx["fx_requests"]
+    return split_hot_join(
+        requests, cust, "customer_id", "customer_id", ["request_id"], "left_anti"
+    ).select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("customer_id").cast("bigint").alias("customer_id"),
     )
@@ -316,12 +318,12 @@ def offer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     position, items without a price skipped. Rendered once per (match key,
     merchant), then fanned out to the requests sharing the key."""
     fx = fixtures.relations(spark, sf_dir)
-    asks, ranking = _outcomes(fx)
-    cat = _catalog(fx).select("merchant_id", "top_items")
-    lines = ranking.ranked.join(cat, "merchant_id").select(
-        "ask", "rank", F.explode(render.item_lines(F.col("top_items"))).alias("it")
+    catalog = materialize(_catalog(fx), "catalog")
+    asks, ranking = _outcomes(fx, catalog)
+    lines = ranking.ranked.join(catalog.select("merchant_id", "top_items"), "merchant_id").select(
+        "ask_id", "rank", F.explode(render.item_lines(F.col("top_items"))).alias("it")
     )
-    return ranking.fan_out(asks, lines, TOP_K * SUMMARY_ITEMS).select(
+    return ranking.fan_out(asks, lines).select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("rank").cast("bigint").alias("rank"),
         F.col("it.pos").cast("bigint").alias("item_pos"),
@@ -337,15 +339,15 @@ def offer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     distance to one decimal when known."""
     fx = fixtures.relations(spark, sf_dir)
     asks, ranking = _outcomes(fx)
-    names = _catalog(fx).select("merchant_id", "name")
+    names = fx["fx_merchants"].select("merchant_id", "name")
     lines = ranking.ranked.join(names, "merchant_id").select(
-        "ask",
+        "ask_id",
         "rank",
         "merchant_id",
         render.listing_label(F.col("rank"), F.col("name"), F.col("merchant_id")).alias("label"),
         F.bround("dist_km", 1).alias("distance_km"),
     )
-    return ranking.fan_out(asks, lines, TOP_K).select(
+    return ranking.fan_out(asks, lines).select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("rank").cast("bigint").alias("rank"),
         F.col("merchant_id").cast("bigint").alias("merchant_id"),
@@ -354,19 +356,19 @@ def offer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _offer_summaries(fx: dict[str, DataFrame], ranked: DataFrame) -> DataFrame:
-    """``ask, summary``: the merchant blocks of a key in rank order (P4),
+def _offer_summaries(catalog: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``ask_id, summary``: the merchant blocks of a key in rank order (P4),
     rendered once per key (at most k blocks each)."""
-    cat = _catalog(fx).select("merchant_id", "name", "primary_category", "rating", "top_items")
+    cat = catalog.select("merchant_id", "name", "primary_category", "rating", "top_items")
     blocks = ranked.join(cat, "merchant_id").select(
-        "ask",
+        "ask_id",
         "rank",
         render.merchant_block(
             F.col("name"), F.col("primary_category"), F.col("rating"), F.col("dist_km"),
             F.col("top_items"),
         ).alias("block"),
     )
-    return blocks.groupBy("ask").agg(
+    return blocks.groupBy("ask_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"]),
             "\n",
@@ -381,10 +383,10 @@ BATCH_LOG_TIME = "2024-06-01T00:00:00"
 
 def _batch_log_rows(fx: dict[str, DataFrame]) -> DataFrame:
     asks, ranking = _outcomes(fx)
-    per_key = ranking.ranked.groupBy("ask").agg(
+    per_key = ranking.ranked.groupBy("ask_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "merchant_id"))).alias("picks")
     )
-    j = ranking.fan_out(asks, per_key, 1, "left")
+    j = ranking.fan_out(asks, per_key, "left")
     ids = F.coalesce(
         F.transform(F.col("picks"), lambda p: p["merchant_id"]), F.array().cast("array<bigint>")
     )
@@ -447,7 +449,7 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     intents = fx["fx_intents"]
     r = fx["fx_requests"].join(F.broadcast(intents), "intent_id")
     cust = fx["fx_customers"].join(_transactions(fx), "consumer_id", "left")
-    j = r.join(cust.withColumnRenamed("consumer_id", "customer_id"), "customer_id")
+    j = split_hot_join(r, cust, "customer_id", "consumer_id", ["request_id"])
     text = _request_text()
     intent_json = F.to_json(F.struct(*[F.col(c) for c in intents.columns if c != "intent_id"]))
     profile = render.profile_text()
@@ -461,8 +463,9 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_three = j.select("request_id", F.explode(steps).alias("p")).filter(
         F.col("p.text").isNotNull()
     )
-    asks, ranking = _outcomes(fx)
-    summaries = ranking.fan_out(asks, _offer_summaries(fx, ranking.ranked), 1).select(
+    catalog = materialize(_catalog(fx), "catalog")
+    asks, ranking = _outcomes(fx, catalog)
+    summaries = ranking.fan_out(asks, _offer_summaries(catalog, ranking.ranked)).select(
         "request_id", "summary"
     )
     offer = j.join(summaries, "request_id").select(

@@ -1,12 +1,21 @@
-"""Hot-key isolation for joins whose large side may hold a hot key.
-
-A key may hold a third of all rows of the large side. In a shuffle join all
-of them land in one task. ``split_hot_join`` counts rows per key on the
-large side (a partial aggregation), takes the keys above
-``dealgrid.hotKeyRows`` (at most rows ÷ threshold of them, so a proven
-bound), joins their rows to a broadcast of the other side's matching rows,
-and shuffle-joins everything else, where no key exceeds the threshold. The
-result equals the plain join for inner and left joins.
+"""Joins whose large side may hold a hot key (or many NULL keys).
+
+A key may hold a third of all rows of the large side; in a plain shuffle join
+all of them land in one task. Two forms:
+
+* ``spread_join(big, small, on, spread)``: ``small`` is written and measured;
+  under the broadcast limit it is broadcast, rows with their payload counted.
+  Otherwise the join is salted: rows of ``big`` are dealt to ``SALTS`` tasks per
+  key by a hash of ``spread`` and ``small`` is repeated for each. For dictionaries
+  against a larger table.
+* ``split_hot_join(big, other, ...)``: for two large tables, where repeating
+  ``other`` would cost too much. The ``MAX_HOT_KEYS`` most
+  frequent keys of ``big`` above ``dealgrid.hotKeyRows`` rows are hot. Their rows
+  join as in ``spread_join``; the rest is shuffle-joined, and no key of it holds
+  more than the threshold or 1 / ``MAX_HOT_KEYS`` of the rows.
+
+Rows of ``big`` whose key is NULL never match; left and anti joins keep them
+beside the join, so they are not shuffled to one task.
 """
 
 from __future__ import annotations
@@ -14,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.plans.sizing import materialize
+from dealgrid.plans.sizing import broadcast_limit, materialize, relation_bytes
 
 HOT_KEY_CONF = "dealgrid.hotKeyRows"
 DEFAULT_HOT_KEY_ROWS = 1_000_000
+MAX_HOT_KEYS = 1_000
+SALTS = 16
 
 
 def hot_key_rows(df: DataFrame) -> int:
@@ -36,34 +47,68 @@ def planner_broadcasts(df: DataFrame) -> bool:
     return 0 <= estimated_bytes(df) <= limit
 
 
+def salted_join(
+    big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner"
+) -> DataFrame:
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    return left.join(small.withColumn("_salt", salts), [*on, "_salt"], how).drop("_salt")
+
+
+def spread_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    spread: list[str],
+    how: str = "inner",
+    name: str = "dictionary",
+) -> DataFrame:
+    """``big`` joined to the dictionary ``small`` on equal columns ``on``."""
+    nulls = None
+    if how in ("left", "left_anti"):
+        some_null = F.lit(False)
+        for c in on:
+            some_null = some_null | F.col(c).isNull()
+        nulls, big = big.filter(some_null), big.filter(~some_null)
+    small = materialize(small, name)
+    if relation_bytes(small) <= broadcast_limit(big.sparkSession):
+        out = big.join(F.broadcast(small), on, how)
+    else:
+        out = salted_join(big, small, on, spread, how)
+    return out if nulls is None else out.unionByName(nulls, allowMissingColumns=True)
+
+
 def split_hot_join(
-    big: DataFrame, other: DataFrame, big_key: str, other_key: str, how: str = "inner"
+    big: DataFrame,
+    other: DataFrame,
+    big_key: str,
+    other_key: str,
+    spread: list[str],
+    how: str = "inner",
 ) -> DataFrame:
-    """``big`` joined to ``other`` on ``big[big_key] == other[other_key]``,
-    hot keys of ``big`` isolated. The broadcast part holds ``other``'s rows
-    for the hot keys: at most (hot keys x rows per key of ``other``), which
-    callers keep small (customers are unique per id; a text has one hit per
-    requested term)."""
-    threshold = hot_key_rows(big)
+    """``big`` joined to ``other`` on ``big[big_key] == other[other_key]`` (how:
+    inner, left or left_anti), hot keys of ``big`` isolated."""
+    keyed = other.withColumnRenamed(other_key, big_key)
+    nulls = big.filter(F.col(big_key).isNull()) if how != "inner" else None
+    big = big.filter(F.col(big_key).isNotNull())
     # counting reads only the key column of ``big``
-    hot = materialize(
-        big.groupBy(big_key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > threshold)
-        .select(F.col(big_key).alias("_hot_key")),
-        "hot_keys",
-    )
-    cond = F.col(big_key) == F.col(other_key)
-    if hot.limit(1).count() == 0:
+    counts = big.groupBy(big_key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(counts.filter(F.col("_n") > hot_key_rows(big)), "key_counts")
+    if counts.isEmpty():
         # no key above the threshold: the plain join has no hot partition
-        return big.join(other, cond, how)
-    # read three times below (counts, hot part, cold part): compute it once
-    big = materialize(big, "split_input")
-    hot_b = F.broadcast(hot)
-    on_hot = F.col(big_key) == F.col("_hot_key")
-    big_hot = big.join(hot_b, on_hot, "left_semi")
-    big_cold = big.join(hot_b, on_hot, "left_anti")
-    other_hot = other.join(hot_b, F.col(other_key) == F.col("_hot_key"), "left_semi")
-    hot_part = big_hot.join(F.broadcast(other_hot), cond, how)
-    cold_part = big_cold.join(other, cond, how)
-    return hot_part.unionByName(cold_part)
+        out = big.join(keyed, big_key, how)
+    else:
+        # at most MAX_HOT_KEYS rows: the largest counts
+        hot = F.broadcast(
+            materialize(counts.orderBy(F.desc("_n"), big_key).limit(MAX_HOT_KEYS).select(big_key), "hot_keys")
+        )
+        # read twice below (hot part, cold part): compute it once
+        big = materialize(big, "split_input")
+        hot_part = spread_join(
+            big.join(hot, big_key, "left_semi"),
+            keyed.join(hot, big_key, "left_semi"),
+            [big_key], spread, how, "hot_rows",
+        )
+        cold_part = big.join(hot, big_key, "left_anti").join(keyed, big_key, how)
+        out = hot_part.unionByName(cold_part)
+    return out if nulls is None else out.unionByName(nulls, allowMissingColumns=True)

@@ -64,8 +64,6 @@ SELECT l.l_suppkey AS merchant_id, l.l_partkey AS pos, p.p_name AS name,
  CASE WHEN l.l_partkey % 43 = 0 THEN 150e0
       ELSE min(l.l_discount) * 1e2 END AS discount_percent
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_partkey % 97 IN (l.l_suppkey % 97, (l.l_suppkey * 5 + 1) % 97)
-  AND l.l_suppkey % 17 <> 5
 GROUP BY l.l_suppkey, l.l_partkey, p.p_name""",
     "fx_customers": """
 SELECT c.c_custkey AS consumer_id, c.c_name AS name, c.c_mktsegment AS occupation,
@@ -80,12 +78,10 @@ JOIN (VALUES (0,'Orchard'),(1,'Tanjong Pagar'),(2,'MARINA BAY'),(3,'Jurong'),
  (18,'Harbourfront'),(19,'Tanglin'),(20,'Mandai'),(21,'Nowhere'),(22,NULL)) AS d(i, v)
   ON c.c_custkey % 23 = d.i""",
     "fx_transactions": """
-SELECT consumer_id, pos, merchant_id, amount, category FROM (
- SELECT o.o_custkey AS consumer_id,
-  row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS pos,
-  o.o_orderkey % 100 AS merchant_id, o.o_totalprice AS amount,
-  o.o_orderpriority AS category FROM orders o) t
-WHERE pos <= 4""",
+SELECT o.o_custkey AS consumer_id,
+ row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS pos,
+ o.o_orderkey % 100 AS merchant_id, o.o_totalprice AS amount,
+ o.o_orderpriority AS category FROM orders o""",
     "fx_intents": """
 SELECT intent_id, category, price_range, CAST(proximity_km AS DOUBLE) AS proximity_km,
  CAST(min_rating AS DOUBLE) AS min_rating, exact_items, cuisine, atmosphere,

@@ -1,6 +1,6 @@
 """The plan a large cluster runs: no dictionary fits the broadcast limit, so
-every join the library would broadcast is a shuffle join, and keys asked by
-many requests are split off the fan-out join. Results must not change."""
+every join the library would broadcast is a salted shuffle join, and hot customers
+are split off theirs. Results must not change, and no task may get a hot key whole."""
 
 from __future__ import annotations
 
@@ -62,8 +62,6 @@ def test_shuffle_joins_give_the_same_answer(no_broadcast, name):
     want = _norm(con.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
     assert got == want
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
-    if name not in ("log_union", "match_exact_items"):
-        assert "Union" in plan  # hot and cold halves of the fan-out
 
 
 def test_hot_customer_split_equals_plain_join(spark):
@@ -95,33 +93,81 @@ def test_hot_customer_split_equals_plain_join(spark):
     assert split == plain and len(plain) == 1500
 
 
-def test_salted_category_pairs_give_the_same_answer(spark):
-    """Every category pair with more than one merchant is salted (threshold
-    1) on the shuffle path; the match must equal the oracle."""
-    sf = "/root/testdata/sf0.01"
-    keys = (BROADCAST_LIMIT_CONF, HOT_KEY_CONF, "spark.sql.autoBroadcastJoinThreshold",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    old = {k: spark.conf.get(k, None) for k in keys}
-    spark.conf.set(BROADCAST_LIMIT_CONF, "0")
-    spark.conf.set(HOT_KEY_CONF, "1")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+def _rows_per_task(df):
+    from pyspark.sql import functions as F
+
+    return sorted(
+        r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    )
+
+
+def test_no_task_gets_a_hot_or_null_key_whole(no_broadcast):
+    """Most rows share one key or have none: with broadcasts off, the salted join
+    deals the key's rows to many tasks and keeps NULL keys out of the shuffle."""
+    from pyspark.sql import functions as F
+
+    from dealgrid.plans.skew import SALTS, spread_join
+
+    spark = no_broadcast
+    n = 32_000
+    key = F.when(F.col("id") % 4 == 0, F.col("id")).when(F.col("id") % 4 == 1, F.lit(None)).otherwise(F.lit(7))
+    big = spark.range(n).select(F.col("id").alias("row"), key.alias("k")).repartition(8)
+    small = spark.range(0, n, 5).select(F.col("id").alias("k"), F.lit("x").alias("payload")).union(
+        spark.createDataFrame([(7, "seven")], "k long, payload string")
+    )
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        df = entry.queries()["match_all_intents"](spark, sf)
-        cols = sorted(df.columns)
-        got = _norm(df.select(*cols).collect())
+        out = spread_join(big, small, ["k"], ["row"], "left")
+        hot = _rows_per_task(out.filter("k = 7"))
+        null = _rows_per_task(out.filter("k is null"))
+        got = sorted(tuple(r) for r in out.select("row", "payload").fillna("").collect())
     finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    con = duckdb.connect()
-    for t in DRIVER_TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    sql = entry.oracle_sql()["match_all_intents"]
-    want = _norm(con.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
-    from dealgrid.operators.match import hot_category_pairs
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    want = sorted(tuple(r) for r in big.join(small, "k", "left").select("row", "payload").fillna("").collect())
+    assert got == want and len(got) == n
+    assert len(hot) >= SALTS // 2 and hot[-1] < n / 2 / 3
+    assert len(null) == 8 and null[-1] < 2 * n / 4 / 8
+
+
+def test_hot_keys_are_at_most_a_fixed_number(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from dealgrid.plans import skew
+
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 2)
+    old = spark.conf.get(HOT_KEY_CONF, None)
+    spark.conf.set(HOT_KEY_CONF, "10")
+    try:
+        big = spark.range(1000).select(F.col("id"), (F.col("id") % 5).alias("k"))
+        big = big.unionByName(spark.range(3).select("id", F.lit(None).cast("long").alias("k")))
+        other = spark.range(4).select(F.col("id").alias("o"), F.col("id").alias("v"))
+        for how in ("inner", "left", "left_anti"):
+            got = skew.split_hot_join(big, other, "k", "o", ["id"], how)
+            want = big.join(other.withColumnRenamed("o", "k"), "k", how)
+            assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset(HOT_KEY_CONF) if old is None else spark.conf.set(HOT_KEY_CONF, old)
+
+
+def test_category_fields_do_not_multiply_with_budgets(spark):
+    """Category scoring runs once per distinct category fields, however many
+    budgets, radii and points the keys have."""
+    from pyspark.sql import functions as F
+
+    from dealgrid.operators.match import category_fields, compact_id, scored_pairs
+    from dealgrid.operators.requests import request_asks
     from dealgrid.plans import queries
     from dealgrid.sources import fixtures
 
-    catalog = queries._catalog(fixtures.relations(spark, sf))  # noqa: SLF001
-    assert hot_category_pairs(catalog, 1).count() > 0  # salting had pairs to split
-    assert got == want
+    fx = fixtures.relations(spark, "/root/testdata/sf0.01")
+    asks = request_asks(queries.fixture_requests(fx), fx["fx_customers"]).filter("ask is not null")
+    n_keys = asks.select("ask").distinct().count()
+    cats = asks.select(
+        compact_id(category_fields(F.col("ask"))).alias("cat_id"), category_fields(F.col("ask")).alias("fields")
+    ).distinct()
+    assert cats.count() * 5 < n_keys
+    pairs = fx["fx_merchants"].select(F.lit("spa").alias("mc"), F.lit("food").alias("pc")).distinct()
+    assert scored_pairs(cats, pairs).count() <= cats.count()
