@@ -31,10 +31,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import list_column, split_words, table, whole_text
+from dealgrid.llm.common import list_column, table, whole_text
 from dealgrid.plans.sizing import materialize
 
 DOMAINS = ("high", "low", "toxic")
@@ -48,9 +49,13 @@ EPOCHS, STEP = 6, 0.5
 KEEP = 1e-3
 STEPS, TOLERANCE, STILL = 60, 5e-4, 1e-4
 
-PUNCTUATION = ".,;:!?*#$%&|<>()[]{}\"'"
-SYMBOLS = "#*$%&|<>!"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Between words: blanks and ASCII punctuation.
+BETWEEN = r"[\x09-\x0D -/:-@\[-`{-~]+"
+#: Bytes whose shares of a text are features besides its words.
+SYMBOLS = np.frombuffer(b"#*$%&|<>!", np.uint8)
+CAPITALS = np.arange(ord("A"), ord("Z") + 1)
+#: Spark's hash of the empty text, which ``split`` leaves at the ends of a text.
+NO_WORD = np.int64(xxhash.xxh64_intdigest(b"", seed=42) - (1 << 64))
 
 
 @dataclass
@@ -68,20 +73,25 @@ class Classifier:
 
 
 def features(df: DataFrame, kept: list[str], text_col: str = "text") -> DataFrame:
-    """The ``kept`` columns, hashed words, and the roots of the shares of symbols
-    and of capitals."""
-    text = whole_text(F.col(text_col))
-    plain = F.translate(text, UPPER + PUNCTUATION, UPPER.lower() + " " * len(PUNCTUATION))
-    hashed = F.transform(split_words(plain), lambda w: F.xxhash64(w))
-    size = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: F.sqrt((F.length(text) - F.length(F.translate(text, chars, ""))) / size)
+    """The ``kept`` columns, the text's bytes and its hashed words."""
+    words = F.split(F.lower(whole_text(F.col(text_col))), BETWEEN)
     return df.select(
-        *kept, hashed.alias("words"), F.array(share(SYMBOLS), share(UPPER)).alias("marks")
+        *kept,
+        F.col(text_col).cast("binary").alias("_text"),
+        F.transform(words, lambda w: F.xxhash64(w)).alias("_words"),
     )
 
 
-def distinct(words: np.ndarray) -> np.ndarray:
-    return np.unique(words & (FEATURES - 1))
+def vectors(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each text: number of words, buckets of its distinct words, and the roots
+    of its shares of symbols and of capitals."""
+    flat, at = list_column(batch, "_words")
+    for i, raw in enumerate(batch.column("_text").to_pylist()):
+        words = flat[at[i] : at[i + 1]]
+        words = words[words != NO_WORD]
+        seen = np.bincount(np.frombuffer(raw or b"", np.uint8), minlength=256)
+        share = np.array([seen[SYMBOLS].sum(), seen[CAPITALS].sum()]) / max(1, seen.sum())
+        yield len(words), np.unique(words & (FEATURES - 1)), np.sqrt(share).astype(np.float32)
 
 
 def fit(
@@ -97,17 +107,28 @@ def fit(
         .limit(SAMPLE_ROWS)
     )
     found = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
-    found = features(found, [id_col, "domain"], text_col)
-    rows = found.select(
-        id_col, "domain", "marks", F.array_distinct(
-            F.transform("words", lambda w: F.pmod(w, F.lit(FEATURES)).cast("int"))
-        ).alias("words")
-    ).toPandas().sort_values([id_col, "domain"])
+    found = features(found.withColumn("_id", F.col(id_col).cast("string")), ["_id", "domain"], text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(vectors(batch))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([w.astype(np.int32) for _, w, _ in found], pa.list_(pa.int32())),
+                    pa.array([m for _, _, m in found], pa.list_(pa.float32())),
+                ],
+                ["id", "domain", "words", "marks"],
+            )
+
+    rows = found.mapInArrow(run, "id string, domain int, words array<int>, marks array<float>")
+    rows = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["id"], r["domain"], r["words"]))
     model = Classifier()
     order = np.random.Generator(np.random.PCG64(6))
-    words = [np.sort(np.asarray(w, np.int64)) for w in rows["words"]]
-    marks = [np.asarray(m, np.float32) for m in rows["marks"]]
-    domains = rows["domain"].to_numpy()
+    words = [np.array(r["words"], np.int64) for r in rows]
+    marks = [np.array(r["marks"], np.float32) for r in rows]
+    domains = [r["domain"] for r in rows]
     grown = np.full_like(model.weights, 1e-3)
     grown_marks, grown_bias = np.full_like(model.marks, 1e-3), np.full_like(model.bias, 1e-3)
     for _ in range(EPOCHS):
@@ -136,16 +157,12 @@ def posteriors(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Classifier(*shared.value)
         for batch in batches:
-            flat, at = list_column(batch, "words")
-            marks = list_column(batch, "marks")[0].reshape(-1, 2)
-            out = [
-                known.posterior(distinct(flat[a:b]), m)
-                for a, b, m in zip(at[:-1], at[1:], marks, strict=True)
-            ]
+            found = list(vectors(batch))
+            out = [known.posterior(w, m) for _, w, m in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.diff(at), pa.int64()),
+                    pa.array([n for n, _, _ in found], pa.int64()),
                     pa.array([p.astype(float) for p in out], pa.list_(pa.float64())),
                 ],
                 [id_col, "n_tokens", "posterior"],
