@@ -14,13 +14,16 @@ from dealgrid.plans.sizing import materialize
 SALTS = 16
 
 
-def salted_join(big: DataFrame, one: DataFrame, key: str, spread: Column, how: str) -> DataFrame:
+def salted_join(
+    big: DataFrame, one: DataFrame, key: str | list[str], spread: Column, how: str
+) -> DataFrame:
     """``big`` joined with ``one`` (at most one row a key, and few keys
     against ``big``) on ``key``. A key's rows in ``big`` are dealt to
     ``SALTS`` partitions by ``spread``; ``one`` is repeated for each."""
+    on = [key] if isinstance(key, str) else key
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    return left.join(one.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
+    return left.join(one.withColumn("_salt", salts), [*on, "_salt"], how).drop("_salt")
 
 
 def _checksum(edges: DataFrame) -> tuple:

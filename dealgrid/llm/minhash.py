@@ -6,21 +6,24 @@
    hashed to band keys. Equal sets share a digest and are one node, its id the
    smallest doc_id, so thousands of exact copies cost nothing later.
 2. Candidates: nodes that share a band key. At a Jaccard similarity of 0.8 a
-   pair shares no band with probability (1 - 0.8^4)^32 < 5e-8. First each node
-   is paired with the smallest node of each of its buckets (as many pairs as
-   nodes, however large the bucket), and links found so are joined into
-   components. Then, only in buckets that still hold several components, nodes
-   of different components are compared in blocks of ``BLOCK`` by bit counts,
-   so no link between different components is left out and no pair inside a
-   component is made.
-3. Before their sets are fetched, pairs are dropped whose collision-corrected
-   estimate lies over ``DEVIATIONS`` standard deviations under the threshold.
-4. Every remaining pair is confirmed on the full sets, and components of the
-   confirmed links are numbered by their smallest doc_id.
+   pair shares no band with probability (1 - 0.8^4)^32 < 5e-8. Every node is tied to
+   the smallest node of each of its buckets (as many ties as nodes, however large
+   the bucket); the components of the ties are *families*, outside which no
+   pair shares a band. A family of more than ``MOST_FAMILY`` nodes is compared bucket
+   by bucket instead, so that a chain of chance ties cannot make one huge group.
+3. Groups are compared in pairs of parts of about ``BLOCK`` nodes (or
+   ``BLOCK_SHINGLES`` shingles) each, whole sets at hand.
+   A pair is looked at only while its nodes are not yet connected inside the block,
+   fits in size, and is estimated, by counting equal bits and correcting for
+   chance, to lie at most ``DEVIATIONS`` standard deviations under the threshold; it
+   is a link only if its full sets confirm it. A block returns a spanning forest of
+   its links: no link between different components is lost, and the rows
+   returned are fewer than the nodes.
+4. Components of the links are numbered by their smallest doc_id.
 
 Hot groups: equal sets are aggregated by digest with map-side partial results,
-joins with hot buckets and hot hubs are salted, blocks bound what one task holds.
-Intermediate tables are written to the shared checkpoint folder.
+joins with hot buckets and hubs are salted, blocks bound what a task compares at
+once. Intermediate tables are written to the shared checkpoint folder.
 
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing; texts of fewer words than a shingle are one shingle; ties take the
@@ -50,13 +53,14 @@ from dealgrid.llm.common import (
     word_hashes,
 )
 from dealgrid.llm.graph import components, salted_join
-from dealgrid.plans.sizing import materialize
+from dealgrid.plans.sizing import materialize, measured_broadcast
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BANDS = PERMUTATIONS // ROWS
 DEVIATIONS = 6
-BLOCK = 512
-HUB_PARTS = 32
+#: A part of a group holds about so many nodes and shingles.
+BLOCK, BLOCK_SHINGLES = 512, 200_000
+MOST_FAMILY = 20_000
 
 _draw = np.random.Generator(np.random.PCG64(8))
 FACTORS = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,60 +166,84 @@ def _sets(hashed: DataFrame, width: int) -> DataFrame:
             flat, at = list_column(batch, "h")
             flat = flat.view(np.uint64)
             rows = [
-                shingle_set(flat[a:b], width).view(np.int64)
+                shingle_set(flat[a:b], width).tobytes()
                 for a, b in zip(at[:-1], at[1:], strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "shingles"]
+                [batch.column(0), pa.array(rows, pa.binary())], ["node", "shingles"]
             )
 
-    return hashed.mapInArrow(run, "node long, shingles array<long>")
-
-
-def _near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one block of a bucket, of different components, of fitting
-    sizes, and estimated near the threshold. ``rows``: block, side, node,
-    component, n, sig; all of a block lie side by side in a partition."""
-    least = least_estimate(threshold)
-
-    def pairs(block: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
-        sig, node, comp, n = (block[k] for k in ("sig", "node", "component", "n"))
-        for i in range(len(node) - 1):
-            other = slice(i + 1, None)
-            small, large = np.minimum(n[i], n[other]), np.maximum(n[i], n[other])
-            fits = (comp[other] != comp[i]) & (small >= threshold * large) & (node[other] != node[i])
-            if block["parts"]:
-                fits &= block["side"][other] != block["side"][i]
-            where = i + 1 + np.flatnonzero(fits)
-            where = where[similarity(sig[where], sig[i]) >= least]
-            if len(where):
-                yield np.stack([np.full(len(where), node[i]), node[where]], axis=1)
+    return hashed.mapInArrow(run, "node long, shingles binary")
+
+
+def confirmed(
+    node: np.ndarray, side: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int, across: bool
+) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the nodes of a block (``across``: only
+    between its two sides)."""
+    n = np.array([len(s) for s in sets])
+    least = least_estimate(percent / 100)
+    # rows of each shingle, to intersect one set with all others at once
+    shingle, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(flat, kind="stable")
+    rows_of, first = row[order], np.searchsorted(flat[order], np.arange(len(shingle) + 1))
+    own = np.split(flat, np.cumsum(n)[:-1])
+    label = np.arange(len(node))
+    links = []
+    # sets alike to most others first: they connect the most nodes
+    usual = np.diff(first)
+    weight = np.array([usual[o].mean() for o in own])
+    for i in np.argsort(-weight, kind="stable"):
+        small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
+        open_ = (label != label[i]) & (100 * small >= percent * large)
+        if across:
+            open_ &= side != side[i]
+        where = np.flatnonzero(open_)
+        where = where[similarity(sig[where], sig[i]) >= least]
+        if not len(where):
+            continue
+        hits = np.concatenate([rows_of[first[k] : first[k + 1]] for k in own[i]])
+        common = np.bincount(hits, minlength=len(node))[where]
+        for j in where[100 * common >= percent * (n[where] + n[i] - common)]:
+            if label[j] != label[i]:
+                links.append((int(node[i]), int(node[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links of all blocks. ``rows``: block, across, side, node, sig, shingles; a
+    block's rows lie side by side in a partition."""
+
+    def of(block: list[dict]) -> pa.RecordBatch:
+        sig = np.frombuffer(b"".join(r["sig"] for r in block), np.uint8).reshape(len(block), -1)
+        found = confirmed(
+            np.array([r["node"] for r in block]),
+            np.array([r["side"] for r in block]),
+            sig,
+            [np.frombuffer(r["shingles"], np.uint64) for r in block],
+            percent,
+            block[0]["across"],
+        )
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([max(pair) for pair in found], pa.int64()),
+                pa.array([min(pair) for pair in found], pa.int64()),
+            ],
+            ["u", "v"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_rows: list[tuple] = []
-
-        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            block = {
-                "side": np.array([r[1] for r in rows]),
-                "parts": rows[0][2],
-                "node": np.array([r[3] for r in rows], np.int64),
-                "component": np.array([r[4] for r in rows], np.int64),
-                "n": np.array([r[5] for r in rows], np.int64),
-                "sig": np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1),
-            }
-            for found in pairs(block):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], ["u", "v"]
-                )
-
+        block: list[dict] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if open_rows and open_rows[0][0] != row[0]:
-                    yield from done(open_rows)
-                    open_rows = []
-                open_rows.append(row)
-        if open_rows:
-            yield from done(open_rows)
+            for row in batch.to_pylist():
+                if block and block[0]["block"] != row["block"]:
+                    yield of(block)
+                    block = []
+                block.append(row)
+        if block:
+            yield of(block)
 
     return rows.mapInArrow(run, "u long, v long")
 
@@ -229,7 +257,6 @@ def link(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row: documents are
     linked when 100 * |A and B| >= percent * |A or B| of their shingle sets."""
-    threshold = percent / 100
     hashed = _hashed(docs, id_col, text_col)
     sigs = materialize(_signatures(hashed, width), "signatures")
     whole = sigs.filter("doc_id is not null and digest is not null")
@@ -243,56 +270,53 @@ def link(
     ).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands")
 
     # a bucket: the nodes that share a band key; its hub: the smallest of them
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = member.groupBy("bucket").agg(
-        F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("members")
-    )
-    buckets = buckets.filter("last > hub").select("bucket", "hub", "members")
+    member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    buckets = member.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    buckets = buckets.filter("last > hub").select("bucket", "hub")
     member = materialize(salted_join(member, buckets, "bucket", F.col("node"), "inner"), "members")
-    near = member.select("node").distinct()
-    signed = materialize(
-        nodes.join(near, "node", "left_semi").select("node", "n", "sig"), "node_signatures"
-    )
-    sets = materialize(
-        _sets(hashed.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), width)
-        .dropDuplicates(["node"]),
-        "shingle_sets",
+    ties = member.filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    families = components(ties).withColumnRenamed("component", "family")
+    families = families.join(nodes.select("node", "n"), "node")
+    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+    families = salted_join(families, sizes, "family", F.col("node"), "inner")
+    families = materialize(families, "families")
+
+    grouped = families.filter(F.col("size") <= MOST_FAMILY).select(
+        "node", "n", F.col("family").alias("group"), F.lit(False).alias("bucketed")
     )
-
-    stars = member.filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    links = _confirmed(stars.distinct(), sets, percent)
-    first = components(links)
-
-    # buckets that the stars left in several components
-    labelled = member.join(first, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    labelled = materialize(labelled.select("bucket", "node", "component", "members"), "labelled")
-    mixed = labelled.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
+    wide = families.filter(F.col("size") > MOST_FAMILY).select("node")
+    grouped = grouped.unionByName(
+        member.join(wide, "node", "left_semi").select(
+            "node", "n", F.col("bucket").alias("group"), F.lit(True).alias("bucketed")
+        )
     )
-    open_members = salted_join(
-        labelled, mixed.filter("low < high").select("bucket"), "bucket", F.col("node"), "inner"
+    counts = grouped.groupBy("group", "bucketed").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+        .cast("int")
+        .alias("parts")
     )
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
     blocks = (
-        open_members.withColumn("parts", parts)
+        salted_join(grouped, counts, ["group", "bucketed"], F.col("node"), "inner")
         .withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn(
-            "block", F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))
-        )
-        .withColumn("across", F.col("side") != F.col("other"))
     )
-    blocks = blocks.join(signed, "node").select(
-        "block", "side", "across", "node", "component", "n", "sig"
+    blocks = blocks.select(
+        F.xxhash64(
+            "group", "bucketed", F.least("side", "other"), F.greatest("side", "other")
+        ).alias("block"),
+        "side",
+        (F.col("side") != F.col("other")).alias("across"),
+        "node",
     )
-    rest = _near_pairs(blocks.repartition("block").sortWithinPartitions("block"), threshold)
-    rest = materialize(rest.distinct(), "near_pairs")
-    more = _confirmed(rest, sets, percent)
-    linked = components(
-        first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
+    near = measured_broadcast(families.select(F.col("node").alias("doc_id")), "candidates")
+    some = docs.withColumn("_id", F.col(id_col).cast("long")).join(
+        near.withColumnRenamed("doc_id", "_id"), "_id", "left_semi"
     )
+    sets = _sets(_hashed(some, "_id", text_col), width).dropDuplicates(["node"])
+    signed = nodes.join(sets, "node").select("node", "sig", "shingles")
+    rows = blocks.join(materialize(signed, "shingle_sets"), "node")
+    links = _links(rows.repartition("block").sortWithinPartitions("block"), percent)
+    linked = components(materialize(links, "links"))
 
     of_class = classes.join(linked, "node", "left").filter("copies > 1 or component is not null")
     of_class = of_class.select("digest", F.coalesce("component", "node").alias("component"))
@@ -308,26 +332,6 @@ def link(
     )
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose full sets meet the threshold."""
-    both = _with_set(_with_set(pairs, "u", "v", sets, "a"), "v", "u", sets, "b")
-    both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
-    union = F.size("a") + F.size("b") - F.col("common")
-    return materialize(
-        both.filter(F.lit(100) * F.col("common") >= F.lit(percent) * union).select("u", "v"), "links"
-    )
-
-
-def _with_set(pairs: DataFrame, key: str, other: str, sets: DataFrame, name: str) -> DataFrame:
-    """``pairs`` with the set of node ``key``. A hub's pairs are dealt to up to
-    ``HUB_PARTS`` keys, and its set goes to those that occur."""
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64(other), F.lit(HUB_PARTS)))
-    found = dealt.select(key, "part").distinct().join(
-        sets.select(F.col("node").alias(key), F.col("shingles").alias(name)), key
-    )
-    return dealt.join(found, [key, "part"]).drop("part")
-
-
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), width=4, percent=80)
 
