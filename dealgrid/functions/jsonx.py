@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.functions.text import py_float
+from dealgrid.functions.text import let, py_float, py_float_repr
 
+DUPLICATE_KEYS_CONF = "spark.sql.variant.allowDuplicateKeys"
 _END = "~dealgrid:end-of-value~"
 
 
@@ -30,8 +31,12 @@ def parse_json_strict(text: Column) -> Column:
 def with_json_strict(df: DataFrame, text: Column | str, out: str) -> DataFrame:
     """Add ``out`` = ``parse_json_strict(text)`` as staged projections: the
     wrapper is parsed once per row and the checks read the parsed column
-    (a single expression would repeat the parse inside every branch)."""
+    (a single expression would repeat the parse inside every branch). Sets
+    ``DUPLICATE_KEYS_CONF`` for the session: the last of repeated keys wins."""
     t = F.col(text) if isinstance(text, str) else text
+    # without this an object with a repeated key fails to parse, and its record or
+    # response would be lost; Python keeps the key's last value
+    df.sparkSession.conf.set(DUPLICATE_KEYS_CONF, "true")
     tmp = f"_{out}_wrapped"
     w = df.withColumn(tmp, F.try_parse_json(F.concat(F.lit("["), t, F.lit(f',"{_END}"]'))))
     wrapped = F.col(tmp)
@@ -93,3 +98,59 @@ def json_truthy(v: Column) -> Column:
         .when(k.startswith("OBJECT"), k != "OBJECT<>")
         .otherwise(F.lit(False))
     )
+
+
+def py_str_variant(v: Column) -> Column:
+    """``str(value)`` of a JSON scalar, NULL for null, lists and objects."""
+
+    def of(k: Column) -> Column:
+        text = F.to_json(v)
+        return (
+            F.when(k == "STRING", F.try_variant_get(v, "$", "string"))
+            .when(k == "BIGINT", text)
+            .when(k == "BOOLEAN", F.initcap(text))
+            # an integer too long for BIGINT; shorter ones were written with ".0"
+            .when(k.startswith("DECIMAL") & ~text.contains(".") & (F.length(text) >= 19), text)
+            .when(is_number_kind(k), py_float_repr(F.try_variant_get(v, "$", "double")))
+        )
+
+    return let(kind(v), of)
+
+
+def exact_number_text(v: Column) -> Column:
+    """Canonical text of a JSON number, equal for equal numbers: booleans are 1
+    and 0, whole numbers of any length their digits, others their shortest form."""
+
+    def of_double(d: Column) -> Column:
+        whole = d == F.floor(d.try_cast("decimal(38,1)"))
+        return F.when(whole & (F.abs(d) < 1e37), d.try_cast("decimal(38,0)").cast("string")).otherwise(
+            py_float_repr(d)
+        )
+
+    def of_decimal(text: Column) -> Column:
+        # plain digits; trailing zeros of the fraction do not count
+        short = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return F.when(short == "-0", F.lit("0")).otherwise(short)
+
+    def of(k: Column) -> Column:
+        return (
+            F.when(k == "BIGINT", F.to_json(v))
+            .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("string"))
+            .when(k.startswith("DECIMAL"), let(F.to_json(v), of_decimal))
+            .when(is_number_kind(k), let(F.try_variant_get(v, "$", "double"), of_double))
+        )
+
+    return let(kind(v), of)
+
+
+def truncated_number_text(v: Column) -> Column:
+    """``str(int(value))`` of a JSON number or boolean, exact for any length; NULL
+    beyond 37 digits."""
+
+    def of(text: Column) -> Column:
+        whole = F.regexp_extract(text, r"^(-?\d+)", 1)
+        return F.when(text.rlike(r"^-?\d+(\.\d+)?$"), F.when(whole == "-0", F.lit("0")).otherwise(whole)).when(
+            text.rlike(r"e-\d+$"), F.lit("0")
+        )
+
+    return let(exact_number_text(v), of)

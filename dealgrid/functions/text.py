@@ -6,7 +6,7 @@ codegen; nothing here is a Python UDF.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,3 +86,50 @@ def fmt_fixed(x: Column, digits: int) -> Column:
 
 def iso_now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it reads many times: computed once, and not
+    repeated in the generated code."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def py_float_repr(x: Column) -> Column:
+    """``repr(float)``: the shortest digits, without an exponent from 1e-4 up to
+    1e16, else like ``1.5e-07`` (Spark's cast switches at 1e-3 and 1e7)."""
+    return let(x, lambda v: let(v.cast("string"), lambda short: _float_repr(v, short)))
+
+
+def _float_repr(x: Column, short: Column) -> Column:
+    plain = F.regexp_replace(
+        F.regexp_replace(short.cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0"
+    )
+    mantissa = F.regexp_replace(F.substring_index(short, "E", 1), r"\.0$", "")
+    power = F.substring_index(short, "E", -1).try_cast("int")
+    sign = F.when(power < 0, F.lit("-")).otherwise(F.lit("+"))
+    digits = F.abs(power).cast("string")
+    digits = F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)
+    size = F.abs(x)
+    return (
+        F.when(F.isnan(x), F.lit("nan"))
+        .when(x == float("inf"), F.lit("inf"))
+        .when(x == float("-inf"), F.lit("-inf"))
+        .when(x == 0, F.when(short.startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(F.concat(mantissa, F.lit("e"), sign, digits))
+    )
+
+
+def py_str_repr(c: Column) -> Column:
+    """``repr(str)``; NULL prints as ``None``. Double quotes when the text holds a
+    single quote and no double one; backslashes, the quote used and line breaks are
+    escaped (other control characters are a stated difference)."""
+    text = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(escaped))
+    double = c.contains("'") & ~c.contains('"')
+    return (
+        F.when(c.isNull(), F.lit("None"))
+        .when(double, F.concat(F.lit('"'), text, F.lit('"')))
+        .otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    )

@@ -96,7 +96,7 @@ def build_catalog(merchants: DataFrame, items: DataFrame) -> DataFrame:
             ).alias("top_items")
         )
     )
-    passthrough = [c for c in ("key_kind", "id_json") if c in merchants.columns]
+    passthrough = [c for c in ("key_kind", "id_json", "rating_shown", "absent") if c in merchants.columns]
     return (
         merchants.join(summary, "merchant_id", "left")
         .join(first_items, "merchant_id", "left")

@@ -40,12 +40,6 @@ DEFAULT_INTENT_JSON = (
 # ---------------------------------------------------------------------------
 
 
-
-
-
-
-
-
 def with_decoded(df: DataFrame, content: str, out: str) -> DataFrame:
     """Add ``out`` (VARIANT or NULL) and ``out_how`` (``empty``, ``strict``,
     ``span`` or ``none``) decoded from the text column ``content``: strip;
@@ -88,11 +82,12 @@ def with_decoded_list(df: DataFrame, content: str, out: str) -> DataFrame:
 
 def steps_wide(responses: DataFrame) -> DataFrame:
     """``request_id, c1, c2, c3``: one row per request (pivot on a fixed step
-    list, a grouped aggregation with no driver round trip)."""
+    list, a grouped aggregation with no driver round trip). Should a request have
+    several responses for a step, the greatest text counts, whatever their order."""
     return (
         responses.groupBy("request_id")
         .pivot("step", [STEP_EXTRACT, STEP_REFINE, STEP_PREFERENCES])
-        .agg(F.first("content"))
+        .agg(F.max("content"))
         .select(
             "request_id",
             F.col(str(STEP_EXTRACT)).alias("c1"),
@@ -130,8 +125,6 @@ def resolve_intents(responses: DataFrame) -> DataFrame:
     )
 
 
-
-
 def _text_or_empty(v: Column) -> Column:
     """``(value or '')`` for a text field: NULL when not text (crash case)."""
     k = jx.kind(v)

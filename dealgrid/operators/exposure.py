@@ -4,7 +4,8 @@
 rules: an array contributes each element (duplicates count each time), a
 scalar counts as one id, ``[]`` / JSON ``null`` / undecodable text / NULL
 contribute nothing. Ids keep their JSON kind: the number 1 and the text
-"1" are different ids, while 1, 1.0 and true are the same number. Nested
+"1" are different ids, while 1, 1.0 and true are the same number; whole numbers of
+any length are compared by their digits. Nested
 arrays/objects inside a list and whole-object rows are dropped (the source
 raises on them; stated difference).
 
@@ -21,34 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dealgrid.functions.ids import logged_key, plain_key
 from dealgrid.functions.jsonx import with_json_strict
+from dealgrid.functions.text import py_float_repr
 
-NUMBER = "number"
-TEXT = "text"
 # --- Fixed values (labels the leaderboard shows for unknown merchants) -----
 UNKNOWN_NAME = "Unknown"
 NOT_AVAILABLE = "N/A"
 # ---------------------------------------------------------------------------
 
 
-def _element_key(e: Column) -> Column:
-    """``struct<kind, key>`` of one decoded id, NULL when it is dropped."""
-    k = F.schema_of_variant(e)
-    num = F.try_variant_get(e, "$", "double")
-    integral = F.when(
-        (num == F.floor(num)) & (F.abs(num) < 9.2e18), num.cast("bigint").cast("string")
-    ).otherwise(num.cast("string"))
-    number_key = (
-        F.when(k == "BIGINT", F.try_variant_get(e, "$", "bigint").cast("string"))
-        .when(k == "BOOLEAN", F.try_variant_get(e, "$", "boolean").cast("int").cast("string"))
-        .when(k.startswith("DECIMAL") | (k == "DOUBLE") | (k == "FLOAT"), integral)
-    )
-    return (
-        F.when(k == "STRING", F.struct(F.lit(TEXT).alias("kind"), F.try_variant_get(e, "$", "string").alias("key")))
-        .when(number_key.isNotNull(), F.struct(F.lit(NUMBER).alias("kind"), number_key.alias("key")))
-    )
-
-
 def decoded_ids(log: DataFrame, column: str = "recommended_merchants") -> DataFrame:
     """One row per logged id occurrence: ``merchant_key, key_kind``.
 
@@ -65,9 +48,9 @@ def decoded_ids(log: DataFrame, column: str = "recommended_merchants") -> DataFr
     )
     return (
         typed.select(F.explode(elems).alias("e"))
-        .select(_element_key(F.col("e")).alias("id"))
+        .select(logged_key(F.col("e")).alias("id"))
         .filter(F.col("id").isNotNull())
-        .select(F.col("id.key").alias("merchant_key"), F.col("id.kind").alias("key_kind"))
+        .select(F.col("id.key").alias("merchant_key"), F.col("id.key_kind").alias("key_kind"))
     )
 
 
@@ -88,37 +71,44 @@ def exposure_counts(log: DataFrame, column: str = "recommended_merchants") -> Da
 
 
 def merchant_keys(merchants: DataFrame, id_col: str = "merchant_id") -> DataFrame:
-    """Merchants keyed like logged ids: numeric ids are numbers, others text."""
-    mid = F.col(id_col)
-    if isinstance(merchants.schema[id_col].dataType, T.IntegralType):
-        kind, key = F.lit(NUMBER), mid.cast("string")
-    else:
-        as_num = mid.cast("string").try_cast("bigint")
-        kind = F.when(as_num.isNotNull(), F.lit(NUMBER)).otherwise(F.lit(TEXT))
-        key = F.coalesce(as_num.cast("string"), mid.cast("string"))
-    return merchants.select(kind.alias("key_kind"), key.alias("merchant_key"), "*")
+    """``merchants`` with ``merchant_key`` and ``key_kind``: those the JSON-lines
+    loader gave, or the id rule applied to a plain id column."""
+    if "key_kind" in merchants.columns:
+        return merchants.withColumn("merchant_key", F.col(id_col).cast("string"))
+    key = plain_key(F.col(id_col), merchants.schema[id_col].dataType)
+    return merchants.withColumn("_key", key).select(
+        "*", F.col("_key.key").alias("merchant_key"), F.col("_key.key_kind").alias("key_kind")
+    ).drop("_key")
 
 
 def leaderboard(counts: DataFrame, merchants: DataFrame) -> DataFrame:
-    """Counts joined to merchant details (left), unknown merchants labelled;
-    sorted by exposure descending, ties by kind and key."""
-    m = merchant_keys(merchants).select(
+    """Counts joined to merchant details (left), sorted by exposure descending,
+    ties by kind and key. ``merchants``: a catalog or merchant table.
+
+    A merchant that is unknown, or whose record lacks a field (``absent``), is
+    labelled; a field that is null stays NULL. ``rating`` is shown as written."""
+    m = merchant_keys(merchants)
+    rating = F.col("rating_shown") if "rating_shown" in m.columns else py_float_repr(F.col("rating"))
+    absent = F.col("absent") if "absent" in m.columns else F.array().cast("array<string>")
+    m = m.select(
         "key_kind",
         "merchant_key",
-        F.col("name").alias("m_name"),
-        F.col("primary_category").alias("m_primary"),
-        F.col("rating").alias("m_rating"),
-        F.col("district").alias("m_district"),
-        F.lit(True).alias("m_known"),
+        F.struct(
+            "name", "primary_category", rating.alias("rating"), "district", absent.alias("absent")
+        ).alias("_m"),
     )
     j = counts.join(m, ["key_kind", "merchant_key"], "left")
-    known = F.col("m_known").isNotNull()
+
+    def shown(field: str, label: str):
+        missing = F.col("_m").isNull() | F.array_contains(F.col("_m.absent"), field)
+        return F.when(missing, F.lit(label)).otherwise(F.col(f"_m.{field}")).alias(field)
+
     return j.select(
         "merchant_key",
         "key_kind",
-        F.when(known, F.col("m_name")).otherwise(F.lit(UNKNOWN_NAME)).alias("name"),
-        F.when(known, F.col("m_primary")).otherwise(F.lit(NOT_AVAILABLE)).alias("primary_category"),
-        F.col("m_rating").cast("double").alias("rating"),
-        F.when(known, F.col("m_district")).otherwise(F.lit(NOT_AVAILABLE)).alias("district"),
+        shown("name", UNKNOWN_NAME),
+        shown("primary_category", NOT_AVAILABLE),
+        shown("rating", NOT_AVAILABLE),
+        shown("district", NOT_AVAILABLE),
         F.col("exposure").cast("bigint").alias("exposure"),
     ).orderBy(F.desc("exposure"), "key_kind", "merchant_key")

@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dealgrid.functions.text import fmt_fixed, iso_now
+from dealgrid.functions.text import fmt_fixed, iso_now, py_float_repr, py_str_repr, py_strip
 
 # --- Outcome messages (own wording) ----------------------------------------
 MSG_CUSTOMER_NOT_FOUND = "Customer not found: no offers for an unknown customer id."
 MSG_NO_MATCH = "No merchant matches this request; try a broader one."
 MSG_NO_TEXT = "The offer text could not be generated; please retry."
 MSG_QUARANTINED = "The request could not be interpreted"
+MSG_ERROR = "The offer text failed"
 # ---------------------------------------------------------------------------
 
 
@@ -31,11 +32,7 @@ def py_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
-def py_str_repr(c: Column) -> Column:
-    """``repr(str)`` for text without quotes/backslashes: single-quoted."""
-    return F.when(c.isNull(), F.lit("None")).otherwise(F.concat(F.lit("'"), c, F.lit("'")))
-
-
+# --- Fixed layout (display lines that must read as in the source application) --
 def customer_label(
     cid: Column, name: Column, age: Column, sex: Column, district: Column, balance: Column
 ) -> Column:
@@ -48,20 +45,30 @@ def customer_label(
     )
 
 
-def transactions_text(txns: Column, with_amount: bool = True) -> Column:
+def transactions_text(txns: Column, with_amount: bool = True, written: bool = False) -> Column:
     """Python list-of-tuples text of ``array<struct<merchant_id, category,
-    amount>>`` in array order; NULL list -> ``[]``."""
+    amount>>`` in array order; NULL list -> ``[]``. ``written``: the structs also hold
+    ``text_id`` and ``amount_shown``, the id's kind and the amount as in the record."""
     def one(t: Column) -> Column:
-        parts = [py_text(t["merchant_id"]), F.lit(", "), py_str_repr(t["category"])]
+        if written:
+            mid = F.when(t["text_id"], py_str_repr(t["merchant_id"])).otherwise(py_text(t["merchant_id"]))
+            amount = py_text(t["amount_shown"])
+        else:
+            mid = py_text(t["merchant_id"])
+            amount = py_text(py_float_repr(t["amount"]))
+        parts = [mid, F.lit(", "), py_str_repr(t["category"])]
         if with_amount:
-            parts += [F.lit(", "), py_text(t["amount"])]
+            parts += [F.lit(", "), amount]
         return F.concat(F.lit("("), *parts, F.lit(")"))
 
     items = F.transform(F.coalesce(txns, F.array()), one)
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
-def profile_text(with_amounts: bool = True) -> Column:
+# ---------------------------------------------------------------------------
+
+
+def profile_text(with_amounts: bool = True, written: bool = False) -> Column:
     """Customer profile block for prompts (own layout), from the columns
     ``name, age, sex, occupation, balance, district, transactions``; the
     offer prompt lists transactions without amounts."""
@@ -74,14 +81,15 @@ def profile_text(with_amounts: bool = True) -> Column:
         F.concat(F.lit("Location: "), py_text(F.col("district"))),
         F.concat(
             F.lit("Recent transactions: "),
-            transactions_text(F.col("transactions"), with_amount=with_amounts),
+            transactions_text(F.col("transactions"), with_amount=with_amounts, written=written),
         ),
     )
 
 
 def item_lines(items: Column) -> Column:
     """Offer summary items: the first 3 by position, price and discount taken
-    as numbers (discount not clamped), items without a usable price skipped.
+    as numbers (discount not clamped); an item whose price or discount is null or
+    not a number is skipped (the loader reads an absent one as 0).
     ``array<struct<pos, name, price, discount_percent, discounted>>``."""
     first = F.slice(F.array_sort(items), 1, 3)
     typed = F.transform(
@@ -90,10 +98,12 @@ def item_lines(items: Column) -> Column:
             it["pos"].alias("pos"),
             it["name"].alias("name"),
             it["price"].cast("double").alias("price"),
-            F.coalesce(it["discount_percent"].cast("double"), F.lit(0.0)).alias("discount_percent"),
+            it["discount_percent"].cast("double").alias("discount_percent"),
         ),
     )
-    usable = F.filter(typed, lambda it: it["price"].isNotNull())
+    usable = F.filter(
+        typed, lambda it: it["price"].isNotNull() & it["discount_percent"].isNotNull()
+    )
     return F.transform(
         usable,
         lambda it: F.struct(
@@ -115,6 +125,7 @@ def item_line_text(it: Column) -> Column:
 
 
 def merchant_header(name: Column, primary: Column, rating: Column, dist: Column) -> Column:
+    """``rating`` is the text shown (``rating_shown``), NULL prints as ``None``."""
     dist_txt = F.when(dist.isNotNull(), F.concat(F.lit(", "), fmt_fixed(dist, 1), F.lit(" km")))
     return F.concat(
         F.lit("- "), py_text(name), F.lit(" ["), py_text(primary), F.lit(", rating "),
@@ -143,14 +154,15 @@ REFINE_PARTS = (
 PREFERENCE_PARTS = (
     "Shopper profile:\n",
     "\nReply with a JSON list of short preference words for a ",
-    " request, for example [\"japanese\", \"quiet\"]. JSON list only.",
+    " request, such as [\"vegan\", \"late opening\"]. JSON list only.",
 )
 OFFER_PARTS = (
     "You suggest offers from local merchants.\nShopper profile:\n",
     "\nRequest reading:\n",
     "\nMerchants to choose from:\n",
     "\nRecommend two or three of these merchants only, with reasons; state "
-    "original price, discount and discounted price for each item you name.",
+    "original price, discount and discounted price for each item you name."
+    "\nRequest: ",
 )
 # ---------------------------------------------------------------------------
 
@@ -175,15 +187,24 @@ def preference_prompt(category: Column, profile: Column) -> Column:
     )
 
 
-def offer_prompt(profile: Column, intent_json: Column, summary: Column) -> Column:
+def offer_prompt(
+    profile: Column, intent_json: Column, summary: Column, request_text: Column
+) -> Column:
     a, b, c, d = OFFER_PARTS
     return F.concat(
         F.lit(a), profile,
         F.lit(b), F.coalesce(intent_json, F.lit("{}")),
-        F.lit(c), F.coalesce(summary, F.lit("")), F.lit(d),
+        F.lit(c), F.coalesce(summary, F.lit("")), F.lit(d), F.coalesce(request_text, F.lit("")),
     )
 
 
+def pretty_json(value: Column) -> Column:
+    """Indented JSON of a struct, null fields written (P7, P9). Lists stay on
+    one line; otherwise the layout of a two-space indent."""
+    text = F.to_json(value, {"pretty": "true", "ignoreNullFields": "false"})
+    return F.regexp_replace(text, r'(?m)^(\s*"(?:[^"\\]|\\.)*") : ', "$1: ")
+
+
 def ids_json(ids: Column) -> Column:
     """``json.dumps(list)`` layout ``[1, "m-7"]`` from an array of numeric ids
     or of ids already written as JSON text (``id_json`` of the JSON-lines
@@ -209,13 +230,18 @@ def merchant_block(name: Column, primary: Column, rating: Column, dist: Column,
     return F.concat_ws("\n", merchant_header(name, primary, rating, dist), F.array_join(lines, "\n"))
 
 
-def offer_text(status: Column, n_offers: Column, response: Column) -> Column:
-    """Outcome message chain."""
-    text = F.regexp_replace(F.coalesce(response, F.lit("")), r"^\s+|\s+$", "")
+def offer_text(
+    status: Column, n_offers: Column, response: Column, error: Column | None = None
+) -> Column:
+    """Outcome message chain (O4): unknown customer, unusable intent, no match, failed
+    call (``error`` is its message), blank response, response text."""
+    text = py_strip(F.coalesce(response, F.lit("")))
+    error = F.lit(None).cast("string") if error is None else error
     return (
         F.when(status == "customer_not_found", F.lit(MSG_CUSTOMER_NOT_FOUND))
         .when(status != "ok", F.concat(F.lit(MSG_QUARANTINED + " ("), status, F.lit(").")))
         .when(F.coalesce(n_offers, F.lit(0)) == 0, F.lit(MSG_NO_MATCH))
+        .when(error.isNotNull(), F.concat(F.lit(MSG_ERROR + ": "), error))
         .when(text == "", F.lit(MSG_NO_TEXT))
         .otherwise(text)
     )

@@ -1,7 +1,8 @@
 """Requests -> customers -> points -> match keys.
 
 ``request_asks`` takes requests carrying typed-intent columns and the
-customer table, left-joins customers on the id (J1), resolves the district to
+customer table, left-joins customers on the id (J1; both sides by the id rule of
+``functions.ids``, so text, floating and boolean ids find their customer), resolves the district to
 a point (J2, a literal-map lookup, no join) and builds the match key. A
 request whose customer is unknown or whose intent is quarantined keeps its
 row with ``status`` set and a NULL ``ask``: it gets no offers.
@@ -14,41 +15,44 @@ rest through a shuffle join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dealgrid.functions.geo import district_point
+from dealgrid.functions.ids import plain_key
 from dealgrid.operators.intent import OK, ask_key
 from dealgrid.plans.skew import planner_broadcasts, split_hot_join
-from dealgrid.sources.jsonl import canonical_key
 
 CUSTOMER_NOT_FOUND = "customer_not_found"
 
 
+def key_text(key: Column) -> Column:
+    """Kind and key in one text, to join on; NULL without a key."""
+    return F.concat(key["key_kind"], F.lit(":"), key["key"])
+
+
 def request_asks(
     requests: DataFrame,
     customers: DataFrame,
     customer_key: str = "consumer_id",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``requests``: request_id, customer_id + typed-intent columns.
     ``customers``: ``customer_key`` + an ``address``-level ``district``.
 
-    Returns ``request_id, customer_id, status, ask``.
+    Returns ``request_id, customer_id, status, ask`` and the ``keep`` columns.
     """
-    key_type = customers.schema[customer_key].dataType
-    if isinstance(key_type, T.StringType):
-        # customers keyed by canonical text (JSON-lines ingest): bring the
-        # request ids to the same form
-        req_key = canonical_key(F.col("customer_id"))
+    if "key_kind" in customers.columns:  # keyed by the JSON-lines loader
+        cust_key = F.struct("key_kind", F.col(customer_key).alias("key"))
     else:
-        req_key = F.col("customer_id")
+        cust_key = plain_key(F.col(customer_key), customers.schema[customer_key].dataType)
     cust = customers.select(
-        F.col(customer_key).alias("_cust_key"),
+        key_text(cust_key).alias("_cust_key"),
         F.col("district").alias("_district"),
         F.lit(True).alias("_known"),
     )
-    keyed = requests.withColumn("_req_key", req_key)
+    req_key = plain_key(F.col("customer_id"), requests.schema["customer_id"].dataType)
+    keyed = requests.withColumn("_req_key", key_text(req_key))
     if planner_broadcasts(cust):
         joined = keyed.join(cust, F.col("_req_key") == F.col("_cust_key"), "left")
     else:
@@ -63,6 +67,7 @@ def request_asks(
     return joined.select(
         "request_id",
         "customer_id",
+        *keep,
         status.alias("status"),
         F.when(status == OK, ask_key(district_point(F.col("_district")))).alias("ask"),
     )

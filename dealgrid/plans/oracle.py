@@ -98,11 +98,13 @@ def match_ctes(
     extra_views: tuple[str, ...] = (),
     intents: str = "fx_intents",
     intents_ctes: str = "",
+    own_bounds: str = "",
 ) -> str:
     """``WITH`` list ending in ``ranked(request_id, merchant_id, pos, dist,
     score, rn)``. ``requests_cte`` defines ``rq(request_id, customer_id,
     intent_id)``; ``intents`` names the relation with the flat intent columns
-    of ``fx_intents`` (``intents_ctes`` defines it when it is not a view)."""
+    of ``fx_intents`` (``intents_ctes`` defines it when it is not a view);
+    ``own_bounds`` is a column that is true where it holds ``lo`` and ``hi`` itself."""
     from dealgrid.operators.match import (
         COUPLE_KEYWORDS, FAMILY_KEYWORDS, MOTHER_KEYWORDS, SPORT_KEYWORDS,
     )
@@ -144,7 +146,9 @@ def match_ctes(
 {_ITEMS_DP},
 {_MERCHANTS},
 req AS (
-  SELECT r.request_id, i.*, b.lo, b.hi,
+  SELECT r.request_id, i.* {"EXCLUDE (lo, hi)" if own_bounds else ""},
+    {f"CASE WHEN i.{own_bounds} THEN i.lo ELSE b.lo END" if own_bounds else "b.lo"} AS lo,
+    {f"CASE WHEN i.{own_bounds} THEN i.hi ELSE b.hi END" if own_bounds else "b.hi"} AS hi,
     coalesce(g.lat, 1.29e0) AS plat, coalesce(g.lon, 103.85e0) AS plon
   FROM rq r
   JOIN fx_customers c ON r.customer_id = c.consumer_id
@@ -250,31 +254,44 @@ SELECT CAST(r.request_id AS BIGINT) AS request_id, CAST(p.n AS BIGINT) AS n_boos
 FROM fx_requests r JOIN per_intent p ON p.intent_id = r.intent_id"""
 
 
-def outcomes_sql() -> str:
+def _offer_ctes() -> str:
+    """``st``: per request customer status, offers and the offer text."""
     from dealgrid.operators.render import (
-        MSG_CUSTOMER_NOT_FOUND, MSG_NO_MATCH, MSG_NO_TEXT, MSG_QUARANTINED,
+        MSG_CUSTOMER_NOT_FOUND, MSG_ERROR, MSG_NO_MATCH, MSG_NO_TEXT, MSG_QUARANTINED,
     )
 
-    return match_ctes(ALL_REQUESTS) + f""",
-offers AS (SELECT request_id, count(*) AS n, arg_min(merchant_id, rn) AS top
+    text = _strip("coalesce(x.content, '')")
+    return f""",
+offers AS (SELECT request_id, count(*) AS n, arg_min(merchant_id, rn) AS top,
+             '[' || string_agg(CAST(merchant_id AS VARCHAR), ', ' ORDER BY rn) || ']' AS ids
            FROM ranked WHERE rn <= 10 GROUP BY request_id),
-st AS (
-  SELECT r.request_id, o.n, o.top,
+st0 AS (
+  SELECT r.request_id, r.customer_id, coalesce(o.n, 0) AS n, o.top, coalesce(o.ids, '[]') AS ids, i.*,
     CASE WHEN c.consumer_id IS NULL THEN 'customer_not_found'
-         WHEN i.category IS NULL THEN 'invalid_category' ELSE 'ok' END AS base_status
+         WHEN i.category IS NULL THEN 'invalid_category' ELSE 'ok' END AS base_status,
+    {text} AS said, x.error
   FROM fx_requests r
   LEFT JOIN fx_customers c ON r.customer_id = c.consumer_id
   JOIN fx_intents i ON i.intent_id = r.intent_id
-  LEFT JOIN offers o ON o.request_id = r.request_id)
-SELECT CAST(request_id AS BIGINT) AS request_id,
-  CASE WHEN base_status <> 'ok' THEN base_status
-       WHEN coalesce(n, 0) = 0 THEN 'no_match' ELSE 'matched' END AS status,
-  CAST(coalesce(n, 0) AS BIGINT) AS n_offers,
-  CAST(top AS BIGINT) AS top_merchant_id,
+  LEFT JOIN fx_offer_responses x ON x.request_id = r.request_id
+  LEFT JOIN offers o ON o.request_id = r.request_id),
+st AS (SELECT *,
   CASE WHEN base_status = 'customer_not_found' THEN '{MSG_CUSTOMER_NOT_FOUND}'
        WHEN base_status <> 'ok' THEN '{MSG_QUARANTINED} (' || base_status || ').'
-       WHEN coalesce(n, 0) = 0 THEN '{MSG_NO_MATCH}'
-       ELSE '{MSG_NO_TEXT}' END AS offer_text
+       WHEN n = 0 THEN '{MSG_NO_MATCH}'
+       WHEN error IS NOT NULL THEN '{MSG_ERROR}: ' || error
+       WHEN said = '' THEN '{MSG_NO_TEXT}' ELSE said END AS offer_text
+  FROM st0)"""
+
+
+def outcomes_sql() -> str:
+    return match_ctes(ALL_REQUESTS, ("fx_offer_responses",)) + _offer_ctes() + """
+SELECT CAST(request_id AS BIGINT) AS request_id,
+  CASE WHEN base_status <> 'ok' THEN base_status
+       WHEN n = 0 THEN 'no_match' ELSE 'matched' END AS status,
+  CAST(n AS BIGINT) AS n_offers, CAST(top AS BIGINT) AS top_merchant_id, offer_text,
+  CASE WHEN base_status <> 'customer_not_found' THEN category END AS category,
+  CASE WHEN base_status <> 'customer_not_found' THEN confidence END AS confidence
 FROM st"""
 
 
@@ -318,7 +335,7 @@ mm AS (SELECT 'number' AS key_kind, CAST(merchant_id AS VARCHAR) AS merchant_key
 SELECT c.merchant_key, c.key_kind,
   CASE WHEN m.key_kind IS NULL THEN 'Unknown' ELSE m.name END AS name,
   CASE WHEN m.key_kind IS NULL THEN 'N/A' ELSE m.primary_category END AS primary_category,
-  CAST(m.rating AS DOUBLE) AS rating,
+  CASE WHEN m.key_kind IS NULL THEN 'N/A' ELSE CAST(m.rating AS VARCHAR) END AS rating,
   CASE WHEN m.key_kind IS NULL THEN 'N/A' ELSE m.district END AS district,
   CAST(c.exposure AS BIGINT) AS exposure
 FROM cnt c LEFT JOIN mm m ON m.key_kind = c.key_kind AND m.merchant_key = c.merchant_key"""
@@ -411,47 +428,191 @@ def _jfield_truthy(j: str, path: str) -> str:
     return _truthy(f"json_extract(CAST({j} AS JSON), '{path}')")
 
 
-def responses_match_sql() -> str:
-    """Decoded responses -> flat intents (the columns of fx_intents) -> the
-    brute-force match. Fields the responses never carry stay NULL."""
-    default = (
-        '{"category": "general", "is_generic": true, "confidence": "low", "specifics": {}}'
-    )
-    intents_ctes = _DECODED.strip() + _RESOLVED + f""",
-res AS (SELECT request_id,
-          CASE WHEN ok2 THEN j2 WHEN ok1 THEN j1 ELSE '{default}' END AS j FROM f),
-ri AS (SELECT request_id AS intent_id,
-  CASE WHEN json_type(CAST(j AS JSON)) <> 'OBJECT' THEN NULL
-       WHEN json_type(CAST(j AS JSON), '$.category') IS NULL THEN 'general'
-       WHEN json_type(CAST(j AS JSON), '$.category') = 'VARCHAR'
-       THEN json_extract_string(CAST(j AS JSON), '$.category') END AS category,
-  CASE WHEN json_type(CAST(j AS JSON), '$.price_range') = 'VARCHAR'
-       THEN json_extract_string(CAST(j AS JSON), '$.price_range') END AS price_range,
+def _response_intents() -> str:
+    """CTEs up to ``ri``: the flat intent each request's responses resolve to, with its
+    ``status`` and, where the budget is an object, ``lo`` and ``hi``. Written from the
+    source application's reading of each field."""
+    from dealgrid.operators.decode import DEFAULT_INTENT_JSON
+
+    j = "CAST(j AS JSON)"
+    num = "('BIGINT', 'UBIGINT', 'DOUBLE')"
+
+    def kind(path: str) -> str:
+        return f"json_type({j}, '{path}')"
+
+    def bound(name: str, default: str) -> str:
+        path = f"$.price_range.{name}"
+        return (
+            f"CASE WHEN {kind(path)} IS NULL THEN {default} "
+            f"WHEN {kind(path)} IN {num} THEN CAST(json_extract({j}, '{path}') AS DOUBLE) "
+            f"WHEN {kind(path)} = 'BOOLEAN' THEN CAST(CAST(json_extract({j}, '{path}') AS BOOLEAN) AS DOUBLE) "
+            f"WHEN {kind(path)} = 'VARCHAR' THEN {_pyfloat(f"json_extract_string({j}, '{path}')")} END"
+        )
+
+    texts = ("recipient", "cuisine", "atmosphere", "participants", "type")
+    fields = ",\n".join(f"  {_jfield_text('j', '$.specifics.' + n)} AS sp_{n}" for n in texts)
+    bad_text = " OR ".join(f"sp_{n} IS NULL" for n in texts)
+    price = kind("$.price_range")
+    items = kind("$.exact_items")
+    return _DECODED.strip() + _RESOLVED + f""",
+step3 AS (SELECT request_id, max(content) AS c3 FROM fx_responses WHERE step = 3 GROUP BY request_id),
+deduced AS (SELECT request_id, CASE WHEN json_valid(c3) THEN CASE WHEN json_type(CAST(c3 AS JSON)) = 'ARRAY'
+     THEN array_to_string(list_transform(list_filter(json_extract(CAST(c3 AS JSON), '$[*]'),
+            lambda e: json_type(e) = 'VARCHAR'), lambda e: json_extract_string(e, '$')), '|') END END AS all_prefs
+  FROM step3),
+res AS (SELECT request_id, CASE WHEN ok2 THEN 'refined' WHEN ok1 THEN 'initial' ELSE 'default' END AS source,
+          CASE WHEN ok2 THEN j2 WHEN ok1 THEN j1 ELSE '{DEFAULT_INTENT_JSON}' END AS j FROM f),
+raw AS (SELECT res.request_id, source, j, json_type({j}) AS top,
+  CASE WHEN {kind('$.category')} IS NULL THEN 'general' WHEN {kind('$.category')} = 'VARCHAR'
+       THEN json_extract_string({j}, '$.category') END AS cat,
+  {price} AS price_kind,
+  {bound('min', '0e0')} AS olo, {bound('max', "'inf'::DOUBLE")} AS ohi,
+  {_jfield_truthy('j', '$.price_range')} AS price_given,
+  {_jfield_truthy('j', '$.exact_items')} AS items_given, {items} AS items_kind,
+  CASE WHEN {items} = 'ARRAY' THEN json_extract({j}, '$.exact_items[*]') END AS item_list,
+  {kind('$.specifics')} AS sp_kind,
+  {_jfield_truthy('j', '$.specifics.solo')} AS sp_solo,
+{fields}
+  FROM res),
+ri0 AS (SELECT raw.*,
+  CASE WHEN top <> 'OBJECT' THEN 'invalid_intent'
+       WHEN cat IS NULL THEN 'invalid_category'
+       WHEN price_given AND price_kind NOT IN ('VARCHAR', 'OBJECT') THEN 'invalid_price_range'
+       WHEN cat IN ('food', 'activities', 'gifts')
+            AND (coalesce(sp_kind NOT IN ('OBJECT'), false) OR {bad_text}) THEN 'invalid_specifics'
+       WHEN items_given AND (items_kind <> 'ARRAY'
+            OR len(list_filter(item_list, lambda e: json_type(e) <> 'VARCHAR')) > 0) THEN 'invalid_exact_items'
+       ELSE 'ok' END AS intent_status
+  FROM raw),
+ri AS (SELECT ri0.request_id AS intent_id, source, intent_status,
+  CASE WHEN intent_status = 'ok' THEN cat END AS category,
+  CASE WHEN price_kind = 'VARCHAR' THEN json_extract_string({j}, '$.price_range') END AS price_range,
+  coalesce(price_kind = 'OBJECT', false) AS by_object,
+  CASE WHEN olo IS NULL OR ohi IS NULL THEN 0e0 ELSE olo END AS lo,
+  CASE WHEN olo IS NULL OR ohi IS NULL THEN 'inf'::DOUBLE ELSE ohi END AS hi,
   {_jfield_number('j', '$.proximity_km')} AS proximity_km,
-  CASE WHEN {_jfield_truthy('j', '$.min_rating')} THEN {_jfield_number('j', '$.min_rating')} END AS min_rating,
-  CAST(NULL AS VARCHAR) AS exact_items,
-  {_jfield_text('j', '$.specifics.cuisine')} AS cuisine,
-  {_jfield_text('j', '$.specifics.atmosphere')} AS atmosphere,
-  {_jfield_text('j', '$.specifics.participants')} AS participants,
-  {_jfield_truthy('j', '$.specifics.solo')} AS solo,
-  {_jfield_text('j', '$.specifics.type')} AS activity_type,
-  {_jfield_text('j', '$.specifics.recipient')} AS recipient,
+  CASE WHEN {_jfield_truthy('j', '$.min_rating')} THEN
+    CASE WHEN {kind('$.min_rating')} = 'VARCHAR' THEN {_pyfloat(f"json_extract_string({j}, '$.min_rating')")}
+         ELSE {_jfield_number('j', '$.min_rating')} END END AS min_rating,
+  CASE WHEN items_given AND items_kind = 'ARRAY' THEN array_to_string(
+    list_transform(item_list, lambda e: json_extract_string(e, '$')), '|') END AS exact_items,
+  sp_cuisine AS cuisine, sp_atmosphere AS atmosphere, sp_participants AS participants, sp_solo AS solo,
+  sp_type AS activity_type, sp_recipient AS recipient,
   {_jfield_truthy('j', '$.is_generic')} AS is_generic,
   {_jfield_truthy('j', '$.is_ambiguous')} AS is_ambiguous,
-  CASE WHEN json_type(CAST(j AS JSON), '$.confidence') IS NULL THEN 'medium'
-       WHEN json_type(CAST(j AS JSON), '$.confidence') = 'VARCHAR'
-       THEN json_extract_string(CAST(j AS JSON), '$.confidence') END AS confidence,
-  CAST(NULL AS VARCHAR) AS preferences
-FROM res),
-"""
+  CASE WHEN {kind('$.confidence')} IS NULL THEN 'medium' WHEN {kind('$.confidence')} = 'VARCHAR'
+       THEN json_extract_string({j}, '$.confidence') END AS confidence,
+  nullif(all_prefs, '') AS preferences
+FROM ri0 LEFT JOIN deduced ON deduced.request_id = ri0.request_id)"""
+
+
+def responses_match_sql() -> str:
+    """Decoded responses -> flat intents (the columns of fx_intents) -> the
+    brute-force match."""
     rq = "rq AS (SELECT request_id, customer_id, request_id AS intent_id FROM fx_requests)"
-    return match_ctes(rq, ("fx_responses",), "ri", intents_ctes) + """
+    return match_ctes(rq, ("fx_responses",), "ri", _response_intents() + ",\n", "by_object") + """
 SELECT CAST(request_id AS BIGINT) AS request_id, CAST(rn AS BIGINT) AS rank,
   CAST(merchant_id AS BIGINT) AS merchant_id, round(dist, 6) AS dist_km,
   round(score, 6) AS score
 FROM ranked WHERE rn <= 10"""
 
 
+def intent_status_sql() -> str:
+    return (
+        _with("fx_responses")
+        + ",\n"
+        + _response_intents()
+        + ",\n"
+        + price_bounds_ctes("ri", "intent_id", "price_range")
+        + """
+SELECT CAST(intent_id AS BIGINT) AS request_id, source, intent_status,
+  CASE WHEN intent_status = 'ok' THEN CASE WHEN by_object THEN ri.lo ELSE b.lo END END AS price_lo,
+  CASE WHEN intent_status = 'ok' THEN
+    nullif(CASE WHEN by_object THEN ri.hi ELSE b.hi END, 'inf'::DOUBLE) END AS price_hi,
+  CASE WHEN intent_status = 'ok' THEN proximity_km END AS proximity_km,
+  CASE WHEN intent_status = 'ok' THEN min_rating END AS min_rating,
+  CASE WHEN intent_status = 'ok'
+       THEN CAST(coalesce(len(string_split(exact_items, '|')), 0) AS BIGINT) END AS n_items,
+  coalesce(array_to_string(list_distinct_in_order, '|'), '') AS preferences
+FROM ri JOIN bounds b ON b.bkey = ri.intent_id,
+  LATERAL (SELECT list(p ORDER BY k) AS list_distinct_in_order FROM (
+    SELECT u.p AS p, min(u.k) AS k FROM (
+      SELECT unnest(string_split(preferences, '|')) AS p, generate_subscripts(string_split(preferences, '|'), 1) AS k
+    ) u GROUP BY u.p) d) x"""
+    )
+
+
+def offer_items_raw_sql() -> str:
+    number = "('BIGINT', 'UBIGINT', 'DOUBLE')"
+
+    def shown(name: str) -> str:
+        return (
+            f"CASE WHEN json_type(it, '$.{name}') IS NULL THEN 0e0 "
+            f"WHEN json_type(it, '$.{name}') IN {number} THEN CAST(json_extract(it, '$.{name}') AS DOUBLE) "
+            f"WHEN json_type(it, '$.{name}') = 'VARCHAR' THEN "
+            f"{_pyfloat(f"json_extract_string(it, '$.{name}')")} END"
+        )
+
+    return _with("fx_merchant_json") + f""",
+r AS (SELECT merchant_id, CAST(value AS JSON) AS v FROM fx_merchant_json),
+it AS (SELECT merchant_id, u.i, json_extract(v, '$.items[' || u.i || ']') AS it
+       FROM r, unnest(range(0, 3)) AS u(i)),
+n AS (SELECT merchant_id, i, coalesce(json_extract_string(it, '$.name'), 'None') AS name,
+        {shown('price')} AS price, {shown('discount_percent')} AS d FROM it),
+l AS (SELECT merchant_id, count(*) AS c, string_agg('  - ' || name || ': was $' || printf('%.2f', price)
+        || ', now $' || printf('%.2f', price * (1 - d / 100)) || ' (' || printf('%.0f', d) || '% off)',
+        chr(10) ORDER BY i) AS lines
+      FROM n WHERE price IS NOT NULL AND d IS NOT NULL GROUP BY merchant_id)
+SELECT CAST(r.merchant_id AS BIGINT) AS merchant_id,
+  '- ' || coalesce(json_extract_string(v, '$.name'), 'None') || ' ['
+    || coalesce(json_extract_string(v, '$.primary_category'), 'None') || ', rating '
+    || coalesce(json_extract_string(v, '$.rating'), 'None') || ']' AS header,
+  CAST(coalesce(l.c, 0) AS BIGINT) AS n_lines, coalesce(l.lines, '') AS lines
+FROM r LEFT JOIN l ON l.merchant_id = r.merchant_id"""
+
+
+def leaderboard_raw_sql() -> str:
+    def shown(path: str, label: str) -> str:
+        return (
+            f"CASE WHEN m.v IS NULL OR json_type(m.v, '{path}') IS NULL THEN '{label}' "
+            f"ELSE json_extract_string(m.v, '{path}') END"
+        )
+
+    return _with("fx_log", "fx_merchant_json") + "," + _COUNTS + f""",
+m AS (SELECT CAST(merchant_id AS VARCHAR) AS merchant_key, CAST(value AS JSON) AS v FROM fx_merchant_json)
+SELECT c.merchant_key, c.key_kind, {shown('$.name', 'Unknown')} AS name,
+  {shown('$.primary_category', 'N/A')} AS primary_category, {shown('$.rating', 'N/A')} AS rating,
+  {shown('$.address.district', 'N/A')} AS district, CAST(c.exposure AS BIGINT) AS exposure
+FROM cnt c LEFT JOIN m ON c.key_kind = 'number' AND m.merchant_key = c.merchant_key"""
+
+
+def id_forms_sql() -> str:
+    """What int() makes of each form, by hand: text digits (blanks and leading zeros
+    allowed) are the number, other text stays text, floats are cut, true is 1."""
+    return _with("fx_requests", "fx_customers") + """,
+forms AS (
+  SELECT request_id, 'text' AS form, CASE WHEN request_id % 5 IN (0, 1) THEN request_id END AS cid FROM fx_requests
+  UNION ALL SELECT request_id, 'double', request_id FROM fx_requests
+  UNION ALL SELECT request_id, 'boolean', request_id % 2 FROM fx_requests)
+SELECT CAST(request_id AS BIGINT) AS request_id, form,
+  EXISTS (SELECT 1 FROM fx_customers c WHERE c.consumer_id = forms.cid) AS found
+FROM forms"""
+
+
+def log_id_forms_sql() -> str:
+    """Which id each logged form is, by hand."""
+    return _with("fx_id_log") + """,
+e AS (SELECT log_id % 6 AS form, log_id % 3 AS third FROM fx_id_log),
+k AS (
+  SELECT 'number' AS key_kind, '1234567890123456789' || CAST(third AS VARCHAR) AS merchant_key, 1 AS n FROM e WHERE form = 0
+  UNION ALL SELECT 'text', '7', 1 FROM e WHERE form = 1
+  UNION ALL SELECT 'number', '7', 2 FROM e WHERE form = 2
+  UNION ALL SELECT 'number', '1', 2 FROM e WHERE form = 3
+  UNION ALL SELECT 'number', '1.5', 1 FROM e WHERE form = 4
+  UNION ALL SELECT 'number', '10', 2 FROM e WHERE form = 5)
+SELECT merchant_key, key_kind, CAST(sum(n) AS BIGINT) AS exposure FROM k GROUP BY merchant_key, key_kind"""
+
+
 def customer_directory_sql() -> str:
     return _with("fx_customers") + """
 SELECT CAST(consumer_id AS BIGINT) AS customer_id,
@@ -481,10 +642,10 @@ top3 AS (SELECT merchant_id, pos, name, price, discount_percent,
          FROM fx_items)
 SELECT CAST(k.request_id AS BIGINT) AS request_id, CAST(k.rn AS BIGINT) AS rank,
   CAST(t.pos AS BIGINT) AS item_pos, t.name AS item_name, round(t.price, 6) AS price,
-  round(coalesce(t.discount_percent, 0e0), 6) AS discount_percent,
-  round(t.price * (1 - coalesce(t.discount_percent, 0e0) / 100), 6) AS discounted_price
+  round(t.discount_percent, 6) AS discount_percent,
+  round(t.price * (1 - t.discount_percent / 100), 6) AS discounted_price
 FROM ranked k JOIN top3 t ON t.merchant_id = k.merchant_id
-WHERE k.rn <= 10 AND t.ipos <= 3 AND t.price IS NOT NULL"""
+WHERE k.rn <= 10 AND t.ipos <= 3 AND t.price IS NOT NULL AND t.discount_percent IS NOT NULL"""
 
 
 def offer_listing_sql() -> str:
@@ -493,29 +654,38 @@ SELECT CAST(k.request_id AS BIGINT) AS request_id, CAST(k.rn AS BIGINT) AS rank,
   CAST(k.merchant_id AS BIGINT) AS merchant_id,
   'Merchant ' || CAST(k.rn AS VARCHAR) || ': ' || coalesce(f.name, 'None')
     || ' (ID: ' || CAST(k.merchant_id AS VARCHAR) || ')' AS label,
-  round_even(k.dist, 1) AS distance_km
+  CASE WHEN k.dist IS NOT NULL THEN printf('%.1f', k.dist) END AS distance_km
 FROM ranked k JOIN fx_merchants f ON f.merchant_id = k.merchant_id
 WHERE k.rn <= 10"""
 
 
-def _log_sql(with_ids: bool) -> str:
-    from dealgrid.plans.queries import BATCH_LOG_TIME
-
-    hist_ids = "recommended_merchants" if with_ids else "'[]'"
-    return match_ctes(ALL_REQUESTS, ("fx_log",)) + f""",
-picks AS (SELECT request_id,
-            '[' || string_agg(CAST(merchant_id AS VARCHAR), ', ' ORDER BY rn) || ']' AS ids
-          FROM ranked WHERE rn <= 10 GROUP BY request_id),
-batch AS (SELECT '{BATCH_LOG_TIME}' AS log_time, r.customer_id,
-            coalesce(p.ids, '[]') AS recommended_merchants
-          FROM fx_requests r LEFT JOIN picks p ON p.request_id = r.request_id),
-hist AS (SELECT CASE WHEN microsecond(ts) % 1000000 = 0
+_HISTORY = """
+hist AS (SELECT log_id, CASE WHEN microsecond(ts) % 1000000 = 0
                      THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
                      ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS log_time,
-            customer_id, {hist_ids} AS recommended_merchants FROM fx_log)
-SELECT log_time, CAST(customer_id AS BIGINT) AS customer_id, recommended_merchants FROM hist
+            customer_id, recommended_merchants FROM fx_log)"""
+
+
+def _log_sql(hist_ids: str) -> str:
+    from dealgrid.plans.queries import BATCH_LOG_TIME
+
+    return match_ctes(ALL_REQUESTS, ("fx_log", "fx_offer_responses")) + _offer_ctes() + f""",
+batch AS (SELECT *, {_REQUEST_TEXT} AS rtext,
+  CASE WHEN base_status = 'customer_not_found' THEN '{{}}' ELSE {_intent_json(False)} END AS ijson FROM st),
+{_HISTORY}
+SELECT log_time, CAST(customer_id AS BIGINT) AS customer_id, CAST(NULL AS VARCHAR) AS user_request,
+  CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS offer, {hist_ids} AS recommended_merchants
+FROM hist
 UNION ALL
-SELECT log_time, CAST(customer_id AS BIGINT) AS customer_id, recommended_merchants FROM batch"""
+SELECT '{BATCH_LOG_TIME}', CAST(customer_id AS BIGINT), rtext, ijson, offer_text, ids FROM batch"""
+
+
+def log_clear_sql() -> str:
+    return _with("fx_log") + """
+SELECT 'never written' AS step, CAST(0 AS BIGINT) AS n_rows
+UNION ALL SELECT 'appended', count(*) FROM fx_log
+UNION ALL SELECT 'cleared', 0
+UNION ALL SELECT 'appended again', count(*) FROM fx_log WHERE log_id % 3 = 0"""
 
 
 def ingest_sql() -> str:
@@ -545,8 +715,15 @@ def oracle_sql() -> dict[str, str]:
         "recent_transactions": recent_transactions_sql(),
         "offer_items": offer_items_sql(),
         "offer_listing": offer_listing_sql(),
-        "log_union": _log_sql(True),
-        "log_backfill": _log_sql(False),
+        "log_union": _log_sql("recommended_merchants"),
+        "log_backfill": _log_sql("'[]'"),
+        "log_append_history": _log_sql("CASE WHEN log_id % 2 = 0 THEN '[]' ELSE recommended_merchants END"),
+        "log_clear": log_clear_sql(),
+        "intent_status": intent_status_sql(),
+        "offer_items_raw": offer_items_raw_sql(),
+        "leaderboard_raw": leaderboard_raw_sql(),
+        "id_forms": id_forms_sql(),
+        "log_id_forms": log_id_forms_sql(),
         "jsonl_ingest_dedupe": ingest_sql(),
         "exposure_stream": exposure_counts_sql(),
         "match_from_responses": responses_match_sql(),
@@ -560,27 +737,45 @@ def _lit(text: str) -> str:
     return "(" + " || chr(10) || ".join(parts) + ")"
 
 
-_INTENT_JSON_FIELDS = (
-    ("category", "text"), ("price_range", "text"), ("proximity_km", "number"),
-    ("min_rating", "number"), ("exact_items", "text"), ("cuisine", "text"),
-    ("atmosphere", "text"), ("participants", "text"), ("solo", "bool"),
-    ("activity_type", "text"), ("recipient", "text"), ("is_generic", "bool"),
-    ("is_ambiguous", "bool"), ("confidence", "text"), ("preferences", "text"),
-)
+_REQUEST_TEXT = """concat_ws(' ', coalesce(category, 'anything'), coalesce(price_range, ''),
+  CASE WHEN proximity_km IS NOT NULL THEN 'within ' || CAST(proximity_km AS VARCHAR) || ' km' END)"""
+
+
+def _json_text(col: str) -> str:
+    return f"coalesce(CAST(to_json({col}) AS VARCHAR), 'null')"
+
+
+def _intent_json(pretty: bool) -> str:
+    """JSON of the intent row, null fields written; nested as a decoded intent is."""
+    number = "coalesce(CAST({0} AS VARCHAR), 'null')".format
+    flag = "CASE WHEN {0} IS NULL THEN 'null' WHEN {0} THEN 'true' ELSE 'false' END".format
+    # lists stay on one line; the pretty form has blanks inside its brackets
+    left, right, comma = ("[ ", " ]", ", ") if pretty else ("[", "]", ",")
+    items = (
+        f"CASE WHEN exact_items IS NULL THEN 'null' ELSE '{left}\"' || "
+        f"replace(exact_items, '|', '\"{comma}\"') || '\"{right}' END"
+    )
+    inner = [(n, _json_text(n)) for n in ("recipient", "cuisine", "atmosphere", "participants")]
+    inner += [("solo", flag("solo")), ("type", _json_text("activity_type"))]
+    outer = [
+        ("category", _json_text("category")), ("exact_items", items),
+        ("price_range", _json_text("price_range")), ("proximity_km", number("proximity_km")),
+        ("min_rating", number("min_rating")), ("specifics", None),
+        ("is_generic", flag("is_generic")), ("is_ambiguous", flag("is_ambiguous")),
+        ("confidence", _json_text("confidence")),
+    ]
 
+    def block(fields: list[tuple[str, str | None]], depth: int) -> str:
+        gap = ": " if pretty else ":"
+        start = "chr(10) || '" + "  " * depth if pretty else "'"
+        end = "chr(10) || '" + "  " * (depth - 1) if pretty else "'"
+        parts = [
+            f"{start}\"{name}\"{gap}' || {block(inner, depth + 1) if value is None else f'({value})'}"
+            for name, value in fields
+        ]
+        return "'{' || " + " || ',' || ".join(parts) + f" || {end}}}'"
 
-def _intent_json() -> str:
-    """Compact JSON of the intent row with NULL fields left out, as Spark's
-    ``to_json`` writes it."""
-    parts = []
-    for name, kind in _INTENT_JSON_FIELDS:
-        value = {
-            "text": f"to_json({name})",
-            "number": f"CAST({name} AS VARCHAR)",
-            "bool": f"CASE WHEN {name} THEN 'true' ELSE 'false' END",
-        }[kind]
-        parts.append(f"CASE WHEN {name} IS NOT NULL THEN '\"{name}\":' || {value} END")
-    return "('{' || concat_ws(',', " + ", ".join(parts) + ") || '}')"
+    return "(" + block(outer, 1) + ")"
 
 
 def _profile(tx: str) -> str:
@@ -615,10 +810,8 @@ base AS (SELECT r.request_id, i.*, c.name, c.age, c.sex, c.occupation, c.balance
          JOIN fx_customers c ON c.consumer_id = r.customer_id
          LEFT JOIN tx ON tx.consumer_id = c.consumer_id),
 txt AS (SELECT request_id, category, {r1} AS r1,
-          concat_ws(' ', coalesce(category, 'anything'), coalesce(price_range, ''),
-                    CASE WHEN proximity_km IS NOT NULL
-                         THEN 'within ' || CAST(proximity_km AS VARCHAR) || ' km' END) AS rtext,
-          {_intent_json()} AS ijson,
+          {_REQUEST_TEXT} AS rtext,
+          {_intent_json(True)} AS ijson,
           {_profile('t_amt')} AS prof,
           {_profile('t_noamt')} AS prof_noamt
         FROM base),
@@ -628,10 +821,11 @@ top3 AS (SELECT merchant_id, pos, name, price, discount_percent,
 lines AS (SELECT merchant_id,
             string_agg('  - ' || coalesce(name, 'None') || ': was $' || printf('%.2f', price)
                        || ', now $'
-                       || printf('%.2f', price * (1 - coalesce(discount_percent, 0e0) / 100))
-                       || ' (' || printf('%.0f', coalesce(discount_percent, 0e0)) || '% off)',
+                       || printf('%.2f', price * (1 - discount_percent / 100))
+                       || ' (' || printf('%.0f', discount_percent) || '% off)',
                        chr(10) ORDER BY pos) AS l
-          FROM top3 WHERE ipos <= 3 AND price IS NOT NULL GROUP BY merchant_id),
+          FROM top3 WHERE ipos <= 3 AND price IS NOT NULL AND discount_percent IS NOT NULL
+          GROUP BY merchant_id),
 blocks AS (SELECT k.request_id, k.rn,
              '- ' || coalesce(f.name, 'None') || ' [' || coalesce(f.primary_category, 'None')
              || ', rating ' || coalesce(CAST(f.rating AS VARCHAR), 'None')
@@ -652,5 +846,5 @@ SELECT CAST(request_id AS BIGINT), CAST(3 AS BIGINT),
   {pa} || prof || {pb} || coalesce(category, 'general') || {pc} FROM txt WHERE r1
 UNION ALL
 SELECT CAST(t.request_id AS BIGINT), CAST(4 AS BIGINT),
-  {oa} || t.prof_noamt || {ob} || t.ijson || {oc} || s.summary || {od}
+  {oa} || t.prof_noamt || {ob} || t.ijson || {oc} || s.summary || {od} || t.rtext
 FROM txt t JOIN summ s ON s.request_id = t.request_id"""

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealgrid.functions.pricing import with_price_bounds
+from dealgrid.functions.text import fmt_fixed, py_float_repr
 from dealgrid.operators import decode, exposure, render
 from dealgrid.operators.catalog import build_catalog, flatten_items
 from dealgrid.operators.intent import OK, fixture_intents, r1_flag
 from dealgrid.operators.match import rank_keys, top_merchants, with_ask_id
-from dealgrid.operators.requests import request_asks
+from dealgrid.operators.requests import CUSTOMER_NOT_FOUND, request_asks
 from dealgrid.operators.textjoin import contains_pairs, sets_fully_contained
 from dealgrid.plans.sizing import materialize, work_dir
 from dealgrid.plans.skew import split_hot_join, spread_join
@@ -159,36 +160,54 @@ def match_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _outcomes(fx: dict[str, DataFrame], catalog: DataFrame | None = None):
-    """Requests (``request_id, customer_id, status, ask_id``) and the ranking."""
-    asks = request_asks(fixture_requests(fx), fx["fx_customers"])
+def _outcomes(
+    fx: dict[str, DataFrame], catalog: DataFrame | None = None, keep: tuple[str, ...] = ()
+):
+    """Requests (``request_id, customer_id, status, ask_id`` and ``keep``) and the
+    ranking."""
+    requests = fixture_requests(fx)
+    if keep:
+        extra = fx["fx_intents"].select("intent_id", *[c for c in keep if c not in requests.columns])
+        requests = requests.join(F.broadcast(extra), "intent_id")
+    asks = request_asks(requests, fx["fx_customers"], keep=keep)
     ranking = rank_keys(asks, catalog or _catalog(fx), score_digits=DIGITS, items=fx["fx_items"])
     return with_ask_id(asks), ranking
 
 
+def _status(n):
+    return (
+        F.when(F.col("status") != OK, F.col("status"))
+        .when(n == 0, F.lit("no_match"))
+        .otherwise(F.lit("matched"))
+    )
+
+
+def _with_responses(fx: dict[str, DataFrame], df: DataFrame) -> DataFrame:
+    """``df`` with the last call's ``content`` and ``error`` (one row a request)."""
+    return df.join(fx["fx_offer_responses"], "request_id", "left")
+
+
 def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per request: outcome status, number of offers, best merchant and the
-    outcome message (J1, O4). Model prose is not part of the fixtures, so a
-    matched request gets the no-text fallback message."""
+    """Per request: outcome status, number of offers, best merchant, the offer text
+    or its fallback (J1, O4), and the intent in force (none for an unknown
+    customer)."""
     fx = fixtures.relations(spark, sf_dir)
-    asks, ranking = _outcomes(fx)
+    asks, ranking = _outcomes(fx, keep=("category", "confidence"))
     per_key = ranking.ranked.groupBy("ask_id").agg(
         F.count(F.lit(1)).alias("n_offers"),
         F.min_by("merchant_id", "rank").alias("top_merchant_id"),
     )
-    j = ranking.fan_out(asks, per_key, "left")
+    j = _with_responses(fx, ranking.fan_out(asks, per_key, "left"))
     n = F.coalesce("n_offers", F.lit(0))
-    status = (
-        F.when(F.col("status") != OK, F.col("status"))
-        .when(n == 0, F.lit("no_match"))
-        .otherwise(F.lit("matched"))
-    )
+    known = F.col("status") != CUSTOMER_NOT_FOUND
     return j.select(
         F.col("request_id").cast("bigint").alias("request_id"),
-        status.alias("status"),
+        _status(n).alias("status"),
         n.cast("bigint").alias("n_offers"),
         F.col("top_merchant_id").cast("bigint").alias("top_merchant_id"),
-        render.offer_text(F.col("status"), n, F.lit(None).cast("string")).alias("offer_text"),
+        render.offer_text(F.col("status"), n, F.col("content"), F.col("error")).alias("offer_text"),
+        F.when(known, F.col("category")).alias("category"),
+        F.when(known, F.col("confidence")).alias("confidence"),
     )
 
 
@@ -266,6 +285,30 @@ def intent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def intent_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per request what became of its responses (F4, F12, F13, O1-O3, §7.4): the
+    intent's status (usable, or why it is quarantined), its budget, radius, rating and
+    number of exact items, and the deduced preferences."""
+    fx = fixtures.relations(spark, sf_dir)
+    typed = decode.typed_intents(
+        decode.resolve_intents(fx["fx_responses"]), "intent", "deduced_preferences",
+        keep=("request_id", "source"),
+    )
+    inf = float("inf")
+    ok = F.col("intent_status") == OK
+    return typed.select(
+        F.col("request_id").cast("bigint").alias("request_id"),
+        "source",
+        "intent_status",
+        F.when(ok, F.col("budget.lo")).alias("price_lo"),
+        F.when(ok & (F.col("budget.hi") != inf), F.col("budget.hi")).alias("price_hi"),
+        F.when(ok, F.col("proximity_km")).alias("proximity_km"),
+        F.when(ok, F.col("min_rating")).alias("min_rating"),
+        F.when(ok, F.coalesce(F.size("exact_items"), F.lit(0))).cast("bigint").alias("n_items"),
+        F.array_join("preferences", "|").alias("preferences"),
+    )
+
+
 def intent_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request the intent in force after extraction, default and
     refinement (O1, O2)."""
@@ -345,7 +388,7 @@ def offer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rank",
         "merchant_id",
         render.listing_label(F.col("rank"), F.col("name"), F.col("merchant_id")).alias("label"),
-        F.bround("dist_km", 1).alias("distance_km"),
+        fmt_fixed(F.col("dist_km"), 1).alias("distance_km"),
     )
     return ranking.fan_out(asks, lines).select(
         F.col("request_id").cast("bigint").alias("request_id"),
@@ -364,8 +407,8 @@ def _offer_summaries(catalog: DataFrame, ranked: DataFrame) -> DataFrame:
         "ask_id",
         "rank",
         render.merchant_block(
-            F.col("name"), F.col("primary_category"), F.col("rating"), F.col("dist_km"),
-            F.col("top_items"),
+            F.col("name"), F.col("primary_category"), py_float_repr(F.col("rating")),
+            F.col("dist_km"), F.col("top_items"),
         ).alias("block"),
     )
     return blocks.groupBy("ask_id").agg(
@@ -379,20 +422,61 @@ def _offer_summaries(catalog: DataFrame, ranked: DataFrame) -> DataFrame:
 # Log time given to the rows a batch appends, so that the union queries are
 # reproducible; the library default is the current time.
 BATCH_LOG_TIME = "2024-06-01T00:00:00"
+INTENT_COLUMNS = (
+    "category", "price_range", "proximity_km", "min_rating", "exact_items", "recipient", "cuisine",
+    "atmosphere", "participants", "solo", "activity_type", "is_generic", "is_ambiguous", "confidence",
+)
+
+
+def _intent_struct():
+    """The flat fixture intent in the nested shape of a decoded one."""
+    items = F.when(F.col("exact_items").isNotNull(), F.split("exact_items", r"\|"))
+    names = ("recipient", "cuisine", "atmosphere", "participants", "solo")
+    return F.struct(
+        "category",
+        items.alias("exact_items"),
+        "price_range",
+        "proximity_km",
+        "min_rating",
+        F.struct(*names, F.col("activity_type").alias("type")).alias("specifics"),
+        "is_generic",
+        "is_ambiguous",
+        "confidence",
+    )
+
+
+def _flat_requests(fx: dict[str, DataFrame]) -> DataFrame:
+    """Requests with their flat intent columns and request text."""
+    r = fx["fx_requests"].join(F.broadcast(fx["fx_intents"]), "intent_id")
+    return r.withColumn("user_request", _request_text())
 
 
 def _batch_log_rows(fx: dict[str, DataFrame]) -> DataFrame:
+    """The log rows of the fixture requests (P10): time, customer, request text, intent
+    in force as JSON, offer text, recommended ids."""
     asks, ranking = _outcomes(fx)
     per_key = ranking.ranked.groupBy("ask_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "merchant_id"))).alias("picks")
     )
-    j = ranking.fan_out(asks, per_key, "left")
+    j = _with_responses(fx, ranking.fan_out(asks, per_key, "left")).join(
+        _flat_requests(fx).select(
+            "request_id", "user_request",
+            F.to_json(_intent_struct(), {"ignoreNullFields": "false"}).alias("intent"),
+        ),
+        "request_id",
+    )
     ids = F.coalesce(
         F.transform(F.col("picks"), lambda p: p["merchant_id"]), F.array().cast("array<bigint>")
     )
+    known = F.col("status") != CUSTOMER_NOT_FOUND
     return j.select(
         F.lit(BATCH_LOG_TIME).alias("timestamp"),
         F.col("customer_id").cast("string").alias("customer_id"),
+        "user_request",
+        F.when(known, F.col("intent")).otherwise(F.lit("{}")).alias("intent"),
+        render.offer_text(
+            F.col("status"), F.size(ids), F.col("content"), F.col("error")
+        ).alias("offer"),
         render.ids_json(ids).alias("recommended_merchants"),
     )
 
@@ -411,6 +495,10 @@ def _log_out(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("timestamp").alias("log_time"),
         F.col("customer_id").cast("bigint").alias("customer_id"),
+        *[
+            F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+            for c in ("user_request", "intent", "offer")
+        ],
         "recommended_merchants",
     )
 
@@ -429,6 +517,40 @@ def log_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log_out(convlog.union_logs(old, _batch_log_rows(fx)))
 
 
+def log_append_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log folder on disk: files written before the log had the id column, appended
+    rows with ids (NULL ones too), and this batch's rows; read back as history (S8-S10,
+    P10, U1)."""
+    fx = fixtures.relations(spark, sf_dir)
+    path = f"{work_dir(spark, 'log')}/conversations"
+    log = fx["fx_log"]
+    old = {**fx, "fx_log": log.filter("log_id % 2 = 0")}
+    new = {**fx, "fx_log": log.filter("log_id % 2 = 1")}
+    _history_rows(old, with_ids=False).write.parquet(path)
+    convlog.append(_history_rows(new), path)
+    convlog.append(_batch_log_rows(fx), path)
+    return _log_out(convlog.history(spark, path))
+
+
+def log_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the log folder before clearing, after clearing, and after the next
+    append; and of a folder that was never written (S2, S8, S10, S11)."""
+    fx = fixtures.relations(spark, sf_dir)
+    path = f"{work_dir(spark, 'log')}/conversations"
+
+    def rows(step: str, where: str) -> DataFrame:
+        n = convlog.history(spark, where).agg(F.count(F.lit(1)).alias("n_rows"))
+        return materialize(n.select(F.lit(step).alias("step"), "n_rows"), "log_size")
+
+    out = rows("never written", f"{path}-missing")
+    convlog.append(_history_rows(fx), path)
+    out = out.unionByName(rows("appended", path))
+    convlog.clear(spark, path)
+    out = out.unionByName(rows("cleared", path))
+    convlog.append(_history_rows({**fx, "fx_log": fx["fx_log"].filter("log_id % 3 = 0")}), path)
+    return out.unionByName(rows("appended again", path))
+
+
 def _request_text():
     """Fixture requests carry no typed text; a short text is derived from the
     intent so the prompts have something to quote."""
@@ -444,14 +566,12 @@ def _request_text():
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch-inference input: one prompt row per request and step (P2, P6-P9):
     extraction, refinement, preferences for generic requests, and the offer
-    prompt with the merchant summary for requests that matched."""
+    prompt with the request text and merchant summary for requests that matched."""
     fx = fixtures.relations(spark, sf_dir)
-    intents = fx["fx_intents"]
-    r = fx["fx_requests"].join(F.broadcast(intents), "intent_id")
     cust = fx["fx_customers"].join(_transactions(fx), "consumer_id", "left")
-    j = split_hot_join(r, cust, "customer_id", "consumer_id", ["request_id"])
-    text = _request_text()
-    intent_json = F.to_json(F.struct(*[F.col(c) for c in intents.columns if c != "intent_id"]))
+    j = split_hot_join(_flat_requests(fx), cust, "customer_id", "consumer_id", ["request_id"])
+    text = F.col("user_request")
+    intent_json = render.pretty_json(_intent_struct())
     profile = render.profile_text()
     r1 = r1_flag(F.col("is_generic"), F.col("is_ambiguous"), F.col("confidence"))
     steps = F.array(
@@ -473,7 +593,7 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(
             F.lit(4).alias("step"),
             render.offer_prompt(
-                render.profile_text(with_amounts=False), intent_json, F.col("summary")
+                render.profile_text(with_amounts=False), intent_json, F.col("summary"), text
             ).alias("text"),
         ).alias("p"),
     )
@@ -530,6 +650,75 @@ def jsonl_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _raw_merchants(spark: SparkSession, fx: dict[str, DataFrame]) -> DataFrame:
+    """Merchant records with absent, null and text fields, written as JSON lines and
+    loaded."""
+    path = f"{work_dir(spark, 'jsonl')}/merchants"
+    fx["fx_merchant_json"].select("value").write.text(path)
+    return jsonl.merchants(spark, path)
+
+
+def offer_items_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary header and item lines of every merchant as loaded from JSON lines: absent
+    price and discount count as 0, null or non-numeric ones leave the item out, text
+    numbers are read, an absent rating or name prints as None (P4)."""
+    fx = fixtures.relations(spark, sf_dir)
+    m = _raw_merchants(spark, fx)
+    catalog = build_catalog(m, flatten_items(m))
+    lines = F.transform(render.item_lines(F.col("top_items")), render.item_line_text)
+    header = render.merchant_header(
+        F.col("name"), F.col("primary_category"), F.col("rating_shown"), F.lit(None).cast("double")
+    )
+    return catalog.select(
+        F.col("merchant_id").cast("bigint").alias("merchant_id"),
+        header.alias("header"),
+        F.size(lines).cast("bigint").alias("n_lines"),
+        F.array_join(lines, "\n").alias("lines"),
+    )
+
+
+def leaderboard_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaderboard over merchants as the JSON-lines loader gives them: unknown
+    merchants and absent fields are labelled, null fields are NULL (J4, F15)."""
+    fx = fixtures.relations(spark, sf_dir)
+    counts = exposure.exposure_counts(fx["fx_log"])
+    m = _raw_merchants(spark, fx)
+    return exposure.leaderboard(counts, build_catalog(m, flatten_items(m)))
+
+
+def id_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose customer id is text, floating or boolean against customers keyed
+    by number (F1, J1): which find their customer."""
+    fx = fixtures.relations(spark, sf_dir)
+    r = fixture_requests(fx).drop("customer_id")
+    rid = F.col("request_id")
+    as_text = (
+        F.when(rid % 5 == 0, rid.cast("string"))
+        .when(rid % 5 == 1, F.concat(F.lit(" 0"), rid.cast("string"), F.lit(" ")))
+        .when(rid % 5 == 2, F.concat(rid.cast("string"), F.lit(".0")))
+        .when(rid % 5 == 3, F.concat(F.lit("12345678901234567"), F.lpad((rid % 1000).cast("string"), 3, "0")))
+        .otherwise(F.concat(F.lit("c"), rid.cast("string")))
+    )
+    forms = {"text": as_text, "double": rid + F.lit(0.9), "boolean": rid % 2 == 1}
+    out = None
+    for form, value in forms.items():
+        asks = request_asks(r.withColumn("customer_id", value), fx["fx_customers"])
+        rows = asks.select(
+            F.col("request_id").cast("bigint").alias("request_id"),
+            F.lit(form).alias("form"),
+            (F.col("status") != CUSTOMER_NOT_FOUND).alias("found"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def log_id_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure counts of ids written as 20-digit numbers, text, floats and booleans:
+    equal numbers are one id, long ones stay apart, text is not a number (A1)."""
+    fx = fixtures.relations(spark, sf_dir)
+    return exposure.exposure_counts(fx["fx_id_log"])
+
+
 def exposure_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposure counts maintained by a streaming job over the log, fed in
     several appends (extension of A1)."""
@@ -561,4 +750,11 @@ QUERIES = {
     "jsonl_ingest_dedupe": jsonl_ingest_dedupe,
     "exposure_stream": exposure_stream,
     "match_from_responses": match_from_responses,
+    "intent_status": intent_status,
+    "log_append_history": log_append_history,
+    "log_clear": log_clear,
+    "offer_items_raw": offer_items_raw,
+    "leaderboard_raw": leaderboard_raw,
+    "id_forms": id_forms,
+    "log_id_forms": log_id_forms,
 }

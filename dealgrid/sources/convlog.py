@@ -8,9 +8,12 @@ writers never lose each other's rows). Columns::
     timestamp string (ISO), customer_id string, user_request string,
     intent string (JSON), offer string, recommended_merchants string (JSON)
 
-An older log may lack ``recommended_merchants``: ``backfill`` adds it as
-``'[]'`` (existing NULLs stay NULL). ``union_logs`` unions by column name,
-missing columns become NULL. CSV export quotes every field and escapes
+An older log may lack ``recommended_merchants``: its rows read as ``'[]'``, while a
+NULL in a log that has the column stays NULL. In memory ``backfill`` looks at the
+columns; in a folder, where old and new files lie side by side, ``append`` marks the
+rows it writes (``MARK``), so each row says itself which of the two it is, whatever
+files the folder holds and in whatever order they are read. ``union_logs`` unions by
+column name, missing columns become NULL. CSV export quotes every field and escapes
 quotes by doubling, so JSON text with quotes, commas and newlines survives a
 round trip (read back with ``multiLine`` and the same escape).
 """
@@ -39,10 +42,20 @@ def union_logs(old: DataFrame, new: DataFrame) -> DataFrame:
     return backfill(old).unionByName(new, allowMissingColumns=True)
 
 
+#: Set in rows written since the log has the id column.
+MARK = "has_merchant_ids"
+STORED_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField(MARK, T.BooleanType())])
+
+
 def append(rows: DataFrame, path: str) -> None:
-    rows.select(*[F.col(c).cast("string") for c in LOG_COLUMNS if c in rows.columns]).write.mode(
-        "append"
-    ).parquet(path)
+    """Add ``rows`` to the log folder: new files, all six columns (missing ones
+    NULL, missing ids ``'[]'``)."""
+    rows = backfill(rows)
+    kept = [
+        (F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c)
+        for c in LOG_COLUMNS
+    ]
+    rows.select(*kept, F.lit(True).alias(MARK)).write.mode("append").parquet(path)
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +64,13 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
     if not fs.exists(jvm_path):
         return spark.createDataFrame([], LOG_SCHEMA)
-    return backfill(spark.read.parquet(path)).orderBy("timestamp")
+    # the schema is given: no file's own columns decide for the others
+    rows = spark.read.schema(STORED_SCHEMA).parquet(path)
+    ids = F.col("recommended_merchants")
+    old = F.col(MARK).isNull() & ids.isNull()
+    return rows.withColumn(
+        "recommended_merchants", F.when(old, F.lit(EMPTY_LIST)).otherwise(ids)
+    ).drop(MARK).orderBy("timestamp")
 
 
 def clear(spark: SparkSession, path: str) -> None:

@@ -135,57 +135,110 @@ SELECT event_id AS log_id, ts, user_id AS customer_id,
  END AS recommended_merchants
 FROM (SELECT event_id, ts, user_id,
  replace(replace(props, '{"k": ', ''), '}', '') AS k FROM events) e""",
+    "fx_intent_json": """
+SELECT r.request_id,
+ '{"category": ' || CASE WHEN r.request_id % 41 = 7 THEN 'null' WHEN r.request_id % 43 = 7 THEN '5'
+   ELSE '"' || coalesce(i.category, '') || '"' END
+ || ', "price_range": ' || CASE WHEN r.request_id % 37 = 3 THEN '[1, 2]'
+   WHEN r.request_id % 4 = 0 THEN '{"min": ' || CAST(r.request_id % 50 AS VARCHAR(9))
+     || ', "max": "' || CAST(60 + r.request_id % 300 AS VARCHAR(9)) || '"}'
+   WHEN r.request_id % 4 = 1 THEN 'null' WHEN i.price_range IS NULL THEN '""'
+   ELSE '"' || i.price_range || '"' END
+ || CASE r.request_id % 3 WHEN 0 THEN ', "proximity_km": ' || CAST(5 + r.request_id % 40 AS VARCHAR(9))
+   WHEN 1 THEN ', "proximity_km": "near"' ELSE '' END
+ || CASE r.request_id % 5 WHEN 0 THEN ', "min_rating": "3.5"' WHEN 1 THEN ', "min_rating": 4' ELSE '' END
+ || CASE WHEN r.request_id % 31 = 5 THEN ', "exact_items": 3' WHEN i.exact_items IS NULL THEN ''
+   ELSE ', "exact_items": ["' || replace(i.exact_items, '|', '", "') || '"]' END
+ || CASE WHEN r.request_id % 29 = 4 THEN ', "specifics": null' ELSE
+   ', "specifics": {"solo": ' || CASE WHEN i.solo THEN 'true' ELSE 'false' END
+   || coalesce(', "recipient": "' || i.recipient || '"', '')
+   || coalesce(', "cuisine": "' || i.cuisine || '"', ', "cuisine": null')
+   || coalesce(', "atmosphere": "' || i.atmosphere || '"', '')
+   || coalesce(', "participants": "' || i.participants || '"', '')
+   || coalesce(', "type": "' || i.activity_type || '"', '') || '}' END
+ || ', "is_generic": ' || CASE WHEN i.is_generic THEN 'true' ELSE '0' END
+ || ', "is_ambiguous": ' || CASE WHEN i.is_ambiguous THEN '1' ELSE 'false' END
+ || CASE WHEN i.confidence IS NULL THEN '' ELSE ', "confidence": "' || i.confidence || '"' END || '}' AS j
+FROM fx_requests r JOIN fx_intents i ON r.intent_id = i.intent_id""",
     "fx_responses": """
 SELECT request_id, step,
- CASE (request_id + step) % 6
-  WHEN 0 THEN j WHEN 1 THEN 'Sure: ' || j || ' done' WHEN 2 THEN 'no object'
-  WHEN 3 THEN '' WHEN 4 THEN '{}' ELSE NULL END AS content
-FROM (SELECT r.request_id, s.step,
- '{"category": "' || coalesce(i.category, '') || '", "confidence": "'
-  || CASE WHEN s.step = 1 THEN 'medium' ELSE 'high' END || '"}' AS j
- FROM fx_requests r JOIN fx_intents i ON r.intent_id = i.intent_id
- CROSS JOIN (VALUES (1), (2)) AS s(step)) t""",
+ CASE WHEN step = 3 THEN CASE request_id % 5 WHEN 0 THEN '["spa", "japanese", "spa"]'
+   WHEN 1 THEN ' ["theme park", 7]' WHEN 2 THEN '{"no": "list"}' WHEN 3 THEN 'prose' ELSE '' END
+ ELSE CASE (request_id + step) % 6 WHEN 0 THEN j WHEN 1 THEN 'Sure: ' || j || ' done'
+   WHEN 2 THEN 'no object' WHEN 3 THEN '' WHEN 4 THEN CASE WHEN request_id % 47 = 9 THEN '[1]' ELSE '{}' END
+   ELSE NULL END END AS content
+FROM (SELECT q.request_id, q.j, s.step
+ FROM fx_intent_json q CROSS JOIN (VALUES (1), (2), (3)) AS s(step)) t""",
+    # what the last call, for the offer text, returned: text or an error
+    "fx_offer_responses": """
+SELECT request_id,
+ CASE request_id % 5 WHEN 0 THEN '  Two offers for request ' || CAST(request_id AS VARCHAR(20)) || chr(10)
+  WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN chr(10) || chr(9) || ' '
+  ELSE 'Offer: "half price", today' END AS content,
+ CASE WHEN request_id % 5 = 2 AND request_id % 2 = 0 THEN 'timeout after 30 s' END AS error
+FROM fx_requests""",
+    # merchant records as written: fields absent, null, text or number
+    "fx_merchant_json": """
+SELECT merchant_id, '{"merchant_id": ' || CASE WHEN merchant_id % 4 = 0
+   THEN '"' || CAST(merchant_id AS VARCHAR(20)) || '"' ELSE CAST(merchant_id AS VARCHAR(20)) END
+ || CASE merchant_id % 5 WHEN 0 THEN '' WHEN 1 THEN ', "name": null' ELSE ', "name": "' || name || '"' END
+ || CASE merchant_id % 3 WHEN 0 THEN '' ELSE ', "primary_category": "' || primary_category || '"' END
+ || CASE merchant_id % 6 WHEN 0 THEN '' WHEN 1 THEN ', "rating": null' WHEN 2 THEN ', "rating": "4.0"'
+   WHEN 3 THEN ', "rating": 4' ELSE ', "rating": 4.25' END
+ || CASE merchant_id % 7 WHEN 0 THEN '' WHEN 1 THEN ', "address": {}' WHEN 2 THEN ', "address": {"district": null}'
+   ELSE ', "address": {"district": "' || district || '"}' END
+ || ', "items": [{"name": "first"' || CASE merchant_id % 4 WHEN 0 THEN '' WHEN 1 THEN ', "price": null'
+   WHEN 2 THEN ', "price": "12.5"' ELSE ', "price": 20' END || '}, {"price": 8'
+ || CASE merchant_id % 5 WHEN 0 THEN '' WHEN 1 THEN ', "discount_percent": null'
+   WHEN 2 THEN ', "discount_percent": "half"' WHEN 3 THEN ', "discount_percent": "25"'
+   ELSE ', "discount_percent": 150' END || '}, {"name": "third", "price": "free"}, {"name": "fourth", "price": 1}]}' AS value
+FROM fx_merchants""",
+    # logged ids in every written form
+    "fx_id_log": """
+SELECT event_id AS log_id, CASE event_id % 6
+  WHEN 0 THEN '[1234567890123456789' || CAST(event_id % 3 AS VARCHAR(9)) || ']'
+  WHEN 1 THEN '["7"]' WHEN 2 THEN '[7.0, 7]' WHEN 3 THEN '[true, 1]' WHEN 4 THEN '[1.50]'
+  ELSE '[1e1, 10]' END AS recommended_merchants
+FROM events""",
 }
 
-# Spark-side text where it differs from the shared one: the two response steps
-# come from an explode of a two-element array instead of a join with a
-# two-row table (same rows, no cartesian product in the Spark plan).
+# Spark-side text where it differs from the shared one: the response steps
+# come from an explode of an array instead of a join with a small table (same rows,
+# no cartesian product in the Spark plan).
 SPARK_VIEWS: dict[str, str] = {
     "fx_responses": """
 SELECT request_id, step,
- CASE (request_id + step) % 6
-  WHEN 0 THEN j WHEN 1 THEN 'Sure: ' || j || ' done' WHEN 2 THEN 'no object'
-  WHEN 3 THEN '' WHEN 4 THEN '{}' ELSE NULL END AS content
-FROM (SELECT r.request_id, s.step,
- '{"category": "' || coalesce(i.category, '') || '", "confidence": "'
-  || CASE WHEN s.step = 1 THEN 'medium' ELSE 'high' END || '"}' AS j
- FROM fx_requests r JOIN fx_intents i ON r.intent_id = i.intent_id
- LATERAL VIEW explode(array(1, 2)) s AS step) t""",
+ CASE WHEN step = 3 THEN CASE request_id % 5 WHEN 0 THEN '["spa", "japanese", "spa"]'
+   WHEN 1 THEN ' ["theme park", 7]' WHEN 2 THEN '{"no": "list"}' WHEN 3 THEN 'prose' ELSE '' END
+ ELSE CASE (request_id + step) % 6 WHEN 0 THEN j WHEN 1 THEN 'Sure: ' || j || ' done'
+   WHEN 2 THEN 'no object' WHEN 3 THEN '' WHEN 4 THEN CASE WHEN request_id % 47 = 9 THEN '[1]' ELSE '{}' END
+   ELSE NULL END END AS content
+FROM (SELECT q.request_id, q.j, s.step
+ FROM fx_intent_json q LATERAL VIEW explode(array(1, 2, 3)) s AS step) t""",
 }
 
 # Which fx views each view reads (to emit only the needed CTEs).
 _DEPS: dict[str, tuple[str, ...]] = {
-    "fx_responses": ("fx_requests", "fx_intents"),
+    "fx_intent_json": ("fx_requests", "fx_intents"),
+    "fx_responses": ("fx_intent_json",),
+    "fx_offer_responses": ("fx_requests",),
+    "fx_merchant_json": ("fx_merchants",),
 }
 
 
 # Driver tables the fx views read.
 USED_TABLES = ("customer", "supplier", "nation", "part", "orders", "lineitem", "events")
-_relations: dict[tuple[int, str], dict[str, DataFrame]] = {}
 
 
 def relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The driver tables of ``sf_dir`` the fixtures read and every ``fx_*``
-    relation, as DataFrames (built once per session and folder).
+    relation, as DataFrames.
 
     Each SQL body runs through ``spark.sql`` with the relations it reads passed
     as DataFrame arguments, so nothing is registered in the session catalog:
     a caller's own views are untouched and several folders can be used side
     by side.
     """
-    key = (id(spark._jsparkSession), sf_dir)  # noqa: SLF001
-    if key in _relations:
-        return _relations[key]
     rel: dict[str, DataFrame] = {
         name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in USED_TABLES
     }
@@ -198,7 +251,6 @@ def relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                 text = re.sub(pattern, "{" + ref + "}", text)
                 args[ref] = rel[ref]
         rel[name] = spark.sql(text, **args)
-    _relations[key] = rel
     return rel
 
 

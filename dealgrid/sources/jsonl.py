@@ -26,13 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealgrid.functions import jsonx as jx
-from dealgrid.functions.jsonx import py_float_variant, strict_number, with_json_strict
 from dealgrid.functions.geo import DEFAULT_MERCHANT_LAT, DEFAULT_MERCHANT_LON
-from dealgrid.functions.text import PY_NUM_WS
-
-NUMBER, TEXT = "number", "text"
-_INT_TEXT = rf"^{PY_NUM_WS}*[+-]?\d+(_\d+)*{PY_NUM_WS}*$"
-_NOT_DIGITS = rf"{PY_NUM_WS}|_"
+from dealgrid.functions.ids import normalised_key
+from dealgrid.functions.jsonx import py_float_variant, strict_number, with_json_strict
 
 # --- Fixed values (defaults for absent merchant fields) --------------------
 DEFAULT_RATING = 0.0
@@ -40,46 +36,6 @@ DEFAULT_RATING = 0.0
 
 
 
-
-
-
-
-
-
-
-def normalised_key(raw: Column) -> Column:
-    """``struct<key_kind, key>`` like Python ``int(key)`` with fallback to the
-    raw value; NULL when the key is missing or null."""
-    k = jx.kind(raw)
-    d = F.try_variant_get(raw, "$", "double")
-    s = F.try_variant_get(raw, "$", "string")
-    finite = ~F.isnan(d) & (F.abs(d) < 9.2e18)
-    number = (
-        F.when(k == "BIGINT", F.try_variant_get(raw, "$", "bigint").cast("string"))
-        .when(k == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("int").cast("string"))
-        .when(jx.is_number_kind(k) & finite, d.cast("bigint").cast("string"))
-        .when(
-            (k == "STRING") & s.rlike(_INT_TEXT),
-            F.regexp_replace(s, _NOT_DIGITS, "").try_cast("bigint").cast("string"),
-        )
-    )
-    text = F.when(k == "STRING", s).when(jx.is_number_kind(k), F.to_json(raw))
-    return (
-        F.when(raw.isNull() | F.is_variant_null(raw), F.lit(None))
-        .when(number.isNotNull(), F.struct(F.lit(NUMBER).alias("key_kind"), number.alias("key")))
-        .when(text.isNotNull(), F.struct(F.lit(TEXT).alias("key_kind"), text.alias("key")))
-    )
-
-
-def canonical_key(c: Column) -> Column:
-    """Canonical text key of a plain (non-VARIANT) id column, with the same
-    ``int()`` rule as ``normalised_key``: integer text and integral numbers
-    become the integer's text, other text stays as it is."""
-    s = c.cast("string")
-    as_int = F.when(s.rlike(_INT_TEXT), F.regexp_replace(s, _NOT_DIGITS, "").try_cast("bigint"))
-    return F.coalesce(as_int.cast("string"), s)
-
-
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``v variant, ord struct`` per parsable JSON-object line, in input order."""
     paths = [path] if isinstance(path, str) else list(path)
@@ -129,13 +85,31 @@ def keyed_last_wins(records: DataFrame, key_field: str) -> DataFrame:
     )
 
 
+def _with_default(v: Column, default: float) -> Column:
+    """Absent -> default; present -> ``float(value)`` or NULL."""
+    return F.when(v.isNull(), F.lit(default)).otherwise(py_float_variant(v))
+
+
+def _shown_number(v: Column) -> Column:
+    """A number of the offer summary: absent -> 0, not convertible -> NULL."""
+    return F.when(v.isNull(), F.lit(0.0)).otherwise(py_float_variant(v))
 
 
+#: Fields whose absence the leaderboard shows in words, with their paths.
+SHOWN_FIELDS = {
+    "name": "name",
+    "primary_category": "primary_category",
+    "rating": "rating",
+    "district": "address.district",
+}
 
 
-def _with_default(v: Column, default: float) -> Column:
-    """Absent -> default; present -> ``float(value)`` or NULL."""
-    return F.when(v.isNull(), F.lit(default)).otherwise(py_float_variant(v))
+def _absent(v: Column) -> Column:
+    """Names of the ``SHOWN_FIELDS`` the record does not have."""
+    flags = [
+        F.when(jx.field(v, path).isNull(), F.lit(name)) for name, path in SHOWN_FIELDS.items()
+    ]
+    return F.array_compact(F.array(*flags))
 
 
 def merchants(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -149,8 +123,8 @@ def merchants(spark: SparkSession, path: str | list[str]) -> DataFrame:
             jx.text_value(jx.field(it, "name")).alias("name"),
             strict_number(jx.field(it, "price")).alias("price"),
             strict_number(jx.field(it, "discount_percent")).alias("discount_percent"),
-            py_float_variant(jx.field(it, "price")).alias("price_shown"),
-            py_float_variant(jx.field(it, "discount_percent")).alias("discount_shown"),
+            _shown_number(jx.field(it, "price")).alias("price_shown"),
+            _shown_number(jx.field(it, "discount_percent")).alias("discount_shown"),
         ),
     )
     return recs.select(
@@ -166,6 +140,9 @@ def merchants(spark: SparkSession, path: str | list[str]) -> DataFrame:
         _with_default(jx.field(v, "lat"), DEFAULT_MERCHANT_LAT).alias("lat"),
         _with_default(jx.field(v, "lon"), DEFAULT_MERCHANT_LON).alias("lon"),
         jx.text_value(jx.field(v, "address.district")).alias("district"),
+        # the rating as written, for display; ``rating`` is what the filter reads
+        jx.py_str_variant(jx.field(v, "rating")).alias("rating_shown"),
+        _absent(v).alias("absent"),
         typed_items.alias("items"),
     )
 
@@ -193,8 +170,10 @@ def customers(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.transform(
             txns,
             lambda t: F.struct(
-                F.try_variant_get(jx.field(t, "merchant_id"), "$", "bigint").alias("merchant_id"),
+                jx.py_str_variant(jx.field(t, "merchant_id")).alias("merchant_id"),
+                (jx.kind(jx.field(t, "merchant_id")) == "STRING").alias("text_id"),
                 py_float_variant(jx.field(t, "amount")).alias("amount"),
+                jx.py_str_variant(jx.field(t, "amount")).alias("amount_shown"),
                 jx.text_value(jx.field(t, "category")).alias("category"),
             ),
         ).alias("transactions"),

@@ -66,18 +66,36 @@ def test_stream_restart_counts_each_file_once(spark):
     """Stop after the first files, append more, start again from the same
     checkpoint: counts cover old and new files, each exactly once."""
     from dealgrid.plans.sizing import work_dir
-    from dealgrid.streaming.exposure_stream import start_exposure_stream
+    from dealgrid.streaming.exposure_stream import published, start_exposure_stream
 
     base = work_dir(spark, "stream-restart")
     log_path, out_path, ckpt = f"{base}/log", f"{base}/counts", f"{base}/ckpt"
     first = spark.createDataFrame([("[1, 2]",), ("[2]",)], "recommended_merchants string")
     first.coalesce(1).write.mode("append").parquet(log_path)
     start_exposure_stream(spark, log_path, out_path, ckpt).awaitTermination()
-    got = {r.merchant_key: r.exposure for r in spark.read.parquet(out_path).collect()}
+    before = published(spark, out_path)
+    got = {r.merchant_key: r.exposure for r in before.collect()}
     assert got == {"1": 1, "2": 2}
 
     more = spark.createDataFrame([("[2, 3]",)], "recommended_merchants string")
     more.coalesce(1).write.mode("append").parquet(log_path)
     start_exposure_stream(spark, log_path, out_path, ckpt).awaitTermination()
-    got = {r.merchant_key: r.exposure for r in spark.read.parquet(out_path).collect()}
+    got = {r.merchant_key: r.exposure for r in published(spark, out_path).collect()}
     assert got == {"1": 1, "2": 3, "3": 1}
+    # a reader of the earlier batch still has it whole
+    assert {r.merchant_key: r.exposure for r in before.collect()} == {"1": 1, "2": 2}
+
+
+def test_reader_sees_the_last_whole_batch(spark):
+    """A batch without its last table's _SUCCESS (being written, or left by a crash) is
+    not read."""
+    from dealgrid.plans.sizing import work_dir
+    from dealgrid.streaming.exposure_stream import published
+
+    out = work_dir(spark, "stream-publish")
+    assert published(spark, out) is None
+    spark.range(3).write.parquet(f"{out}/batch=0/counts")
+    spark.range(5).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(
+        f"{out}/batch=1/counts"
+    )
+    assert published(spark, out).count() == 3

@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from dealgrid.functions.ids import normalised_key
 from dealgrid.operators.catalog import build_catalog, flatten_items
 from dealgrid.sources import jsonl
 
@@ -60,7 +61,7 @@ def test_key_normalisation(spark):
     df = spark.createDataFrame([(r,) for r in rows], "j string")
     got = [
         (r.k.key_kind, r.k.key) if r.k else None
-        for r in df.select(jsonl.normalised_key(F.parse_json("j")).alias("k")).collect()
+        for r in df.select(normalised_key(F.parse_json("j")).alias("k")).collect()
     ]
     assert got == [
         ("number", "12"), ("number", "12"), ("text", "12.5"), ("number", "1"),
@@ -72,9 +73,60 @@ def test_customers_file(spark):
     here = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(here, "data", "customers.jsonl")
     c = jsonl.customers(spark, path).orderBy("pos").collect()
-    assert [r.consumer_id for r in c] == ["1", "2"]
-    assert c[1].postal_code == "088511"           # leading zero kept
-    assert [t.merchant_id for t in c[0].transactions] == [105, 113]
+    assert [r.consumer_id for r in c] == ["71", "8"]
+    assert c[1].postal_code == "009017"           # leading zero kept
+    assert [(t.merchant_id, t.text_id) for t in c[0].transactions] == [("12", False), ("kiosk-4", True)]
+
+
+def test_transactions_print_as_in_the_record(spark):
+    from dealgrid.operators import render
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    c = jsonl.customers(spark, os.path.join(here, "data", "customers.jsonl")).orderBy("pos")
+    got = [r[0] for r in c.select(render.transactions_text(F.col("transactions"), written=True)).collect()]
+    assert got == [str([(12, "Gifts", 3), ("kiosk-4", "Kids' corner", 12345678.5)]), "[]"]
+
+
+def test_long_and_odd_ids_keep_apart(spark):
+    from pyspark.sql import types as T
+
+    from dealgrid.functions.ids import logged_key, plain_key
+
+    raw = ["12345678901234567890", "12345678901234567891", "7.0", "7", "true", '"7"', "1.50", "-0.5", "[1]"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, j string").select(
+        "i", F.parse_json("j").alias("v")
+    )
+    rows = df.select("i", logged_key(F.col("v")).alias("l"), normalised_key(F.col("v")).alias("n")).orderBy("i").collect()
+    assert [tuple(r.l) if r.l else None for r in rows] == [
+        ("number", raw[0]), ("number", raw[1]), ("number", "7"), ("number", "7"), ("number", "1"),
+        ("text", "7"), ("number", "1.5"), ("number", "-0.5"), None]
+    assert [r.n.key if r.n else None for r in rows] == [raw[0], raw[1], "7", "7", "1", "7", "1", "0", None]
+    plain = {"double": (12.0, "12"), "boolean": (True, "1"), "string": ("abc", "abc"), "decimal(20,2)": (None, None)}
+    for kind, (value, key) in plain.items():
+        one = spark.createDataFrame([(value,)], f"c {kind}")
+        got = one.select(plain_key(F.col("c"), one.schema["c"].dataType).alias("k")).first().k
+        assert (got.key if got else None) == key, kind
+    assert isinstance(one.schema["c"].dataType, T.DecimalType)
+
+
+def test_repeated_json_key_keeps_its_record(spark, scratch):
+    """In a session that forbids repeated keys by default, the record stays and the
+    last value counts, as in Python."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    path = _write(scratch, "dup.jsonl", ['{"merchant_id": 1, "name": "a", "name": "b"}'])
+    assert [(r.merchant_id, r.name) for r in jsonl.merchants(spark, path).collect()] == [("1", "b")]
+
+
+def test_bad_request_id_does_not_fail_the_job(spark):
+    from dealgrid.operators.requests import request_asks
+    from dealgrid.plans import queries
+    from dealgrid.sources import fixtures
+
+    fx = fixtures.relations(spark, "/root/testdata/sf0.001")
+    ids = F.when(F.col("request_id") % 2 == 0, F.lit("abc")).otherwise(F.col("request_id").cast("string"))
+    req = queries.fixture_requests(fx).withColumn("customer_id", ids)
+    found = {r.request_id % 2: r.status for r in request_asks(req, fx["fx_customers"]).collect() if r.status != "invalid_category"}
+    assert found[0] == "customer_not_found" and found[1] == "ok"
 
 
 def test_load_dimensions_and_request_ids(spark, scratch):
@@ -86,7 +138,7 @@ def test_load_dimensions_and_request_ids(spark, scratch):
     catalog, customers = jsonl.load_dimensions(spark, m_path, os.path.join(here, "data", "customers.jsonl"))
     assert catalog.count() == 4 and customers.count() == 2
     req = spark.createDataFrame(
-        [(1, "1"), (2, " 2 "), (3, "x"), (4, "1_0")], "request_id long, customer_id string"
+        [(1, "71"), (2, " 8 "), (3, "x"), (4, "1_0")], "request_id long, customer_id string"
     ).select(
         "*",
         F.lit("food").alias("category"),

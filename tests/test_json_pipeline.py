@@ -59,7 +59,7 @@ def test_json_lines_to_offers(spark, scratch):
     resolved = decode.resolve_intents(responses)
     typed = decode.typed_intents(resolved, "intent", "deduced_preferences", keep=("request_id",))
     requests = spark.createDataFrame(
-        [(1, "1"), (2, " 2 "), (3, "1")], "request_id long, customer_id string"
+        [(1, "71"), (2, " 8 "), (3, "71")], "request_id long, customer_id string"
     ).join(typed, "request_id")
     asks = request_asks(requests, customers)
     offers = top_merchants(asks, catalog).orderBy("request_id", "rank").collect()
@@ -87,9 +87,7 @@ def test_json_lines_to_offers(spark, scratch):
     )
     logged = {r.recommended_merchants for r in ids.collect()}
     assert '[101, "m-7"]' in logged
-    board = exposure.leaderboard(
-        exposure.exposure_counts(ids), catalog.select(
-            "merchant_id", "name", "primary_category", "rating", "district")
-    ).collect()
-    assert {(r.merchant_key, r.key_kind, r.exposure) for r in board} == {
-        ("101", "number", 1), ("m-7", "text", 2)}
+    # the loader's own catalog, as it is
+    board = exposure.leaderboard(exposure.exposure_counts(ids), catalog).collect()
+    assert {(r.merchant_key, r.key_kind, r.exposure, r.rating, r.district) for r in board} == {
+        ("101", "number", 1, "4.6", "Orchard"), ("m-7", "text", 2, "4.0", "N/A")}

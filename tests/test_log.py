@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from dealgrid.sources import convlog
 
 
@@ -28,6 +30,27 @@ def test_append_history_clear(spark, scratch):
     assert convlog.history(spark, path).count() == 0
 
 
+def test_history_of_old_and_new_files_in_one_folder(spark, scratch):
+    """Rows of files without the id column read '[]', logged ids and logged NULLs stay,
+    in whatever order the files are found."""
+    for k, first in enumerate(("old", "new")):
+        path = os.path.join(scratch, f"mixed{k}")
+        old = spark.createDataFrame([("t1", "1")], "timestamp string, customer_id string")
+        new = spark.createDataFrame(
+            [("t2", "2", "[1]"), ("t3", "3", None)],
+            "timestamp string, customer_id string, recommended_merchants string",
+        )
+        write_old = lambda: old.write.mode("append").parquet(path)  # noqa: B023, E731
+        write_new = lambda: convlog.append(new, path)  # noqa: B023, E731
+        for write in (write_old, write_new) if first == "old" else (write_new, write_old):
+            write()
+        convlog.append(old.withColumn("timestamp", F.lit("t4")), path)
+        rows = convlog.history(spark, path).collect()
+        assert [(r.timestamp, r.recommended_merchants) for r in rows] == [
+            ("t1", "[]"), ("t2", "[1]"), ("t3", None), ("t4", "[]")]
+        assert rows[0].user_request is None and len(rows[0]) == 6
+
+
 def test_csv_round_trip_keeps_quotes_and_newlines(spark, scratch):
     text = 'He said "hi",\nthen [1, 2]'
     rows = spark.createDataFrame([("t", "1", text, '{"a": "b"}', "ok", '["1", 2]')], convlog.LOG_SCHEMA)

@@ -118,7 +118,9 @@ def test_display_rounding_matches_python(spark):
 
 
 def test_unicode_whitespace_like_python(spark):
-    from dealgrid.sources.jsonl import canonical_key
+    from pyspark.sql import types as T
+
+    from dealgrid.functions.ids import plain_key
 
     vals = [" 50　", " cheap ", "around 40", "\x1c7\x1f"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, t string")
@@ -127,5 +129,19 @@ def test_unicode_whitespace_like_python(spark):
     assert floats[3] is None  # float() does not strip U+001C..U+001F (strip() does)
     bounds = {r.i: (r.lo, r.hi) for r in with_price_bounds(df, "t").select("i", "budget.lo", "budget.hi").collect()}
     assert bounds[1] == (0.0, 20.0) and bounds[2] == (30.0, 50.0)
-    keys = [r[0] for r in df.orderBy("i").select(canonical_key(F.col("t"))).collect()]
+    keys = [r[0] for r in df.orderBy("i").select(plain_key(F.col("t"), T.StringType())["key"]).collect()]
     assert keys[0] == str(int(vals[0])) == "50"
+
+
+def test_number_and_text_repr_like_python(spark):
+    from dealgrid.functions.text import py_float_repr, py_str_repr
+
+    numbers = [0.0, -0.0, 1.0, 12.5, 12345678.5, 1e15, 1e16, 1.5e16, 0.001, 0.0001, 1e-5, 1.5e-7,
+               0.1 + 0.2, -420.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    got = [r[0] for r in df.orderBy("i").select(py_float_repr(F.col("x"))).collect()]
+    assert got == [repr(x) for x in numbers]
+    texts = ["a", "it's", 'say "x"', "both ' \"", "back\\slash", "line\nbreak\t", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    got = [r[0] for r in df.orderBy("i").select(py_str_repr(F.col("x"))).collect()]
+    assert got == [repr(x) for x in texts]
