@@ -9,6 +9,7 @@ brute force the factored Spark plan must agree with.
 
 from __future__ import annotations
 
+from dealgrid.functions.pricing import AMOUNT_SPREAD, APPROX_PATTERN, BUDGET_WORDS
 from dealgrid.functions.text import PY_NUM_WS, PY_WS
 from dealgrid.sources.fixtures import oracle_prelude
 
@@ -34,7 +35,11 @@ def _max0(x: str) -> str:
     return f"(CASE WHEN NOT isnan({x}) AND {x} > 0 THEN {x} ELSE 0e0 END)"
 
 
-_APPROX = r"around\s*(\d+(?:\.\d+)?)|about\s*(\d+(?:\.\d+)?)".replace(r"\s", PY_WS)
+_APPROX = APPROX_PATTERN.replace(r"\s", PY_WS)
+
+
+def _number(x: float) -> str:
+    return "'inf'::DOUBLE" if x == float("inf") else f"{x!r}::DOUBLE"
 
 
 def price_bounds_ctes(source: str, key: str, text: str) -> str:
@@ -44,19 +49,17 @@ def price_bounds_ctes(source: str, key: str, text: str) -> str:
         ("raw IS NULL OR raw = ''", "0e0", inf),
         (
             "(contains(s, 'around') OR contains(s, 'about')) AND approx IS NOT NULL",
-            _max0("approx - 10"),
-            "approx + 10",
+            _max0(f"approx - {AMOUNT_SPREAD}"),
+            f"approx + {AMOUNT_SPREAD}",
         ),
-        ("s = 'cheap'", "0e0", "20e0"),
-        ("s = 'mid-range'", "20e0", "100e0"),
-        ("s = 'expensive'", "100e0", inf),
+        *[(f"s = '{word}'", _number(lo), _number(hi)) for word, (lo, hi) in BUDGET_WORDS.items()],
         ("contains(s, 'under $') AND under_v IS NOT NULL", "0e0", "under_v"),
         ("contains(s, 'under $')", "0e0", inf),
         ("contains(s, '$') AND first_v IS NULL", "0e0", inf),
         ("contains(s, '$') AND NOT has_second", "first_v", inf),
         ("contains(s, '$') AND second_v IS NULL", "0e0", inf),
         ("contains(s, '$')", "first_v", "second_v"),
-        ("plain IS NOT NULL", _max0("plain - 10"), "plain + 10"),
+        ("plain IS NOT NULL", _max0(f"plain - {AMOUNT_SPREAD}"), f"plain + {AMOUNT_SPREAD}"),
     ]
     lo = "CASE " + " ".join(f"WHEN {c} THEN {l}" for c, l, _ in rules) + " ELSE 0e0 END"
     hi = "CASE " + " ".join(f"WHEN {c} THEN {h}" for c, _, h in rules) + f" ELSE {inf} END"

@@ -7,6 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from dealgrid.plans.sizing import cleanup  # noqa: E402
 from dealgrid.session import local_session  # noqa: E402
 
 
@@ -17,6 +18,7 @@ def spark():
     # silently fall back to interpreted evaluation
     s.conf.set("spark.sql.codegen.fallback", "false")
     yield s
+    cleanup(s)
 
 
 @pytest.fixture()
