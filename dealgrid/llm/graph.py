@@ -6,12 +6,23 @@ executors cost at most the running step.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.plans.sizing import materialize
 
 SALTS = 16
+#: Rows of a narrow table that are worth a file of their own.
+FILE_ROWS = 100_000
+LEAST_FILES = 12
+
+
+def stored(df: DataFrame, name: str, most_rows: int) -> DataFrame:
+    """``df`` written to the shared folder, in fewer files where it has few rows for
+    its partitions: ``most_rows`` bounds its rows, so files grow with the data."""
+    return materialize(df.coalesce(max(LEAST_FILES, math.ceil(most_rows / FILE_ROWS))), name)
 
 
 def salted_join(
@@ -31,7 +42,7 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(digest), F.sum(digest % 1_000_003)).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_edges: int) -> DataFrame:
     """``node, component`` for every node of the undirected ``edges(u, v)``;
     ``component`` is the smallest node reachable.
 
@@ -39,30 +50,33 @@ def components(edges: DataFrame) -> DataFrame:
     (then smaller) neighbours to the smallest one it knows, until nothing
     changes. Each step is an aggregation and a salted join of the edge list,
     so a hub with very many neighbours is spread over tasks."""
-    current = materialize(
+    current = stored(
         edges.filter("u <> v").select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
         ).distinct(),
         "edges",
+        most_edges,
     )
     seen = _checksum(current)
+    edges_now = seen[0]
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = salted_join(both.filter("v > u"), low, "u", F.col("v"), "inner").select(
             F.col("v").alias("u"), F.col("m").alias("v")
         )
-        large = materialize(large.filter("u <> v").distinct(), "large_star")
+        large = large.filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, low, "u", F.col("v"), "inner")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
-        current = materialize(small.filter("u <> v").distinct(), "small_star")
+        # a step never makes more edges than it had nodes and edges
+        current = stored(small.filter("u <> v").distinct(), "small_star", 2 * edges_now)
         now = _checksum(current)
         if now == seen:
             break
-        seen = now
+        seen, edges_now = now, now[0]
     stars = current.groupBy("u").agg(F.min("v").alias("component"))
     return stars.select(F.col("u").alias("node"), "component").unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

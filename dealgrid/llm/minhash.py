@@ -52,7 +52,7 @@ from dealgrid.llm.common import (
     whole_text,
     word_hashes,
 )
-from dealgrid.llm.graph import components, salted_join
+from dealgrid.llm.graph import components, salted_join, stored
 from dealgrid.plans.sizing import materialize, measured_broadcast
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
@@ -259,12 +259,13 @@ def link(
     linked when 100 * |A and B| >= percent * |A or B| of their shingle sets."""
     hashed = _hashed(docs, id_col, text_col)
     sigs = materialize(_signatures(hashed, width), "signatures")
+    rows = sigs.count()
     whole = sigs.filter("doc_id is not null and digest is not null")
 
     classes = whole.groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("copies")
     )
-    classes = materialize(classes, "classes")
+    classes = stored(classes, "classes", rows)
     nodes = whole.join(
         classes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi"
     ).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands")
@@ -273,13 +274,15 @@ def link(
     member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
     buckets = buckets.filter("last > hub").select("bucket", "hub")
-    member = materialize(salted_join(member, buckets, "bucket", F.col("node"), "inner"), "members")
+    member = stored(
+        salted_join(member, buckets, "bucket", F.col("node"), "inner"), "members", BANDS * rows
+    )
     ties = member.filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    families = components(ties).withColumnRenamed("component", "family")
+    families = components(ties, BANDS * rows).withColumnRenamed("component", "family")
     families = families.join(nodes.select("node", "n"), "node")
     sizes = families.groupBy("family").agg(F.count("*").alias("size"))
     families = salted_join(families, sizes, "family", F.col("node"), "inner")
-    families = materialize(families, "families")
+    families = stored(families, "families", rows)
 
     grouped = families.filter(F.col("size") <= MOST_FAMILY).select(
         "node", "n", F.col("family").alias("group"), F.lit(False).alias("bucketed")
@@ -314,9 +317,10 @@ def link(
     )
     sets = _sets(_hashed(some, "_id", text_col), width).dropDuplicates(["node"])
     signed = nodes.join(sets, "node").select("node", "sig", "shingles")
-    rows = blocks.join(materialize(signed, "shingle_sets"), "node")
-    links = _links(rows.repartition("block").sortWithinPartitions("block"), percent)
-    linked = components(materialize(links, "links"))
+    compared = blocks.join(materialize(signed, "shingle_sets"), "node")
+    links = _links(compared.repartition("block").sortWithinPartitions("block"), percent)
+    links = materialize(links, "links")
+    linked = components(links, links.count())
 
     of_class = classes.join(linked, "node", "left").filter("copies > 1 or component is not null")
     of_class = of_class.select("digest", F.coalesce("component", "node").alias("component"))
