@@ -28,7 +28,7 @@ from dealgrid.llm.common import BLANKS, table
 from dealgrid.llm.queries import BPE_FILE
 from dealgrid.plans.sizing import materialize, measured_broadcast
 
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 SHINGLE_WORDS, PERCENT = 5, 80
 
 

@@ -55,8 +55,8 @@ MOST_BYTES = 256 << 20
 SEGMENT_NGRAMS = 1_000_000
 HEAD_WORDS = 400_000
 WEIGHT = 0.4
-#: Tokens scored or counted at once in a task.
-AT_ONCE = 1_000_000
+#: Tokens counted and scored at once in a task.
+COUNT_AT_ONCE, SCORE_AT_ONCE = 1_000_000, 300_000
 #: A token that holds a blank, so no word is equal to it.
 END = " end"
 
@@ -141,11 +141,11 @@ class Filter:
         return out
 
 
-def _pieces(flat: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``AT_ONCE`` tokens."""
+def _pieces(at: np.ndarray, tokens_at_once: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about so many tokens."""
     first = 0
     while first < len(at) - 1:
-        last = int(np.searchsorted(at, at[first] + AT_ONCE, "left"))
+        last = int(np.searchsorted(at, at[first] + tokens_at_once, "left"))
         last = min(max(last, first + 1), len(at) - 1)
         yield first, last
         first = last
@@ -159,7 +159,7 @@ def _counted(train: DataFrame, segments: int) -> DataFrame:
         for batch in batches:
             flat, at = list_column(batch, "h")
             flat = flat.view(np.uint64)
-            for first, last in _pieces(flat, at):
+            for first, last in _pieces(at, COUNT_AT_ONCE):
                 part, cut = flat[at[first] : at[last]], at[first : last + 1] - at[first]
                 rows: list[tuple] = []
                 for order in range(ORDER + 1):
@@ -270,7 +270,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         logs = np.log10(counts + 1.0)
         for batch in batches:
             all_flat, all_at = list_column(batch, "h")
-            for first, last in _pieces(all_flat, all_at):
+            for first, last in _pieces(all_at, SCORE_AT_ONCE):
                 flat = all_flat[all_at[first] : all_at[last]]
                 at = all_at[first : last + 1] - all_at[first]
                 word, inverse = np.unique(flat, return_inverse=True)

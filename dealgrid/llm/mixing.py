@@ -61,7 +61,7 @@ NO_WORD = np.int64(xxhash.xxh64_intdigest(b"", seed=42) - (1 << 64))
 @dataclass
 class Classifier:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, len(DOMAINS)), np.float32))
-    marks: np.ndarray = field(default_factory=lambda: np.zeros((2, len(DOMAINS)), np.float32))
+    marks: np.ndarray = field(default_factory=lambda: np.zeros((3, len(DOMAINS)), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS), np.float32))
 
     def posterior(self, words: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -84,13 +84,15 @@ def features(df: DataFrame, kept: list[str], text_col: str = "text") -> DataFram
 
 def vectors(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each text: number of words, buckets of its distinct words, and the roots
-    of its shares of symbols and of capitals."""
+    of its shares of symbols, of capitals, and of words equal to the one before."""
     flat, at = list_column(batch, "_words")
     for i, raw in enumerate(batch.column("_text").to_pylist()):
         words = flat[at[i] : at[i + 1]]
         words = words[words != NO_WORD]
         seen = np.bincount(np.frombuffer(raw or b"", np.uint8), minlength=256)
-        share = np.array([seen[SYMBOLS].sum(), seen[CAPITALS].sum()]) / max(1, seen.sum())
+        twice = np.count_nonzero(words[1:] == words[:-1]) / max(1, len(words))
+        size = max(1, seen.sum())
+        share = np.array([seen[SYMBOLS].sum() / size, seen[CAPITALS].sum() / size, twice])
         yield len(words), np.unique(words & (FEATURES - 1)), np.sqrt(share).astype(np.float32)
 
 

@@ -1,7 +1,8 @@
 """Quality classifier with supervised subword embeddings (operator 9).
 
-Each word (case kept) and each character ``ORDER``-gram is hashed to one of
-``BUCKETS`` learned vectors of ``DIMENSIONS`` numbers. A document is the average of
+Each word (case kept), each character ``ORDER``-gram and each word pair of one word
+twice (whichever word) is hashed to one of ``BUCKETS`` learned vectors of ``DIMENSIONS``
+numbers. A document is the average of
 its features' vectors, followed by a softmax over the two labels. Vectors and
 softmax are trained by numpy stochastic gradient descent on at most
 ``SAMPLE_ROWS`` labelled training documents (whole texts, those of smallest id
@@ -45,6 +46,10 @@ SAMPLE_ROWS = 5_000
 EPOCHS, STEP = 8, 1.0
 
 
+#: Hash of the pair of a word and itself, the same for all words.
+TWICE = np.uint64(0x2545F4914F6CDD1D)
+
+
 @dataclass
 class Model:
     """score of a bucket for each label, and intercepts."""
@@ -54,7 +59,7 @@ class Model:
 
 
 def features(text: str, words: np.ndarray) -> np.ndarray:
-    """Buckets of the words and character n-grams of a text."""
+    """Buckets of the words, pairs of equal words and character n-grams of a text."""
     points = np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     if not len(words):
         return np.empty(0, np.int64)
@@ -62,8 +67,9 @@ def features(text: str, words: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(ORDER):
         key = key * np.uint64(1_000_003) + points[k : k + n]
-    both = np.concatenate([mix(key), mix(words.view(np.uint64))])
-    return (both & np.uint64(BUCKETS - 1)).astype(np.int64)
+    twice = np.full(np.count_nonzero(words[1:] == words[:-1]), TWICE, np.uint64)
+    found = np.concatenate([mix(key), mix(words.view(np.uint64)), twice])
+    return (found & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _rows(docs: DataFrame, kept: list[str], text_col: str) -> DataFrame:
