@@ -76,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path(BPE_FILE)
-    both = bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
+    both = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, with_decoded=True)
     return both.select(
         "doc_id",
         "n_tokens",

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import texts
+from dealgrid.llm.common import text_batches, texts
 
 INFINITE = 1 << 62
 POSITION = (1 << 32) - 1
@@ -243,30 +243,46 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[str]], list
     return encode_texts
 
 
+def decoder(ranks: dict[bytes, int]) -> Callable[[bytes], bytes]:
+    """packed ids -> the bytes they stand for."""
+    token = {rank: raw for raw, rank in ranks.items()}.__getitem__
+    return lambda packed: b"".join(map(token, np.frombuffer(packed, "<u4").tolist()))
+
+
 def encode(
-    df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_decoded: bool = False,
 ) -> DataFrame:
     """``id_col``, ``n_tokens`` and ``tokens`` (packed little-endian unsigned
-    32-bit ids, the layout that training loaders map into memory) of every row."""
+    32-bit ids, the layout that training loaders map into memory) of every row;
+    ``with_decoded`` adds ``decoded``, what ``decode`` makes of them, in the same pass
+    (one Python worker a task instead of two)."""
+    text_batches(df.sparkSession)
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = encoder(ranks.value, pattern)
+        encode_texts, decode_ids = encoder(ranks.value, pattern), decoder(ranks.value)
         for batch in batches:
             ids = encode_texts(list(texts(batch, "_text")))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array(ids, pa.binary()),
-                ],
-                [id_col, "n_tokens", "tokens"],
-            )
+            columns = [
+                batch.column(0),
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array(ids, pa.binary()),
+            ]
+            if with_decoded:
+                columns.append(pa.array(map(decode_ids, ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = [id_col, "n_tokens", "tokens", *["decoded"] * with_decoded]
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, tokens binary")
+    more = ", decoded binary" * with_decoded
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, tokens binary{more}")
 
 
 def decode(df: DataFrame, vocabulary: str, tokens_col: str = "tokens") -> DataFrame:
@@ -276,12 +292,9 @@ def decode(df: DataFrame, vocabulary: str, tokens_col: str = "tokens") -> DataFr
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: raw for raw, rank in ranks.value.items()}.__getitem__
+        decode_ids = decoder(ranks.value)
         for batch in batches:
-            out = [
-                b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist()))
-                for x in batch.column(tokens_col).to_pylist()
-            ]
+            out = [decode_ids(x or b"") for x in batch.column(tokens_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"]
             )
@@ -292,7 +305,7 @@ def decode(df: DataFrame, vocabulary: str, tokens_col: str = "tokens") -> DataFr
 def digests(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Round trip of every text, as digests: doc_id, n_tokens, ids_sha256,
     decoded_sha256."""
-    both = decode(encode(docs, vocabulary, pattern), vocabulary)
+    both = encode(docs, vocabulary, pattern, with_decoded=True)
     return both.select(
         "doc_id",
         "n_tokens",

@@ -56,6 +56,20 @@ def list_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return values.to_numpy(zero_copy_only=False), offsets
 
 
+#: Rows of an Arrow batch that carries whole texts, and its bytes.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, so that a Python worker holds few whole
+    texts at once, long ones too."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key, str(most))).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def decoded(raw: pa.Array) -> Iterator[str]:
     """Texts of a binary array (text cast to binary, so that bytes which are no
     UTF-8 become the replacement character instead of an error)."""
