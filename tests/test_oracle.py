@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from dealgrid.plans.oracle import oracle_sql
+from dealgrid.plans.queries import QUERIES
 from dealgrid.sources.fixtures import DRIVER_TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +32,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -42,7 +45,29 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) and set(oracle_sql()) <= set(entry.oracle_sql())
+
+
+def test_entry_without_the_training_data_operators():
+    """The entry module works where the subpackage and the pipeline are not installed."""
+    import subprocess
+    import sys
+    import textwrap
+
+    code = textwrap.dedent("""
+        import sys
+        class Hidden:
+            def find_spec(self, name, path=None, target=None):
+                if name.startswith(("dealgrid.llm", "corpus_pipeline")):
+                    raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        sys.meta_path.insert(0, Hidden())
+        import __spark_entry__ as e
+        assert "match_all_intents" in e.queries() and "pipeline" not in e.queries()
+        assert not any(q.startswith("op") and q[2].isdigit() for q in {**e.queries(), **e.oracle_sql()})
+    """)
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
 
 
 def test_entry_smoke(spark):
