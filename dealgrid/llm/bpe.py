@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import text_batches, texts
+from dealgrid.llm.common import text_batches, texts, tidy
 
 INFINITE = 1 << 62
 POSITION = (1 << 32) - 1
 #: Bounds of a worker's memo (entries, and characters of one remembered part),
 #: and characters of text taken at once.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 150_000
 MEMO_CHARS = 64
 AT_ONCE_CHARS = 500_000
 #: Matches of up to so many bytes are merged many at once, so many at a time.
@@ -282,7 +282,7 @@ def encode(
     names = [id_col, "n_tokens", "tokens", *["decoded"] * with_decoded]
     kind = rows.schema[id_col].dataType.simpleString()
     more = ", decoded binary" * with_decoded
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, tokens binary{more}")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens bigint, tokens binary{more}")
 
 
 def decode(df: DataFrame, vocabulary: str, tokens_col: str = "tokens") -> DataFrame:
@@ -299,7 +299,7 @@ def decode(df: DataFrame, vocabulary: str, tokens_col: str = "tokens") -> DataFr
                 [*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"]
             )
 
-    return df.select(*kept).mapInArrow(run, f"{schema}, decoded binary")
+    return df.select(*kept).mapInArrow(tidy(run), f"{schema}, decoded binary")
 
 
 def digests(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -6,8 +6,11 @@ Word rules: ``split_words`` is the contract's ``[^\\x20\\x09-\\x0D]+`` and
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +73,22 @@ def text_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a task's function, after which the Python worker gives memory back:
+    workers are used again, and would else keep what a task needed at its height."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def decoded(raw: pa.Array) -> Iterator[str]:
     """Texts of a binary array (text cast to binary, so that bytes which are no
     UTF-8 become the replacement character instead of an error)."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import decoded, id_remainder, mix, table, text_batches, texts
+from dealgrid.llm.common import decoded, id_remainder, mix, table, text_batches, texts, tidy
 
 ORDERS = (1, 3)
 BUCKETS = 1 << 16
@@ -113,7 +113,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                 ["lang", "bucket", "n"],
             )
 
-    counts = rows.mapInArrow(run, "lang string, bucket long, n long")
+    counts = rows.mapInArrow(tidy(run), "lang string, bucket long, n long")
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     total = np.full((len(languages), BUCKETS), SMOOTHING)
@@ -182,7 +182,7 @@ def language(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
             )
 
     udf = F.arrow_udf(
-        predict,
+        tidy(predict),
         "lang_pred string, score double, languages array<struct<lang:string,share:double>>",
         F.ArrowUDFType.SCALAR_ITER,
     )

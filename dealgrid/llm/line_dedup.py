@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import table, text_batches, texts
+from dealgrid.llm.common import table, text_batches, texts, tidy
 from dealgrid.llm.graph import salted_join
 from dealgrid.plans.sizing import materialize, measured_broadcast
 
@@ -124,7 +124,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
             )
 
     kind = "hashes array<long>, words array<int>, at array<int>, marks array<int>"
-    return rows.mapInArrow(run, f"doc long, body long, n_lines long, {kind}")
+    return rows.mapInArrow(tidy(run), f"doc long, body long, n_lines long, {kind}")
 
 
 def _windows(rows: DataFrame, min_words: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _windows(rows: DataFrame, min_words: int) -> DataFrame:
             )
 
     return rows.select("doc", "body", "hashes", "words", "at", "marks").mapInArrow(
-        run, "doc long, body long, window long, low long, high long"
+        tidy(run), "doc long, body long, window long, low long, high long"
     )
 
 
@@ -169,7 +169,7 @@ def _flags(spans: DataFrame) -> DataFrame:
                 ["doc", "body", "gone"],
             )
 
-    return spans.mapInArrow(run, "doc long, body long, gone array<boolean>")
+    return spans.mapInArrow(tidy(run), "doc long, body long, gone array<boolean>")
 
 
 def deletions(

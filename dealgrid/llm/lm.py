@@ -45,6 +45,7 @@ from dealgrid.llm.common import (
     split_words,
     table,
     text_batches,
+    tidy,
     whole_text,
     word_hashes,
 )
@@ -183,7 +184,7 @@ def _counted(train: DataFrame, segments: int) -> DataFrame:
                     ["order", "segment", "keys", "counts"],
                 )
 
-    return train.select("h").mapInArrow(run, "order int, segment long, keys binary, counts binary")
+    return train.select("h").mapInArrow(tidy(run), "order int, segment long, keys binary, counts binary")
 
 
 def learn(train: DataFrame, segments: int) -> DataFrame:
@@ -311,7 +312,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     kind = hashed.schema[id_col].dataType.simpleString()
     scored = materialize(
         hashed.select(id_col, "body", "h").mapInArrow(
-            run,
+            tidy(run),
             f"`{id_col}` {kind}, body long, n_tokens long, known long, logs double, score double, rest array<long>",
         ),
         "scores",

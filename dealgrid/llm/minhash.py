@@ -50,6 +50,7 @@ from dealgrid.llm.common import (
     split_words,
     table,
     text_batches,
+    tidy,
     whole_text,
     word_hashes,
 )
@@ -158,7 +159,7 @@ def _signatures(hashed: DataFrame, width: int) -> DataFrame:
             )
 
     kind = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
-    return hashed.mapInArrow(run, kind)
+    return hashed.mapInArrow(tidy(run), kind)
 
 
 def _sets(hashed: DataFrame, width: int) -> DataFrame:
@@ -174,7 +175,7 @@ def _sets(hashed: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array(rows, pa.binary())], ["node", "shingles"]
             )
 
-    return hashed.mapInArrow(run, "node long, shingles binary")
+    return hashed.mapInArrow(tidy(run), "node long, shingles binary")
 
 
 def confirmed(
@@ -246,7 +247,7 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
         if block:
             yield of(block)
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(tidy(run), "u long, v long")
 
 
 def link(

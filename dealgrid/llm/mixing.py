@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import list_column, table, text_batches, whole_text
+from dealgrid.llm.common import list_column, table, text_batches, tidy, whole_text
 from dealgrid.plans.sizing import materialize
 
 DOMAINS = ("high", "low", "toxic")
@@ -125,7 +125,7 @@ def fit(
                 ["id", "domain", "words", "marks"],
             )
 
-    rows = found.mapInArrow(run, "id string, domain int, words array<int>, marks array<float>")
+    rows = found.mapInArrow(tidy(run), "id string, domain int, words array<int>, marks array<float>")
     rows = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["id"], r["domain"], r["words"]))
     model = Classifier()
     order = np.random.Generator(np.random.PCG64(6))
@@ -173,7 +173,7 @@ def posteriors(
             )
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, posterior array<double>")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, posterior array<double>")
 
 
 def rates(posterior: np.ndarray, slopes: np.ndarray, keep: float) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +204,7 @@ def _totals(members: DataFrame, slopes: np.ndarray, keep: float) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(total.reshape(-1))[i : i + 1] for i in range(2 * width)], names)
 
     names = [f"s{i}" for i in range(2 * width)]
-    sums = members.select("n_tokens", "posterior").mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    sums = members.select("n_tokens", "posterior").mapInArrow(tidy(run), ", ".join(f"{n} double" for n in names))
     row = sums.agg(*[F.sum(n).alias(n) for n in names]).first()
     return np.array([x or 0.0 for x in row]).reshape(2, width)
 
@@ -256,7 +256,7 @@ def apply(members: DataFrame, mix: Mix, id_col: str = "doc_id") -> DataFrame:
 
     kind = members.schema[id_col].dataType.simpleString()
     rows = members.select(id_col, "n_tokens", "posterior").mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens long, posterior array<double>, rate double"
+        tidy(run), f"`{id_col}` {kind}, n_tokens long, posterior array<double>, rate double"
     )
     u = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.withColumn("copies", F.floor(F.col("rate") + u).cast("long"))

@@ -36,6 +36,7 @@ from dealgrid.llm.common import (
     table,
     text_batches,
     texts,
+    tidy,
     whole_text,
     word_hashes,
 )
@@ -143,7 +144,7 @@ def fit(
             )
 
     rows = _rows(found.withColumn("_id", F.col(id_col).cast("string")), ["_id", "quality"], text_col)
-    rows = rows.mapInArrow(run, "id string, quality int, buckets binary, counts binary").toArrow()
+    rows = rows.mapInArrow(tidy(run), "id string, quality int, buckets binary, counts binary").toArrow()
     examples = []
     for row in sorted(rows.to_pylist(), key=lambda r: (r["id"], r["quality"], r["buckets"])):
         buckets, n = (np.frombuffer(row[c], np.int32) for c in ("buckets", "counts"))
@@ -173,7 +174,7 @@ def classify(
 
     rows = _rows(docs, [id_col], text_col)
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {kind}, score double, predicted int")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
