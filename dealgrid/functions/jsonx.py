@@ -2,7 +2,7 @@
 
 Spark's ``try_parse_json`` stops after the first complete value and ignores
 what follows (``'{"a":1} and more'`` parses as ``{"a":1}``), while a strict
-decoder rejects trailing content. ``parse_json_strict`` wraps the text as
+decoder rejects trailing content. ``with_json_strict`` wraps the text as
 ``[<text>, "<end marker>"]``: the wrapper parses into exactly two elements
 with the marker second only when the text is one complete JSON value with
 nothing after it.
@@ -19,17 +19,9 @@ DUPLICATE_KEYS_CONF = "spark.sql.variant.allowDuplicateKeys"
 _END = "~dealgrid:end-of-value~"
 
 
-def parse_json_strict(text: Column) -> Column:
-    """VARIANT of ``text`` when it is exactly one JSON value, else NULL."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    ok = (F.try_variant_get(wrapped, "$[1]", "string") == _END) & F.try_variant_get(
-        wrapped, "$[2]", "variant"
-    ).isNull()
-    return F.when(ok, F.try_variant_get(wrapped, "$[0]", "variant"))
-
-
 def with_json_strict(df: DataFrame, text: Column | str, out: str) -> DataFrame:
-    """Add ``out`` = ``parse_json_strict(text)`` as staged projections: the
+    """Add ``out``: the VARIANT of ``text`` when it is exactly one JSON value, else
+    NULL. Staged projections: the
     wrapper is parsed once per row and the checks read the parsed column
     (a single expression would repeat the parse inside every branch). Sets
     ``DUPLICATE_KEYS_CONF`` for the session: the last of repeated keys wins."""

@@ -7,11 +7,9 @@
   shared folder and reads it back: one job, lineage cut, and the data
   survives the loss of executors (``checkpoint()`` would compute the plan
   twice: once for the action, once for the checkpoint write).
-* ``bounded_broadcast(df)`` materialises a dictionary, measures the written
-  bytes on the file system (no extra job) and hints ``broadcast`` only when
-  ``bytes * expansion`` is under the limit; otherwise the plain DataFrame goes
-  back and the join is a shuffle join (AQE may still convert it at run time
-  and splits skewed partitions).
+* ``measured_broadcast(df)`` materialises a dictionary, measures its rows with their
+  payload and hints ``broadcast`` only when they fit the limit; otherwise the plain
+  DataFrame goes back and the join is a shuffle join (``plans.skew`` salts it).
 """
 
 from __future__ import annotations
@@ -36,7 +34,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder "
                 "(HDFS/S3/...) reachable by every executor"
@@ -46,10 +44,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-# Parquet is compressed; in memory a broadcast table is several times larger.
-EXPANSION = 5
-
-
 def work_dir(spark: SparkSession, kind: str) -> str:
     """A fresh folder for this application's intermediate data:
     ``<spark.checkpoint.dir>/dealgrid/<application id>/<kind>/<uuid>``."""
@@ -68,41 +62,18 @@ def cleanup(spark: SparkSession) -> bool:
     return bool(fs.exists(jpath) and fs.delete(jpath, True))
 
 
-def _table_path(spark: SparkSession, name: str) -> str:
-    return work_dir(spark, f"tables/{name}")
-
-
-def _materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = _table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path), path
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder."""
-    return _materialize(df, name)[0]
-
-
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    return int(fs.getContentSummary(jpath).getLength())
+    spark = df.sparkSession
+    path = work_dir(spark, f"tables/{name}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_LIMIT_CONF, str(DEFAULT_BROADCAST_LIMIT)))
 
 
-def bounded_broadcast(df: DataFrame, name: str = "dictionary") -> tuple[DataFrame, int]:
-    """Materialise ``df`` and broadcast it only when its measured size fits.
-    Returns the DataFrame and its estimated in-memory bytes."""
-    spark = df.sparkSession
-    m, path = _materialize(df, name)
-    size = stored_bytes(spark, path) * EXPANSION
-    return (F.broadcast(m) if size <= broadcast_limit(spark) else m), size
-
-
 def _value_bytes(name: str, kind: T.DataType) -> Column:
     """Upper estimate of a value's bytes in a hashed relation."""
     col = F.col(name)
