@@ -37,12 +37,12 @@ INFINITE = 1 << 62
 POSITION = (1 << 32) - 1
 #: Bounds of a worker's memo (entries, and characters of one remembered part),
 #: and characters of text taken at once.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 60_000
 MEMO_CHARS = 64
-AT_ONCE_CHARS = 500_000
+AT_ONCE_CHARS = 150_000
 #: Matches of up to so many bytes are merged many at once, so many at a time.
 SHORT_BYTES = 64
-SHORT_ROWS = 8_192
+SHORT_ROWS = 2_048
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -60,13 +60,13 @@ def list_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
 
 
 #: Rows of an Arrow batch that carries whole texts, and its bytes.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 250, 4 << 20
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of the session, so that a Python worker holds few whole
-    texts at once, long ones too."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+def text_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bounds the Arrow batches of the session, so that a Python worker, and the JVM
+    beside its heap, hold few whole texts at once, long ones too."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{key}"
         now = int(str(spark.conf.get(key, str(most))).rstrip("b"))
         if not 0 < now <= most:

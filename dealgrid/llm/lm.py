@@ -241,7 +241,8 @@ def head_count(vocabulary: DataFrame, most_words: int) -> int:
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every row of
     ``docs``; learned from the rows where ``train`` holds."""
-    text_batches(docs.sparkSession)
+    # hashes, not texts; larger batches count more n-grams together
+    text_batches(docs.sparkSession, rows=2_000, size=16 << 20)
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
     segments = max(1, math.ceil(size * ORDER / 6 / SEGMENT_NGRAMS))
