@@ -84,8 +84,12 @@ def steps_wide(responses: DataFrame) -> DataFrame:
     """``request_id, c1, c2, c3``: one row per request (pivot on a fixed step
     list, a grouped aggregation with no driver round trip). Should a request have
     several responses for a step, the greatest text counts, whatever their order."""
+    # decoding costs far more than its bytes suggest: keep the session's number of
+    # partitions instead of letting small ones be merged
+    n = int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        responses.groupBy("request_id")
+        responses.repartition(n, "request_id")
+        .groupBy("request_id")
         .pivot("step", [STEP_EXTRACT, STEP_REFINE, STEP_PREFERENCES])
         .agg(F.max("content"))
         .select(

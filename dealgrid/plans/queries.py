@@ -223,7 +223,8 @@ def match_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = fx["fx_requests"].select("request_id", "customer_id").join(
         typed, "request_id"
     )
-    asks = request_asks(requests, fx["fx_customers"])
+    # read twice, by the key dictionary and the fan-out: decoded once
+    asks = materialize(request_asks(requests, fx["fx_customers"]), "request_asks")
     return _offers_out(top_merchants(asks, _catalog(fx), score_digits=DIGITS, items=fx["fx_items"]))
 
 
