@@ -13,9 +13,11 @@ Scoring: the filter is broadcast. An n-gram is probed at level 1, 2, ... until a
 probe fails; the mid-point of the last level's range is its count. Probabilities
 are smoothed by interpolation: p(w | v) = L c(vw) / c(v) + (1 - L) (c(w) + 1) / (N + V + 1).
 
-Bounds: the filter takes 1 byte an insertion, at most ``MOST_BYTES``. Beyond, it
-stays that large and false positives, otherwise about 2.4 %, rise; no n-gram is
-lost. The base score needs exact counts of all words: the ``HEAD_WORDS`` most
+Bounds: the filter takes 1 byte an insertion at every size, so that false positives
+stay at about 2.4 %. What is broadcast at once are segments of ``MOST_BYTES``
+together. A larger filter is used in several passes: each probes the n-grams of its
+segments, and writes the tokens with the levels found so far for the next one; the
+last scores. The base score needs exact counts of all words: the ``HEAD_WORDS`` most
 frequent are broadcast, tokens outside them meet the rest of the vocabulary in a
 shuffle join, in which no word is frequent.
 
@@ -33,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,7 @@ from dealgrid.plans.sizing import materialize
 
 ORDER = 2
 BITS, PROBES = 8, 4
+#: Bytes of the filter that a scoring pass broadcasts.
 MOST_BYTES = 256 << 20
 SEGMENT_NGRAMS = 1_000_000
 HEAD_WORDS = 400_000
@@ -104,7 +108,7 @@ def _bit_places(key: np.ndarray, level: int | np.ndarray, bits: np.ndarray | int
         yield (first + np.uint64(i) * step) % np.asarray(bits, np.uint64)
 
 
-def insert(key: np.ndarray, level: np.ndarray, most_bytes: float) -> np.ndarray:
+def insert(key: np.ndarray, level: np.ndarray, most_bytes: float = math.inf) -> np.ndarray:
     """The filter of one segment, as bytes of 8 bits."""
     size = int(max(8, min(math.ceil(level.sum() * BITS / 8), most_bytes)))
     mark = np.zeros(size * 8, bool)
@@ -190,7 +194,6 @@ def _counted(train: DataFrame, segments: int) -> DataFrame:
 def learn(train: DataFrame, segments: int) -> DataFrame:
     """One row a segment: its filter, and the hashes and counts of its tokens.
     ``train`` has token hashes ``h``."""
-    most = MOST_BYTES / segments
 
     def total(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         key = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
@@ -215,7 +218,7 @@ def learn(train: DataFrame, segments: int) -> DataFrame:
         return pa.table(
             {
                 "segment": [rows[0]["segment"]],
-                "bits": pa.array([insert(key, level, most).tobytes()], pa.binary()),
+                "bits": pa.array([insert(key, level).tobytes()], pa.binary()),
                 "tokens": [int(counts.sum())],
                 "types": [len(words)],
                 "words": pa.array([words.view(np.int64)], pa.list_(pa.int64())),
@@ -227,6 +230,78 @@ def learn(train: DataFrame, segments: int) -> DataFrame:
     return _counted(train, segments).groupBy("segment").applyInArrow(build, kind)
 
 
+def passes(sizes: list[int], most_bytes: int) -> list[tuple[int, int]]:
+    """Ranges of segments of at most so many bytes together, or of one segment."""
+    out, first = [], 0
+    for last in range(1, len(sizes) + 1):
+        if last == len(sizes) or sum(sizes[first : last + 1]) > most_bytes:
+            out.append((first, last))
+            first = last
+    return out
+
+
+def _filter_of(model: DataFrame, segments: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Data and starts of a filter in which only the segments of the range have bits."""
+    parts = [np.empty(0, np.uint8)] * segments
+    own = model.filter((F.col("segment") >= first) & (F.col("segment") < last))
+    for row in own.select("segment", "bits").toArrow().to_pylist():
+        parts[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+def _levels(
+    bloom: Filter, flat: np.ndarray, at: np.ndarray, word: np.ndarray, inverse: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the 1- and the 2-gram that end at each token."""
+    one = mix(np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64))  # keys() of order 1
+    return bloom.levels(one)[inverse], bloom.levels(keys(flat.view(np.uint64), at, 2))
+
+
+def _so_far(batch: pa.RecordBatch, first: int, last: int) -> list[np.ndarray]:
+    """The levels that earlier passes found; an n-gram is in one segment, so levels add up."""
+    return [
+        np.frombuffer(b"".join(batch.column(c).slice(first, last - first).to_pylist()), np.uint8).astype(np.int64)
+        for c in ("ones", "twos")
+    ]
+
+
+def _probed(tokens: DataFrame, shared: Broadcast, id_col: str) -> DataFrame:
+    """``tokens`` with the levels of the n-grams in the shared segments added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = Filter(*shared.value)
+        for batch in batches:
+            all_flat, all_at = list_column(batch, "h")
+            for first, last in _pieces(all_at, SCORE_AT_ONCE):
+                flat = all_flat[all_at[first] : all_at[last]]
+                at = all_at[first : last + 1] - all_at[first]
+                found = _levels(bloom, flat, at, *np.unique(flat, return_inverse=True))
+                if "ones" in batch.schema.names:
+                    found = [a + b for a, b in zip(found, _so_far(batch, first, last), strict=True)]
+                offsets = pa.py_buffer(at.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).slice(first, last - first) for i in range(3)]
+                    + [
+                        pa.Array.from_buffers(
+                            pa.binary(), last - first, [None, offsets, pa.py_buffer(f.astype(np.uint8))]
+                        )
+                        for f in found
+                    ],
+                    [id_col, "body", "h", "ones", "twos"],
+                )
+
+    kind = tokens.schema[id_col].dataType.simpleString()
+    return tokens.mapInArrow(tidy(run), f"`{id_col}` {kind}, body long, h array<long>, ones binary, twos binary")
+
+
+def _remove(written: DataFrame) -> None:
+    """Deletes a written table that is not read any more."""
+    spark = written.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def head_count(vocabulary: DataFrame, most_words: int) -> int:
     """The least count, a power of two, that at most ``most_words`` words reach."""
     by_level = vocabulary.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()
@@ -259,14 +334,21 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     )
     least = head_count(vocabulary, HEAD_WORDS)
     head = vocabulary.filter(F.col("n") >= least).toPandas().sort_values("word")
-    parts = [np.empty(0, np.uint8)] * segments
-    for row in model.select("segment", "bits").toArrow().to_pylist():
-        parts[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    start = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    sizes = [0] * segments
+    for row in model.select("segment", F.octet_length("bits").alias("n")).collect():
+        sizes[row["segment"]] = row["n"]
+    *earlier, final = passes(sizes, MOST_BYTES)
+    probed = hashed.select(id_col, "body", "h")
+    for k, (first, last) in enumerate(earlier):
+        part = spark.sparkContext.broadcast(_filter_of(model, segments, first, last))
+        before, probed = probed, materialize(_probed(probed, part, id_col), "levels")
+        part.destroy()
+        if k:
+            _remove(before)
     shared = spark.sparkContext.broadcast(
-        (np.concatenate(parts), start, head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64))
+        (*_filter_of(model, segments, *final), head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64))
     )
-    del parts, head
+    del head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, words, counts = shared.value
@@ -284,10 +366,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     slot = np.minimum(np.searchsorted(words, word), len(words) - 1)
                     found = words[slot] == word
                     base[found] = logs[slot[found]]
+                levels = _levels(bloom, flat, at, word, inverse)
+                if earlier:
+                    levels = [a + b for a, b in zip(levels, _so_far(batch, first, last), strict=True)]
+                single, pair = map(count_at, levels)
                 flat = flat.view(np.uint64)
-                one = mix(np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64))  # keys() of order 1
-                single = count_at(bloom.levels(one))[inverse]
-                pair = count_at(bloom.levels(keys(flat, at, 2)))
                 before = np.roll(single, 1)
                 before[at[:-1]] = single[at[1:] - 1]
                 share = pair / np.maximum(np.maximum(before, pair), 1)
@@ -312,7 +395,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     kind = hashed.schema[id_col].dataType.simpleString()
     scored = materialize(
-        hashed.select(id_col, "body", "h").mapInArrow(
+        probed.mapInArrow(
             tidy(run),
             f"`{id_col}` {kind}, body long, n_tokens long, known long, logs double, score double, rest array<long>",
         ),
@@ -326,6 +409,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     rare = rare.groupBy("_key", "body").agg(
         F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1)).alias("rare_logs")
     )
+    if earlier:
+        _remove(probed)
     both = scored.drop("rest").withColumn("_key", key).join(rare, ["_key", "body"], "left")
     base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     return both.select(

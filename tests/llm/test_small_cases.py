@@ -211,6 +211,22 @@ def test_rare_words_meet_the_vocabulary_in_a_join(spark, monkeypatch):
         assert math.isclose(r.base_score, whole[r.doc_id].base_score, rel_tol=1e-12)
 
 
+def test_lm_score_in_several_passes(spark, monkeypatch):
+    """A filter that is larger than a broadcast may be keeps its bits and scores."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(lm, "SEGMENT_NGRAMS", 5_000)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.score)
+    found = lambda: sorted(lm.score(docs, F.col("doc_id") % 3 != 0).collect(), key=key)
+    whole = found()
+    monkeypatch.setattr(lm, "MOST_BYTES", 20_000)
+    for a, b in zip(whole, found(), strict=True):
+        assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
+        assert math.isclose(a.score, b.score, rel_tol=1e-12)
+    assert lm.passes([5, 0, 4, 9, 20, 1], 9) == [(0, 3), (3, 4), (4, 5), (5, 6)]
+
+
 def test_quality(docs, labels):
     out = quality.classify(docs, quality.fit(docs, labels)).collect()
     assert len(out) == len(TEXTS)
