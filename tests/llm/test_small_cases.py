@@ -268,6 +268,23 @@ def test_mixing_meets_targets(spark):
     assert value(rows["rate"].to_numpy()) <= value(r) + 1e-5
 
 
+@pytest.mark.parametrize("rare", [1, 10])
+def test_mixing_leaves_a_rare_domain_out(spark, rare):
+    """Toxic text of 0.1 % or 1 % of the tokens, target 0; low quality 10 %, target 3 %."""
+    import numpy as np
+
+    kinds = ["toxic"] * rare + ["low"] * 100 + ["high"] * (900 - rare)
+    soft = {"high": [0.999, 0.00099, 1e-5], "low": [0.001, 0.99899, 1e-5], "toxic": [0.0005, 0.0005, 0.999]}
+    members = spark.createDataFrame(
+        [(i, 100, soft[k]) for i, k in enumerate(kinds)], "doc_id long, n_tokens long, posterior array<double>"
+    )
+    mix = mixing.solve(members)
+    rows = mixing.apply(members, mix).orderBy("doc_id").toPandas()
+    rate = {k: rows["rate"][np.array(kinds) == k].mean() for k in soft}
+    assert rate["toxic"] < 0.02
+    assert np.allclose(mix.totals[:2], mix.targets[:2], rtol=0.005)
+
+
 def test_outliers(docs):
     out = outliers.judge(docs).collect()
     assert len(out) == len(TEXTS)
