@@ -10,8 +10,9 @@ vector of transformed statistics
 
 the half (``SUBSET``) of the group's rows with the smallest covariance determinant is
 approached by concentration steps: distances by the current centre and covariance,
-then centre and covariance of the rows of smallest distance. The first centre and
-scale are column-wise medians and spreads, so the result does not depend on chance.
+then centre and covariance of the rows of smallest distance, the covariance times
+``CONSISTENT``, which the nearest half of normal rows needs to have the spread of all.
+Up to half of a group may be outliers. The first centre and scale are column-wise medians and spreads, so the result does not depend on chance.
 Rows whose squared Mahalanobis distance exceeds ``LIMIT`` are rejected.
 
 All of it is DataFrame functions. Statistics are computed inside a row (the five-word
@@ -44,11 +45,16 @@ from dealgrid.plans.sizing import materialize
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 SYMBOLS = "#*$%&|<>"
-SUBSET, STEPS = 0.75, 4
+SUBSET, STEPS = 0.5, 8
+#: SUBSET / P(X <= q) of chi-squared X with 5 degrees of freedom, q the quantile of
+#: SUBSET with 3 degrees.
+CONSISTENT = 2.458
 #: Standard deviations added to each statistic's own, squared, and the largest
-#: squared distance of three statistics that is kept (chi-squared: p < 1e-5, twice).
-FLOOR = (0.03, 0.15, 0.6)
-LIMIT = 50.0
+#: squared distance of three statistics that is kept: the chi-squared quantile of
+#: 1 - 1e-5. Each statistic can exceed it alone; in a group without repeated lines a
+#: text goes if more than 0.37 (LIMIT * 0.12^2) of its lines repeat.
+FLOOR = (0.03, 0.12, 0.6)
+LIMIT = 25.9
 BINS = 16
 VECTOR = ("x0", "x1", "x2")
 GROUP = ("lang", "source")
@@ -168,7 +174,7 @@ def _moments() -> list[Column]:
     for i in range(3):
         for j in range(i, 3):
             floor = FLOOR[i] ** 2 if i == j else 0.0
-            cov = F.covar_pop(F.col(VECTOR[i]), F.col(VECTOR[j])) + F.lit(floor)
+            cov = F.covar_pop(F.col(VECTOR[i]), F.col(VECTOR[j])) * CONSISTENT + F.lit(floor)
             out.append(cov.alias(f"c{i}{j}"))
     return out
 

@@ -303,6 +303,38 @@ def test_outlier_found_in_its_group(spark):
     assert not out.pop(900) and all(out.values())
 
 
+def test_shuffled_repeated_lines_are_an_outlier(spark):
+    """Half of the short lines repeat, but hardly a window of five words."""
+    import random
+
+    draw = random.Random(3)
+    lines = [" ".join(f"w{draw.randrange(9000)}" for _ in range(3)) for _ in range(60)] * 2
+    draw.shuffle(lines)
+    rows = [(i, "\n".join(" ".join(f"w{draw.randrange(9000)}" for _ in range(3)) for _ in range(80)), "en", "a") for i in range(80)]
+    rows += [(900, "\n".join(lines), "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in outliers.judge(docs).collect()}
+    assert not out[900].base_failed and not out.pop(900).kept
+    assert all(r.kept for r in out.values())
+
+
+def test_estimates_of_a_group_with_forty_percent_outliers(spark):
+    import numpy as np
+
+    draw = np.random.Generator(np.random.PCG64(8))
+    x = draw.multivariate_normal([0, 1, 5], [[1, 0.3, 0], [0.3, 2, 0.5], [0, 0.5, 1]], 2000)
+    x[:800] += [30, -20, 10]
+    rows = spark.createDataFrame(
+        [("en", "a", i, *map(float, v)) for i, v in enumerate(x)],
+        "lang string, source string, doc long, x0 double, x1 double, x2 double",
+    )
+    found = outliers.estimates(rows)
+    distance = outliers._with_estimates(rows, found).withColumn("d", outliers._distance()).orderBy("doc").toPandas()["d"]
+    assert (distance[:800] > outliers.LIMIT).all() and (distance[800:] < outliers.LIMIT).mean() > 0.99
+    row = found.first()
+    assert np.abs(np.array([row.m0, row.m1, row.m2]) - x[800:].mean(axis=0)).max() < 0.2
+
+
 def test_top_k(spark):
     rows = [
         (100, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (2, [0.5, 0.1], 0), (3, None, 0), (4, [float("nan"), 1.0], 0),
