@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dealgrid.llm import (
     bpe,
+    filter_audit,
     knn,
     langid,
     license_scan,
@@ -42,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_quality_rules": outliers.op10_quality_rules,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 #: op1, op5, op6, op7, op9 and op10 learn or merge step by step, which SQL cannot
@@ -51,4 +53,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": knn.SQL,
     "op4_license_scan": license_scan.SQL,
     "op8_minhash_near_dedup": minhash.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
