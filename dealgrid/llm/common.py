@@ -9,11 +9,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import pickle
 import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,16 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def sent(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of any object of this subpackage: its classes go along by value, so that
+    executors need no installed copy."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)
+
+
 def decoded(raw: pa.Array) -> Iterator[str]:
     """Texts of a binary array (text cast to binary, so that bytes which are no
     UTF-8 become the replacement character instead of an error)."""

@@ -18,6 +18,7 @@ from dealgrid.llm import (
     mixing,
     outliers,
     quality,
+    toxicity,
     whitening,
 )
 from dealgrid.llm.common import table
@@ -45,10 +46,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_quality_rules": outliers.op10_quality_rules,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_whitening": whitening.op13_whitening,
 }
 
-#: op1, op5, op6, op7, op9, op10 and op13 learn or merge step by step, which SQL cannot
+#: op1, op5, op6, op7, op9, op10, op12 and op13 learn or merge step by step, which SQL cannot
 #: express; their tests compare them with brute force, a library or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import list_column, table, tidy
+from dealgrid.llm.common import list_column, received, sent, table, tidy
 from dealgrid.plans.sizing import materialize
 
 SCALE = 256
@@ -415,10 +415,10 @@ def whiten(
     if found is None:
         return rows.sparkSession.createDataFrame([], schema)
     error = identity_error(fit, found)
-    shared = rows.sparkSession.sparkContext.broadcast(found)
+    shared = sent(rows.sparkSession, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = received(shared)
         k = len(model.explained)
         for batch in batches:
             if not batch.num_rows:
