@@ -60,6 +60,15 @@ def item_prices(items: DataFrame) -> DataFrame:
     )
 
 
+def match_merchants(merchants: DataFrame) -> DataFrame:
+    """What the matcher reads of a merchant beside its items."""
+    return merchants.select(
+        "merchant_id", "pos", "rating", "lat", "lon",
+        lower_or_empty(F.col("category")).alias("mc"),
+        lower_or_empty(F.col("primary_category")).alias("pc"),
+    )
+
+
 def build_catalog(merchants: DataFrame, items: DataFrame) -> DataFrame:
     """``merchants``: merchant_id, pos, name, category, primary_category,
     rating, lat, lon, district. ``items``: flat items."""

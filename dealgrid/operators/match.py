@@ -19,31 +19,29 @@ category fields, and on the merchant's category text only through the distinct
    or ``ALL`` for ``general`` / empty category, plus ``MOTHER`` for gifts for a
    mother. Containment implies the gram matches, so the join is a superset; the
    exact rules are then evaluated per (cat, pair) row (C1-C12).
-4. The catalog joins that on ``(mc, pc)``, then the keys on ``cat_id``. Distances
-   from a merchant to the 22 gazetteer points are computed once per merchant;
-   rating and budget filters and the proximity bonus run per candidate row.
-   Exact items (L6) come from the J5 containment join; only keys that name items
-   meet it.
-5. Top-k per key with ``row_number``: Catalyst plants a partial
-   ``WindowGroupLimit`` before the shuffle, so a key that matches every
-   merchant ships at most k rows per map task.
-6. Requests join the ranked keys back on ``ask_id`` (``Ranking.fan_out``).
-
-Every join with a dictionary is a ``spread_join``: broadcast if its measured
-rows fit the limit, salted otherwise, so neither a token, a category pair, a
-category nor a key held by a third of the rows lands in one task. No cross join
-and no per-group pair enumeration is used.
+4. Keys that share category fields, point and item terms differ by filters alone
+   (budget, radius, rating). They share a *posting list*: the merchants of its category
+   pairs with distance and score, best first. Distances from a merchant to the 22 gazetteer
+   points are computed once per merchant. Lists with item terms hold the merchants of
+   the J5 containment join. Budgets are tested on price cells (``operators.pricecells``).
+5. Top-k per key by ``operators.postings``: blocks of its list are read from the top and
+   filtered until k merchants passed. Rows read follow keys x k, not keys x merchants.
+   (Where reading whole lists is counted to be little work, that is done instead.)
+6. Requests equi-join the ranked keys on ``ask_id``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.geo import distances_km, haversine_km, point_index
 from dealgrid.functions.text import contains_any, py_max0
+from dealgrid.operators import postings, pricecells
+from dealgrid.operators.catalog import item_prices
 from dealgrid.operators.textjoin import EVERY_TEXT, GRAM, grams, sets_fully_contained
 from dealgrid.plans.sizing import materialize
 from dealgrid.plans.skew import spread_join
@@ -179,7 +177,7 @@ def scored_pairs(cats: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cat_id, mc, pc, base) for every category-compatible (fields, pair).
     ``cats``: ``cat_id, fields`` (see ``category_fields``)."""
     cand = spread_join(
-        _pair_tokens(pairs), _cat_tokens(cats), ["token"], ["mc", "pc"], name="cat_tokens"
+        _pair_tokens(pairs), _cat_tokens(cats), ["token"], ["mc", "pc"], name="cat_tokens", written=True
     ).select("cat_id", "fields", "mc", "pc").distinct()
     return cand.select(
         "cat_id", "mc", "pc", base_points(F.col("fields"), F.col("mc"), F.col("pc")).alias("base")
@@ -200,8 +198,8 @@ def compact_id(value: Column) -> Column:
 
 
 def budget_ok(lo: Column, hi: Column, pmin: Column, pmax: Column, prices: Column) -> Column:
-    """Some valid discounted price lies in [lo, hi] (L3 + L4). The min/max
-    summaries settle most rows without touching the price list."""
+    """Some valid discounted price lies in [lo, hi] (L3 + L4), where the prices are a column.
+    ``pricecells`` answers it without one."""
     return (
         F.when(F.isnan(lo) | F.isnan(hi) | pmax.isNull(), F.lit(False))
         .when((pmax < lo) | (pmin > hi), F.lit(False))
@@ -217,54 +215,123 @@ def items_ok(terms: Column, names: Column) -> Column:
     )
 
 
-def item_matches(keys: DataFrame, names: DataFrame) -> DataFrame:
+def item_matches(term_sets: DataFrame, names: DataFrame) -> DataFrame:
     """``terms, merchant_id``: merchants carrying every requested term, for
-    the distinct term sets of the keys (J5 containment join). ``names``:
+    distinct term sets ``terms`` (J5 containment join). ``names``:
     ``merchant_id, iname`` (lower-cased item names)."""
-    term_sets = keys.select(F.col("ask.terms").alias("terms")).filter(
-        F.col("terms").isNotNull()
-    ).distinct()
     return sets_fully_contained(term_sets, "terms", names, "merchant_id", "iname")
 
 
-def candidate_rows(merchants: DataFrame, scored: DataFrame, keys: DataFrame) -> DataFrame:
-    """Merchants x keys that pass category, distance, rating and budget, with
-    their score. ``merchants``: ``MATCH_COLUMNS`` and ``dists``."""
-    by_cat = spread_join(merchants, scored, ["mc", "pc"], ["merchant_id"], name="scored_pairs")
-    joined = spread_join(by_cat, keys.drop("n_requests"), ["cat_id"], ["merchant_id"], name="match_keys")
+def with_list(keys: DataFrame) -> DataFrame:
+    """``keys`` with ``place``, the point that distances are taken from (NULL: without
+    proximity there are none), and ``list_id``: keys that differ in it only by filters
+    share one posting list."""
     ask = F.col("ask")
-    # a point outside the gazetteer has no precomputed distance
-    own = haversine_km(ask["plat"], ask["plon"], F.col("lat"), F.col("lon"))
-    dist = F.when(
-        ask["prox"].isNotNull(),
-        F.when(F.col("point") >= 0, F.get("dists", F.col("point"))).otherwise(own),
-    )
-    rating = F.col("rating")
-    near = ask["prox"].isNull() | F.col("dist_km").isNull() | F.isnan("dist_km") | (
-        F.col("dist_km") <= ask["prox"]
-    )
-    rated = (
-        ask["minr"].isNull() | rating.isNull() | F.isnan(rating) | (rating >= ask["minr"])
+    own = F.struct(ask["plat"].alias("lat"), ask["plon"].alias("lon"))
+    place = F.struct(
+        F.col("point").alias("point"), F.when(F.coalesce("point", F.lit(-1)) < 0, own).alias("own")
     )
+    keys = keys.withColumn("place", F.when(ask["prox"].isNotNull(), place))
+    return keys.withColumn("list_id", compact_id(F.struct("cat_id", "place", ask["terms"].alias("terms"))))
+
+
+def posting_rows(
+    merchants: DataFrame, scored: DataFrame, lists: DataFrame, names: DataFrame | None, score_digits: int | None
+) -> DataFrame:
+    """The merchants of every posting list with their distance and score; what does not
+    depend on a key's budget, radius or rating is settled here. ``lists``: ``list_id, cat_id,
+    place, terms``; ``names``: item names, where some list has terms."""
+    fields = ["list_id", "place", "mc", "pc", "base"]
+    plain = lists.filter(F.col("terms").isNull()).join(scored, "cat_id").select(*fields)
+    rows = spread_join(merchants, plain, ["mc", "pc"], ["merchant_id"], name="list_pairs", written=True)
+    if names is not None:
+        # lists with item terms hold only the merchants that carry all of them
+        with_terms = lists.filter(F.col("terms").isNotNull())
+        hits = item_matches(with_terms.select("terms").distinct(), names).join(merchants, "merchant_id")
+        scored_terms = with_terms.join(scored, "cat_id").select("terms", *fields)
+        named = spread_join(hits, scored_terms, ["terms", "mc", "pc"], ["merchant_id"], name="term_lists", written=True)
+        rows = rows.unionByName(named.drop("terms"))
+    place = F.col("place")
+    # a point outside the gazetteer has no precomputed distance
+    own = haversine_km(place["own"]["lat"], place["own"]["lon"], F.col("lat"), F.col("lon"))
+    dist = F.when(place.isNotNull(), F.when(place["point"] >= 0, F.get("dists", place["point"])).otherwise(own))
     bonus = F.when(
         F.col("dist_km").isNotNull(), py_max0(F.lit(PROXIMITY_BONUS) / (F.col("dist_km") + 1))
     ).otherwise(0.0)
+    rank_score = F.col("score") if score_digits is None else F.round("score", score_digits)
     return (
-        joined.withColumn("dist_km", dist)
-        .filter(
-            near
-            & rated
-            & budget_ok(ask["lo"], ask["hi"], F.col("pmin"), F.col("pmax"), F.col("prices"))
-        )
+        rows.withColumn("dist_km", dist)
         .withColumn("score", F.col("base") + bonus)
         .filter(F.col("score") > 0)
-        .select("ask_id", ask["terms"].alias("terms"), "merchant_id", "pos", "dist_km", "score")
+        .select(
+            "list_id", rank_score.alias("rank_score"), "pos", "merchant_id", "dist_km", "score",
+            "rating", "pmin", "pmax", "words",
+        )
+    )
+
+
+def _preference() -> list[Column]:
+    """Best first: score, then merchant position."""
+    return [F.col("rank_score").desc(), F.col("pos").asc()]
+
+
+def _block_summary() -> list[Column]:
+    """Unknown distances are nearer than any, unknown ratings better than any (NaN is the
+    greatest number to Spark): both pass every filter."""
+    dist, rating = F.col("dist_km"), F.col("rating")
+    return [
+        F.min(F.when(dist.isNull() | F.isnan(dist), float("-inf")).otherwise(dist)).alias("nearest"),
+        F.max(F.when(rating.isNull(), float("nan")).otherwise(rating)).alias("best_rating"),
+        F.min("pmin").alias("lowest"),
+        F.max("pmax").alias("highest"),
+        F.array(*pricecells.either(F.col("words"))).alias("occupied"),
+    ]
+
+
+def _with_budget(keys: DataFrame) -> DataFrame:
+    """The filters of a key, its budget also as masks of price cells."""
+    inside, edges = pricecells.budget_masks(F.col("ask.lo"), F.col("ask.hi"))
+    return keys.select(
+        "ask_id", "list_id", *[F.col(f"ask.{c}").alias(c) for c in ("prox", "minr", "lo", "hi")],
+        inside.alias("inside"), edges.alias("edges"),
     )
 
 
+def _may_pass() -> Column:
+    prox, minr, lo, hi = (F.col(c) for c in ("prox", "minr", "lo", "hi"))
+    occupied = F.col("occupied")
+    cells = (hi == float("inf")) | pricecells.common(occupied, F.col("inside")) | pricecells.common(
+        occupied, F.col("edges")
+    )
+    return (
+        (prox.isNull() | (F.col("nearest") <= prox))
+        & (minr.isNull() | (F.col("best_rating") >= minr))
+        & ~(F.isnan(lo) | F.isnan(hi) | (F.col("highest") < lo) | (F.col("lowest") > hi))
+        & cells
+    )
+
+
+def _passing(prices: pricecells.PriceCells) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the rows that satisfy their key's radius (L1), rating (L2) and budget (L3, L4)."""
+    prox, minr, dist, rating = (F.col(c) for c in ("prox", "minr", "dist_km", "rating"))
+    near = prox.isNull() | dist.isNull() | F.isnan(dist) | (dist <= prox)
+    rated = minr.isNull() | rating.isNull() | F.isnan(rating) | (rating >= minr)
+    columns = ("ask_id", "rank_score", "pos", "merchant_id", "dist_km", "score")
+
+    def passes(read: DataFrame) -> DataFrame:
+        budget = pricecells.verdict(F.col("lo"), F.col("hi"), F.col("inside"), F.col("edges"))
+        rows = read.filter(near & rated).withColumn("fits", budget).filter("fits is null or fits")
+        rows = materialize(rows.select(*columns, "lo", "hi", "fits"), "block_matches")
+        sure, unsure = rows.filter("fits").select(*columns), rows.filter("fits is null").drop("fits")
+        if unsure.isEmpty():
+            return sure
+        return sure.unionByName(pricecells.settle(unsure, prices).select(*columns))
+
+    return passes
+
+
 MATCH_COLUMNS = (
-    "merchant_id", "pos", "mc", "pc", "rating", "lat", "lon", "pmin", "pmax", "prices",
-)
+    "merchant_id", "pos", "mc", "pc", "rating", "lat", "lon")
 
 
 def with_ask_id(asks: DataFrame) -> DataFrame:
@@ -278,15 +345,18 @@ def with_ask_id(asks: DataFrame) -> DataFrame:
 class Ranking:
     """Result of ``rank_keys``: ``ranked`` holds ``ask_id, rank, merchant_id, pos,
     dist_km, score`` (at most ``k`` rows per key), ``keys`` the materialised key
-    dictionary."""
+    dictionary, ``reads`` the (key, block) pairs that each round read."""
 
     ranked: DataFrame
     keys: DataFrame
+    reads: list[DataFrame]
 
-    def fan_out(self, left: DataFrame, per_key: DataFrame, how: str = "inner") -> DataFrame:
+    def fan_out(
+        self, left: DataFrame, per_key: DataFrame, how: str = "inner", written: bool = False
+    ) -> DataFrame:
         """Join request rows ``left`` (``request_id, ask_id, ...``) to a per-key
         table. Requests without a key take no part in the join."""
-        return spread_join(left, per_key, ["ask_id"], ["request_id"], how, "per_key")
+        return spread_join(left, per_key, ["ask_id"], ["request_id"], how, "per_key", written)
 
 
 def rank_keys(
@@ -296,51 +366,50 @@ def rank_keys(
     score_digits: int | None = None,
     items: DataFrame | None = None,
 ) -> Ranking:
-    """Rank once per distinct match key (see the module notes). ``items``: the
-    flat item relation (``merchant_id, name``); without it item names are taken
-    from the catalog's ``names``."""
+    """Rank once per distinct match key (see the module notes). ``items``: the flat item
+    relation (``merchant_id, name, price, discount_percent``); without it names and prices
+    are taken from the catalog's arrays. With it, ``catalog`` may be ``match_merchants``."""
     keys = asks.filter(F.col("ask").isNotNull()).groupBy("ask").agg(
         F.count(F.lit(1)).alias("n_requests")
     )
-    keys = materialize(
-        keys.select(
-            compact_id(F.col("ask")).alias("ask_id"),
-            "ask",
-            "n_requests",
-            compact_id(category_fields(F.col("ask"))).alias("cat_id"),
-            point_index(F.col("ask.plat"), F.col("ask.plon")).alias("point"),
-        ),
-        "keys",
+    keys = keys.select(
+        compact_id(F.col("ask")).alias("ask_id"),
+        "ask",
+        "n_requests",
+        compact_id(category_fields(F.col("ask"))).alias("cat_id"),
+        point_index(F.col("ask.plat"), F.col("ask.plon")).alias("point"),
     )
-    merchants = catalog.filter(F.col("pmax").isNotNull()).select(
-        *MATCH_COLUMNS, distances_km(F.col("lat"), F.col("lon")).alias("dists")
+    keys = materialize(with_list(keys), "keys")
+    priced = (
+        catalog.select("merchant_id", F.explode("prices").alias("dp")) if items is None else item_prices(items)
+    )
+    prices = pricecells.price_cells(priced)
+    # merchants without a valid price match nothing (L3, L4)
+    merchants = materialize(
+        catalog.select(*MATCH_COLUMNS, distances_km(F.col("lat"), F.col("lon")).alias("dists")).join(
+            prices.merchants, "merchant_id"
+        ),
+        "merchants",
     )
     cats = keys.select("cat_id", category_fields(F.col("ask")).alias("fields")).distinct()
     scored = materialize(scored_pairs(cats, category_pairs(merchants)), "scored")
-    with_terms = keys.filter(F.col("ask.terms").isNotNull())
-    if with_terms.isEmpty():
-        cand = candidate_rows(merchants, scored, keys)
-    else:
-        # only keys that name items meet the (terms, merchant) pairs of J5
-        merchants = materialize(merchants, "merchants")
+    lists = keys.select("list_id", "cat_id", "place", F.col("ask.terms").alias("terms")).distinct()
+    names = None
+    if not keys.filter(F.col("ask.terms").isNotNull()).isEmpty():
         names = (
             catalog.select("merchant_id", F.explode("names").alias("iname"))
             if items is None
             else items.select("merchant_id", F.lower(F.coalesce("name", F.lit(""))).alias("iname"))
         )
-        named = candidate_rows(merchants, scored, with_terms).join(
-            item_matches(with_terms, names), ["terms", "merchant_id"]
-        )
-        plain = candidate_rows(merchants, scored, keys.filter(F.col("ask.terms").isNull()))
-        cand = plain.unionByName(named)
-    order_score = F.col("score") if score_digits is None else F.round("score", score_digits)
-    w = Window.partitionBy("ask_id").orderBy(order_score.desc(), F.col("pos").asc())
-    ranked = (
-        cand.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select("ask_id", "rank", "merchant_id", "pos", "dist_km", "score")
+    rows = posting_rows(merchants, scored, lists, names, score_digits)
+    first = postings.top_k(
+        _with_budget(keys), "ask_id", rows, k, _preference(), _block_summary(), _may_pass(),
+        _passing(prices), "merchant_id",
+    )
+    ranked = first.found.select(
+        "ask_id", F.col("place").alias("rank"), "merchant_id", "pos", "dist_km", "score"
     )
-    return Ranking(ranked, keys)
+    return Ranking(ranked, keys, first.reads)
 
 
 def top_merchants(
@@ -362,6 +431,6 @@ def top_merchants(
     """
     asks = asks.filter(F.col("ask").isNotNull()).select("request_id", "ask")
     r = rank_keys(asks, catalog, k, score_digits, items)
-    return r.fan_out(with_ask_id(asks), r.ranked).select(
+    return r.fan_out(with_ask_id(asks), r.ranked, written=True).select(
         "request_id", "rank", "merchant_id", "pos", "dist_km", "score"
     )

@@ -51,7 +51,7 @@ def contains_pairs(terms: DataFrame, term_col: str, texts: DataFrame, text_col:
     right = x.select("_text", F.explode(text_tokens(F.col("_text"))).alias("_tok"))
     # one gram (or the empty term's token) may be in every text
     return (
-        spread_join(right, left, ["_tok"], ["_text"], name="term_tokens")
+        spread_join(right, left, ["_tok"], ["_text"], name="term_tokens", written=True)
         .filter(F.col("_text").contains(F.col("_term")))
         .select(F.col("_term").alias(term_col), F.col("_text").alias(text_col))
         .distinct()
@@ -76,7 +76,7 @@ def sets_fully_contained(
     owner_terms = spread_join(owner_texts, hits, [text_col], [owner_col], name="text_hits")
     owner_terms = owner_terms.select(owner_col, "_t").distinct()
     return (
-        spread_join(owner_terms, set_terms, ["_t"], [owner_col], name="set_terms")
+        spread_join(owner_terms, set_terms, ["_t"], [owner_col], name="set_terms", written=True)
         .groupBy(set_col, owner_col)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") == F.size(F.array_distinct(set_col)))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from dealgrid.functions.pricing import with_price_bounds
 from dealgrid.functions.text import fmt_fixed, py_float_repr
 from dealgrid.operators import decode, exposure, render
-from dealgrid.operators.catalog import build_catalog, flatten_items
+from dealgrid.operators.catalog import build_catalog, flatten_items, match_merchants
 from dealgrid.operators.intent import OK, fixture_intents, r1_flag
-from dealgrid.operators.match import rank_keys, top_merchants, with_ask_id
+from dealgrid.operators.match import Ranking, rank_keys, top_merchants, with_ask_id
 from dealgrid.operators.requests import CUSTOMER_NOT_FOUND, request_asks
 from dealgrid.operators.textjoin import contains_pairs, sets_fully_contained
 from dealgrid.plans.sizing import materialize, work_dir
@@ -60,7 +60,7 @@ def match_all_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-10 merchants for every request, every rule of the scorer."""
     fx = fixtures.relations(spark, sf_dir)
     asks = request_asks(fixture_requests(fx), fx["fx_customers"])
-    offers = top_merchants(asks, _catalog(fx), score_digits=DIGITS, items=fx["fx_items"])
+    offers = top_merchants(asks, match_merchants(fx["fx_merchants"]), score_digits=DIGITS, items=fx["fx_items"])
     return _offers_out(offers)
 
 
@@ -77,7 +77,7 @@ def match_food_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(_intents(fx), "intent_id")
     )
     asks = request_asks(requests, fx["fx_customers"])
-    offers = top_merchants(asks, _catalog(fx), score_digits=DIGITS, items=fx["fx_items"])
+    offers = top_merchants(asks, match_merchants(fx["fx_merchants"]), score_digits=DIGITS, items=fx["fx_items"])
     return _offers_out(offers)
 
 
@@ -161,8 +161,8 @@ def match_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outcomes(
-    fx: dict[str, DataFrame], catalog: DataFrame | None = None, keep: tuple[str, ...] = ()
-):
+    fx: dict[str, DataFrame], keep: tuple[str, ...] = ()
+) -> tuple[DataFrame, Ranking]:
     """Requests (``request_id, customer_id, status, ask_id`` and ``keep``) and the
     ranking."""
     requests = fixture_requests(fx)
@@ -170,7 +170,9 @@ def _outcomes(
         extra = fx["fx_intents"].select("intent_id", *[c for c in keep if c not in requests.columns])
         requests = requests.join(F.broadcast(extra), "intent_id")
     asks = request_asks(requests, fx["fx_customers"], keep=keep)
-    ranking = rank_keys(asks, catalog or _catalog(fx), score_digits=DIGITS, items=fx["fx_items"])
+    ranking = rank_keys(
+        asks, match_merchants(fx["fx_merchants"]), score_digits=DIGITS, items=fx["fx_items"]
+    )
     return with_ask_id(asks), ranking
 
 
@@ -225,7 +227,7 @@ def match_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # read twice, by the key dictionary and the fan-out: decoded once
     asks = materialize(request_asks(requests, fx["fx_customers"]), "request_asks")
-    return _offers_out(top_merchants(asks, _catalog(fx), score_digits=DIGITS, items=fx["fx_items"]))
+    return _offers_out(top_merchants(asks, match_merchants(fx["fx_merchants"]), score_digits=DIGITS, items=fx["fx_items"]))
 
 
 def unknown_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,7 +365,7 @@ def offer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     merchant), then fanned out to the requests sharing the key."""
     fx = fixtures.relations(spark, sf_dir)
     catalog = materialize(_catalog(fx), "catalog")
-    asks, ranking = _outcomes(fx, catalog)
+    asks, ranking = _outcomes(fx)
     lines = ranking.ranked.join(catalog.select("merchant_id", "top_items"), "merchant_id").select(
         "ask_id", "rank", F.explode(render.item_lines(F.col("top_items"))).alias("it")
     )
@@ -585,7 +587,7 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p.text").isNotNull()
     )
     catalog = materialize(_catalog(fx), "catalog")
-    asks, ranking = _outcomes(fx, catalog)
+    asks, ranking = _outcomes(fx)
     summaries = ranking.fan_out(asks, _offer_summaries(catalog, ranking.ranked)).select(
         "request_id", "summary"
     )

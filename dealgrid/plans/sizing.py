@@ -67,7 +67,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, f"tables/{name}")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_limit(spark: SparkSession) -> int:

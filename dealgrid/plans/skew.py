@@ -62,15 +62,17 @@ def spread_join(
     spread: list[str],
     how: str = "inner",
     name: str = "dictionary",
+    written: bool = False,
 ) -> DataFrame:
-    """``big`` joined to the dictionary ``small`` on equal columns ``on``."""
+    """``big`` joined to the dictionary ``small`` on equal columns ``on``. ``written``: ``small``
+    is cheap to read again (a filter or projection of written tables), so it is only measured."""
     nulls = None
     if how in ("left", "left_anti"):
         some_null = F.lit(False)
         for c in on:
             some_null = some_null | F.col(c).isNull()
         nulls, big = big.filter(some_null), big.filter(~some_null)
-    small = materialize(small, name)
+    small = small if written else materialize(small, name)
     if relation_bytes(small) <= broadcast_limit(big.sparkSession):
         out = big.join(F.broadcast(small), on, how)
     else:

@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from dealgrid.plans.skew import HOT_KEY_CONF
+from dealgrid.operators.postings import DIRECT_CONF
 from dealgrid.plans.sizing import BROADCAST_LIMIT_CONF
 from dealgrid.sources.fixtures import DRIVER_TABLES
 
@@ -31,10 +32,12 @@ def _norm(rows):
 
 @pytest.fixture()
 def no_broadcast(spark):
-    keys = (BROADCAST_LIMIT_CONF, HOT_KEY_CONF, "spark.sql.autoBroadcastJoinThreshold",
+    keys = (BROADCAST_LIMIT_CONF, HOT_KEY_CONF, DIRECT_CONF, "spark.sql.autoBroadcastJoinThreshold",
             "spark.sql.adaptive.autoBroadcastJoinThreshold")
     old = {k: spark.conf.get(k, None) for k in keys}
     spark.conf.set(BROADCAST_LIMIT_CONF, "0")
+    # posting lists are read block by block
+    spark.conf.set(DIRECT_CONF, "0")
     # a key asked by more than 3 requests counts as hot: both halves of the
     # hot-key split run
     spark.conf.set(HOT_KEY_CONF, "3")
