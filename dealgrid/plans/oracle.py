@@ -217,6 +217,25 @@ _R1 = (
 )
 
 
+def nearby_merchants_sql() -> str:
+    return _with("fx_customers", "fx_merchants") + """,
+points AS (
+  SELECT consumer_id AS customer_id, 1.2e0 + (consumer_id * 37 % 1009) / 4000e0 AS plat,
+    103.6e0 + (consumer_id * 91 % 1013) / 2500e0 AS plon, 0.5e0 + consumer_id % 7 AS radius_km
+  FROM fx_customers),
+halves AS (
+  SELECT p.*, m.merchant_id,
+    pow(sin(radians(m.lat - p.plat) / 2), 2)
+      + cos(radians(p.plat)) * cos(radians(m.lat)) * pow(sin(radians(m.lon - p.plon) / 2), 2) AS a
+  FROM points p, fx_merchants m),
+near AS (
+  SELECT *, round(6371e0 * 2 * atan2(sqrt(a), sqrt(greatest(0e0, 1 - a))), 6) AS km FROM halves
+  WHERE 6371e0 * 2 * atan2(sqrt(a), sqrt(greatest(0e0, 1 - a))) <= radius_km)
+SELECT customer_id::BIGINT AS customer_id, count(*)::BIGINT AS n_near,
+  arg_min(merchant_id, (km, merchant_id))::BIGINT AS nearest_id, min(km) AS nearest_km
+FROM near GROUP BY customer_id"""
+
+
 def price_range_sql() -> str:
     return (
         _with("fx_intents", "fx_requests")
@@ -704,6 +723,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "match_food_nearby": match_sql(FOOD_NEARBY_REQUESTS),
         "match_all_intents": match_sql(ALL_REQUESTS),
+        "nearby_merchants": nearby_merchants_sql(),
         "price_range_parse": price_range_sql(),
         "match_exact_items": exact_items_sql(),
         "match_preferences": preferences_sql(),

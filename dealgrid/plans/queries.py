@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dealgrid.functions.pricing import with_price_bounds
 from dealgrid.functions.text import fmt_fixed, py_float_repr
-from dealgrid.operators import decode, exposure, render
+from dealgrid.operators import decode, exposure, geojoin, render
 from dealgrid.operators.catalog import build_catalog, flatten_items, match_merchants
 from dealgrid.operators.intent import OK, fixture_intents, r1_flag
 from dealgrid.operators.match import Ranking, rank_keys, top_merchants, with_ask_id
@@ -82,6 +82,31 @@ def match_food_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def nearby_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every customer, standing at coordinates of their own, the merchants within
+    their radius: how many, and the nearest (L1, F2, J2 for free points)."""
+    fx = fixtures.relations(spark, sf_dir)
+    cid = F.col("consumer_id")
+    points = fx["fx_customers"].select(
+        cid.alias("customer_id"),
+        (F.lit(1.2) + (cid * 37 % 1009) / 4000.0).alias("plat"),
+        (F.lit(103.6) + (cid * 91 % 1013) / 2500.0).alias("plon"),
+        (F.lit(0.5) + cid % 7).cast("double").alias("radius_km"),
+    )
+    places = fx["fx_merchants"].select("merchant_id", "lat", "lon")
+    near = geojoin.within_radius(points, places, "merchant_id")
+    order = F.struct(F.round("dist_km", DIGITS).alias("km"), "merchant_id")
+    found = near.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("n_near"), F.min(order).alias("nearest")
+    )
+    return found.select(
+        F.col("customer_id").cast("bigint").alias("customer_id"),
+        "n_near",
+        F.col("nearest.merchant_id").cast("bigint").alias("nearest_id"),
+        F.col("nearest.km").alias("nearest_km"),
+    )
+
+
 def price_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budget bounds of every request's price text (F3); an open upper bound
     is reported as ``has_upper = false`` with a NULL ``price_hi``."""
@@ -733,6 +758,7 @@ def exposure_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "match_food_nearby": match_food_nearby,
     "match_all_intents": match_all_intents,
+    "nearby_merchants": nearby_merchants,
     "price_range_parse": price_range_parse,
     "match_exact_items": match_exact_items,
     "match_preferences": match_preferences,
