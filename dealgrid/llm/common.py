@@ -61,18 +61,12 @@ def list_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return values.to_numpy(zero_copy_only=False), offsets
 
 
-#: Rows of an Arrow batch that carries whole texts, and its bytes.
-BATCH_ROWS, BATCH_BYTES = 250, 4 << 20
-
-
-def text_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bounds the Arrow batches of the session, so that a Python worker, and the JVM
-    beside its heap, hold few whole texts at once, long ones too."""
-    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = int(str(spark.conf.get(key, str(most))).rstrip("b"))
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+def give_back() -> None:
+    """Returns the memory that this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -83,10 +77,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

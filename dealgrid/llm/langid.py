@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import decoded, id_remainder, mix, table, text_batches, texts, tidy
+from dealgrid.llm.common import decoded, id_remainder, mix, table, texts, tidy
 
 ORDERS = (1, 3)
 BUCKETS = 1 << 16
@@ -88,7 +88,6 @@ def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of all rows of ``docs`` with a language."""
-    text_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")
     )
@@ -163,7 +162,6 @@ def mixture(model: Model, grams: np.ndarray) -> list[tuple[str, float]]:
 def language(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A function from a text column to ``lang_pred``, ``score`` and ``languages``
     (array of language and share)."""
-    text_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.probability))
     of_share = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 

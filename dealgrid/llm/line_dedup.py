@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import table, text_batches, texts, tidy
+from dealgrid.llm.common import table, texts, tidy
 from dealgrid.llm.graph import salted_join
 from dealgrid.plans.sizing import materialize, measured_broadcast
 
@@ -176,7 +176,6 @@ def deletions(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
     """``doc, body, gone`` of the documents that lose lines."""
-    text_batches(docs.sparkSession)
     lines = materialize(_lines(docs, id_col, text_col, min_words), "lines")
     marks = lines.select(
         "doc", "body", F.explode(F.transform("marks", lambda i: F.struct(

@@ -35,19 +35,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealgrid.llm.common import (
     ascii_lower,
+    give_back,
     id_remainder,
     list_column,
     mix,
     row_numbers,
     split_words,
     table,
-    text_batches,
     tidy,
     whole_text,
     word_hashes,
@@ -57,12 +58,12 @@ from dealgrid.plans.sizing import materialize
 ORDER = 2
 BITS, PROBES = 8, 4
 #: Bytes of the filter that a scoring pass broadcasts.
-MOST_BYTES = 256 << 20
+MOST_BYTES = 96 << 20
 SEGMENT_NGRAMS = 1_000_000
 HEAD_WORDS = 400_000
 WEIGHT = 0.4
 #: Tokens counted and scored at once in a task.
-COUNT_AT_ONCE, SCORE_AT_ONCE = 1_000_000, 300_000
+COUNT_AT_ONCE, SCORE_AT_ONCE = 1_000_000, 100_000
 #: A token that holds a blank, so no word is equal to it.
 END = " end"
 
@@ -191,33 +192,38 @@ def _counted(train: DataFrame, segments: int) -> DataFrame:
     return train.select("h").mapInArrow(tidy(run), "order int, segment long, keys binary, counts binary")
 
 
+def _packed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values that a column of binaries holds, end to end; read from its buffers."""
+    parts = []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk):
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    return np.concatenate(parts or [np.empty(0, np.uint8)]).view(kind)
+
+
 def learn(train: DataFrame, segments: int) -> DataFrame:
     """One row a segment: its filter, and the hashes and counts of its tokens.
     ``train`` has token hashes ``h``."""
 
-    def total(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        key = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-        n = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order].astype(np.int64)
+    def total(group: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+        own = group.filter(pa.compute.equal(group.column("order"), order))
+        key, n = _packed(own.column("keys"), np.uint64), _packed(own.column("counts"), np.uint32)
+        if not len(key):
+            return key, n.astype(np.int64)
+        places = np.argsort(key, kind="stable")
+        key, n = key[places], n[places]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key[edge], np.add.reduceat(n, edge)
+        return key[edge], np.add.reduceat(n, edge, dtype=np.int64)
 
     def build(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        grams = []
-        for order in range(ORDER + 1):
-            if own := [r for r in rows if r["order"] == order]:
-                if order:
-                    grams.append(total(own))
-                else:
-                    words, counts = total(own)
-        key = np.concatenate([g[0] for g in grams] or [np.empty(0, np.uint64)])
-        level = levels_of(np.concatenate([g[1] for g in grams] or [np.empty(0, np.int64)]))
-        return pa.table(
+        words, counts = total(group, 0)
+        grams = [total(group, order) for order in range(1, ORDER + 1)]
+        key = np.concatenate([g[0] for g in grams])
+        level = levels_of(np.concatenate([g[1] for g in grams]))
+        out = pa.table(
             {
-                "segment": [rows[0]["segment"]],
+                "segment": group.column("segment").slice(0, 1),
                 "bits": pa.array([insert(key, level).tobytes()], pa.binary()),
                 "tokens": [int(counts.sum())],
                 "types": [len(words)],
@@ -225,6 +231,9 @@ def learn(train: DataFrame, segments: int) -> DataFrame:
                 "counts": pa.array([counts], pa.list_(pa.int64())),
             }
         )
+        del group, words, counts, grams, key, level
+        give_back()
+        return out
 
     kind = "segment long, bits binary, tokens long, types long, words array<long>, counts array<long>"
     return _counted(train, segments).groupBy("segment").applyInArrow(build, kind)
@@ -316,8 +325,6 @@ def head_count(vocabulary: DataFrame, most_words: int) -> int:
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every row of
     ``docs``; learned from the rows where ``train`` holds."""
-    # hashes, not texts; larger batches count more n-grams together
-    text_batches(docs.sparkSession, rows=2_000, size=16 << 20)
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
     segments = max(1, math.ceil(size * ORDER / 6 / SEGMENT_NGRAMS))

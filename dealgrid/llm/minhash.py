@@ -49,7 +49,6 @@ from dealgrid.llm.common import (
     mix,
     split_words,
     table,
-    text_batches,
     tidy,
     whole_text,
     word_hashes,
@@ -259,7 +258,6 @@ def link(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row: documents are
     linked when 100 * |A and B| >= percent * |A or B| of their shingle sets."""
-    text_batches(docs.sparkSession)
     hashed = _hashed(docs, id_col, text_col)
     sigs = materialize(_signatures(hashed, width), "signatures")
     rows = sigs.count()

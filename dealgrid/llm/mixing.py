@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import list_column, table, text_batches, tidy, whole_text
+from dealgrid.llm.common import list_column, table, tidy, whole_text
 from dealgrid.plans.sizing import materialize
 
 DOMAINS = ("high", "low", "toxic")
@@ -108,7 +108,6 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> Classifier:
     """Softmax regression by stochastic gradient descent with per-weight steps."""
-    text_batches(docs.sparkSession)
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
     sample = (
         labels.filter("doc_id is not null and quality is not null and toxic is not null")
@@ -162,7 +161,6 @@ def posteriors(
     docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col, n_tokens, posterior`` (array in the order of ``DOMAINS``)."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.marks, model.bias))
     rows = features(docs, [id_col], text_col)
 

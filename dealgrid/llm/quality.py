@@ -34,7 +34,6 @@ from dealgrid.llm.common import (
     mix,
     split_words,
     table,
-    text_batches,
     texts,
     tidy,
     whole_text,
@@ -118,7 +117,6 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
     """``labels``: doc_id and quality (0 or 1) of the rows to learn from."""
-    text_batches(docs.sparkSession)
     marked = labels.filter("doc_id is not null and quality in (0, 1)").select(
         F.col("doc_id").alias(id_col), F.col("quality").cast("int").alias("quality")
     )
@@ -157,7 +155,6 @@ def classify(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col``, ``score`` (probability of label 1) and ``predicted``."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.of_bucket, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
