@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import text_batches, texts, tidy
+from dealgrid.llm.common import texts, tidy
 
 INFINITE = 1 << 62
 POSITION = (1 << 32) - 1
@@ -42,6 +42,7 @@ MEMO_CHARS = 64
 AT_ONCE_CHARS = 150_000
 #: Matches of up to so many bytes are merged many at once, so many at a time.
 SHORT_BYTES = 64
+PLACE_BITS = 7
 SHORT_ROWS = 2_048
 
 
@@ -115,7 +116,10 @@ class ShortMerger:
                     merged.append(rank)
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.array(keys, np.int64)[order]
-        self.ranks = np.array(merged, np.int64)[order]
+        # a leaf is a rank and a position; 32 bits hold both for all but vast vocabularies
+        self.kind = np.int32 if max(ranks.values(), default=0) < 1 << (31 - PLACE_BITS) else np.int64
+        self.none = np.iinfo(self.kind).max
+        self.leaves = (np.array(merged, np.int64)[order] << PLACE_BITS).astype(self.kind)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
     def _pair(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ class ShortMerger:
         key = left << 32 | right
         slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         known = (left >= 0) & (right >= 0) & (self.keys[slot] == key)
-        return np.where(known, self.ranks[slot] << 32 | at, INFINITE)
+        return np.where(known, self.leaves[slot] | at.astype(self.kind), self.none)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of pieces of 2 to ``SHORT_BYTES`` bytes."""
@@ -134,7 +138,7 @@ class ShortMerger:
         symbol = self.byte[raw].reshape(m, wide)
         symbol[np.arange(wide) >= lengths[:, None]] = -1
         places = np.arange(size)
-        tree = np.full((m, 2 * size), INFINITE)
+        tree = np.full((m, 2 * size), self.none, self.kind)
         tree[:, size:] = self._pair(symbol[:, :-1], symbol[:, 1:], places)
         for p in range(size - 1, 0, -1):
             np.minimum(tree[:, 2 * p], tree[:, 2 * p + 1], out=tree[:, p])
@@ -145,14 +149,15 @@ class ShortMerger:
         live = np.arange(m)
         while True:
             root = tree[live * (2 * size) + 1]
-            live, root = live[root < INFINITE], root[root < INFINITE]
+            some = root < self.none
+            live, root = live[some], root[some].astype(np.int64)
             if not len(live):
                 break
             row, top = live * wide, live * (2 * size)
-            i = root & POSITION
+            i = root & (1 << PLACE_BITS) - 1
             dead = after[row + i]
             right = after[row + dead]
-            symbol[row + i] = root >> 32
+            symbol[row + i] = root >> PLACE_BITS
             symbol[row + dead] = -1
             after[row + i] = right
             before[row + right] = i
@@ -161,7 +166,7 @@ class ShortMerger:
             left[ends] = dead[ends]  # no left neighbour: the dead leaf once more
             tree[top + size + i] = self._pair(symbol[row + i], symbol[row + right], i)
             tree[top + size + left] = self._pair(symbol[row + left], symbol[row + i], left)
-            tree[top + size + dead] = INFINITE
+            tree[top + size + dead] = self.none
             nodes = [size + i, size + left, size + dead]
             for _ in range(size.bit_length() - 1):
                 nodes = [p >> 1 for p in nodes]
@@ -216,9 +221,18 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[str]], list
     def encode_some(some: list[str]) -> list[bytes]:
         parts = [cut(text) if text else [] for text in some]
         new = set().union(*parts).difference(memo)
-        matches = {part: [m.encode("utf-8") for m in find(part)] for part in new}
-        ids = merged({m for found in matches.values() for m in found})
-        for part, found in matches.items():
+        single: dict[str, bytes] = {}
+        several: dict[str, list[bytes]] = {}
+        for part in new:
+            found = find(part)
+            if len(found) == 1:
+                single[part] = found[0].encode("utf-8")
+            else:
+                several[part] = [m.encode("utf-8") for m in found]
+        ids = merged({*single.values(), *[m for found in several.values() for m in found]})
+        for part, match in single.items():
+            memo[part] = ids[match]
+        for part, found in several.items():
             memo[part] = b"".join([ids[m] for m in found])
         out = [b"".join([memo[p] for p in row]) for row in parts]
         if len(memo) > MEMO_ENTRIES:
@@ -261,7 +275,6 @@ def encode(
     32-bit ids, the layout that training loaders map into memory) of every row;
     ``with_decoded`` adds ``decoded``, what ``decode`` makes of them, in the same pass
     (one Python worker a task instead of two)."""
-    text_batches(df.sparkSession)
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
