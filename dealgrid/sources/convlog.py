@@ -10,9 +10,9 @@ writers never lose each other's rows). Columns::
 
 An older log may lack ``recommended_merchants``: its rows read as ``'[]'``, while a
 NULL in a log that has the column stays NULL. In memory ``backfill`` looks at the
-columns; in a folder, where old and new files lie side by side, ``append`` marks the
-rows it writes (``MARK``), so each row says itself which of the two it is, whatever
-files the folder holds and in whatever order they are read. ``union_logs`` unions by
+columns; in a folder, where old and new files lie side by side, the stored schema gives the
+column a default for files that do not have it (as ``ALTER TABLE ... ADD COLUMN ... DEFAULT``
+does), so each file decides for its own rows, whoever wrote it. ``union_logs`` unions by
 column name, missing columns become NULL. CSV export quotes every field and escapes
 quotes by doubling, so JSON text with quotes, commas and newlines survives a
 round trip (read back with ``multiLine`` and the same escape).
@@ -42,9 +42,15 @@ def union_logs(old: DataFrame, new: DataFrame) -> DataFrame:
     return backfill(old).unionByName(new, allowMissingColumns=True)
 
 
-#: Set in rows written since the log has the id column.
-MARK = "has_merchant_ids"
-STORED_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField(MARK, T.BooleanType())])
+VECTORIZED = "spark.sql.parquet.enableVectorizedReader"
+#: What the id column reads as in files that do not have it.
+_DEFAULT = {"CURRENT_DEFAULT": f"'{EMPTY_LIST}'", "EXISTS_DEFAULT": f"'{EMPTY_LIST}'"}
+STORED_SCHEMA = T.StructType(
+    [
+        T.StructField(c, T.StringType(), metadata=_DEFAULT if c == "recommended_merchants" else None)
+        for c in LOG_COLUMNS
+    ]
+)
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -55,7 +61,7 @@ def append(rows: DataFrame, path: str) -> None:
         (F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c)
         for c in LOG_COLUMNS
     ]
-    rows.select(*kept, F.lit(True).alias(MARK)).write.mode("append").parquet(path)
+    rows.select(*kept).write.mode("append").parquet(path)
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
@@ -64,13 +70,12 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
     if not fs.exists(jvm_path):
         return spark.createDataFrame([], LOG_SCHEMA)
+    if spark.conf.get(VECTORIZED) != "true":
+        # the row reader gives the default to NULLs of a file that has the column, too
+        raise ValueError(f"history needs {VECTORIZED}, which the session has turned off")
     # the schema is given: no file's own columns decide for the others
     rows = spark.read.schema(STORED_SCHEMA).parquet(path)
-    ids = F.col("recommended_merchants")
-    old = F.col(MARK).isNull() & ids.isNull()
-    return rows.withColumn(
-        "recommended_merchants", F.when(old, F.lit(EMPTY_LIST)).otherwise(ids)
-    ).drop(MARK).orderBy("timestamp")
+    return rows.select(*[F.col(c).cast("string").alias(c, metadata={}) for c in LOG_COLUMNS]).orderBy("timestamp")
 
 
 def clear(spark: SparkSession, path: str) -> None:

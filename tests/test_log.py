@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from dealgrid.sources import convlog
@@ -51,6 +52,27 @@ def test_history_of_old_and_new_files_in_one_folder(spark, scratch):
         assert rows[0].user_request is None and len(rows[0]) == 6
 
 
+def test_nulls_of_files_written_by_others_stay(spark, scratch):
+    """A file with the id column keeps its NULLs, whoever wrote it."""
+    path = os.path.join(scratch, "foreign")
+    spark.createDataFrame(
+        [("t2", None, "9"), ("t3", "[4]", "9")], "timestamp string, recommended_merchants string, extra string"
+    ).write.parquet(path)
+    spark.createDataFrame([("t1", "1")], "timestamp string, customer_id string").write.mode("append").parquet(path)
+    convlog.append(spark.createDataFrame([("t4", None)], "timestamp string, recommended_merchants string"), path)
+    rows = convlog.history(spark, path)
+    assert [(r.timestamp, r.recommended_merchants) for r in rows.collect()] == [
+        ("t1", "[]"), ("t2", None), ("t3", "[4]"), ("t4", None)]
+    assert rows.filter("recommended_merchants = '[]'").count() == 1
+    assert rows.filter("recommended_merchants is null").count() == 2
+    spark.conf.set(convlog.VECTORIZED, "false")
+    try:
+        with pytest.raises(ValueError, match="Vectorized"):
+            convlog.history(spark, path)
+    finally:
+        spark.conf.set(convlog.VECTORIZED, "true")
+
+
 def test_csv_round_trip_keeps_quotes_and_newlines(spark, scratch):
     text = 'He said "hi",\nthen [1, 2]'
     rows = spark.createDataFrame([("t", "1", text, '{"a": "b"}', "ok", '["1", 2]')], convlog.LOG_SCHEMA)
