@@ -391,7 +391,11 @@ def offer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = fixtures.relations(spark, sf_dir)
     catalog = materialize(_catalog(fx), "catalog")
     asks, ranking = _outcomes(fx)
-    lines = ranking.ranked.join(catalog.select("merchant_id", "top_items"), "merchant_id").select(
+    # a merchant may be among the picks of very many keys
+    picked = spread_join(
+        ranking.ranked, catalog.select("merchant_id", "top_items"), ["merchant_id"], ["ask_id"], written=True
+    )
+    lines = picked.select(
         "ask_id", "rank", F.explode(render.item_lines(F.col("top_items"))).alias("it")
     )
     return ranking.fan_out(asks, lines).select(
@@ -411,7 +415,7 @@ def offer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = fixtures.relations(spark, sf_dir)
     asks, ranking = _outcomes(fx)
     names = fx["fx_merchants"].select("merchant_id", "name")
-    lines = ranking.ranked.join(names, "merchant_id").select(
+    lines = spread_join(ranking.ranked, names, ["merchant_id"], ["ask_id"], written=True).select(
         "ask_id",
         "rank",
         "merchant_id",
@@ -431,7 +435,7 @@ def _offer_summaries(catalog: DataFrame, ranked: DataFrame) -> DataFrame:
     """``ask_id, summary``: the merchant blocks of a key in rank order (P4),
     rendered once per key (at most k blocks each)."""
     cat = catalog.select("merchant_id", "name", "primary_category", "rating", "top_items")
-    blocks = ranked.join(cat, "merchant_id").select(
+    blocks = spread_join(ranked, cat, ["merchant_id"], ["ask_id"], written=True).select(
         "ask_id",
         "rank",
         render.merchant_block(
