@@ -4,7 +4,8 @@
    become sets of word shingles, ``PERMUTATIONS`` minima each. The low
    ``BITS`` bits of the minima are packed; groups of ``ROWS`` whole minima are
    hashed to band keys. Equal sets share a digest and are one node, its id the
-   smallest doc_id, so thousands of exact copies cost nothing later.
+   smallest doc_id, so thousands of exact copies cost nothing later. Nodes with one
+   id are told apart by ``version``, a hash of the digest.
 2. Candidates: nodes that share a band key. At a Jaccard similarity of 0.8 a
    pair shares no band with probability (1 - 0.8^4)^32 < 5e-8. Every node is tied to
    the smallest node of each of its buckets (as many ties as nodes, however large
@@ -28,8 +29,10 @@ once. Intermediate tables are written to the shared checkpoint folder.
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing; texts of fewer words than a shingle are one shingle; ties take the
 smaller doc_id; rows with a null doc_id are returned unlinked (component null,
-kept); rows which share a doc_id and a set are the same document; columns other
-than id and text are not read; an empty table gives an empty result.
+kept); rows which share a doc_id and a set are the same document; rows which share
+a doc_id and have different sets are versions of one document, and what is linked with
+any version is linked with all; columns other than id and text are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealgrid.llm.common import (
@@ -80,6 +83,10 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 512):
@@ -121,6 +128,24 @@ def least_estimate(threshold: float) -> float:
     return threshold - DEVIATIONS * spread
 
 
+def _version() -> Column:
+    return F.xxhash64("digest").alias("version")
+
+
+def _versions(whole: DataFrame, classes: DataFrame) -> DataFrame:
+    """``u, v``: every doc_id with several sets, tied to the nodes of them."""
+    several = whole.groupBy("doc_id").agg(
+        F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")
+    )
+    several = measured_broadcast(several.filter("low <> high").select("doc_id"), "several_sets")
+    rows = whole.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct()
+    return (
+        rows.join(classes.select("digest", "node"), "digest")
+        .filter("doc_id <> node")
+        .select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    )
+
+
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = ascii_lower(whole_text(F.col(text_col)))
     return docs.select(
@@ -143,7 +168,7 @@ def _signatures(hashed: DataFrame, width: int) -> DataFrame:
                     bands.append(None)
                     continue
                 low = minima(found)
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                digests.append(set_digest(found))
                 packed.append(pack(low))
                 bands.append(band_keys(low))
             yield pa.RecordBatch.from_arrays(
@@ -166,15 +191,18 @@ def _sets(hashed: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             flat, at = list_column(batch, "h")
             flat = flat.view(np.uint64)
-            rows = [
-                shingle_set(flat[a:b], width).tobytes()
-                for a, b in zip(at[:-1], at[1:], strict=True)
-            ]
+            rows = [shingle_set(flat[a:b], width) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.binary())], ["node", "shingles"]
+                [
+                    batch.column(0),
+                    pa.array([set_digest(r) for r in rows], pa.binary()),
+                    pa.array([r.tobytes() for r in rows], pa.binary()),
+                ],
+                ["node", "digest", "shingles"],
             )
 
-    return hashed.mapInArrow(tidy(run), "node long, shingles binary")
+    out = hashed.mapInArrow(tidy(run), "node long, digest binary, shingles binary")
+    return out.select("node", _version(), "shingles").dropDuplicates(["node", "version"])
 
 
 def confirmed(
@@ -269,29 +297,33 @@ def link(
     classes = stored(classes, "classes", rows)
     nodes = whole.join(
         classes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi"
-    ).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands")
+    ).dropDuplicates(["doc_id", "digest"])
+    nodes = nodes.select(
+        F.col("doc_id").alias("node"), _version(), F.col("n_shingles").alias("n"), "sig", "bands"
+    )
+    nodes = stored(nodes, "nodes", rows)
 
     # a bucket: the nodes that share a band key; its hub: the smallest of them
-    member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    member = nodes.select("node", "version", "n", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
     buckets = buckets.filter("last > hub").select("bucket", "hub")
     member = stored(
-        salted_join(member, buckets, "bucket", F.col("node"), "inner"), "members", BANDS * rows
+        salted_join(member, buckets, "bucket", F.col("version"), "inner"), "members", BANDS * rows
     )
     ties = member.filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     families = components(ties, BANDS * rows).withColumnRenamed("component", "family")
-    families = families.join(nodes.select("node", "n"), "node")
+    families = families.join(nodes.select("node", "version", "n"), "node")
     sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    families = salted_join(families, sizes, "family", F.col("node"), "inner")
+    families = salted_join(families, sizes, "family", F.col("version"), "inner")
     families = stored(families, "families", rows)
 
     grouped = families.filter(F.col("size") <= MOST_FAMILY).select(
-        "node", "n", F.col("family").alias("group"), F.lit(False).alias("bucketed")
+        "node", "version", "n", F.col("family").alias("group"), F.lit(False).alias("bucketed")
     )
     wide = families.filter(F.col("size") > MOST_FAMILY).select("node")
     grouped = grouped.unionByName(
         member.join(wide, "node", "left_semi").select(
-            "node", "n", F.col("bucket").alias("group"), F.lit(True).alias("bucketed")
+            "node", "version", "n", F.col("bucket").alias("group"), F.lit(True).alias("bucketed")
         )
     )
     counts = grouped.groupBy("group", "bucketed").agg(
@@ -300,8 +332,8 @@ def link(
         .alias("parts")
     )
     blocks = (
-        salted_join(grouped, counts, ["group", "bucketed"], F.col("node"), "inner")
-        .withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        salted_join(grouped, counts, ["group", "bucketed"], F.col("version"), "inner")
+        .withColumn("side", F.pmod(F.xxhash64("node", "version"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
     blocks = blocks.select(
@@ -311,16 +343,17 @@ def link(
         "side",
         (F.col("side") != F.col("other")).alias("across"),
         "node",
+        "version",
     )
     near = measured_broadcast(families.select(F.col("node").alias("doc_id")), "candidates")
     some = docs.withColumn("_id", F.col(id_col).cast("long")).join(
         near.withColumnRenamed("doc_id", "_id"), "_id", "left_semi"
     )
-    sets = _sets(_hashed(some, "_id", text_col), width).dropDuplicates(["node"])
-    signed = nodes.join(sets, "node").select("node", "sig", "shingles")
-    compared = blocks.join(materialize(signed, "shingle_sets"), "node")
+    sets = _sets(_hashed(some, "_id", text_col), width)
+    signed = nodes.join(sets, ["node", "version"]).select("node", "version", "sig", "shingles")
+    compared = blocks.join(materialize(signed, "shingle_sets"), ["node", "version"])
     links = _links(compared.repartition("block").sortWithinPartitions("block"), percent)
-    links = materialize(links, "links")
+    links = materialize(links.unionByName(_versions(whole, classes)), "links")
     linked = components(links, links.count())
 
     of_class = classes.join(linked, "node", "left").filter("copies > 1 or component is not null")

@@ -101,6 +101,21 @@ def test_minhash(spark):
     assert minhash.link(docs.limit(0), 4, 80).count() == 0
 
 
+def test_minhash_ids_with_several_texts(spark):
+    """Versions of one id: what is linked with one of them is linked with all, in any row
+    order, also where the id is not the smallest of its copies; repeated rows change nothing."""
+    a, b = [" ".join(f"{c}{i}" for i in range(100)) for c in "ab"]
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (1, b)]
+    rows += [(20, "p q r s t"), (27, "p q r s t"), (27, "u v w x y"), (23, "u v w x y"), (28, "other")]
+    want = {1: 1, 2: 1, 3: 1, 20: 20, 27: 20, 23: 20, 28: 28}
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        out = minhash.link(docs, 4, 80).collect()
+        assert len(out) == len(rows)
+        assert {(r.doc_id, r.component_id) for r in out} == set(want.items())
+        assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+
+
 def test_minhash_chains_need_every_link(spark):
     """A chain of near copies, each like its neighbours only, and more members than
     a block holds."""
