@@ -702,6 +702,18 @@ UNION ALL
 SELECT '{BATCH_LOG_TIME}', CAST(customer_id AS BIGINT), rtext, ijson, offer_text, ids FROM batch"""
 
 
+def log_csv_sql() -> str:
+    return _with("fx_log") + "," + _HISTORY + """
+SELECT log_time, CAST(customer_id AS BIGINT) AS customer_id,
+  CASE log_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'plain ' || log_id
+    WHEN 2 THEN 'He said "' || log_id || '", twice'
+    ELSE 'one' || chr(10) || chr(10) || '"' || log_id || '",' || chr(10) || 'two ' END AS user_request,
+  '{"id": ' || log_id || ',' || chr(10) || ' "q": "a, b"}' AS intent,
+  CASE WHEN log_id % 2 = 0 THEN NULL WHEN log_id % 5 = 0 THEN '' ELSE 'offer' END AS offer,
+  CASE WHEN log_id % 2 = 0 THEN '[]' ELSE recommended_merchants END AS recommended_merchants
+FROM hist"""
+
+
 def log_clear_sql() -> str:
     return _with("fx_log") + """
 SELECT 'never written' AS step, CAST(0 AS BIGINT) AS n_rows
@@ -742,6 +754,7 @@ def oracle_sql() -> dict[str, str]:
         "log_backfill": _log_sql("'[]'"),
         "log_append_history": _log_sql("CASE WHEN log_id % 2 = 0 THEN '[]' ELSE recommended_merchants END"),
         "log_clear": log_clear_sql(),
+        "log_csv_history": log_csv_sql(),
         "intent_status": intent_status_sql(),
         "offer_items_raw": offer_items_raw_sql(),
         "leaderboard_raw": leaderboard_raw_sql(),

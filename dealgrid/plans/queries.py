@@ -22,7 +22,7 @@ from dealgrid.operators.requests import CUSTOMER_NOT_FOUND, request_asks
 from dealgrid.operators.textjoin import contains_pairs, sets_fully_contained
 from dealgrid.plans.sizing import materialize, work_dir
 from dealgrid.plans.skew import split_hot_join, spread_join
-from dealgrid.sources import convlog, fixtures, jsonl
+from dealgrid.sources import convlog, csvlog, fixtures, jsonl
 from dealgrid.streaming.exposure_stream import run_exposure_stream
 
 # Digits kept for floating outputs and for ranking in oracle-checked queries
@@ -583,6 +583,39 @@ def log_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(rows("appended again", path))
 
 
+def _csv_log_rows(fx: dict[str, DataFrame]) -> DataFrame:
+    """The fixture log with texts that need CSV quoting: quotes, commas, line ends, blanks."""
+    n = F.col("log_id").cast("string")
+    request = (
+        F.when(F.col("log_id") % 4 == 0, F.lit(None).cast("string"))
+        .when(F.col("log_id") % 4 == 1, F.concat(F.lit("plain "), n))
+        .when(F.col("log_id") % 4 == 2, F.concat(F.lit('He said "'), n, F.lit('", twice')))
+        .otherwise(F.concat(F.lit('one\n\n"'), n, F.lit('",\ntwo ')))
+    )
+    return fx["fx_log"].select(
+        "log_id",
+        render.log_time(F.col("ts")).alias("timestamp"),
+        F.col("customer_id").cast("string").alias("customer_id"),
+        request.alias("user_request"),
+        F.concat(F.lit('{"id": '), n, F.lit(',\n "q": "a, b"}')).alias("intent"),
+        F.when(F.col("log_id") % 5 == 0, F.lit("")).otherwise(F.lit("offer")).alias("offer"),
+        "recommended_merchants",
+    )
+
+
+def log_csv_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as CSV files, half of them older ones with other columns, read back in
+    splits: records over several lines, headers of their own, NULL and empty text apart
+    (S8-S10)."""
+    fx = fixtures.relations(spark, sf_dir)
+    base = work_dir(spark, "csvlog")
+    rows = _csv_log_rows(fx)
+    old = rows.filter("log_id % 2 = 0")
+    convlog.export_csv(old.select("intent", "customer_id", "timestamp", "user_request"), f"{base}/old")
+    convlog.export_csv(rows.filter("log_id % 2 = 1").select(*convlog.LOG_COLUMNS), f"{base}/new")
+    return _log_out(csvlog.history(spark, [f"{base}/old", f"{base}/new"]))
+
+
 def _request_text():
     """Fixture requests carry no typed text; a short text is derived from the
     intent so the prompts have something to quote."""
@@ -786,6 +819,7 @@ QUERIES = {
     "intent_status": intent_status,
     "log_append_history": log_append_history,
     "log_clear": log_clear,
+    "log_csv_history": log_csv_history,
     "offer_items_raw": offer_items_raw,
     "leaderboard_raw": leaderboard_raw,
     "id_forms": id_forms,

@@ -13,9 +13,9 @@ NULL in a log that has the column stays NULL. In memory ``backfill`` looks at th
 columns; in a folder, where old and new files lie side by side, the stored schema gives the
 column a default for files that do not have it (as ``ALTER TABLE ... ADD COLUMN ... DEFAULT``
 does), so each file decides for its own rows, whoever wrote it. ``union_logs`` unions by
-column name, missing columns become NULL. CSV export quotes every field and escapes
+column name, missing columns become NULL. CSV export quotes fields that need it and escapes
 quotes by doubling, so JSON text with quotes, commas and newlines survives a
-round trip (read back with ``multiLine`` and the same escape).
+round trip (``csvlog.history`` reads it in splits).
 """
 
 from __future__ import annotations
@@ -84,16 +84,6 @@ def clear(spark: SparkSession, path: str) -> None:
 
 
 def export_csv(log: DataFrame, path: str) -> None:
-    log.write.mode("overwrite").option("header", True).option("quoteAll", True).option(
-        "escape", '"'
-    ).csv(path)
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .schema(LOG_SCHEMA)
-        .csv(path)
-    )
+    """One or more CSV files: NULL is an empty field, empty text ``""``, blanks stay."""
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    log.write.mode("overwrite").options(header=True, escape='"', **blanks).csv(path)

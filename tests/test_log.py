@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from dealgrid.sources import convlog
+from dealgrid.sources import convlog, csvlog
 
 
 def test_union_backfills_missing_column(spark):
@@ -78,7 +78,7 @@ def test_csv_round_trip_keeps_quotes_and_newlines(spark, scratch):
     rows = spark.createDataFrame([("t", "1", text, '{"a": "b"}', "ok", '["1", 2]')], convlog.LOG_SCHEMA)
     path = os.path.join(scratch, "csv")
     convlog.export_csv(rows, path)
-    back = convlog.read_csv(spark, path).first()
+    back = csvlog.history(spark, path).first()
     assert back.user_request == text and back.intent == '{"a": "b"}'
     assert back.recommended_merchants == '["1", 2]'
 
