@@ -350,6 +350,11 @@ def exposure_counts_sql() -> str:
     return _with("fx_log") + "," + _COUNTS + "\nSELECT merchant_key, key_kind, exposure FROM cnt"
 
 
+def leaderboard_ranked_sql() -> str:
+    return f"""SELECT *, row_number() OVER (ORDER BY exposure DESC, key_kind, merchant_key) AS place
+FROM ({leaderboard_sql()})"""
+
+
 def leaderboard_sql() -> str:
     return _with("fx_log", "fx_merchants") + "," + _COUNTS + """,
 mm AS (SELECT 'number' AS key_kind, CAST(merchant_id AS VARCHAR) AS merchant_key,
@@ -743,6 +748,7 @@ def oracle_sql() -> dict[str, str]:
         "unknown_customers": unknown_customers_sql(),
         "exposure_counts": exposure_counts_sql(),
         "exposure_leaderboard": leaderboard_sql(),
+        "leaderboard_ranked": leaderboard_ranked_sql(),
         "distinct_preferences": distinct_preferences_sql(),
         "intent_decode": intent_decode_sql(),
         "intent_resolve": intent_resolve_sql(),

@@ -20,6 +20,7 @@ from dealgrid.operators.intent import OK, fixture_intents, r1_flag
 from dealgrid.operators.match import Ranking, rank_keys, top_merchants, with_ask_id
 from dealgrid.operators.requests import CUSTOMER_NOT_FOUND, request_asks
 from dealgrid.operators.textjoin import contains_pairs, sets_fully_contained
+from dealgrid.plans.positions import with_positions
 from dealgrid.plans.sizing import materialize, work_dir
 from dealgrid.plans.skew import split_hot_join, spread_join
 from dealgrid.sources import convlog, csvlog, fixtures, jsonl
@@ -281,6 +282,14 @@ def exposure_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exposure.leaderboard(counts, fx["fx_merchants"])
 
 
+def leaderboard_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaderboard with the place of each merchant, 1..n without gaps, numbered by
+    ranges instead of in one task (W2, W3)."""
+    order = [F.desc("exposure"), "key_kind", "merchant_key"]
+    placed = with_positions(exposure_leaderboard(spark, sf_dir), order)
+    return placed.withColumn("place", F.col("position") + 1).drop("position")
+
+
 def distinct_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduced preferences as a set, only for generic / ambiguous /
     low-confidence requests (A2, O3)."""
@@ -803,6 +812,7 @@ QUERIES = {
     "unknown_customers": unknown_customers,
     "exposure_counts": exposure_counts,
     "exposure_leaderboard": exposure_leaderboard,
+    "leaderboard_ranked": leaderboard_ranked,
     "distinct_preferences": distinct_preferences,
     "intent_decode": intent_decode,
     "intent_resolve": intent_resolve,
