@@ -2,9 +2,12 @@
 
 ``contains_pairs(terms, texts)`` returns every (term, text) with
 ``text.contains(term)``. Each text emits its distinct substrings of length
-1..3 (``grams``); each term emits its first <= 3 characters. Containment
+1..3 (``grams``); each term emits one gram of its own: of its three-character
+substrings (a shorter term: itself) the one that the fewest texts hold. Containment
 implies that gram is among the text's grams, so the equi-join on the gram is
-a superset of the answer and an exact ``contains`` filter settles it. The
+a superset of the answer and an exact ``contains`` filter settles it. A prefix
+that many terms and texts share thus costs nothing, as another gram of the term is rarer,
+and a term with a gram that no text holds is dropped before the join. The
 empty term is contained in every text: it joins on a token every text emits.
 Both sides are dictionaries (distinct terms, distinct texts), so the work is
 proportional to the text length, never to |terms| x |texts|.
@@ -31,8 +34,29 @@ def grams(text: Column) -> Column:
     return F.filter(F.flatten(per_start), lambda s: F.length(s) > 0)
 
 
-def term_token(term: Column) -> Column:
-    return F.when(term == "", F.lit(EVERY_TEXT)).otherwise(F.substring(term, 1, GRAM))
+def term_grams(term: Column) -> Column:
+    """Distinct substrings of length GRAM (of a shorter term: the term), one of which a
+    term is found by."""
+    last = F.greatest(F.length(term) - (GRAM - 1), F.lit(1))
+    parts = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(term, i, GRAM))
+    return F.when(term == "", F.array(F.lit(EVERY_TEXT))).otherwise(F.array_distinct(parts))
+
+
+def rarest_tokens(terms: DataFrame, text_grams: DataFrame) -> DataFrame:
+    """``_term, _tok``: the gram of each term that the fewest texts hold (ties: the
+    smaller one). ``text_grams(_text, _tok)`` holds each gram of a text once. Terms with a gram
+    that no text holds are left out: no text contains them."""
+    held = text_grams.groupBy("_tok").agg(F.count(F.lit(1)).alias("_n"))
+    own = terms.withColumn("_grams", term_grams(F.col("_term")))
+    own = own.select("_term", F.size("_grams").alias("_size"), F.explode("_grams").alias("_tok"))
+    # one gram may be in very many terms
+    met = spread_join(own, held, ["_tok"], ["_term"], name="gram_counts")
+    best = met.groupBy("_term").agg(
+        F.min(F.struct("_n", "_tok")).alias("_best"),
+        F.count(F.lit(1)).alias("_met"),
+        F.first("_size").alias("_size"),
+    )
+    return best.filter("_met = _size").select("_term", F.col("_best._tok").alias("_tok"))
 
 
 def text_tokens(text: Column) -> Column:
@@ -47,11 +71,11 @@ def contains_pairs(terms: DataFrame, term_col: str, texts: DataFrame, text_col:
     x = texts.select(F.col(text_col).alias("_text")).distinct().filter(
         F.col("_text").isNotNull()
     )
-    left = t.select("_term", term_token(F.col("_term")).alias("_tok"))
     right = x.select("_text", F.explode(text_tokens(F.col("_text"))).alias("_tok"))
-    # one gram (or the empty term's token) may be in every text
+    left = rarest_tokens(t, right)
+    # the rarest gram (or the empty term's token) may still be in every text
     return (
-        spread_join(right, left, ["_tok"], ["_text"], name="term_tokens", written=True)
+        spread_join(right, left, ["_tok"], ["_text"], name="term_tokens")
         .filter(F.col("_text").contains(F.col("_term")))
         .select(F.col("_term").alias(term_col), F.col("_text").alias(text_col))
         .distinct()
