@@ -9,13 +9,18 @@
 
        1/2 sum_d (sum_i n_i r_i p_id - t_d)^2 / s_d + keep/2 sum_i n_i (r_i - 1)^2,
 
-   s_d = sum_i n_i p_id, by projected gradient descent with momentum. Each residual
-   counts by its domain's own supply s_d, so a rare domain is fitted as fast and as
-   closely as a frequent one (the first term's curvature is at most 1, whatever the
-   shares), and the descent goes on until every domain is at its own target. The gradient needs the D sums
-   over documents only: each step is one Spark job that returns D numbers per
-   task, and a document's rate follows from its own row and the D numbers of the
-   steps so far, so no state is kept and a lost task is simply run again.
+   s_d = sum_i n_i p_id, by projected gradient steps. Each residual counts by its
+   domain's own supply s_d, so a rare domain is fitted as closely as a frequent one.
+   The objective bends in D directions, and by ``keep`` in all others, so that steps of
+   one length would need about 1 / keep of them: a step is scaled by the inverse of the
+   curvature on the rates that are not 0, which needs a D x D matrix only, and
+   projected to nonnegative rates. Such a step stays among the rates
+   max(0, 1 - p_i * prices / keep) of D numbers, the prices; it is halved until a lower
+   bound of the objective (its dual at the prices) rises enough. The gap between objective
+   and bound proves how near the rates are to the fitted ones; the descent ends at
+   ``RATE_ERROR``. Each step is one Spark job that returns D + 1 + D * D sums per task; a
+   document's rate follows from its own row and the prices, so no state is kept and a lost
+   task is simply run again.
 3. A document is taken floor(rate + u) times, u the hash of its id.
 
 Only (id, tokens, posteriors) is written to the shared checkpoint folder; the
@@ -29,8 +34,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,12 +54,15 @@ USES = 1.05
 SAMPLE_ROWS = 8_000
 FEATURES = 1 << 17
 EPOCHS, STEP = 6, 0.5
-#: Weight of rates that stay at 1, against a domain's residual: ``keep`` is also the
-#: rate to which a domain of target 0 is brought, however rare.
-KEEP = 1e-4
-#: Parts of a domain's target (of its supply, if the target is 0).
-TOLERANCE, STILL = 5e-4, 1e-4
-STEPS = 60
+#: Weight of rates that stay at 1, against a domain's residual: about the rate to which a
+#: domain of target 0 is brought, however rare. A smaller one drives out clean documents
+#: with a trace of such a domain in their posterior.
+KEEP = 1e-3
+#: The descent ends when the rates are proven to be so near the fitted ones (root of the
+#: mean square over tokens).
+RATE_ERROR = 1e-3
+#: More jobs raise an error.
+JOBS = 200
 
 #: Between words: blanks and ASCII punctuation.
 BETWEEN = r"[\x09-\x0D -/:-@\[-`{-~]+"
@@ -182,75 +189,89 @@ def posteriors(
     return rows.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, posterior array<double>")
 
 
-def rates(posterior: np.ndarray, slopes: np.ndarray, keep: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps with the given slopes (steps x domains), and the
-    point from which the next step starts."""
-    rate = start = np.ones(len(posterior))
-    step, t = 1 / (1 + keep), 1.0
-    for moved in (posterior @ slopes.T).T if len(slopes) else ():
-        new = np.maximum(0.0, start - step * (moved + keep * (start - 1)))
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        start = new + (t - 1) / t_next * (new - rate)
-        rate, t = new, t_next
-    return rate, start
+def rates(posterior: np.ndarray, prices: np.ndarray, keep: float) -> np.ndarray:
+    """The rates at the domains' ``prices``: where no rate is 0, the gradient of the second
+    term equals that of the first with ``prices`` as its slopes."""
+    return np.maximum(0.0, 1 - posterior @ prices / keep)
 
 
-def _totals(members: DataFrame, slopes: np.ndarray, keep: float) -> np.ndarray:
-    """Expected tokens of each domain at the rates (row 0) and at the point
-    from which the next step starts (row 1)."""
+def moments(posterior: np.ndarray, n: np.ndarray, prices: np.ndarray, keep: float) -> np.ndarray:
+    """Sums over documents: tokens of each domain, squares of the rates' distances from 1,
+    and products of the domains over the tokens of documents whose rate is not 0."""
+    rate = rates(posterior, prices, keep)
+    free = posterior * np.where(rate > 0, n, 0)[:, None]
+    return np.concatenate([(n * rate) @ posterior, [n @ (rate - 1) ** 2], (free.T @ posterior).ravel()])
+
+
+def _moments(members: DataFrame, prices: np.ndarray, keep: float) -> np.ndarray:
     width = len(DOMAINS)
+    names = [f"s{i}" for i in range(width + 1 + width * width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, width))
+        total = np.zeros(len(names))
         for batch in batches:
             p = list_column(batch, "posterior")[0].reshape(-1, width)
-            n = batch.column("n_tokens").to_numpy()
-            for k, r in enumerate(rates(p, slopes, keep)):
-                total[k] += (n * r) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(total.reshape(-1))[i : i + 1] for i in range(2 * width)], names)
+            total += moments(p, batch.column("n_tokens").to_numpy(), prices, keep)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names)
 
-    names = [f"s{i}" for i in range(2 * width)]
     sums = members.select("n_tokens", "posterior").mapInArrow(tidy(run), ", ".join(f"{n} double" for n in names))
-    row = sums.agg(*[F.sum(n).alias(n) for n in names]).first()
-    return np.array([x or 0.0 for x in row]).reshape(2, width)
+    return np.array([x or 0.0 for x in sums.agg(*[F.sum(n).alias(n) for n in names]).first()])
 
 
 @dataclass
 class Mix:
-    slopes: np.ndarray
+    prices: np.ndarray
     targets: np.ndarray
     totals: np.ndarray
     keep: float
+    jobs: int
+
+
+def descend(
+    measure: Callable[[np.ndarray], np.ndarray], now: np.ndarray, targets: np.ndarray, keep: float
+) -> Mix:
+    """The fitted rates. ``measure`` gives the ``moments`` at some prices, ``now`` are those
+    at prices of 0."""
+    width = len(targets)
+    supply = now[:width]
+    per = np.divide(1.0, supply, out=np.zeros(width), where=supply > 0)
+    near = RATE_ERROR**2 * keep * supply.sum()
+
+    def bound(prices: np.ndarray, found: np.ndarray) -> float:
+        """What the objective cannot fall below; equal to it at the fitted rates."""
+        return prices @ (found[:width] - targets) + keep / 2 * found[width] - supply @ prices**2 / 2
+
+    prices, jobs = np.zeros(width), 1
+    while True:
+        apart = (now[:width] - targets) * per - prices
+        if supply @ apart**2 <= near:
+            return Mix(prices, targets, now[:width], keep, jobs)
+        bend = np.eye(width) + per[:, None] * now[width + 1 :].reshape(width, width) / keep
+        step, part = np.linalg.solve(bend, apart), 1.0
+        least, gain = bound(prices, now), (supply * apart) @ step
+        while True:
+            if jobs >= JOBS:
+                raise RuntimeError(f"rates not fitted after {jobs} jobs: totals {now[:width]}, targets {targets}")
+            after, jobs = measure(prices + part * step), jobs + 1
+            if bound(prices + part * step, after) >= least + 1e-4 * part * gain:
+                break
+            part /= 2
+        prices, now = prices + part * step, after
 
 
 def solve(
     members: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, keep: float = KEEP
 ) -> Mix:
     """Fits the rates. ``budget`` is the wanted number of tokens; unset, as many
-    as use the domain of the largest weight ``USES`` times. Ends when every domain
-    meets its own target, or when no domain's total moves (targets that cannot be met
-    together); warns if neither holds after ``STEPS`` steps."""
+    as use the domain of the largest weight ``USES`` times."""
     share = np.array([(weights or WEIGHTS)[d] for d in DOMAINS], float)
     share = share / share.sum()
-    slopes = np.zeros((0, len(DOMAINS)))
-    supply = _totals(members, slopes, keep)[0]
+    start = _moments(members, np.zeros(len(DOMAINS)), keep)
+    supply = start[: len(DOMAINS)]
     if budget is None:
         heaviest = int(np.argmax(share))
         budget = USES * float(supply[heaviest] / share[heaviest])
-    targets = share * budget
-    own = np.where(targets > 0, targets, supply)
-    totals = np.stack([supply, supply])
-    for _ in range(STEPS):
-        if (np.abs(totals[0] - targets) <= TOLERANCE * own).all():
-            break
-        slope = np.divide(totals[1] - targets, supply, out=np.zeros(len(DOMAINS)), where=supply > 0)
-        slopes = np.vstack([slopes, slope])
-        before, totals = totals, _totals(members, slopes, keep)
-        if len(slopes) > 3 and (np.abs(totals - before) <= STILL * own).all():
-            break
-    else:
-        warnings.warn(f"totals {totals[0]} still move after {STEPS} steps; targets {targets}", stacklevel=2)
-    return Mix(slopes, targets, totals[0], keep)
+    return descend(lambda prices: _moments(members, prices, keep), start, share * budget, keep)
 
 
 def apply(members: DataFrame, mix: Mix, id_col: str = "doc_id") -> DataFrame:
@@ -260,7 +281,7 @@ def apply(members: DataFrame, mix: Mix, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = list_column(batch, "posterior")[0].reshape(-1, width)
-            rate = rates(p, mix.slopes, mix.keep)[0]
+            rate = rates(p, mix.prices, mix.keep)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(rate, pa.float64())], [*batch.schema.names, "rate"]
             )

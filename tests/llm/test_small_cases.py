@@ -283,6 +283,42 @@ def test_mixing_meets_targets(spark):
     assert value(rows["rate"].to_numpy()) <= value(r) + 1e-5
 
 
+@pytest.mark.parametrize("weights", [(0.97, 0.03, 0.0), (0.2, 0.3, 0.5)])
+def test_mixing_against_plain_descent(spark, weights):
+    """The operator's own objective (residuals by supply), many plain projected steps; many
+    rates end at 0."""
+    import numpy as np
+
+    draw = np.random.Generator(np.random.PCG64(7))
+    kind = draw.choice(3, 400, p=[0.8, 0.15, 0.05])
+    z = draw.normal(0, 1.5, (400, 3))
+    z[np.arange(400), kind] += draw.uniform(1, 8, 400)
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    n = draw.integers(0, 900, 400)
+    members = spark.createDataFrame(
+        [(i, int(n[i]), p[i].tolist()) for i in range(400)], "doc_id long, n_tokens long, posterior array<double>"
+    )
+    keep = 0.01
+    mix = mixing.solve(members, dict(zip(mixing.DOMAINS, weights, strict=True)), keep=keep)
+    r, supply = np.ones(400), n @ p
+    for _ in range(20_000):
+        r = np.maximum(0, r - (p @ (((n * r) @ p - mix.targets) / supply) + keep * (r - 1)) / (1 + keep))
+    rows = mixing.apply(members, mix).orderBy("doc_id").toPandas()
+    apart = rows["rate"].to_numpy() - r
+    assert (r == 0).sum() > 5 and n @ apart**2 <= (2 * mixing.RATE_ERROR) ** 2 * n.sum()
+    assert np.allclose((n * r) @ p, mix.totals, atol=1e-3 * n.sum())
+    assert mix.jobs < 30
+
+
+def test_mixing_raises_instead_of_ending_early(spark, monkeypatch):
+    members = spark.createDataFrame(
+        [(1, 100, [0.9, 0.05, 0.05]), (2, 900, [0.1, 0.1, 0.8])], "doc_id long, n_tokens long, posterior array<double>"
+    )
+    monkeypatch.setattr(mixing, "JOBS", 1)
+    with pytest.raises(RuntimeError, match="not fitted"):
+        mixing.solve(members)
+
+
 @pytest.mark.parametrize("rare", [1, 10])
 def test_mixing_leaves_a_rare_domain_out(spark, rare):
     """Toxic text of 0.1 % or 1 % of the tokens, target 0; low quality 10 %, target 3 %."""
