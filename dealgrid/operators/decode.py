@@ -101,14 +101,15 @@ def steps_wide(responses: DataFrame) -> DataFrame:
     )
 
 
-def resolve_intents(responses: DataFrame) -> DataFrame:
-    """``request_id, intent (variant), source, deduced_preferences`` with
-    source ``refined``, ``initial`` or ``default``."""
-    w = steps_wide(responses)
-    w = with_decoded(w, "c1", "v1")
+def resolved(wide: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``wide`` holds ``request_id`` and the responses ``c1, c2, c3``. Returns the ``keep``
+    columns and ``request_id, initial (variant), intent (variant), source,
+    deduced_preferences``; ``initial`` is the first reading, which the refinement quotes."""
+    w = with_decoded(wide, "c1", "v1")
     w = with_decoded(w, "c2", "v2")
     w = with_decoded_list(w, "c3", "deduced_preferences")
     flagged = w.select(
+        *keep,
         "request_id",
         "v1",
         "v2",
@@ -119,7 +120,9 @@ def resolve_intents(responses: DataFrame) -> DataFrame:
     default = F.parse_json(F.lit(DEFAULT_INTENT_JSON))
     initial = F.when(F.col("ok1"), F.col("v1")).otherwise(default)
     return flagged.select(
+        *keep,
         "request_id",
+        initial.alias("initial"),
         F.when(F.col("ok2"), F.col("v2")).otherwise(initial).alias("intent"),
         F.when(F.col("ok2"), F.lit("refined"))
         .when(F.col("ok1"), F.lit("initial"))
@@ -129,6 +132,12 @@ def resolve_intents(responses: DataFrame) -> DataFrame:
     )
 
 
+def resolve_intents(responses: DataFrame) -> DataFrame:
+    """``request_id, intent (variant), source, deduced_preferences`` with
+    source ``refined``, ``initial`` or ``default``."""
+    return resolved(steps_wide(responses)).drop("initial")
+
+
 def _text_or_empty(v: Column) -> Column:
     """``(value or '')`` for a text field: NULL when not text (crash case)."""
     k = jx.kind(v)

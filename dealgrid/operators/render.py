@@ -205,6 +205,23 @@ def pretty_json(value: Column) -> Column:
     return F.regexp_replace(text, r'(?m)^(\s*"(?:[^"\\]|\\.)*") : ', "$1: ")
 
 
+def variant_json(value: Column) -> Column:
+    """JSON of a VARIANT, an object with a line for each of its keys, in their order by
+    name (P7, P9); what the keys hold stays on one line."""
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+
+    def line(entry: Column) -> Column:
+        one = F.to_json(F.create_map(entry["key"], entry["value"]))
+        return F.concat(F.lit("  "), F.substring(one, F.lit(2), F.length(one) - 2))
+
+    lines = F.array_join(F.transform(entries, line), ",\n")
+    return (
+        F.when(entries.isNull(), F.to_json(value))
+        .when(F.size(entries) == 0, F.lit("{}"))
+        .otherwise(F.concat(F.lit("{\n"), lines, F.lit("\n}")))
+    )
+
+
 def ids_json(ids: Column) -> Column:
     """``json.dumps(list)`` layout ``[1, "m-7"]`` from an array of numeric ids
     or of ids already written as JSON text (``id_json`` of the JSON-lines

@@ -770,6 +770,7 @@ def oracle_sql() -> dict[str, str]:
         "exposure_stream": exposure_counts_sql(),
         "match_from_responses": responses_match_sql(),
         "prompt_table": prompt_table_sql(),
+        "request_cycle": request_cycle_sql(),
     }
 
 
@@ -830,34 +831,16 @@ def _profile(tx: str) -> str:
     )
 
 
-def prompt_table_sql() -> str:
-    from dealgrid.operators.render import (
-        EXTRACT_HEAD, OFFER_PARTS, PREFERENCE_PARTS, REFINE_PARTS,
-    )
-
-    ra, rb, rc, rd = (_lit(x) for x in REFINE_PARTS)
-    pa, pb, pc = (_lit(x) for x in PREFERENCE_PARTS)
-    oa, ob, oc, od = (_lit(x) for x in OFFER_PARTS)
-    r1 = _R1.replace("i.", "")
-    return match_ctes(ALL_REQUESTS, ("fx_transactions",)) + f""",
-tx AS (SELECT consumer_id,
+_TRANSACTIONS = """tx AS (SELECT consumer_id,
          '[' || string_agg('(' || CAST(merchant_id AS VARCHAR) || ', ''' || category || ''', '
                            || CAST(amount AS VARCHAR) || ')', ', ' ORDER BY pos) || ']' AS t_amt,
          '[' || string_agg('(' || CAST(merchant_id AS VARCHAR) || ', ''' || category || ''')',
                            ', ' ORDER BY pos) || ']' AS t_noamt
        FROM fx_transactions GROUP BY consumer_id),
-base AS (SELECT r.request_id, i.*, c.name, c.age, c.sex, c.occupation, c.balance, c.district,
-           coalesce(tx.t_amt, '[]') AS t_amt, coalesce(tx.t_noamt, '[]') AS t_noamt
-         FROM fx_requests r JOIN fx_intents i ON i.intent_id = r.intent_id
-         JOIN fx_customers c ON c.consumer_id = r.customer_id
-         LEFT JOIN tx ON tx.consumer_id = c.consumer_id),
-txt AS (SELECT request_id, category, {r1} AS r1,
-          {_REQUEST_TEXT} AS rtext,
-          {_intent_json(True)} AS ijson,
-          {_profile('t_amt')} AS prof,
-          {_profile('t_noamt')} AS prof_noamt
-        FROM base),
-top3 AS (SELECT merchant_id, pos, name, price, discount_percent,
+"""
+
+#: Merchant blocks of each request in rank order, from ``ranked``.
+_SUMMARIES = """top3 AS (SELECT merchant_id, pos, name, price, discount_percent,
            row_number() OVER (PARTITION BY merchant_id ORDER BY pos) AS ipos
          FROM fx_items),
 lines AS (SELECT merchant_id,
@@ -878,7 +861,31 @@ blocks AS (SELECT k.request_id, k.rn,
            WHERE k.rn <= 10),
 summ AS (SELECT request_id, string_agg(block, chr(10) ORDER BY rn) AS summary
          FROM blocks GROUP BY request_id)
-SELECT CAST(request_id AS BIGINT) AS request_id, CAST(1 AS BIGINT) AS step,
+"""
+
+
+def prompt_table_sql() -> str:
+    from dealgrid.operators.render import (
+        EXTRACT_HEAD, OFFER_PARTS, PREFERENCE_PARTS, REFINE_PARTS,
+    )
+
+    ra, rb, rc, rd = (_lit(x) for x in REFINE_PARTS)
+    pa, pb, pc = (_lit(x) for x in PREFERENCE_PARTS)
+    oa, ob, oc, od = (_lit(x) for x in OFFER_PARTS)
+    r1 = _R1.replace("i.", "")
+    return match_ctes(ALL_REQUESTS, ("fx_transactions",)) + f""",
+{_TRANSACTIONS}base AS (SELECT r.request_id, i.*, c.name, c.age, c.sex, c.occupation, c.balance, c.district,
+           coalesce(tx.t_amt, '[]') AS t_amt, coalesce(tx.t_noamt, '[]') AS t_noamt
+         FROM fx_requests r JOIN fx_intents i ON i.intent_id = r.intent_id
+         JOIN fx_customers c ON c.consumer_id = r.customer_id
+         LEFT JOIN tx ON tx.consumer_id = c.consumer_id),
+txt AS (SELECT request_id, category, {r1} AS r1,
+          {_REQUEST_TEXT} AS rtext,
+          {_intent_json(True)} AS ijson,
+          {_profile('t_amt')} AS prof,
+          {_profile('t_noamt')} AS prof_noamt
+        FROM base),
+{_SUMMARIES}SELECT CAST(request_id AS BIGINT) AS request_id, CAST(1 AS BIGINT) AS step,
   {_lit(EXTRACT_HEAD)} || rtext AS text FROM txt
 UNION ALL
 SELECT CAST(request_id AS BIGINT), CAST(2 AS BIGINT),
@@ -890,3 +897,60 @@ UNION ALL
 SELECT CAST(t.request_id AS BIGINT), CAST(4 AS BIGINT),
   {oa} || t.prof_noamt || {ob} || t.ijson || {oc} || s.summary || {od} || t.rtext
 FROM txt t JOIN summ s ON s.request_id = t.request_id"""
+
+
+def _json_by_key(j: str) -> str:
+    """The JSON text ``j`` with keys by name, the top ones on a line each."""
+    x = f"CAST({j} AS JSON)"
+    at = f"json_extract({x}, '$.\"' || k || '\"')"
+    nested = (
+        f"CASE WHEN json_type({at}) = 'OBJECT' THEN '{{' || array_to_string(['\"' || m || '\":' || "
+        f"CAST(json_extract({at}, '$.\"' || m || '\"') AS VARCHAR) FOR m IN list_sort(json_keys({at}))], ',') "
+        f"|| '}}' ELSE CAST({at} AS VARCHAR) END"
+    )
+    return (
+        f"CASE WHEN json_type({x}) <> 'OBJECT' THEN {j} WHEN len(json_keys({x})) = 0 THEN '{{}}' "
+        f"ELSE '{{' || chr(10) || array_to_string(['  \"' || k || '\":' || ({nested}) "
+        f"FOR k IN list_sort(json_keys({x}))], ',' || chr(10)) || chr(10) || '}}' END"
+    )
+
+
+def request_cycle_sql() -> str:
+    """Four rounds; the answers of every seventh request come a round late."""
+    from dealgrid.operators.decode import DEFAULT_INTENT_JSON
+    from dealgrid.operators.render import (
+        EXTRACT_HEAD, OFFER_PARTS, PREFERENCE_PARTS, REFINE_PARTS,
+    )
+
+    ra, rb, rc, rd = (_lit(x) for x in REFINE_PARTS)
+    pa, pb, pc = (_lit(x) for x in PREFERENCE_PARTS)
+    oa, ob, oc, od = (_lit(x) for x in OFFER_PARTS)
+    rq = "rq AS (SELECT request_id, customer_id, request_id AS intent_id FROM fx_requests)"
+    ctes = match_ctes(rq, ("fx_responses", "fx_transactions"), "ri", _response_intents() + ",\n", "by_object")
+    return ctes + f""",
+{_TRANSACTIONS}base AS (SELECT r.request_id, {_REQUEST_TEXT} AS rtext, {_profile('t_amt')} AS prof,
+           {_profile('t_noamt')} AS prof_noamt
+         FROM (SELECT q.request_id, c.*, i.category, i.price_range, i.proximity_km,
+                 coalesce(tx.t_amt, '[]') AS t_amt, coalesce(tx.t_noamt, '[]') AS t_noamt
+               FROM fx_requests q JOIN fx_intents i ON i.intent_id = q.intent_id
+               JOIN fx_customers c ON c.consumer_id = q.customer_id
+               LEFT JOIN tx ON tx.consumer_id = c.consumer_id) r),
+{_SUMMARIES.rstrip()},
+seen AS (SELECT base.*, n.i AS round, n.i - 1 - CASE WHEN base.request_id % 7 = 3 THEN 1 ELSE 0 END AS answered,
+         CASE WHEN f.ok1 THEN j1 ELSE '{DEFAULT_INTENT_JSON}' END AS first_j, res.j,
+         ri.category, ri.intent_status = 'ok' AS usable, {_R1.replace("i.", "ri.")} AS r1, s.summary
+       FROM base JOIN f ON f.request_id = base.request_id JOIN res ON res.request_id = base.request_id
+       JOIN ri ON ri.intent_id = base.request_id LEFT JOIN summ s ON s.request_id = base.request_id
+       CROSS JOIN (VALUES (1), (2), (3), (4)) AS n(i)),
+due AS (
+SELECT round, request_id, 1 AS step, {_lit(EXTRACT_HEAD)} || rtext AS text FROM seen WHERE answered < 1
+UNION ALL
+SELECT round, request_id, 2, {ra} || rtext || {rb} || {_json_by_key('first_j')} || {rc} || prof || {rd}
+FROM seen WHERE answered = 1
+UNION ALL
+SELECT round, request_id, 3, {pa} || prof || {pb} || category || {pc} FROM seen WHERE answered = 2 AND usable AND r1
+UNION ALL
+SELECT round, request_id, 4, {oa} || prof_noamt || {ob} || {_json_by_key('j')} || {oc} || summary || {od} || rtext
+FROM seen WHERE round = 4 AND usable AND answered >= CASE WHEN r1 THEN 3 ELSE 2 END AND summary IS NOT NULL)
+SELECT CAST(round AS BIGINT) AS round, CAST(request_id AS BIGINT) AS request_id,
+  CAST(step AS BIGINT) AS step, text FROM due"""

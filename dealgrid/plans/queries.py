@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dealgrid.functions.pricing import with_price_bounds
 from dealgrid.functions.text import fmt_fixed, py_float_repr
-from dealgrid.operators import decode, exposure, geojoin, render
+from dealgrid.operators import cycle, decode, exposure, geojoin, render
 from dealgrid.operators.catalog import build_catalog, flatten_items, match_merchants
 from dealgrid.operators.intent import OK, fixture_intents, r1_flag
 from dealgrid.operators.match import Ranking, rank_keys, top_merchants, with_ask_id
@@ -678,6 +678,52 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _response_summaries(fx: dict[str, DataFrame], responses: DataFrame) -> DataFrame:
+    """``request_id, summary`` of the requests that match by their decoded intents."""
+    typed = decode.typed_intents(
+        decode.resolve_intents(responses), "intent", "deduced_preferences", keep=("request_id",)
+    )
+    requests = fx["fx_requests"].select("request_id", "customer_id").join(typed, "request_id")
+    asks = materialize(request_asks(requests, fx["fx_customers"]), "request_asks")
+    ranking = rank_keys(asks, match_merchants(fx["fx_merchants"]), score_digits=DIGITS, items=fx["fx_items"])
+    catalog = materialize(_catalog(fx), "catalog")
+    lines = _offer_summaries(catalog, ranking.ranked)
+    return ranking.fan_out(with_ask_id(asks), lines).select("request_id", "summary")
+
+
+def request_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts due in each of four inference rounds (O1-O4, P6-P9): each round sees the
+    answers to the rounds before, those of every seventh request a round late; refinement
+    quotes the decoded first reading, the offer prompt the intent in force, and merchants are
+    matched by it."""
+    fx = fixtures.relations(spark, sf_dir)
+    cust = fx["fx_customers"].join(_transactions(fx), "consumer_id", "left")
+    j = split_hot_join(_flat_requests(fx), cust, "customer_id", "consumer_id", ["request_id"])
+    requests = materialize(
+        j.select(
+            "request_id",
+            "user_request",
+            render.profile_text().alias("profile"),
+            render.profile_text(with_amounts=False).alias("offer_profile"),
+        ),
+        "cycle_requests",
+    )
+    responses = materialize(fx["fx_responses"], "cycle_responses")
+    late = F.when(F.col("request_id") % 7 == 3, 1).otherwise(0)
+    out = None
+    for k in range(1, 5):
+        answered = responses.filter(F.col("step") < F.lit(k) - late)
+        offers = _response_summaries(fx, answered) if k == 4 else None
+        rows = cycle.due_prompts(requests, answered, offers).select(
+            F.lit(k).cast("bigint").alias("round"),
+            F.col("request_id").cast("bigint").alias("request_id"),
+            F.col("step").cast("bigint").alias("step"),
+            "text",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _merchant_json_lines(fx: dict[str, DataFrame]) -> DataFrame:
     items = fx["fx_items"].groupBy("merchant_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "name", "price", "discount_percent"))).alias("its")
@@ -823,6 +869,7 @@ QUERIES = {
     "log_union": log_union,
     "log_backfill": log_backfill,
     "prompt_table": prompt_table,
+    "request_cycle": request_cycle,
     "jsonl_ingest_dedupe": jsonl_ingest_dedupe,
     "exposure_stream": exposure_stream,
     "match_from_responses": match_from_responses,
