@@ -28,7 +28,9 @@ from dealgrid.llm.common import BLANKS, table
 from dealgrid.llm.queries import BPE_FILE
 from dealgrid.plans.sizing import materialize, measured_broadcast
 
-LEAST_SHARE = 0.3
+#: A text in one or two languages always stays (one of them holds at least half); balanced
+#: mixtures of three and more go.
+LEAST_SHARE = 0.4
 SHINGLE_WORDS, PERCENT = 5, 80
 
 
