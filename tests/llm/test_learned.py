@@ -115,6 +115,32 @@ def test_robust_estimates_by_brute_force(spark):
     assert (d[:300] > outliers.LIMIT).all() and (d[300:] < outliers.LIMIT).mean() > 0.99
 
 
+def test_language_stage_rejects_planted_documents(spark, docs):
+    """Of mixtures, those in which no language holds the least share go; so do texts
+    without a letter. Texts in one language or two halves stay."""
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    by_lang = {}
+    for d in docs.values():
+        if d.lang and d.text and len(d.text) > 2_000:
+            by_lang.setdefault(d.lang, []).append(d.text[:2_000])
+    langs = sorted(by_lang)
+    assert len(langs) >= 4
+    one = [by_lang[lang][0] for lang in langs]
+    go = [None, "", "12345 ### 99\n--", "\n".join(one), "\n".join(reversed(one))]
+    stay = [*one, one[0] + "\n" + one[1], one[2] + "\n" + one[3]]
+    rows = [(10**9 + i, t, None, "planted", None) for i, t in enumerate(go)]
+    rows += [(2 * 10**9 + i, t, None, "planted", None) for i, t in enumerate(stay)]
+    planted = spark.createDataFrame(rows, source.schema)
+    out = corpus_pipeline.language_id(spark, source.unionByName(planted), SF)
+    kept = {r.doc_id for r in out.select("doc_id").collect()}
+    assert not kept & {r[0] for r in rows[: len(go)]}
+    assert {r[0] for r in rows[len(go) :]} <= kept
+    clean = {i for i, d in docs.items() if d.lang and d.text and any(c.isalpha() for c in d.text)}
+    assert len(clean - kept) <= 0.01 * len(clean)
+
+
 def test_pipeline(spark, docs, labels):
     import corpus_pipeline
 
