@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -70,8 +71,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def byte_count(text: str) -> int:
+    """A size as Spark settings write it: ``-1``, ``10485760b``, ``256k``, ``10MB``."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", text.lower())
+    if not found:
+        raise ValueError(f"not a size: {text!r}")
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ")
+
+
 def broadcast_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(BROADCAST_LIMIT_CONF, str(DEFAULT_BROADCAST_LIMIT)))
+    return byte_count(str(spark.conf.get(BROADCAST_LIMIT_CONF, str(DEFAULT_BROADCAST_LIMIT))))
 
 
 def _value_bytes(name: str, kind: T.DataType) -> Column:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.plans.sizing import broadcast_limit, materialize, relation_bytes
+from dealgrid.plans.sizing import broadcast_limit, byte_count, materialize, relation_bytes
 
 HOT_KEY_CONF = "dealgrid.hotKeyRows"
 DEFAULT_HOT_KEY_ROWS = 1_000_000
@@ -43,7 +43,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def planner_broadcasts(df: DataFrame) -> bool:
     """Whether the planner would broadcast ``df`` on its own."""
-    limit = int(str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).rstrip("b"))
+    limit = byte_count(str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")))
     return 0 <= estimated_bytes(df) <= limit
 
 

@@ -174,3 +174,23 @@ def test_category_fields_do_not_multiply_with_budgets(spark):
     assert cats.count() * 5 < n_keys
     pairs = fx["fx_merchants"].select(F.lit("spa").alias("mc"), F.lit("food").alias("pc")).distinct()
     assert scored_pairs(cats, pairs).count() <= cats.count()
+
+
+def test_sizes_of_settings(spark):
+    """Sizes with a unit, as clusters set them."""
+    from dealgrid.plans.sizing import byte_count
+    from dealgrid.plans.skew import planner_broadcasts
+
+    written = {"-1": -1, "0": 0, "10485760b": 10 << 20, "256k": 256 << 10, "10MB": 10 << 20, "1g": 1 << 30, "2 kb": 2048}
+    assert {text: byte_count(text) for text in written} == written
+    with pytest.raises(ValueError, match="not a size"):
+        byte_count("many")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "256k")
+        assert planner_broadcasts(spark.range(10))
+        spark.conf.set(key, "-1")
+        assert not planner_broadcasts(spark.range(10))
+    finally:
+        spark.conf.set(key, old)
