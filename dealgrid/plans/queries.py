@@ -710,18 +710,23 @@ def request_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     responses = materialize(fx["fx_responses"], "cycle_responses")
     late = F.when(F.col("request_id") % 7 == 3, 1).otherwise(0)
-    out = None
-    for k in range(1, 5):
-        answered = responses.filter(F.col("step") < F.lit(k) - late)
-        offers = _response_summaries(fx, answered) if k == 4 else None
-        rows = cycle.due_prompts(requests, answered, offers).select(
-            F.lit(k).cast("bigint").alias("round"),
-            F.col("request_id").cast("bigint").alias("request_id"),
-            F.col("step").cast("bigint").alias("step"),
-            "text",
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    last = 4
+    offers = _response_summaries(fx, responses.filter(F.col("step") < last - late))
+    # a request of a round is a request of its own, so that one plan serves all rounds
+    own = F.struct("round", "request_id").alias("request_id")
+    rounds = F.explode(F.sequence(F.lit(1), F.lit(last))).alias("round")
+    seen = responses.withColumn("late", late).select("*", rounds).filter("step < round - late")
+    due = cycle.due_prompts(
+        requests.select("*", rounds).select(own, "user_request", "profile", "offer_profile"),
+        seen.select(own, "step", "content"),
+        offers.withColumn("round", F.lit(last)).select(own, "summary"),
+    )
+    return due.select(
+        F.col("request_id.round").cast("bigint").alias("round"),
+        F.col("request_id.request_id").cast("bigint").alias("request_id"),
+        F.col("step").cast("bigint").alias("step"),
+        "text",
+    )
 
 
 def _merchant_json_lines(fx: dict[str, DataFrame]) -> DataFrame:
