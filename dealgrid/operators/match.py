@@ -320,7 +320,7 @@ def _passing(prices: pricecells.PriceCells) -> Callable[[DataFrame], DataFrame]:
 
     def passes(read: DataFrame) -> DataFrame:
         budget = pricecells.verdict(F.col("lo"), F.col("hi"), F.col("inside"), F.col("edges"))
-        rows = read.filter(near & rated).withColumn("fits", budget).filter("fits is null or fits")
+        rows = read.filter(near & rated).withColumn("fits", budget).filter("coalesce(fits, true)")
         rows = materialize(rows.select(*columns, "lo", "hi", "fits"), "block_matches")
         sure, unsure = rows.filter("fits").select(*columns), rows.filter("fits is null").drop("fits")
         if unsure.isEmpty():
@@ -365,10 +365,13 @@ def rank_keys(
     k: int = TOP_K,
     score_digits: int | None = None,
     items: DataFrame | None = None,
+    items_written: bool = False,
 ) -> Ranking:
     """Rank once per distinct match key (see the module notes). ``items``: the flat item
     relation (``merchant_id, name, price, discount_percent``); without it names and prices
-    are taken from the catalog's arrays. With it, ``catalog`` may be ``match_merchants``."""
+    are taken from the catalog's arrays. With it, ``catalog`` may be ``match_merchants``.
+    Items are read for cells, names and in each round for single prices: what is read of them
+    is written once, unless ``items_written`` says that they are."""
     keys = asks.filter(F.col("ask").isNotNull()).groupBy("ask").agg(
         F.count(F.lit(1)).alias("n_requests")
     )
@@ -380,9 +383,12 @@ def rank_keys(
         point_index(F.col("ask.plat"), F.col("ask.plon")).alias("point"),
     )
     keys = materialize(with_list(keys), "keys")
-    priced = (
-        catalog.select("merchant_id", F.explode("prices").alias("dp")) if items is None else item_prices(items)
-    )
+    named = not keys.filter(F.col("ask.terms").isNotNull()).isEmpty()
+    if items is None:
+        priced = catalog.select("merchant_id", F.explode("prices").alias("dp"))
+    else:
+        read = item_prices(items).select("merchant_id", "dp", *["name"] * named)
+        priced = read if items_written else materialize(read, "item_prices")
     prices = pricecells.price_cells(priced)
     # merchants without a valid price match nothing (L3, L4)
     merchants = materialize(
@@ -395,11 +401,11 @@ def rank_keys(
     scored = materialize(scored_pairs(cats, category_pairs(merchants)), "scored")
     lists = keys.select("list_id", "cat_id", "place", F.col("ask.terms").alias("terms")).distinct()
     names = None
-    if not keys.filter(F.col("ask.terms").isNotNull()).isEmpty():
+    if named:
         names = (
             catalog.select("merchant_id", F.explode("names").alias("iname"))
             if items is None
-            else items.select("merchant_id", F.lower(F.coalesce("name", F.lit(""))).alias("iname"))
+            else priced.select("merchant_id", F.lower(F.coalesce("name", F.lit(""))).alias("iname"))
         )
     rows = posting_rows(merchants, scored, lists, names, score_digits)
     first = postings.top_k(

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dealgrid.plans.sizing import materialize
-from dealgrid.plans.skew import spread_join
+from dealgrid.plans.skew import meet, spread_join
 
 DIRECT_CONF = "dealgrid.topk.directRows"
 DEFAULT_DIRECT_ROWS = 1_000_000
@@ -132,12 +132,15 @@ def first_k(
     while True:
         own = blocks.summaries.filter((F.col("rank") >= start) & (F.col("rank") < start + width)).drop("rank")
         pairs = spread_join(wanting, own, ["list_id"], [key_id], name="block_summaries", written=True)
-        pairs = pairs.filter(may_pass).drop(*summary_columns)
+        pairs = materialize(pairs.filter(may_pass).drop(*summary_columns), "block_pairs")
         reads.append(pairs.select(key_id, "list_id", "block"))
         rows = blocks.rows
+        row_columns = [c for c in rows.columns if c not in ("list_id", "block")]
         if start or (last or 0) >= width:  # else this round has all blocks
-            rows = rows.join(own.select("list_id", "block"), ["list_id", "block"], "left_semi")
-        read = spread_join(pairs, rows, ["list_id", "block"], [key_id], name="block_rows", written=True)
+            wanted = own.select("list_id", "block")
+            rows = spread_join(rows, wanted, ["list_id", "block"], row_columns, "left_semi", written=True)
+        # few keys read many rows, or very many keys the same few
+        read = meet(pairs, rows, ["list_id", "block"], [key_id], row_columns)
         top = passes(read).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
         found_now = materialize(top, "round_rows")
         found = found_now if found is None else found.unionByName(found_now)
