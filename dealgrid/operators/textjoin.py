@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.plans.skew import spread_join
+from dealgrid.plans.sizing import materialize, relation_bytes
+from dealgrid.plans.skew import dictionary_limit, spread_join
 
 GRAM = 3
 EVERY_TEXT = "\u0001all"
@@ -93,11 +94,14 @@ def sets_fully_contained(
     per-(set, owner) term count is a partial aggregation.
     """
     set_terms = term_sets.select(set_col, F.explode(set_col).alias("_t")).distinct()
-    owner_texts = texts.select(owner_col, text_col).distinct()
-    hits = contains_pairs(set_terms, "_t", owner_texts, text_col)
+    owner_texts = texts.select(owner_col, text_col)
+    hits = materialize(contains_pairs(set_terms, "_t", owner_texts, text_col), "text_hits")
+    if relation_bytes(hits) > dictionary_limit(hits.sparkSession):
+        # all rows are shuffled: an owner's repeated texts once
+        owner_texts = owner_texts.distinct()
     # a text may belong to very many owners (one item name across merchants), and a
     # term may hit very many of them
-    owner_terms = spread_join(owner_texts, hits, [text_col], [owner_col], name="text_hits")
+    owner_terms = spread_join(owner_texts, hits, [text_col], [owner_col], written=True)
     owner_terms = owner_terms.select(owner_col, "_t").distinct()
     return (
         spread_join(owner_terms, set_terms, ["_t"], [owner_col], name="set_terms", written=True)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from dealgrid.operators import geojoin, match, postings
 from dealgrid.operators.catalog import match_merchants
 from dealgrid.operators.requests import request_asks
+from dealgrid.operators.textjoin import sets_fully_contained
 from dealgrid.plans import queries, skew
 from dealgrid.plans.sizing import BROADCAST_LIMIT_CONF
 from dealgrid.sources import fixtures
@@ -119,3 +122,54 @@ def test_rounds_send_the_keys_not_the_rows(spark, limit, monkeypatch):
     }
     got = {key: [(-r.score, r.pos) for r in sorted(found, key=lambda r: r.place) if r.key == key] for key in want}
     assert got == want
+
+
+def test_only_rows_of_hit_texts_are_shuffled(spark, limit):
+    """Owners with a text that no term hits are filtered before any shuffle by owner."""
+    rows = [(o, f"text {o % 7}") for o in range(60)] * 2 + [(None, "text 3"), (3, None), (5, "")]
+    texts = spark.createDataFrame(rows, "owner long, text string")
+    sets = spark.createDataFrame([(["3", "t 3"],), (["t 2", "t 5"],), (["absent"],)], "terms array<string>")
+    want = {(("3", "t 3"), o) for o in range(60) if o % 7 == 3}
+    for bytes_ in (1 << 30, 0):
+        limit(bytes_)
+        found = sets_fully_contained(sets, "terms", texts, "owner", "text")
+        assert {(tuple(r.terms), r.owner) for r in found.collect()} - {(("3", "t 3"), None)} == want
+        # every (owner, text) was grouped before
+        assert bool(re.search(r"Aggregate \[owner#\d+L?, text#", _plan(found))) == (bytes_ == 0)
+
+
+def test_catalog_of_the_picked_merchants(spark, limit, monkeypatch):
+    """Items of merchants that nobody was offered are not grouped; rows stay as in the whole
+    catalog, repeated merchants included."""
+    merchants = spark.createDataFrame(
+        [(m, m, f"m{m}", "c", "p", 4.0, 1.3, 103.8, "d") for m in (1, 2, 2, 3)],
+        "merchant_id long, pos long, name string, category string, primary_category string, rating double,"
+        "lat double, lon double, district string",
+    )
+    items = spark.createDataFrame(
+        [(m, p, f"i{p}", float(p), None) for m in (1, 2, 3, None) for p in range(5)],
+        "merchant_id long, pos long, name string, price double, discount_percent double",
+    )
+    fx = {"fx_merchants": merchants, "fx_items": items}
+    ranked = spark.createDataFrame([("a", 2), ("b", 2), ("b", 9)], "ask_id string, merchant_id long")
+    read = []
+    real = queries.build_catalog
+    monkeypatch.setattr(queries, "build_catalog", lambda m, i: read.append(i.count()) or real(m, i))
+    whole = real(merchants, items).select(*queries.SUMMARY_COLUMNS).filter("merchant_id = 2").collect()
+    for bytes_, n in ((1 << 30, 5), (0, 20)):
+        limit(bytes_)
+        out = queries._picked_catalog(fx, ranked, queries.SUMMARY_COLUMNS)  # noqa: SLF001
+        assert out.filter("merchant_id = 2").collect() == whole and len(whole) == 2
+        assert read[-1] == n
+
+
+def test_offers_read_the_catalog_of_their_picks(spark, monkeypatch):
+    seen = []
+    real = queries.build_catalog
+    monkeypatch.setattr(queries, "build_catalog", lambda m, i: seen.append(m) or real(m, i))
+    offered = {r.merchant_id for r in queries.offer_listing(spark, SF).select("merchant_id").collect()}
+    for query in (queries.offer_items, queries.prompt_table):
+        seen.clear()
+        query(spark, SF)
+        # all merchants before
+        assert {r.merchant_id for r in seen[0].select("merchant_id").collect()} == offered
