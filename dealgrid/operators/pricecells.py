@@ -7,8 +7,9 @@ falls (``CELLS_PER_OCTAVE`` cells a doubling), and kept at three depths:
 * ``words`` of a merchant: a bitmap of its occupied cells, in ``WORDS`` longs. A budget is a
   mask of the cells between those of its bounds (all prices there are inside) and one of its
   two edge cells. A common bit with the first settles the test, none with either too;
-* ``cells``: lowest and highest price of each occupied cell of a merchant. They settle
-  an edge cell, unless both bounds lie in the same cell and its prices reach over both;
+* ``cells``: lowest and highest price of each occupied cell of a merchant, formed for the
+  edge cells that words leave open. They settle an edge cell, unless both bounds lie in the
+  same cell and its prices reach over both;
 * ``prices``: the distinct prices, by merchant and cell, for what is left.
 
 The tables are aggregations over item rows, combined before their shuffle; no merchant's
@@ -22,7 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.plans.sizing import materialize
+from dealgrid.plans.sizing import materialize, relation_bytes
+from dealgrid.plans.skew import dictionary_limit
 
 CELLS_PER_OCTAVE = 16
 WORD_BITS, WORDS = 64, 4
@@ -69,14 +71,29 @@ def either(words: Column) -> list[Column]:
     return [F.bit_or(words[w]) for w in range(WORDS)]
 
 
+def _lowest_highest(prices: DataFrame) -> DataFrame:
+    return prices.groupBy("merchant_id", "cell").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+
+
 @dataclass
 class PriceCells:
     """``merchants``: ``merchant_id, pmin, pmax, words``. ``cells``: ``merchant_id, cell, low,
-    high``. ``prices``: ``merchant_id, cell, price``, not written."""
+    high``. ``prices``: ``merchant_id, cell, price``. Cells and prices are not written."""
 
     merchants: DataFrame
     cells: DataFrame
     prices: DataFrame
+    written: DataFrame | None = None
+
+    def among(self, wanted: DataFrame) -> DataFrame:
+        """The cells among ``wanted`` (``merchant_id, cell``), or all: where the wanted ones can be
+        broadcast, other prices are not grouped; else all cells are written, once."""
+        if self.written is None:
+            wanted = materialize(wanted.distinct(), "wanted_cells")
+            if relation_bytes(wanted) <= dictionary_limit(wanted.sparkSession):
+                return _lowest_highest(self.prices.join(F.broadcast(wanted), ["merchant_id", "cell"], "left_semi"))
+            self.written = materialize(self.cells, "price_cells")
+        return self.written
 
 
 def price_cells(priced: DataFrame) -> PriceCells:
@@ -84,20 +101,16 @@ def price_cells(priced: DataFrame) -> PriceCells:
     prices = priced.filter(F.col("dp").isNotNull() & ~F.isnan("dp")).select(
         "merchant_id", cell_of(F.col("dp")).alias("cell"), F.col("dp").alias("price")
     )
-    cells = materialize(
-        prices.groupBy("merchant_id", "cell").agg(F.min("price").alias("low"), F.max("price").alias("high")),
-        "price_cells",
-    )
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell") % WORD_BITS)
     word = (F.col("cell") / WORD_BITS).cast("int")
-    merchants = cells.groupBy("merchant_id").agg(
-        F.min("low").alias("pmin"),
-        F.max("high").alias("pmax"),
+    merchants = prices.groupBy("merchant_id").agg(
+        F.min("price").alias("pmin"),
+        F.max("price").alias("pmax"),
         F.array(
             *[F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0).cast("long")) for w in range(WORDS)]
         ).alias("words"),
     )
-    return PriceCells(merchants, cells, prices)
+    return PriceCells(merchants, _lowest_highest(prices), prices)
 
 
 def verdict(lo: Column, hi: Column, inside: Column, edges: Column) -> Column:
@@ -122,7 +135,8 @@ def settle(unsure: DataFrame, found: PriceCells) -> DataFrame:
     inside = lambda p: (p >= lo) & (p <= hi)
     ends = inside(F.col("low")) | inside(F.col("high"))
     across = (F.col("low") < lo) & (F.col("high") > hi)
-    seen = edge.join(found.cells, ["merchant_id", "cell"]).filter(ends | across)
+    cells = found.among(edge.select("merchant_id", "cell"))
+    seen = edge.join(cells, ["merchant_id", "cell"]).filter(ends | across)
     seen = materialize(seen.withColumn("sure", ends).drop("low", "high"), "price_edges")
     sure, deep = seen.filter("sure").select(*columns), seen.filter("not sure")
     if not deep.isEmpty():

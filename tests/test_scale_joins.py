@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from dealgrid.operators import geojoin, match, postings
+from dealgrid.operators import geojoin, match, postings, pricecells
 from dealgrid.operators.catalog import match_merchants
 from dealgrid.operators.requests import request_asks
 from dealgrid.operators.textjoin import sets_fully_contained
@@ -173,3 +173,28 @@ def test_offers_read_the_catalog_of_their_picks(spark, monkeypatch):
         query(spark, SF)
         # all merchants before
         assert {r.merchant_id for r in seen[0].select("merchant_id").collect()} == offered
+
+
+def test_only_cells_that_a_budget_leaves_open_are_formed(spark, limit, monkeypatch):
+    prices = {m: [100 + (m * 13 + i * 29) % 97 / 10 for i in range(9)] for m in range(30)}
+    rows = [(m, p) for m, own in prices.items() for p in own] * 2 + [(None, 100.1), (3, None), (4, float("nan"))]
+    items = spark.createDataFrame(rows, "merchant_id long, dp double")
+    asked = [(m, a, 100 + a / 4, 100 + a / 4 + 0.3) for m in (*range(0, 30, 3), 99) for a in range(36)]
+    unsure = spark.createDataFrame(asked, "merchant_id long, ask int, lo double, hi double")
+    want = sorted((m, a) for m, a, lo, hi in asked if any(lo <= p <= hi for p in prices.get(m, [])))
+    assert 0 < len(want) < len(asked)
+    names = []
+    real = pricecells.materialize
+    monkeypatch.setattr(pricecells, "materialize", lambda df, name: names.append(name) or real(df, name))
+    for bytes_, formed in ((1 << 30, 0), (0, 1)):
+        limit(bytes_)
+        names.clear()
+        found = pricecells.price_cells(items)
+        for _ in range(2):
+            settled = pricecells.settle(unsure, found).collect()
+            assert sorted((r.merchant_id, r.ask) for r in settled) == want
+        # every cell of every merchant was formed before
+        assert names.count("price_cells") == formed
+        open_cells = unsure.filter("merchant_id = 3").select("merchant_id", pricecells.cell_of(F.col("lo")).alias("cell"))
+        few = {r.merchant_id for r in found.among(open_cells).collect()}
+        assert few == ({3} if not formed else {None, *prices})
