@@ -26,6 +26,7 @@ category fields, and on the merchant's category text only through the distinct
    the J5 containment join. Budgets are tested on price cells (``operators.pricecells``).
 5. Top-k per key by ``operators.postings``: blocks of its list are read from the top and
    filtered until k merchants passed. Rows read follow keys x k, not keys x merchants.
+   Only what a head of each list leaves open is sorted into blocks.
    (Where reading whole lists is counted to be little work, that is done instead.)
 6. Requests equi-join the ranked keys on ``ask_id``.
 """
@@ -275,6 +276,10 @@ def _preference() -> list[Column]:
     return [F.col("rank_score").desc(), F.col("pos").asc()]
 
 
+#: The columns of ``_preference``, and whether each rises.
+PREFERENCE = {"rank_score": False, "pos": True}
+
+
 def _block_summary() -> list[Column]:
     """Unknown distances are nearer than any, unknown ratings better than any (NaN is the
     greatest number to Spark): both pass every filter."""
@@ -410,7 +415,7 @@ def rank_keys(
     rows = posting_rows(merchants, scored, lists, names, score_digits)
     first = postings.top_k(
         _with_budget(keys), "ask_id", rows, k, _preference(), _block_summary(), _may_pass(),
-        _passing(prices), "merchant_id",
+        _passing(prices), "merchant_id", PREFERENCE,
     )
     ranked = first.found.select(
         "ask_id", F.col("place").alias("rank"), "merchant_id", "pos", "dist_km", "score"

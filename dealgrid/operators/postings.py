@@ -19,6 +19,12 @@ product of both; a key here reads its list from the top, block by block, and sto
 
 A key whose filters pass often reads O(k) rows, however long its list is; one whose
 filters pass seldom reads the blocks that the summaries cannot rule out.
+
+Sorting a list into blocks shuffles and writes all its rows. So ``top_k`` first reads a *head*
+of each list, about ``HEAD_ROWS`` rows, up to a bound that is a row of the list itself: the rows
+not after it are a prefix, wherever it lies (a sample places it; results do not depend on it).
+Only rows behind the bounds of lists whose keys still lack rows, and may find some there, are
+sorted.
 """
 
 from __future__ import annotations
@@ -29,13 +35,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dealgrid.plans.sizing import materialize
-from dealgrid.plans.skew import meet, spread_join
+from dealgrid.plans.sizing import materialize, relation_bytes
+from dealgrid.plans.skew import dictionary_limit, meet, spread_join
 
 DIRECT_CONF = "dealgrid.topk.directRows"
 DEFAULT_DIRECT_ROWS = 1_000_000
 BLOCK_ROWS = 256
 FIRST_BLOCKS, GROWTH = 4, 8
+#: Rows of a list that are read before any are sorted, about; one row in ``BOUND_SAMPLE`` is looked at
+#: to place their end.
+HEAD_ROWS, BOUND_SAMPLE = 1024, 16
 #: Bits of ``monotonically_increasing_id`` that number the rows of a partition.
 ROW_BITS = 33
 
@@ -75,6 +84,29 @@ def direct_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(DIRECT_CONF, str(DEFAULT_DIRECT_ROWS)))
 
 
+def list_bounds(rows: DataFrame, order: list[Column], row_id: str, bound: dict[str, bool]) -> DataFrame:
+    """``list_id`` and the columns ``bound``, as ``_at_<column>``, of a row some ``HEAD_ROWS`` down each
+    list. Lists too short to have one are left out. A task passes on few rows of a list, however many
+    it holds."""
+    sampled = rows.filter(F.pmod(F.xxhash64("list_id", row_id), F.lit(BOUND_SAMPLE)) == 0)
+    last = max(HEAD_ROWS // BOUND_SAMPLE, 1)
+    place = F.row_number().over(Window.partitionBy("list_id").orderBy(*order))
+    placed = sampled.select("list_id", *bound).withColumn("_place", place).filter(F.col("_place") <= last)
+    return placed.filter(F.col("_place") == last).select("list_id", *[F.col(c).alias(f"_at_{c}") for c in bound])
+
+
+def not_after(bound: dict[str, bool]) -> Column:
+    """Whether a row stands at or before its bound, never NULL. ``bound``: the columns of the order,
+    True where it rises (NULL first, NaN last) and False where it falls (the other way round)."""
+    out = F.lit(True)
+    for c, rising in reversed(bound.items()):
+        own, at = F.col(c), F.col(f"_at_{c}")
+        low, high = (own, at) if rising else (at, own)
+        before = high.isNotNull() & (low.isNull() | (low < high))
+        out = F.coalesce(before, F.lit(False)) | (own.eqNullSafe(at) & out)
+    return out
+
+
 def top_k(
     keys: DataFrame,
     key_id: str,
@@ -85,22 +117,84 @@ def top_k(
     may_pass: Column,
     passes: Callable[[DataFrame], DataFrame],
     row_id: str,
+    bound: dict[str, bool] | None = None,
 ) -> FirstK:
     """``first_k`` over the blocks of ``rows`` (``list_id`` and others). Where all keys read
     their whole lists in ``direct_rows`` rows together, which is counted first, they do so:
-    sorting the lists into blocks would cost more than it saves."""
+    sorting the lists into blocks would cost more than it saves. ``bound``: the columns of ``order``
+    (see ``not_after``); with them, and bounds that can be broadcast, heads are read first and only
+    what is left of the lists is sorted."""
     rows = materialize(rows, "posting_rows")
+    if _reads_whole_lists(keys, rows):
+        return _direct(keys, key_id, rows, k, order, passes, row_id)
+    bounds = None
+    if bound is not None:
+        bounds = materialize(list_bounds(rows, order, row_id, bound), "list_bounds")
+        if relation_bytes(bounds) > dictionary_limit(rows.sparkSession):
+            bounds = None
+    if bounds is None:
+        return first_k(keys, key_id, build(rows, order, summary), k, order, may_pass, passes)
+    args = (k, order, summary, may_pass, passes, row_id)
+    bounded = rows.join(F.broadcast(bounds.withColumn("_cut", F.lit(True))), "list_id", "left")
+    inside = F.col("_cut").isNull() | not_after(bound)
+    head = _direct_or_blocks(keys, key_id, bounded.filter(inside).select(*rows.columns), *args)
+    counts = head.found.groupBy(key_id).agg(F.count(F.lit(1)).alias("_n"))
+    # both sides have one row a key
+    wanting = keys.join(counts, key_id, "left").filter(F.coalesce("_n", F.lit(0)) < k).drop("_n")
+    wanting = materialize(wanting, "wanting")
+    if wanting.isEmpty():
+        return head
+    behind = bounded.filter(~inside).select(*rows.columns)
+    wanting = materialize(_may_find(wanting, key_id, behind, row_id, summary, may_pass), "wanting")
+    if wanting.isEmpty():
+        return head
+    tail = _direct_or_blocks(wanting, key_id, _of_lists(behind, wanting, row_id), *args)
+    best = Window.partitionBy(key_id).orderBy(*order)
+    found = head.found.unionByName(tail.found).withColumn("place", F.row_number().over(best))
+    return FirstK(materialize(found.filter(F.col("place") <= k), "first_rows"), head.reads + tail.reads)
+
+
+def _of_lists(rows: DataFrame, keys: DataFrame, row_id: str) -> DataFrame:
+    """The rows of the lists of ``keys``."""
+    lists = keys.select("list_id").distinct()
+    return spread_join(rows, lists, ["list_id"], [row_id], "left_semi", written=True)
+
+
+def _may_find(
+    wanting: DataFrame, key_id: str, rows: DataFrame, row_id: str, summary: list[Column], may_pass: Column
+) -> DataFrame:
+    """The keys that the summary of all ``rows`` of their list does not rule out."""
+    whole = _of_lists(rows, wanting, row_id).groupBy("list_id").agg(*summary)
+    met = spread_join(wanting, whole, ["list_id"], [key_id], name="list_summaries")
+    return met.filter(may_pass).select(*wanting.columns)
+
+
+def _reads_whole_lists(keys: DataFrame, rows: DataFrame) -> bool:
     sizes = rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
     wanted = keys.groupBy("list_id").agg(F.count(F.lit(1)).alias("m"))
     total = sizes.join(wanted, "list_id").agg(F.sum(F.col("n") * F.col("m")).alias("n")).first()["n"] or 0
-    if total > direct_rows(rows.sparkSession):
-        return first_k(keys, key_id, build(rows, order, summary), k, order, may_pass, passes)
+    return total <= direct_rows(rows.sparkSession)
+
+
+def _direct(
+    keys: DataFrame, key_id: str, rows: DataFrame, k: int, order: list[Column],
+    passes: Callable[[DataFrame], DataFrame], row_id: str,
+) -> FirstK:
     best = Window.partitionBy(key_id).orderBy(*order)
     read = spread_join(rows, keys, ["list_id"], [row_id], name="list_keys", written=True)
     found = passes(read).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
     return FirstK(materialize(found, "first_rows"))
 
 
+def _direct_or_blocks(
+    keys: DataFrame, key_id: str, rows: DataFrame, k: int, order: list[Column], summary: list[Column],
+    may_pass: Column, passes: Callable[[DataFrame], DataFrame], row_id: str,
+) -> FirstK:
+    if _reads_whole_lists(keys, rows):
+        return _direct(keys, key_id, rows, k, order, passes, row_id)
+    return first_k(keys, key_id, build(rows, order, summary), k, order, may_pass, passes)
+
+
 @dataclass
 class FirstK:
     """``found``: the rows of each key, at most ``k``, with their ``place``. ``reads``: for every

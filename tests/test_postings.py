@@ -140,3 +140,52 @@ def test_a_merchant_of_many_items_is_combined_before_the_shuffle(spark):
     assert found.cells.count() <= pricecells.CELLS and found.merchants.count() == 1
     plan = items.groupBy("merchant_id").count()._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
     assert "partial_count" in plan
+
+
+@pytest.mark.parametrize("limit", ["0", "3000", "9000"])
+@pytest.mark.parametrize("n_lists", [1, 6])
+def test_only_what_heads_leave_open_is_sorted(spark, monkeypatch, n_lists, limit):
+    """Heads that all keys but some find enough in: rows of other lists are not sorted, and every
+    key has its rows, whether heads and what is behind them are read whole or in blocks."""
+    monkeypatch.setattr(postings, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(postings, "HEAD_ROWS", 64)
+    monkeypatch.setattr(postings, "BOUND_SAMPLE", 4)
+    built = []
+    build = postings.build
+    monkeypatch.setattr(postings, "build", lambda rows, *args: built.append(rows.count()) or build(rows, *args))
+    draw = random.Random(n_lists)
+    rows = _lists(draw, n_lists, 2400) + [("short", 1, 5000 + i, 0.6) for i in range(3)]
+    least = [0.0, 0.5] * 20 + [0.97, 2.0]
+    keys = [(f"k{i}", "l0" if v > 0.6 else f"l{draw.randrange(n_lists)}", v) for i, v in enumerate(least)]
+    keys += [("few", "short", 0.5), ("nowhere", "no list", 0.0)]
+    table = spark.createDataFrame(rows, "list_id string, score long, pos long, v double").repartition(7)
+    wanted = spark.createDataFrame(keys, "key string, list_id string, least double")
+    spark.conf.set(postings.DIRECT_CONF, limit)
+    try:
+        found = postings.top_k(
+            wanted, "key", table, 4, _order(), [F.max("v").alias("most")], F.col("most") >= F.col("least"),
+            lambda read: read.filter("v >= least").select("key", "score", "pos", "v"), "pos",
+            {"score": False, "pos": True},
+        ).found
+    finally:
+        spark.conf.unset(postings.DIRECT_CONF)
+    want = []
+    for key, own, low in keys:
+        fit = sorted((-s, p) for name, s, p, v in rows if name == own and v >= low)[:4]
+        want += [(key, i, p) for i, (_, p) in enumerate(fit, 1)]
+    assert sorted((r.key, r.place, r.pos) for r in found.collect()) == sorted(want)
+    behind = sum(name == "l0" for name, *_ in rows)
+    # of the lists, only what is behind the head of the one with a selective key (heads: in blocks at 0)
+    assert sum(built) <= (behind + 6 * 2 * 64 if limit == "0" else behind)
+    assert n_lists == 1 or max(built, default=0) < len(rows) / 3
+
+
+def test_a_bound_cuts_a_prefix_of_the_order(spark):
+    """NaN and NULL scores, NULL positions: the rows not after a row are those sorted up to it."""
+    rows = [(s, p) for s in (None, 1.0, 2.5, math.nan) for p in (None, 1, 2)]
+    table = spark.createDataFrame(rows, "score double, pos long")
+    cut = postings.not_after({"score": False, "pos": True})
+    for at, (score, pos) in enumerate(table.orderBy(*_order()).collect()):
+        bound = {"_at_score": F.lit(score).cast("double"), "_at_pos": F.lit(pos).cast("long")}
+        got = table.withColumns(bound).select(cut.alias("c")).collect()
+        assert sum(r.c for r in got) == at + 1 and all(r.c is not None for r in got)
