@@ -82,6 +82,29 @@ def test_circles_are_not_sent_to_the_driver(spark, limit):
     assert near.rdd.getNumPartitions() > 1  # one task before
 
 
+@pytest.mark.parametrize("n", [1, skew.SALTS])
+def test_what_is_measured_too_large_is_not_sent(spark, limit, tmp_path, n):
+    """A table of few bytes in its files and many in memory: the planner sees only the files."""
+    limit(100_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    rows, k = 20_000, F.col("id") % 500
+    spark.range(rows).select(k.alias("k"), F.lit(1.5).alias("f")).coalesce(1).write.parquet(f"{tmp_path}/few")
+    spark.range(rows * n * 2).select(k.alias("k"), F.col("id").alias("m")).write.parquet(f"{tmp_path}/many")
+    few, many = spark.read.parquet(f"{tmp_path}/few"), spark.read.parquet(f"{tmp_path}/many")
+    assert skew.planner_broadcasts(few)
+    few_k = [(q, 1) for q in range(0, 500, 50)]
+    some = spark.createDataFrame(few_k, "k long, s int")
+    for joined in (
+        skew.meet(few, many, ["k"], ["f"], ["m"]),
+        skew.meet(many, few, ["k"], ["m"], ["f"]),
+        skew.spread_join(many, few, ["k"], ["m"], "left", written=True),
+    ):
+        plan = joined._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+        got = joined.join(F.broadcast(some), "k").groupBy("k").count().collect()
+        assert sorted(tuple(r) for r in got) == [(q, 40 * 40 * n * 2) for q, _ in few_k]
+
+
 def test_items_are_derived_once(spark, monkeypatch):
     """Cells, names and the single prices of every round read one written table."""
     fx = fixtures.relations(spark, SF)
